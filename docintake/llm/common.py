@@ -69,13 +69,13 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces_of(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
-    """Cut a batch into row slices of about ``most`` text bytes, so that numpy temporaries stay small
-    however long the texts are (one text is never cut)."""
+def pieces_of(batch: pa.RecordBatch, text: str, most: int = 4 << 20, rows: int = 1 << 30):
+    """Cut a batch into row slices of about ``most`` text bytes and at most ``rows`` rows, so that numpy
+    temporaries stay small however long the texts are (one text is never cut)."""
     lengths = np.diff(flat(batch.column(text))[1])
     start, total = 0, 0
     for i, n in enumerate(lengths):
-        if total and total + n > most:
+        if i > start and (total + n > most or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

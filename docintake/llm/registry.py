@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from docintake.llm import matroska, quality, tokens, toxicity
+from docintake.llm import langid, matroska, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_nearest_centroid_language": langid.query,
     "op2_matroska_packets": matroska.query,
     "op4_attention_mil_quality": quality.query,
+    "op5_seekable_zstd_warc": warc.query,
     "op6_pu_toxicity": toxicity.query,
     "op7_bpe_roundtrip": tokens.query,
+    "op9_best_fit_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_seekable_zstd_warc": warc.SQL}
