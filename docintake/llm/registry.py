@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from docintake.llm import langid, matroska, packing, quality, tokens, toxicity, warc
+from docintake.llm import ann, langid, matroska, neardup, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_nearest_centroid_language": langid.query,
     "op2_matroska_packets": matroska.query,
+    "op3_kmeans_tree_search": ann.query,
     "op4_attention_mil_quality": quality.query,
     "op5_seekable_zstd_warc": warc.query,
     "op6_pu_toxicity": toxicity.query,
     "op7_bpe_roundtrip": tokens.query,
     "op9_best_fit_packing": packing.query,
+    "op10_bbit_minhash": neardup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_seekable_zstd_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_seekable_zstd_warc": warc.SQL, "op10_bbit_minhash": neardup.SQL}
