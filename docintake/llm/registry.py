@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docintake.llm import ann, langid, matroska, neardup, packing, quality, tokens, toxicity, warc
+from docintake.llm import ann, langid, licences, matroska, neardup, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_nearest_centroid_language": langid.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_seekable_zstd_warc": warc.query,
     "op6_pu_toxicity": toxicity.query,
     "op7_bpe_roundtrip": tokens.query,
+    "op8_licence_paragraphs": licences.query,
     "op9_best_fit_packing": packing.query,
     "op10_bbit_minhash": neardup.query,
 }
