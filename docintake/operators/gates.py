@@ -187,7 +187,7 @@ def blocking(w: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed."""
-    return F.trim(F.coalesce(F.get(F.filter(F.split(F.ltrim(F.lit("\ufeff"), text), r"\r\n|[\n\r]"), lambda x: F.trim(x) != ""), 0), F.lit("")))
+    return F.trim(F.coalesce(F.get(F.filter(F.split(F.ltrim(text, F.lit("\ufeff")), r"\r\n|[\n\r]"), lambda x: F.trim(x) != ""), 0), F.lit("")))
 
 
 def completeness_errors(text: Column, markers: Column) -> Column:
