@@ -7,9 +7,12 @@ best bin first: a priority queue holds the branches not taken, nearest centroid
 visits is calibrated: for ``CALIBRATE`` queries the exact neighbours are found by comparing them with all
 rows, and visits widen until ``TARGET`` of those neighbours lie in the visited leaves.
 
-A visit is a row (query, leaf); visits and vectors meet by leaf. A leaf with many rows or many visits, such
-as one of a vector that fills a third of the table, is dealt into blocks of at most about ``BLOCK`` rows on
-either side, so no leaf meets in one task.
+Neighbouring leaves are put together to bins of about ``BIN_ROWS`` rows, the unit in which visits and vectors
+meet: a visit row names the query, the bin, and which of the bin's leaves are visited. A bin with many rows or
+many visits, such as one with a vector that fills a third of the table, is dealt into blocks of at most about
+``BIN_ROWS`` vectors and ``QUERY_ROWS`` queries, so no bin meets in one task. The first bin of each query is
+searched first; its k-th score is then the least that hits in the other bins must reach, which keeps what they
+hand on in proportion to the queries.
 
 Scores are inner products of the original vectors in double precision, computed row by row (equal vectors get
 equal scores); ties go to the smaller id.
@@ -35,7 +38,7 @@ from docintake.llm.common import bounded_sample, stored, table
 SAMPLE_VALUES = 1_500_000
 BRANCH, ROUNDS, LEAF_ROWS, LEAF_SAMPLE = 8, 8, 256, 12
 CALIBRATE, TARGET = 200, 0.97
-BLOCK = 2048
+BIN_ROWS, QUERY_ROWS = 8192, 2048
 TOP = 20
 
 
@@ -130,19 +133,24 @@ class Tree:
         return out
 
 
-def top_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, row position, score) of the k best rows of each query. BLAS picks who may be among
-    them, with slack for its rounding; those are scored row by row."""
+def top_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, seen: np.ndarray | None = None, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, row position, score) of the k best rows of each query, of those with ``seen`` (queries x
+    rows) that score ``least`` or more. BLAS picks who may be among them, with slack for its rounding; those are
+    scored row by row."""
     got_q, got_r, got_s = [], [], []
     if len(rows) and len(queries):
         rough = queries @ rows.T
         rough[query_ids[:, None] == ids[None, :]] = -np.inf
+        if seen is not None:
+            rough[~seen] = -np.inf
         slack = 1e-9 * (np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max() + 1e-300)
         kth = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf)
         for i in range(len(queries)):
-            may = np.flatnonzero((rough[i] >= kth[i] - slack[i]) & (rough[i] > -np.inf))
+            floor = kth[i] if least is None else max(kth[i], least[i])
+            may = np.flatnonzero((rough[i] >= floor - slack[i]) & (rough[i] > -np.inf))
             s = (rows[may] * queries[i]).sum(1)
             best = np.lexsort((ids[may], -s))[:k]
+            best = best if least is None else best[s[best] >= least[i]]
             got_q.append(np.full(len(best), i))
             got_r.append(may[best])
             got_s.append(s[best])
@@ -162,8 +170,8 @@ def exact(rows: DataFrame, queries: list, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 4 * BLOCK):
-                part = b.slice(at, 4 * BLOCK)
+            for at in range(0, b.num_rows, BIN_ROWS):
+                part = b.slice(at, BIN_ROWS)
                 got = part.column("id").to_numpy()
                 q, r, s = top_of(v, ids, matrix(part.column("v")), got, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q], part.column("id").type), pa.array(got[r], part.column("id").type), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
@@ -200,35 +208,62 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_i
         need = np.sort([at[r["query_id"]][r["leaf"]] for r in truth]) + 1
         visits = int(need[max(0, math.ceil(target * len(need)) - 1)]) if len(need) else 1
 
+    # Bins of neighbouring leaves, in the tree's order; blocks for bins that are too large.
+    held = dict(placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each leaf, bounded by the sample
+    rows_of = np.array([held.get(i, 0) for i in range(tree.n_leaves)]) if tree else np.zeros(0, np.int64)
+    bin_of = (np.cumsum(rows_of) - rows_of) // BIN_ROWS if len(rows_of) else rows_of
+    vector_blocks = {int(g): max(1, -(-int(rows_of[bin_of == g].sum()) // BIN_ROWS)) for g in np.unique(bin_of)}
+
     def visit(batches):
         for b in batches:
             x = matrix(b.column("v"))
             for i in range(0, len(x), 512):
-                leaf = shared.value.leaves(x[i : i + 512], visits)
-                n = len(leaf)
-                data = pa.array([r.tobytes() for r in x[i : i + n]], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, n), data, pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * visits, pa.int32()), pa.array(leaf.ravel()))], ["id", "x", "leaves"])
-
-    asked = rows.filter(is_query).mapInArrow(visit, f"id {kind}, x binary, leaves array<bigint>").select("id", "x", F.explode("leaves").alias("leaf"))
-    asked = stored(asked, "visits")
-    held = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vb"))
-    come = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qb"))
-    blocks = F.broadcast(stored(held.join(come, "leaf"), "blocks"))  # a row for each leaf, bounded by the sample
+                out: list[tuple] = []
+                for j, leaves in enumerate(shared.value.leaves(x[i : i + 512], visits)):
+                    bins = bin_of[leaves]
+                    out += [(i + j, int(g), leaves[bins == g].tolist(), bool(g == bins[0])) for g in np.unique(bins)]
+                at, bins, leaves, first = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.bool_())
+                data = pa.array([x[k].tobytes() for k in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), data, *(pa.array(c, t) for c, t in zip((bins, leaves, first), kinds, strict=True))], ["id", "x", "bin", "leaves", "first"])
+
+    asked = stored(rows.filter(is_query).mapInArrow(visit, f"id {kind}, x binary, bin bigint, leaves array<bigint>, first boolean"), "visits")
+    come = dict(asked.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each bin
+    sizes = [(g, vector_blocks[g], max(1, -(-come.get(g, 0) // QUERY_ROWS))) for g in vector_blocks]
+    blocks = F.broadcast(spark.createDataFrame(sizes, "bin bigint, vb int, qb int"))
+    bins = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(bin_of)], "leaf bigint, bin bigint"))
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        df = df.join(blocks, "leaf").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own + "b")).cast("int"))
+        df = df.join(blocks, "bin").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own + "b")).cast("int"))
         df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "b") - 1)))
-        return df.select("id", "x", F.xxhash64("leaf", "v", "q").alias("cell"))
+        return df.withColumn("cell", F.xxhash64("bin", "v", "q")).drop("bin", "vb", "qb", "v", "q")
 
     def meet(asking: pa.Table, there: pa.Table) -> pa.Table:
         unpack = lambda t: np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(t.num_rows, dim)
-        qid, vid = asking.column("id").to_numpy(), there.column("id").to_numpy()
-        q, r, s = top_of(unpack(asking), qid, unpack(there), vid, k)
+        qid, vid, leaf, r = asking.column("id").to_numpy(), there.column("id").to_numpy(), there.column("leaf").to_numpy(), unpack(there)
+        least, q, wanted = asking.column("least").to_numpy(), unpack(asking), asking.column("leaves").to_pylist()
+        got = []
+        for i in range(0, len(q) if len(r) else 0, 256):
+            some = np.unique(np.concatenate([np.array(w, np.int64) for w in wanted[i : i + 256]]))
+            on = np.flatnonzero(np.isin(leaf, some))
+            allowed = np.zeros((len(q[i : i + 256]), tree_leaves), bool)
+            for j, w in enumerate(wanted[i : i + 256]):
+                allowed[j, w] = True
+            a, b, s = top_of(q[i : i + 256], qid[i : i + 256], r[on], vid[on], k, allowed[:, leaf[on]], least[i : i + 256])
+            got.append((qid[i + a], vid[on[b]], s))
+        qs, vs, ss = (np.concatenate(c) if got else np.zeros(0) for c in (zip(*got, strict=True) if got else ((), (), ())))
         t = asking.column("id").type
-        return pa.table({"query_id": pa.array(qid[q], t), "vec_id": pa.array(vid[r], t), "score": pa.array(s, pa.float64())})
-
-    hits = dealt(asked, "q", "v").groupBy("cell").cogroup(dealt(placed, "v", "q").groupBy("cell")).applyInArrow(meet, f"query_id {kind}, vec_id {kind}, score double")
-    return best(hits, k).select("query_id", "rank", "vec_id", "score")
+        return pa.table({"query_id": pa.array(qs.astype(qid.dtype), t), "vec_id": pa.array(vs.astype(vid.dtype), t), "score": pa.array(ss.astype(float), pa.float64())})
+
+    tree_leaves = tree.n_leaves if tree else 0
+    found = f"query_id {kind}, vec_id {kind}, score double"
+    vectors_dealt = dealt(placed.join(bins, "leaf"), "v", "q").groupBy("cell")
+    near = dealt(asked.filter("first").drop("first").withColumn("least", F.lit(float("-inf"))), "q", "v")
+    near = stored(best(near.groupBy("cell").cogroup(vectors_dealt).applyInArrow(meet, found), k), "near")
+    floor = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    rest = asked.filter("not first").drop("first").join(floor, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    far = dealt(rest, "q", "v").groupBy("cell").cogroup(vectors_dealt).applyInArrow(meet, found)
+    return best(near.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
