@@ -21,6 +21,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space at the ends, line breaks included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapse_blank_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
 
@@ -55,6 +60,6 @@ def braces_balanced(c: Column) -> Column:
 def entity_decode(c: Column) -> Column:
     """The common HTML entities, decoded up to three times as deep."""
     for _ in range(3):
-        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
             c = F.replace(c, F.lit(name), F.lit(char))
     return c

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import braces_balanced, clip, filled, ordered_distinct, squeeze
+from docintake.functions.text import braces_balanced, clip, filled, ordered_distinct, squeeze, strip
 
 ISSUE = "array<struct<agent:string,stage:string,severity:string,detail:string>>"
 #: A placeholder for a figure in generated text.
@@ -134,7 +134,7 @@ def has_dangling_tail(text: Column) -> Column:
     """A sentence with Chinese characters that ends in the stem of an English word."""
     clean = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", "\n"), r"[*_`#>\-]+", " ")
     lines = F.filter(F.split(clean, r"[\n。！？；.!?;]"), lambda x: x.rlike(r"[\x{4e00}-\x{9fff}]"))
-    return F.exists(lines, lambda x: F.lower(F.regexp_extract(F.trim(x), r"(?U)\b([A-Za-z]{3,12})\s*$", 1)).isin(*DANGLING))
+    return F.exists(lines, lambda x: F.lower(F.regexp_extract(strip(x), r"(?U)\b([A-Za-z]{3,12})\s*$", 1)).isin(*DANGLING))
 
 
 def text_agent(markdown: Column, xml: Column) -> Column:
@@ -187,7 +187,7 @@ def blocking(w: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed."""
-    return F.trim(F.coalesce(F.get(F.filter(F.split(F.ltrim(text, F.lit("\ufeff")), r"\r\n|[\n\r]"), lambda x: F.trim(x) != ""), 0), F.lit("")))
+    return strip(F.coalesce(F.get(F.filter(F.split(F.ltrim(text, F.lit("\ufeff")), r"\r\n|[\n\r]"), lambda x: strip(x) != ""), 0), F.lit("")))
 
 
 def completeness_errors(text: Column, markers: Column) -> Column:
@@ -223,13 +223,13 @@ def error_text(code: Column) -> Column:
 
 def published_errors(content: Column, title: Column, terms: Column, latex_min: Column, table_min: Column) -> Column:
     """What a delivered document lacks against what was to be delivered."""
-    block = F.trim(F.regexp_replace(F.regexp_extract(content, r"(?is)<title(?:\s[^>]*)?>(.*?)</title>", 1), r"<[^>]+>", ""))
+    block = strip(F.regexp_replace(F.regexp_extract(content, r"(?is)<title(?:\s[^>]*)?>(.*?)</title>", 1), r"<[^>]+>", ""))
     latex, tables = F.regexp_count(content, F.lit("<latex>")), F.regexp_count(content, F.lit(r"(?i)<table(?:\s|>)"))
-    missing = F.transform(F.filter(F.transform(terms, F.trim), lambda t: (t != "") & ~content.contains(t)), lambda t: F.concat(F.lit("missing-term:"), F.substring(t, 1, 80)))
+    missing = F.transform(F.filter(F.transform(terms, lambda t: strip(t)), lambda t: (t != "") & ~content.contains(t)), lambda t: F.concat(F.lit("missing-term:"), F.substring(t, 1, 80)))
     ratio = lambda name, n, m: F.when((m > 0) & (n < m), F.concat(F.lit(f"{name}:"), n.cast("string"), F.lit("/"), m.cast("string")))
     tail = F.array_compact(F.array(F.when(content.rlike(MARKER), "marker-left-after-publish"), ratio("missing-latex", latex, latex_min), ratio("missing-tables", tables, table_min)))
     found = F.concat(F.array_compact(F.array(F.when((title != "") & (block == ""), "missing-title"))), missing, tail)
-    return F.when(F.trim(content) == "", F.array(F.lit("fetch-empty"))).otherwise(ordered_distinct(found))
+    return F.when(strip(content) == "", F.array(F.lit("fetch-empty"))).otherwise(ordered_distinct(found))
 
 
 def post_publish(warnings: Column) -> Column:
@@ -240,19 +240,19 @@ def post_publish(warnings: Column) -> Column:
 
 
 def strip_fences(c: Column) -> Column:
-    t = F.trim(c)
+    t = strip(c)
     inner = F.regexp_extract(t, r"(?s)^```(?:json|markdown)?(.*)```$", 1)
-    return F.when(t.rlike(r"(?s)^```.*```$") & (F.length(t) >= 6), F.trim(inner)).otherwise(c)
+    return F.when(t.rlike(r"(?s)^```.*```$") & (F.length(t) >= 6), strip(inner)).otherwise(c)
 
 
 def clean_enum(c: Column, default: str) -> Column:
-    return F.coalesce(filled(F.replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit(" "), F.lit("_"))), F.lit(default))
+    return F.coalesce(filled(F.replace(F.lower(strip(F.coalesce(c, F.lit("")))), F.lit(" "), F.lit("_"))), F.lit(default))
 
 
 def unresolved(category: Column, detail: Column) -> Column:
     """Is a review issue still open? Words of open points win over words of settled ones; remarks on marker
     names alone are none."""
-    d = F.trim(F.coalesce(detail, F.lit("")))
+    d = strip(F.coalesce(detail, F.lit("")))
     name_only = (category == "figure_marker") & d.rlike("marker 名称|marker名|文件名") & d.rlike("像机构|Logo|缩写") & ~d.rlike("错位|周围段落|丢失")
     return F.when(d == "", False).when(F.coalesce(name_only, F.lit(False)), False).when(d.rlike("|".join(UNRESOLVED)), True).when(d.rlike("|".join(RESOLVED)), False).otherwise(True)
 
@@ -260,10 +260,10 @@ def unresolved(category: Column, detail: Column) -> Column:
 def review_issues(responses: DataFrame) -> DataFrame:
     """doc_id, pos, category, severity, detail of the open issues in responses (doc_id, text): JSON, maybe in
     a fence; what is no JSON object gives one issue that says so."""
-    text = F.trim(strip_fences(F.col("text")))
+    text = strip(strip_fences(F.col("text")))
     body = F.from_json(text, "struct<markdown:string,issues:array<struct<category:string,severity:string,detail:string>>>")
     is_json, is_object = F.try_parse_json(text).isNotNull(), text.startswith("{")
-    listed = F.transform(F.coalesce(body["issues"], F.array().cast("array<struct<category:string,severity:string,detail:string>>")), lambda i: F.struct(clean_enum(i["category"], "other").alias("category"), clean_enum(i["severity"], "low").alias("severity"), F.substring(F.trim(F.coalesce(i["detail"], F.lit(""))), 1, 1000).alias("detail")))
+    listed = F.transform(F.coalesce(body["issues"], F.array().cast("array<struct<category:string,severity:string,detail:string>>")), lambda i: F.struct(clean_enum(i["category"], "other").alias("category"), clean_enum(i["severity"], "low").alias("severity"), F.substring(strip(F.coalesce(i["detail"], F.lit(""))), 1, 1000).alias("detail")))
     said = lambda s, d: F.array(F.struct(F.lit("other").alias("category"), F.lit(s).alias("severity"), F.lit(d).alias("detail")))
     found = F.when(~is_json, said("low", "review returned non-json markdown")).when(~is_object, said("medium", "review returned non-object json")).otherwise(F.filter(listed, lambda i: unresolved(i["category"], i["detail"])))
     return responses.select("doc_id", F.posexplode(found).alias("pos", "i")).select("doc_id", "pos", "i.*")
@@ -278,12 +278,12 @@ def refusal(text: Column) -> Column:
 
 
 def numbered_section(text: Column, n: int) -> Column:
-    return F.trim(F.regexp_extract(text, rf"(?ms)^##\s+{n}(?:[.、]|\s).*?(?=^##\s+{n + 1}(?:[.、]|\s)|\Z)", 0))
+    return strip(F.regexp_extract(text, rf"(?ms)^##\s+{n}(?:[.、]|\s).*?(?=^##\s+{n + 1}(?:[.、]|\s)|\Z)", 0))
 
 
 def structure_error(original: Column, reviewed: Column, markers: Column) -> Column:
     """What a review lost, or '': the first of the rules."""
-    o, r = F.trim(original), F.trim(reviewed)
+    o, r = strip(original), strip(reviewed)
     lost = F.get(F.filter(markers, lambda m: o.contains(m) & ~r.contains(m)), 0)
     a, b = F.length(numbered_section(o, 3)), F.length(numbered_section(r, 3))
     return (
@@ -321,14 +321,14 @@ def failure_ledger(rows: DataFrame, keep: int = 16) -> DataFrame:
 
 
 def unwrap_outer_fence(text: Column) -> Column:
-    t = F.trim(text)
-    return F.when(t.rlike(r"(?s)^```(?:markdown|md)?\s*\n.*\n```$"), F.trim(F.regexp_extract(t, r"(?s)^```(?:markdown|md)?\s*\n(.*)\n```$", 1))).otherwise(text)
+    t = strip(text)
+    return F.when(t.rlike(r"(?s)^```(?:markdown|md)?\s*\n.*\n```$"), strip(F.regexp_extract(t, r"(?s)^```(?:markdown|md)?\s*\n(.*)\n```$", 1))).otherwise(text)
 
 
 def with_title(text: Column, title: Column) -> Column:
     """The document with its title as first line: prepended, or moved up where it stands further down."""
     found = F.regexp_extract(text, r"(?m)^#\s+[^\n]+", 0)
-    rest = F.trim(F.replace(text, found, F.lit("")))
+    rest = strip(F.replace(text, found, F.lit("")))
     return F.when(first_line(text).rlike(r"^#\s+\S"), text).when(found != "", F.concat(found, F.lit("\n\n"), rest)).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), text))
 
 

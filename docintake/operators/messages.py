@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import filled, hash_id
+from docintake.functions.text import filled, hash_id, strip
 
 # What links and commands look like.
 PAPER_URL = r"(?i)https?://(?:www\.)?arxiv\.org/(abs|pdf|html)/(\d{4}\.\d{4,5})(v\d+)?(?:\.pdf)?"
@@ -43,7 +43,7 @@ def _names(pattern: str, names: tuple[str, ...]) -> str:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Messages from lines of JSON (``value``); blank and malformed lines are left out. Works on batches and streams."""
-    rows = lines.filter(F.trim("value") != "").select(F.from_json("value", MESSAGE, {"mode": "PERMISSIVE"}).alias("m"), F.trim("value").startswith("{").alias("object"))
+    rows = lines.filter(strip("value") != "").select(F.from_json("value", MESSAGE, {"mode": "PERMISSIVE"}).alias("m"), strip("value").startswith("{").alias("object"))
     return with_defaults(rows.filter(F.col("object") & F.col("m").isNotNull() & (F.coalesce("m.event_id", "m.message_id", "m.id", "m.content").isNotNull())).select("m.*"))
 
 
@@ -62,7 +62,7 @@ def mentioned(text: Column, mentions: Column, ids: tuple[str, ...] = (), names:
     wanted = [x.lower() for x in (*ids, *names)]
     values = lambda m: F.map_values(m)
     hit = F.exists(mentions, lambda m: F.exists(values(m), lambda v: F.lower(v).isin(wanted)))
-    readable = F.exists(mentions, lambda m: F.exists(F.array(*(m[k] for k in NAME_KEYS)), lambda v: F.coalesce(F.trim(v) != "", F.lit(False))))
+    readable = F.exists(mentions, lambda m: F.exists(F.array(*(m[k] for k in NAME_KEYS)), lambda v: F.coalesce(strip(v) != "", F.lit(False))))
     opaque = (F.size(mentions) > 0) & ~F.coalesce(readable, F.lit(False))
     return named | F.coalesce(hit, F.lit(False)) | F.coalesce(opaque, F.lit(False))
 
@@ -133,7 +133,7 @@ def links(messages: DataFrame, key: str = "message_id", text: str = "content") -
 
 def document_url(text: Column) -> Column:
     """The chat-suite document in a text or Markdown link, or ''."""
-    return F.regexp_replace(F.regexp_extract(F.trim(text), DOCUMENT_URL, 0), r"[.,;!?]+$", "")
+    return F.regexp_replace(F.regexp_extract(strip(text), DOCUMENT_URL, 0), r"[.,;!?]+$", "")
 
 
 def document_token(url: Column) -> Column:
@@ -149,7 +149,7 @@ def is_private(chat_type: Column) -> Column:
 
 def is_retry(content: Column, names: tuple[str, ...] = BOT_NAMES) -> Column:
     said = "|".join([*(re.escape(n) for n in names), r"_user_\d+"])
-    return F.trim(F.regexp_replace(F.trim(plain_text(content)), rf"(?iU)@(?:{said})\s*", "")).rlike(RETRY)
+    return strip(F.regexp_replace(strip(plain_text(content)), rf"(?iU)@(?:{said})\s*", "")).rlike(RETRY)
 
 
 def is_thread_reply(*keys: Column) -> Column:
@@ -192,27 +192,27 @@ def first_contacts(messages: DataFrame) -> DataFrame:
 
 
 def is_feedback(content: Column) -> Column:
-    t = F.trim(plain_text(content))
+    t = strip(plain_text(content))
     return t.rlike(FEEDBACK) | t.rlike(FEEDBACK_INTENT)
 
 
 def asks_help(content: Column, names: tuple[str, ...] = BOT_NAMES) -> Column:
-    return F.trim(plain_text(content)).rlike(_names(HELP, names))
+    return strip(plain_text(content)).rlike(_names(HELP, names))
 
 
 def worth_classifying(content: Column, names: tuple[str, ...] = BOT_NAMES) -> Column:
-    t = F.trim(plain_text(content))
+    t = strip(plain_text(content))
     return (F.length(t) >= 2) & ~t.rlike(_names(HELP_ONLY, names)) & ~t.rlike(GREETING)
 
 
 def parse_classifier(text: Column) -> Column:
     """struct<is_feedback, category, confidence> of a classifier's response, or null where it is unusable."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    t = F.when(t.rlike(r"(?s)^```.*```$"), F.trim(F.regexp_extract(t, r"(?s)^[^\n]*\n(.*)\n[^\n]*$", 1))).otherwise(t)
+    t = strip(F.coalesce(text, F.lit("")))
+    t = F.when(t.rlike(r"(?s)^```.*```$"), strip(F.regexp_extract(t, r"(?s)^[^\n]*\n(.*)\n[^\n]*$", 1))).otherwise(t)
     raw = F.try_parse_json(t)
     flag = F.try_variant_get(raw, "$.is_feedback", "boolean")
     is_bool = F.coalesce(F.schema_of_variant(raw).rlike(r"is_feedback: BOOLEAN"), F.lit(False))
-    category = F.lower(F.trim(F.coalesce(F.try_variant_get(raw, "$.category", "string"), F.lit("other"))))
+    category = F.lower(strip(F.coalesce(F.try_variant_get(raw, "$.category", "string"), F.lit("other"))))
     given = F.try_variant_get(raw, "$.confidence", "string")
     confidence = F.when(given.isNull(), F.lit(0.0)).otherwise(given.try_cast("double"))
     return F.when(is_bool & confidence.isNotNull(), F.struct(flag.alias("is_feedback"), F.when(category.isin(*CATEGORIES), category).otherwise("other").alias("category"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("confidence")))
@@ -232,7 +232,7 @@ def decide_feedback(content: Column, response: Column) -> Column:
 
 
 def visible_feedback(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.trim(F.coalesce("feedback_source", F.lit(""))).isin("rule", "ai") | is_feedback(F.col("content")))
+    return rows.filter(strip(F.coalesce("feedback_source", F.lit(""))).isin("rule", "ai") | is_feedback(F.col("content")))
 
 
 def feedback_counts(rows: DataFrame) -> DataFrame:
@@ -241,6 +241,6 @@ def feedback_counts(rows: DataFrame) -> DataFrame:
 
 def update_statuses(rows: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with valid new statuses taken over, updates rejected for their status) by id."""
-    valid = F.lower(F.trim("new_status")).isin(*FEEDBACK_STATUSES)
-    good = updates.filter(valid).select("id", F.lower(F.trim("new_status")).alias("new_status"))
+    valid = F.lower(strip("new_status")).isin(*FEEDBACK_STATUSES)
+    good = updates.filter(valid).select("id", F.lower(strip("new_status")).alias("new_status"))
     return rows.join(good, "id", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status"), updates.filter(~F.coalesce(valid, F.lit(False)))

@@ -47,7 +47,7 @@ def _(spark, d):
     return load(spark, d, "v_messages").select("message_id", F.explode(m.hub_ids(F.col("content"))).alias("paper_id"))
 
 
-_URLS = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat(url, '.pdf') WHEN 1 THEN concat(url, '/pdf/') WHEN 2 THEN 'https://x.feishu.cn/docx/Abc1' WHEN 3 THEN 'ftp://host/a' ELSE url END AS u FROM pages"
+_URLS = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat(regexp_extract(url, '^[^?#]*', 0), '.pdf') WHEN 1 THEN concat(regexp_extract(url, '^[^?#]*', 0), '/pdf/') WHEN 2 THEN 'https://x.feishu.cn/docx/Abc1' WHEN 3 THEN 'ftp://host/a' ELSE url END AS u FROM pages"
 
 
 @query("ext_supported_articles", f"SELECT page_id, page_id % 6 IN (4, 5) AS ok FROM ({_URLS}) q")
