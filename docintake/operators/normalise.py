@@ -35,6 +35,15 @@ REPAIRS = (
     (r"(\d+)\\mathrm\{e\}\{(-?\d+)\}", r"$1\\times10^{$2}"), (r"(\d+)\\mathrm\{e\}\s*([+-]\d+)", r"$1\\times10^{$2}"),
 )
 
+#: Commands that are known where one backslash too many stands before them.
+COMMANDS = (
+    "alpha", "approx", "bar", "begin", "beta", "bmatrix", "cdot", "chi", "circ", "cos", "cup", "delta", "dot", "doteq", "dots", "ell", "end", "epsilon", "eta", "frac", "gamma", "ge", "geq", "hat", "in", "infty", "int", "kappa", "lambda",
+    "Lambda", "le", "leq", "left", "log", "mathbb", "mathbf", "mathcal", "mathrm", "mathsf", "mathit", "max", "mu", "nabla", "neg", "neq", "notin", "nu", "omega", "operatorname", "overline", "partial", "phi", "pi", "pm", "psi", "qquad", "quad",
+    "rho", "right", "rightarrow", "rm", "sigma", "sin", "sqrt", "star", "substack", "sum", "tau", "text", "textbf", "textit", "textnormal", "theta", "times", "to", "top", "triangleq", "varphi", "vartheta", "vec", "xi", "zeta",
+)
+#: Greek names and functions that make a word with an underscore or brackets math, not code.
+MATH_WORDS = ("alpha", "beta", "chi", "delta", "eta", "gamma", "kappa", "lambda", "mu", "nu", "omega", "phi", "psi", "rho", "sigma", "tau", "theta")
+
 SPAN = r"(?s)<latex>.*?</latex>|<code>.*?</code>"
 
 
@@ -69,6 +78,30 @@ def repair_formula(c: Column) -> Column:
     return c
 
 
+def recover_overescaped(c: Column) -> Column:
+    r"""Formulas with one backslash for two before known commands and before brackets; ``\\\\j`` may be a row's end."""
+    c = F.regexp_replace(c, rf"\\\\({'|'.join(COMMANDS)})(?![A-Za-z])", r"\\$1")
+    return F.regexp_replace(c, r"\\\\(?=[{}\[\]()])", r"\\")
+
+
+def code_like(c: Column) -> Column:
+    """Is a span a program's identifier: words joined by underscores or dots, or a call, and no math name first."""
+    t = F.trim(c)
+    return t.rlike(r"^[A-Za-z][A-Za-z0-9]+(?:[_.][A-Za-z0-9]+)+(?:\(\))?$") & ~F.lower(F.regexp_extract(t, "^([A-Za-z]+)", 1)).isin(*MATH_WORDS)
+
+
+def backticks_to_tags(c: Column) -> Column:
+    """Back-ticked math that can be published as formulas; code stays code, and code in formula tags goes back."""
+    shapes = (r"\\[A-Za-z]+|[_^]", r"[α-ωΑ-Ωϑϕϵℓ≤≥×]", r"^[A-Za-z]$", r"^\(?[A-Za-z](?:\s*,\s*[A-Za-z])+\)?$", r"^[A-Za-z0-9.{}()\[\],\s]+(?:[=<>+*/-][A-Za-z0-9.{}()\[\],\s]*)+$", r"^\[[0-9.,\s]+\]$")
+    math = lambda x: x.rlike("|".join(f"(?:{p})" for p in shapes)) & ~code_like(x)
+    tick = lambda x: F.trim(F.regexp_extract(x, "^`([^`\n]{1,240})`$", 1))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731 - the value is computed once
+    to_tag = lambda x: once(normalise_formula(tick(x)), lambda b: F.when(math(tick(x)) & valid_formula(b), F.concat(F.lit("<latex>"), b, F.lit("</latex>"))).otherwise(x))
+    c = map_parts(c, to_tag, formulas=True, protected="`[^`\n]{1,240}`")
+    body = lambda x: F.regexp_extract(x, r"(?s)^<latex>(.*)</latex>$", 1)
+    return map_parts(c, lambda x: F.when(code_like(body(x)), F.concat(F.lit("`"), F.trim(body(x)), F.lit("`"))).otherwise(x), formulas=True, protected=r"(?s)<latex>.*?</latex>")
+
+
 def normalise_formula(c: Column) -> Column:
     return repair_formula(F.replace(symbols_to_commands(decode_formula(c)), F.lit(r"\_"), F.lit("_")))
 
@@ -169,6 +202,8 @@ def drop_false_warnings(docs: DataFrame, key: str = "doc_id", text: str = "text"
 #: The steps of ``polish``, in order; each is a Column expression, and users can put in their own.
 POLISH: tuple[tuple[str, Callable[[Column], Column]], ...] = (
     ("flatten", flatten_tags),
+    ("escapes", lambda c: map_parts(c, recover_overescaped, formulas=True, protected=r"(?s)<latex>.*?</latex>")),
+    ("back-ticks", backticks_to_tags),
     ("tags", math_to_tags),
     ("tables", table_uncertainty),
     ("formulas", lambda c: map_parts(c, normalise_formula, formulas=True, protected=r"(?s)<latex>.*?</latex>")),

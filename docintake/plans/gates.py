@@ -203,6 +203,16 @@ def _(spark, d):
     return load(spark, d, "events").select("event_id", n.math_to_tags(F.concat(F.lit(r"\(k=4\) "), "event_type", F.lit(" $x$"))).alias("s"))
 
 
+@query("qg_overescaped", "SELECT event_id, concat(chr(92), 'frac', chr(92), '{a ', chr(92), chr(92), 'j ', event_type) AS s FROM events")
+def _(spark, d):
+    return load(spark, d, "events").select("event_id", n.recover_overescaped(F.concat(F.lit(r"\\frac\\{a \\j "), "event_type")).alias("s"))
+
+
+@query("norm_backticks", "SELECT event_id, concat('<latex>x^{2}</latex> `my_var` `plain` `get_item` ', event_type) AS s FROM events")
+def _(spark, d):
+    return load(spark, d, "events").select("event_id", n.backticks_to_tags(F.concat(F.lit("`x^{2}` `my_var` `plain` <latex>get_item</latex> "), "event_type")).alias("s"))
+
+
 @query("norm_valid_formulas", f"SELECT id, id % 6 IN (0, 1, 5) AS ok FROM ({_BODIES}) b")
 def _(spark, d):
     return sql(spark, d, _BODIES).select("id", n.valid_formula(F.col("body")).alias("ok"))
