@@ -5,7 +5,8 @@ with a query is the smallest Euclidean distance. ``Tree.fit`` splits a bounded s
 by k-means, ``BRANCH`` ways at each node; every row is then put into a leaf. ``Tree.leaves`` walks the tree
 best bin first: a priority queue holds the branches not taken, nearest centroid first. How many leaves a query
 visits is calibrated: for ``CALIBRATE`` queries the exact neighbours are found by comparing them with all
-rows, and visits widen until ``TARGET`` of those neighbours lie in the visited leaves.
+rows, and visits widen until ``TARGET`` of those neighbours lie in the visited leaves; a query whose leaves hold
+fewer than k other rows visits more.
 
 Neighbouring leaves are put together to bins of about ``BIN_ROWS`` rows, the unit in which visits and vectors
 meet: a visit row names the query, the bin, and which of the bin's leaves are visited. A bin with many rows or
@@ -214,12 +215,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_i
     bin_of = (np.cumsum(rows_of) - rows_of) // BIN_ROWS if len(rows_of) else rows_of
     vector_blocks = {int(g): max(1, -(-int(rows_of[bin_of == g].sum()) // BIN_ROWS)) for g in np.unique(bin_of)}
 
+    def chosen(x: np.ndarray) -> list[np.ndarray]:
+        """The leaves that each query visits: the calibrated number, and more where they hold fewer than k others."""
+        out, v = list(shared.value.leaves(x, visits)), visits
+        while (short := [i for i, leaves in enumerate(out) if rows_of[leaves].sum() <= k]) and v < len(rows_of):
+            v = min(2 * v, len(rows_of))
+            for i, leaves in zip(short, shared.value.leaves(x[short], v), strict=True):
+                out[i] = leaves
+        return out
+
     def visit(batches):
         for b in batches:
             x = matrix(b.column("v"))
             for i in range(0, len(x), 512):
                 out: list[tuple] = []
-                for j, leaves in enumerate(shared.value.leaves(x[i : i + 512], visits)):
+                for j, leaves in enumerate(chosen(x[i : i + 512])):
                     bins = bin_of[leaves]
                     out += [(i + j, int(g), leaves[bins == g].tolist(), bool(g == bins[0])) for g in np.unique(bins)]
                 at, bins, leaves, first = zip(*out, strict=True)

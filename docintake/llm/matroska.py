@@ -10,7 +10,8 @@ packet tables.
   hashes, and a feature string of container and signal figures.
 
 Parsing follows RFC 8794 (EBML) and RFC 9559 (Matroska): variable-length ids and sizes, unknown sizes for
-Segment and Cluster, SimpleBlock and BlockGroup, all four lacings, Void and CRC-32 skipped.
+Segment and Cluster, SimpleBlock and BlockGroup, all four lacings (later frames of a lace follow by the track's
+default duration, if it has one), Void and CRC-32 skipped.
 
 Defined cases: null or empty text is stored as 64 zero bytes; null media gives no packets and null
 results in ``read_back``; bytes that are not Matroska give no packets, and ``read_back`` returns them with
@@ -36,7 +37,7 @@ from docintake.llm.common import pieces_of, table
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -94,7 +95,7 @@ def write(payload: bytes) -> bytes:
     head = element(EBML, uint(EBML_VERSION, 1) + uint(EBML_READ_VERSION, 1) + uint(EBML_MAX_ID, 4) + uint(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 4) + uint(DOC_TYPE_READ_VERSION, 2))
     info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE)) + element(MUXING_APP, b"docintake") + element(WRITING_APP, b"docintake"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + uint(DEFAULT_DURATION, ms * 1_000_000) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     body, cues = [info, tracks], []
     at = len(info) + len(tracks)
     for c in range(0, len(frames), CLUSTER_FRAMES):
@@ -174,7 +175,7 @@ def parse(buf: bytes) -> tuple[dict, list[tuple]]:
     packets: list[tuple] = []
     cue_at: set[int] = set()
     starts: list[int] = []
-    scale = 1_000_000
+    scale, lasts, number_now = 1_000_000, {}, 0
     try:
         for ident, _, a, b in elements(buf, 0, len(buf)):
             if ident == EBML:
@@ -200,7 +201,11 @@ def parse(buf: bytes) -> tuple[dict, list[tuple]]:
                                 if j == TRACK_ENTRY:
                                     head["tracks"] += 1
                                     for k, _, r, s in elements(buf, p, q):
-                                        if k == CODEC_ID:
+                                        if k == TRACK_NUMBER:
+                                            number_now = number(buf, r, s)
+                                        elif k == DEFAULT_DURATION:
+                                            lasts[number_now] = number(buf, r, s) / 1e6
+                                        elif k == CODEC_ID:
                                             head["codec"] = bytes(buf[r:s]).decode("ascii", "replace")
                                         elif k == AUDIO:
                                             for m, _, t, u in elements(buf, r, s):
@@ -232,8 +237,8 @@ def parse(buf: bytes) -> tuple[dict, list[tuple]]:
                                     track, p, _ = vint(buf, p, q, False)
                                     rel, flags = struct.unpack(">hB", buf[p : p + 3])
                                     kind = flags >> 1 & 3
-                                    for r, s in frame_ranges(buf, p + 3, q, kind):
-                                        packets.append((track, (base + rel) * scale / 1e6, bool(flags & 0x80) or not simple, LACINGS[kind], head["blocks"], head["clusters"] - 1, r, s - r))
+                                    for n, (r, s) in enumerate(frame_ranges(buf, p + 3, q, kind)):
+                                        packets.append((track, (base + rel) * scale / 1e6 + n * lasts.get(track, 0.0), bool(flags & 0x80) or not simple, LACINGS[kind], head["blocks"], head["clusters"] - 1, r, s - r))
                                     head["blocks"] += 1
                             if todo:
                                 break

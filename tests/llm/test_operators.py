@@ -72,7 +72,8 @@ def test_bpe_is_that_of_the_library(docs, none):
 
 
 def test_parts_are_cut_where_no_match_reaches_across():
-    text = "".join(random.Random(3).choice(["ab", " ", "  ", "\n", "'s", "12", ".", "é"]) for _ in range(4000))
+    r = random.Random(3)
+    text = "".join(r.choice(["ab", " ", "  ", "\n", "'s", "12", ".", "é"]) for _ in range(4000))
     enc = tokens.encoding(public_tokenizers.path(tokens.RANK_FILE), public_tokenizers.PATTERN)
     parts = tokens.safe_parts(text, 50)
     assert len(parts) > 20 and "".join(parts) == text
