@@ -65,8 +65,8 @@ SELECT p_brand AS doc_id, p_type AS label, p_partkey AS pos, concat('fig/', p_na
 """,
     "v_messages": """
 SELECT c.conv_id * 1000 + c.turn AS message_id, c.conv_id AS thread_id, c.turn, c.role,
-  CASE WHEN c.turn % 4 = 0 THEN concat('read https://arxiv.org/abs/', CAST(2000 + c.conv_id % 600 AS VARCHAR(8)), '.', lpad(CAST(c.conv_id * 7 % 100000 AS VARCHAR(8)), 5, '0'), 'v2 and ', p.url, ').')
-       WHEN c.turn % 4 = 1 THEN concat('see https://huggingface.co/papers/', CAST(2000 + c.conv_id % 600 AS VARCHAR(8)), '.', lpad(CAST(c.conv_id * 7 % 100000 AS VARCHAR(8)), 5, '0'), ' ', p.url)
+  CASE WHEN c.turn % 4 = 0 THEN concat('read https://arxiv.org/abs/', CAST(2000 + c.conv_id % 600 AS VARCHAR(8)), '.', lpad(CAST(c.conv_id * 7 % 100000 AS VARCHAR(8)), 5, '0'), 'v2 and ', coalesce(p.url, ''), ').')
+       WHEN c.turn % 4 = 1 THEN concat('see https://huggingface.co/papers/', CAST(2000 + c.conv_id % 600 AS VARCHAR(8)), '.', lpad(CAST(c.conv_id * 7 % 100000 AS VARCHAR(8)), 5, '0'), ' ', coalesce(p.url, ''))
        ELSE c.text END AS content
 FROM conversations c LEFT JOIN pages p ON p.page_id = (c.conv_id * 3 + c.turn) % 97
 """,
