@@ -6,7 +6,6 @@ import random
 import struct
 import zlib
 
-import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -439,6 +438,60 @@ def test_queries_with_sql(spark, sf_dir):
         assert compare(spark, con, sf_dir, name, registry.QUERIES[name], sql) == ""
 
 
+@pytest.fixture(scope="module")
+def small(spark):
+    d = "/root/testdata/sf0.001"
+    return d, {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+
+
+def test_token_query(spark, small):
+    d, texts = small
+    enc = tokens.encoding(public_tokenizers.path(tokens.RANK_FILE), public_tokenizers.PATTERN)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in tokens.query(spark, d).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {i: (len(ids := enc.encode_ordinary(t)), sha(np.array(ids, "<u4").tobytes()), sha(t.encode())) for i, t in texts.items()}
+
+
+def test_media_query(spark, small):
+    d, texts = small
+    for r in matroska.query(spark, d).collect():
+        raw = texts[r["doc_id"]].encode()
+        padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        media = matroska.write(padded)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_packing_query(spark, small):
+    d, texts = small
+    tk = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    tk.encode_special_tokens = True
+    got, want, total = packing.query(spark, d).collect(), set(), 0
+    for i, t in texts.items():
+        ids = [*tk.encode(t, add_special_tokens=False).ids, 2]
+        cut = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+        want |= {(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cut, cut[1:]))}
+        total += len(ids)
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    assert check_packed(got, 1024) <= -(-total // 1024) + 2
+
+
+def test_search_query(spark, small):
+    d, _ = small
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = {}
+    for r in ann.query(spark, d).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    k, hits = min(20, len(ids) - 1), 0
+    queries = [i for i in ids if i % 20 == 0]
+    for q in queries:
+        s = (v * v[ids == q][0]).sum(1)
+        want = sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (-s[i], ids[i]))[:k]
+        assert len(got[q]) == k
+        hits += len(got[q] & set(ids[want].tolist()))
+    assert hits >= 0.9 * k * len(queries)
+
+
 def test_pipeline(spark, sf_dir):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "quality", "neardup", "packing"]
