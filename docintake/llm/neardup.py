@@ -277,8 +277,8 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     cells = rows.select("id", "part", (F.col("parts") > 1).alias("many"), (low != high).alias("cross"), F.when(F.col("parts") > 1, F.xxhash64("bucket", low, high)).otherwise(F.col("bucket")).alias("cell"))
-    loose = components(loose_edges(cells.drop("many").join(classes.select("id", "n", "bits"), "id")))
-    loose = loose.withColumnsRenamed({"node": "id", "component": "cluster"})
+    pairs = stored(loose_edges(cells.drop("many").join(classes.select("id", "n", "bits"), "id")), "loose")
+    loose = components(pairs).withColumnsRenamed({"node": "id", "component": "cluster"})
 
     # Full sets of the members of each loose cluster.
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
