@@ -328,13 +328,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE words AS (
+WITH RECURSIVE lists AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
-n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
-sh AS (SELECT doc_id, unnest(s) AS sh FROM sets),
+words AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS k, len(w) AS m FROM lists),
+runs AS (SELECT doc_id, k, m, concat_ws(' ', t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o) AS sh FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+sh AS (SELECT DISTINCT doc_id, sh FROM runs WHERE k <= greatest(m - 4, 1)),
+n AS (SELECT d.doc_id, count(sh.sh) AS n FROM documents d LEFT JOIN sh ON sh.doc_id = d.doc_id GROUP BY d.doc_id),
 hits AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 link AS (SELECT a, b FROM hits JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
 reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.c)
