@@ -69,7 +69,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces_of(batch: pa.RecordBatch, text: str, most: int = 4 << 20, rows: int = 1 << 30):
+def pieces_of(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = 1 << 30):
     """Cut a batch into row slices of about ``most`` text bytes and at most ``rows`` rows, so that numpy
     temporaries stay small however long the texts are (one text is never cut)."""
     lengths = np.diff(flat(batch.column(text))[1])
@@ -105,7 +105,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -125,7 +125,7 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     """A 64-bit hash of the bytes of each span: a polynomial in an odd base modulo 2**64, then mixed."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    room = 1 << max(16, int(len(raw)).bit_length())
+    room = 1 << max(21, int(len(raw)).bit_length())
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_P, room)[: len(raw)], out=total[1:])
     return mix((total[end] - total[start]) * _powers(_P_INV, room)[start] + (end - start).astype(np.uint64))

@@ -22,7 +22,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,10 +136,10 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)  # 1 MB, whatever the corpus
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string(), from_pandas=True)], ["text"])
-        return pd.Series(np.concatenate([np.zeros(0), *(score_texts(shared.value, b.column(0)) for b in pieces_of(batch, "text"))]))
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([x], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(score_texts(shared.value, b.column(0)) for b in pieces_of(batch, "text"))]))
 
     return score(text)
 
