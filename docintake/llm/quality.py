@@ -17,7 +17,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,11 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)  # some thousand floats
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string(), from_pandas=True)], ["text"])
-        parts = [shared.value.score(*passages(*flat(b.column(0)))) for b in pieces_of(batch, "text", 1 << 20)]
-        return pd.Series(np.concatenate([np.zeros(0), *parts]).astype(float))
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([x], ["text"])
+        parts = [shared.value.score(*passages(*flat(b.column(0)))) for b in pieces_of(batch, "text")]
+        return pa.array(np.concatenate([np.zeros(0), *parts]).astype(float))
 
     return score(text)
 
