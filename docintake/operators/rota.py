@@ -28,9 +28,10 @@ def replace_roster(members: DataFrame) -> DataFrame:
 def rotation(dates: DataFrame, roster: DataFrame, start: Column) -> DataFrame:
     """The member on duty at each date: the roster's ((date - start) mod size)-th, also before the start.
 
-    The roster is a list of people; its size is one row, and dates meet members by number."""
-    size = roster.agg(F.count(F.lit(1)).alias("size"))
-    days = dates.crossJoin(F.broadcast(size)).withColumn("ordinal", F.when(F.col("size") > 0, F.pmod(F.datediff("date", F.coalesce(start, F.col("date"))), F.col("size").cast("int"))))
+    The roster is a list of people: its size is counted first, and dates meet members by number. Without members
+    nobody is on duty."""
+    size = max(roster.count(), 1)
+    days = dates.withColumn("ordinal", F.pmod(F.datediff("date", F.coalesce(start, F.col("date"))), F.lit(size)))
     return days.join(roster.select(F.col("ordinal").cast("int").alias("ordinal"), "name", "user_id"), "ordinal").select("date", "ordinal", "name", "user_id")
 
 

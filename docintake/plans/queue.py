@@ -25,7 +25,7 @@ def _with(spark, d, text, views):
 
 def _times(spark, d):
     j = load(spark, d, "v_jobs")
-    j = j.crossJoin(F.broadcast(j.agg(F.max("created_at").alias("as_of"))))  # one row
+    j = j.withColumn("as_of", F.lit(j.agg(F.max("created_at")).first()[0]))
     start = F.coalesce(F.col("start_offset_s"), F.lit(0)).cast("decimal(18,6)")
     took = F.col("duration_s").cast("decimal(18,6)")
     return j.withColumns({"started_at": F.when(F.col("start_offset_s").isNotNull(), F.col("created_at") + F.make_dt_interval(secs=start)), "finished_at": F.when(took.isNotNull(), F.col("created_at") + F.make_dt_interval(secs=start + took))})

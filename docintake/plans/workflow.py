@@ -135,8 +135,7 @@ _JOBS = """SELECT id, status, worker_id, source_id AS stage, 'claimed' AS state,
 
 def _jobs(spark, d):
     j = load(spark, d, "v_jobs")
-    as_of = j.agg(F.max("created_at").alias("as_of"))
-    j = j.crossJoin(F.broadcast(as_of))  # one row
+    j = j.withColumn("as_of", F.lit(j.agg(F.max("created_at")).first()[0]))
     return j.withColumns({"heartbeat_at": F.col("as_of") - F.make_dt_interval(secs=F.col("heartbeat_age_s").cast("decimal(18,6)")), "stage": F.col("source_id"), "state": F.lit("claimed")})
 
 
