@@ -150,11 +150,16 @@ def language_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """struct<lang, score, rejected>: ``lang`` is the nearest language also where it is rejected."""
     shared = spark.sparkContext.broadcast(model)  # CLUSTERS * DIMS floats a language
 
-    @F.pandas_udf("lang string, score double, rejected boolean")
-    def nearest(x: pd.Series) -> pd.DataFrame:
-        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string(), from_pandas=True)], ["text"])
-        parts = [pd.DataFrame(dict(zip(("lang", "score", "rejected"), shared.value.predict(b.column(0)), strict=True))) for b in pieces_of(batch, "text", BYTES, ROWS)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": pd.Series(dtype=str), "score": pd.Series(dtype=float), "rejected": pd.Series(dtype=bool)})
+    @F.arrow_udf("lang string, score double, rejected boolean")
+    def nearest(x: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([x], ["text"])
+        langs, scores, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
+        for b in pieces_of(batch, "text", BYTES, ROWS):
+            lang, score, far = shared.value.predict(b.column(0))
+            langs += lang
+            scores.append(score)
+            rejected.append(far)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rejected))], ["lang", "score", "rejected"])
 
     lettered = text.rlike(r"\p{L}")
     return F.when(lettered, nearest(text)).otherwise(F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")))
