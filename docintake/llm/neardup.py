@@ -142,18 +142,6 @@ class Union:
         return i != j
 
 
-def star_edges(ids: np.ndarray, pairs_a: np.ndarray, pairs_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the graph on ``ids`` with the given pairs of positions: (smallest id, other id)."""
-    nodes, back = np.unique(ids, return_inverse=True)
-    pair = np.unique(np.stack([back[pairs_a], back[pairs_b]], 1), axis=0) if len(pairs_a) else np.zeros((0, 2), np.int64)
-    u = Union(len(nodes))
-    for i, j in pair.tolist():
-        u.join(i, j)
-    root = np.array([u.find(i) for i in range(len(nodes))], np.int64)
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[root[moved]], nodes[moved]
-
-
 def whole_groups(batches, group: str):
     """Batches of sorted rows, dealt anew so that no group is cut."""
     held: list[pa.RecordBatch] = []
@@ -182,7 +170,8 @@ def loose_edges(buckets: DataFrame) -> DataFrame:
                 continue
             cell, part, cross, ids, n = (b.column(k).to_numpy(zero_copy_only=False) for k in ("cell", "part", "cross", "id", "n"))
             bits = words_of(b.column("bits"))
-            got_a, got_b = [], []
+            nodes, back = np.unique(ids, return_inverse=True)
+            up = np.arange(len(nodes))  # a root for each node; pairs of one root need no look
             at = np.arange(len(cell) - 1)
             for lag in range(1, len(cell)):
                 at = at[at + lag < len(cell)]
@@ -190,15 +179,18 @@ def loose_edges(buckets: DataFrame) -> DataFrame:
                 if not len(at):
                     break
                 a = at[~cross[at] | (part[at] != part[at + lag])]
+                a = a[up[back[a]] != up[back[a + lag]]]
                 a = a[ALL * np.minimum(n[a], n[a + lag]) >= SAME * np.maximum(n[a], n[a + lag])]
-                a = a[ids[a] != ids[a + lag]]
                 a = a[estimate(bits[a], bits[a + lag]) >= LOOSE]
-                got_a.append(a)
-                got_b.append(a + lag)
-            if got_a:
-                x, y = star_edges(ids, np.concatenate(got_a), np.concatenate(got_b))
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                if len(a):
+                    u = Union(0)
+                    u.up = up.tolist()
+                    for i, j in zip(back[a].tolist(), back[a + lag].tolist(), strict=True):
+                        u.join(i, j)
+                    up = np.array([u.find(i) for i in range(len(nodes))])
+            moved = np.flatnonzero(up != np.arange(len(nodes)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[up[moved]]), pa.array(nodes[moved])], ["a", "b"])
 
     kind = buckets.schema["id"].dataType.simpleString()
     dealt = buckets.repartition("cell").sortWithinPartitions("cell").select("cell", "part", "cross", "id", "n", "bits")
