@@ -12,9 +12,9 @@ Everything on the main path is DataFrame functions: n-grams by higher-order func
 as small tables that are broadcast (their size is set by TEMPLATES), sums by partial aggregates on the key
 of a paragraph.
 
-A template is confirmed only together with its signal word, one of the few words (``signals``) that between
-them all templates hold; so texts and paragraphs without any signal word are unknown without a look, which a
-few substring searches tell.
+Texts and paragraphs are passed over only by tests that none fails which holds the share ``CONFIRM`` of a
+template: a word of a cover (``covers``; a few substring searches tell), and for paragraphs as many distinct
+words of some template as that share needs (``needed_words``).
 
 Defined cases: null and empty texts have no paragraphs and no findings; repeated rows each get a row (rows
 are told apart by a hash of their text, so equal rows share their findings); very long texts and lines are
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -54,6 +55,8 @@ UNKNOWN = "unknown"
 NEGATIVES, NEGATIVE_TEXTS = 2000, 500
 CONFIDENT, CONFIRM = 0.5, 0.6
 GRAM = 3
+#: Words of most texts: no good for covers.
+COMMON = {"a", "and", "any", "are", "by", "for", "from", "in", "is", "it", "may", "of", "or", "that", "the", "this", "to", "under", "with", "without", "work", "you"}
 
 
 def words_of(text: str) -> list[str]:
@@ -95,25 +98,59 @@ def training_rows() -> list[tuple[str, list[str], bool]]:
     return [(f, grams_of(w), k % 5 == 4) for k, (f, w) in enumerate(out)]
 
 
-def signals() -> dict[tuple[str, int], str]:
-    """A signal word for each template: greedily the longest of the words that most templates without one hold."""
-    bags = {(f, n): set(words_of(t)) for f, texts in TEMPLATES.items() for n, t in enumerate(texts)}
-    out: dict[tuple[str, int], str] = {}
-    while left := {k: b for k, b in bags.items() if k not in out}:
-        held = {w: sum(w in b for b in left.values()) for b in left.values() for w in b if len(w) > 5}
-        word = max(held, key=lambda w: (held[w], len(w), w))
-        out |= {k: word for k, b in left.items() if word in b}
+def needed_words(words: list[str]) -> int:
+    """The fewest distinct words of a template that a paragraph must hold to hold the share CONFIRM of its
+    n-grams: m places of a text have at most m + (m - 1) + ... n-grams."""
+    need = CONFIRM * len(grams_of(words))
+    counts = sorted(Counter(words).values(), reverse=True)
+    return next(k for k in range(1, len(counts) + 1) if sum(max(sum(counts[:k]) - n, 0) for n in range(GRAM)) >= need)
+
+
+def covers() -> dict[tuple[str, int], set[str]]:
+    """A cover of each template: words of it without which less than the share CONFIRM of its n-grams is left,
+    so every paragraph that holds that share holds a word of the cover. Words that other covers have and long
+    ones come first, COMMON ones last."""
+    out: dict[tuple[str, int], set[str]] = {}
+    pool: set[str] = set()
+    for f, texts in TEMPLATES.items():
+        for n, t in enumerate(texts):
+            grams, cover = [set(g.split()) for g in grams_of(words_of(t))], set()
+            left = lambda c: sum(not g & c for g in grams)  # noqa: B023, E731
+            for w in sorted(set(words_of(t)), key=lambda w: (w in COMMON, w not in pool, -len(w), w)):
+                if left(cover) >= CONFIRM * len(grams):
+                    cover.add(w)
+            for w in sorted(cover, key=lambda w: (w not in COMMON, w in pool, len(w), w)):  # those that aren't needed
+                if left(cover - {w}) < CONFIRM * len(grams):
+                    cover.remove(w)
+            out[f, n] = cover
+            pool |= cover
     return out
 
 
-def has_signal(text: Column) -> Column:
+def has_cover(text: Column) -> Column:
+    """Whether any word of a cover is in the text (if not, no template is confirmed)."""
+    words = set().union(*covers().values())
     lower = F.lower(text)
     out = F.lit(False)
-    for w in sorted(set(signals().values())):
+    for w in sorted(w for w in words if not any(v != w and v in w for v in words)):
         out = out | lower.contains(w)
     return out
 
 
+def has_words(words: Column) -> Column:
+    """Whether ``words`` hold as many distinct words of some template as CONFIRM needs."""
+    bags = {(tuple(sorted(set(w))), needed_words(w)) for texts in TEMPLATES.values() for t in texts for w in [words_of(t)]}
+    every = sorted({w for bag, _ in bags for w in bag})
+
+    def enough(held: Column) -> Column:
+        out = F.lit(False)
+        for bag, k in sorted(bags):
+            out = out | (F.size(F.array_intersect(held, F.lit(list(bag)))) >= k)
+        return out
+
+    return F.exists(F.array(F.array_intersect(words, F.lit(every))), enough)
+
+
 class Model:
     """Weights by n-gram and family, intercepts, temperature."""
 
@@ -126,7 +163,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     families = [*sorted(TEMPLATES), UNKNOWN]
     made = spark.createDataFrame([(f, float(families.index(f)), g, held) for f, g, held in training_rows()], "family string, label double, grams array<string>, held boolean")
     some = with_texts(bounded_sample(docs.select(key).filter(F.col(key).isNotNull()), key, NEGATIVE_TEXTS), docs, key, text)
-    lines = paragraphs(some, key, text).filter(~has_signal(F.col("paragraph_text")))
+    lines = paragraphs(some, key, text).filter(~has_cover(F.col("paragraph_text")))
     plain = bounded_sample(lines.select("paragraph_text").distinct(), "paragraph_text", NEGATIVES)
     plain = plain.select(F.lit(UNKNOWN).alias("family"), F.lit(float(len(families) - 1)).alias("label"), grams_column(words_column(F.col("paragraph_text"))).alias("grams"), (F.pmod(F.xxhash64("paragraph_text"), F.lit(5)) == 4).alias("held"))
     rows = stored(made.unionByName(plain), "licence-rows")
@@ -155,10 +192,9 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """One row per confirmed finding: key, paragraph, family, probability, unknown_probability, containment."""
     spark = docs.sparkSession
     weights = F.broadcast(spark.createDataFrame([(g, i, w) for g, *ws in model.grams for i, w in enumerate(ws) if w], "gram string, class int, weight double"))
-    signal = signals()
-    members = [(g, f, n, len(gs), g == signal[f, n]) for f, texts in TEMPLATES.items() for n, t in enumerate(texts) for gs in [grams_of(words_of(t))] for g in gs]
-    template = F.broadcast(spark.createDataFrame(members, "gram string, family string, template int, grams int, signal boolean"))
-    hits = paragraphs(docs.filter(has_signal(F.col(text))), key, text).filter(has_signal(F.col("paragraph_text")))
+    members = [(g, f, n, len(gs)) for f, texts in TEMPLATES.items() for n, t in enumerate(texts) for gs in [grams_of(words_of(t))] for g in gs]
+    template = F.broadcast(spark.createDataFrame(members, "gram string, family string, template int, grams int"))
+    hits = paragraphs(docs.filter(has_cover(F.col(text))), key, text).filter(has_cover(F.col("paragraph_text")) & has_words(words_column(F.col("paragraph_text"))))
     hits = stored(hits.select("id", "paragraph", grams_column(words_column(F.col("paragraph_text"))).alias("grams")), "licence-grams")
     hits = hits.select("id", "paragraph", F.explode("grams").alias("gram"))
     logit = hits.join(weights, "gram").groupBy("id", "paragraph", "class").agg(F.sum("weight").alias("weight"))
@@ -170,7 +206,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     scored = scored.select("id", "paragraph", F.element_at("p", -1).alias("unknown_probability"), F.posexplode(F.slice("p", 1, len(model.families) - 1)).alias("class", "probability"))
     scored = scored.filter((F.col("probability") >= CONFIDENT) & (F.col("probability") > F.col("unknown_probability")))
     scored = scored.select("id", "paragraph", F.element_at(F.lit(model.families), F.col("class") + 1).alias("family"), "probability", "unknown_probability")
-    like = hits.join(template, "gram").groupBy("id", "paragraph", "family", "template").agg((F.count(F.lit(1)) / F.max("grams")).alias("containment"), F.bool_or("signal").alias("signal")).filter("signal")
+    like = hits.join(template, "gram").groupBy("id", "paragraph", "family", "template").agg((F.count(F.lit(1)) / F.max("grams")).alias("containment"))
     like = like.groupBy("id", "paragraph", "family").agg(F.max("containment").alias("containment")).filter(F.col("containment") >= CONFIRM)
     return scored.join(like, ["id", "paragraph", "family"]).select(F.col("id").alias(key), "paragraph", "family", "probability", "unknown_probability", "containment")
 

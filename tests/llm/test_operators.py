@@ -424,6 +424,25 @@ def test_every_template_is_found(spark, licence_model):
     assert {i: f for i, _, f in rows} == got
 
 
+def test_notices_are_found_by_any_of_their_words(spark, licence_model):
+    gpl = licences.TEMPLATES["GPL"][1]
+    rows = [(1, "Available under CC BY 4.0.", "CC-BY"), (2, gpl.replace("License", "Licence"), "GPL"), (3, "x\nAvailable under CC BY-SA 4.0.\ny", "CC-BY-SA")]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan_documents(spark.createDataFrame(rows, "doc_id bigint, text string, f string"), licence_model).collect()}
+    assert got == {i: f for i, _, f in rows}
+
+
+def test_what_is_passed_over_cannot_be_confirmed(spark):
+    rng, rows = random.Random(5), []
+    for t, ((f, n), cover) in ((licences.words_of(licences.TEMPLATES[f][n]), ((f, n), c)) for (f, n), c in licences.covers().items()):
+        grams = set(licences.grams_of(t))
+        tries = [[w for w in t if w not in cover]] + [[w for w in t if rng.random() < rng.choice((0.6, 0.8, 0.95))] for _ in range(60)] + [t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)]
+        for w in tries:
+            rows.append((f, " ".join(w), len(grams & set(licences.grams_of(w))) / len(grams)))
+    df = spark.createDataFrame(rows, "family string, text string, share double").filter(F.col("share") >= licences.CONFIRM)
+    seen = licences.has_cover(F.col("text")) & licences.has_words(licences.words_column(F.col("text")))
+    assert df.count() > 500 and df.filter(~seen).count() == 0
+
+
 def test_the_scan_runs_no_python_on_executors(spark, corpus, licence_model):
     plan = licences.scan_documents(spark.read.parquet(f"{corpus}/documents.parquet"), licence_model)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
