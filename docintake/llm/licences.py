@@ -1,9 +1,13 @@
 """Licence scan: a trained paragraph classifier whose findings are confirmed against templates.
 
-Paragraphs are the lines of a text. Features are the distinct word 1- to 3-grams of a paragraph; the
+Paragraphs are the runs of non-blank lines of a text. What is scored are a paragraph's windows: each line, and
+each stretch of neighbouring lines that a notice of ``SPAN`` words, the longest template's, can reach over, so
+notices may be wrapped in any way and several may stand in one paragraph. Of a family's windows those count
+that no smaller one inside matches as well; one inside a better match of another family is a part of that.
+A paragraph's findings are its families. Features are the distinct word 1- to 3-grams of a window; the
 classifier is a sparse (elastic-net) multinomial logistic regression over licence families and an unknown
 class, trained by Spark's own LogisticRegression on texts made from ``TEMPLATES`` by rule, on hard negatives
-made from their words, and on a bounded sample of the corpus's paragraphs (``NEGATIVES``) as unknown.
+made from their words, and on a bounded sample of the corpus's lines (``NEGATIVES``) as unknown.
 Probabilities are calibrated by a temperature, fitted on training rows held out from it. A finding needs
 family probability of at least ``CONFIDENT`` and above the unknown class's, and a template of that family of
 whose n-grams the paragraph holds the share ``CONFIRM``.
@@ -51,10 +55,12 @@ TEMPLATES = {
     "Unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain."],
 }
 UNKNOWN = "unknown"
-#: Paragraphs of the corpus that serve as unknown in training, and the texts that they are taken from, at most.
+#: Lines of the corpus that serve as unknown in training, and the texts that they are taken from, at most.
 NEGATIVES, NEGATIVE_TEXTS = 2000, 500
 CONFIDENT, CONFIRM = 0.5, 0.6
 GRAM = 3
+#: What is between paragraphs.
+BLANK = r"\n\s*\n"
 #: Words of most texts: no good for covers.
 COMMON = {"a", "and", "any", "are", "by", "for", "from", "in", "is", "it", "may", "of", "or", "that", "the", "this", "to", "under", "with", "without", "work", "you"}
 
@@ -63,6 +69,10 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
+#: Words of the longest template.
+SPAN = max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
+
+
 def grams_of(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i : i + n]) for n in range(1, GRAM + 1) for i in range(len(words) - n + 1)})
 
@@ -163,7 +173,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     families = [*sorted(TEMPLATES), UNKNOWN]
     made = spark.createDataFrame([(f, float(families.index(f)), g, held) for f, g, held in training_rows()], "family string, label double, grams array<string>, held boolean")
     some = with_texts(bounded_sample(docs.select(key).filter(F.col(key).isNotNull()), key, NEGATIVE_TEXTS), docs, key, text)
-    lines = paragraphs(some, key, text).filter(~has_cover(F.col("paragraph_text")))
+    lines = some.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("paragraph_text")).filter(F.col("paragraph_text").rlike("[a-zA-Z0-9]"))
+    lines = lines.filter(~has_cover(F.col("paragraph_text")))
     plain = bounded_sample(lines.select("paragraph_text").distinct(), "paragraph_text", NEGATIVES)
     plain = plain.select(F.lit(UNKNOWN).alias("family"), F.lit(float(len(families) - 1)).alias("label"), grams_column(words_column(F.col("paragraph_text"))).alias("grams"), (F.pmod(F.xxhash64("paragraph_text"), F.lit(5)) == 4).alias("held"))
     rows = stored(made.unionByName(plain), "licence-rows")
@@ -184,31 +195,72 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, paragraph (from 0), paragraph_text: the non-blank lines of each text."""
-    return docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("paragraph", "paragraph_text")).filter(F.col("paragraph_text").rlike("[a-zA-Z0-9]"))
+    """id, paragraph (from 0), paragraph_text: the runs of non-blank lines of each text."""
+    return docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.col(text).cast("string"), BLANK)).alias("paragraph", "paragraph_text")).filter(F.col("paragraph_text").rlike("[a-zA-Z0-9]"))
+
+
+def windows_column(paragraph: Column) -> Column:
+    """(first line, last line, words) of each window: lines between the first and the last have less than SPAN
+    words. Lines without letters and digits are left out. Arrays are bound to lambda variables once."""
+
+    def windows(lines: Column) -> Column:
+        def more(i: Column, at: Column) -> Column:  # at: (windows that begin with line i, words of the last, words in between)
+            def longer(acc: Column, line: Column) -> Column:
+                grown = F.concat(acc["words"], line)
+                new = F.struct(F.concat(acc["found"], F.array(F.struct(i.alias("first"), (i + F.size(acc["found"])).alias("last"), grown.alias("words")))).alias("found"), grown.alias("words"), (acc["inner"] + F.size(line)).alias("inner"))
+                return F.when((F.size(acc["found"]) > 1) & (acc["inner"] >= SPAN), acc).otherwise(new)
+
+            none = F.struct(F.array().cast("array<struct<first:int,last:int,words:array<string>>>").alias("found"), F.array().cast("array<string>").alias("words"), (-F.size(at)).alias("inner"))
+            return F.aggregate(F.slice(lines, i + 1, SPAN + 1), none, longer, lambda acc: acc["found"])
+
+        return F.flatten(F.transform(lines, lambda line, i: more(i, line)))
+
+    lines = F.filter(F.transform(F.split(paragraph, "\n"), words_column), lambda w: F.size(w) > 0)
+    return F.get(F.transform(F.array(lines), windows), 0)
+
+
+def tight(found: DataFrame) -> DataFrame:
+    """The findings (id, paragraph, first, last, family, containment, ...) that count: see the module's text."""
+    where = ["id", "paragraph"]
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        """Findings inside others of their paragraph; a window has SPAN + 1 lines at most."""
+        outer = rows.select(*where, F.struct("first", "last", "family", "containment").alias("outer"), F.explode(F.sequence("first", "last")).alias("line"))
+        inner = rows.select(*where, F.col("first").alias("line"), F.struct("first", "last", "family", "containment").alias("inner"))
+        return outer.join(inner, [*where, "line"]).filter("inner.last <= outer.last AND (inner.first > outer.first OR inner.last < outer.last)")
+
+    name = ["first", "last", "family"]
+    loose = pairs(found).filter("inner.family = outer.family AND inner.containment >= outer.containment").select(*where, *(F.col(f"outer.{c}").alias(c) for c in name)).distinct()
+    kept = stored(found.join(loose, [*where, *name], "left_anti"), "licence-tight")
+    part = pairs(kept).filter("inner.family <> outer.family AND inner.containment < outer.containment").select(*where, *(F.col(f"inner.{c}").alias(c) for c in name)).distinct()
+    return kept.join(part, [*where, *name], "left_anti")
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per confirmed finding: key, paragraph, family, probability, unknown_probability, containment."""
+    """One row per confirmed finding (paragraph and family): key, paragraph, family, probability, unknown_probability, containment."""
     spark = docs.sparkSession
+    unit = ["id", "paragraph", "first", "last"]
     weights = F.broadcast(spark.createDataFrame([(g, i, w) for g, *ws in model.grams for i, w in enumerate(ws) if w], "gram string, class int, weight double"))
     members = [(g, f, n, len(gs)) for f, texts in TEMPLATES.items() for n, t in enumerate(texts) for gs in [grams_of(words_of(t))] for g in gs]
     template = F.broadcast(spark.createDataFrame(members, "gram string, family string, template int, grams int"))
     hits = paragraphs(docs.filter(has_cover(F.col(text))), key, text).filter(has_cover(F.col("paragraph_text")) & has_words(words_column(F.col("paragraph_text"))))
-    hits = stored(hits.select("id", "paragraph", grams_column(words_column(F.col("paragraph_text"))).alias("grams")), "licence-grams")
-    hits = hits.select("id", "paragraph", F.explode("grams").alias("gram"))
-    logit = hits.join(weights, "gram").groupBy("id", "paragraph", "class").agg(F.sum("weight").alias("weight"))
-    logit = logit.groupBy("id", "paragraph").agg(F.map_from_entries(F.collect_list(F.struct("class", "weight"))).alias("by_class"))  # a number for each family at most
+    hits = hits.select("id", "paragraph", F.explode(windows_column(F.col("paragraph_text"))).alias("w")).select("id", "paragraph", "w.*").filter(has_words(F.col("words")))
+    hits = stored(hits.select("id", "paragraph", "first", "last", grams_column(F.col("words")).alias("grams")), "licence-grams")
+    hits = hits.select(*unit, F.explode("grams").alias("gram"))
+    logit = hits.join(weights, "gram").groupBy(*unit, "class").agg(F.sum("weight").alias("weight"))
+    logit = logit.groupBy(*unit).agg(F.map_from_entries(F.collect_list(F.struct("class", "weight"))).alias("by_class"))  # a number for each family at most
     at = F.lit([float(x) for x in model.intercept])
     z = F.transform(at, lambda c, i: (c + F.coalesce(F.try_element_at("by_class", i), F.lit(0.0))) / model.temperature)
-    odds = logit.select("id", "paragraph", z.alias("z")).select("id", "paragraph", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
-    scored = odds.select("id", "paragraph", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda p, q: p + q)).alias("p"))
-    scored = scored.select("id", "paragraph", F.element_at("p", -1).alias("unknown_probability"), F.posexplode(F.slice("p", 1, len(model.families) - 1)).alias("class", "probability"))
+    odds = logit.select(*unit, z.alias("z")).select(*unit, F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
+    scored = odds.select(*unit, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda p, q: p + q)).alias("p"))
+    scored = scored.select(*unit, F.element_at("p", -1).alias("unknown_probability"), F.posexplode(F.slice("p", 1, len(model.families) - 1)).alias("class", "probability"))
     scored = scored.filter((F.col("probability") >= CONFIDENT) & (F.col("probability") > F.col("unknown_probability")))
-    scored = scored.select("id", "paragraph", F.element_at(F.lit(model.families), F.col("class") + 1).alias("family"), "probability", "unknown_probability")
-    like = hits.join(template, "gram").groupBy("id", "paragraph", "family", "template").agg((F.count(F.lit(1)) / F.max("grams")).alias("containment"))
-    like = like.groupBy("id", "paragraph", "family").agg(F.max("containment").alias("containment")).filter(F.col("containment") >= CONFIRM)
-    return scored.join(like, ["id", "paragraph", "family"]).select(F.col("id").alias(key), "paragraph", "family", "probability", "unknown_probability", "containment")
+    scored = scored.select(*unit, F.element_at(F.lit(model.families), F.col("class") + 1).alias("family"), "probability", "unknown_probability")
+    like = hits.join(template, "gram").groupBy(*unit, "family", "template").agg((F.count(F.lit(1)) / F.max("grams")).alias("containment"))
+    like = like.groupBy(*unit, "family").agg(F.max("containment").alias("containment")).filter(F.col("containment") >= CONFIRM)
+    found = tight(stored(scored.join(like, [*unit, "family"]), "licence-windows"))
+    best = found.groupBy("id", "paragraph", "family").agg(F.max(F.struct("probability", "containment", "unknown_probability")).alias("best"))
+    return best.select(F.col("id").alias(key), "paragraph", "family", "best.probability", "best.unknown_probability", "best.containment")
 
 
 def scan_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,9 +268,9 @@ def scan_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     none), probability (the surest finding's, or null)."""
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).alias("id"), body.alias("text"), F.xxhash64(body).alias("same"))
-    thin = rows.select("id", "same", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[a-zA-Z0-9]"))).alias("n_paragraphs"))
+    thin = rows.select("id", "same", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), BLANK), lambda x: x.rlike("[a-zA-Z0-9]"))).alias("n_paragraphs"))
     found = scan(rows.select(F.struct("id", "same").alias("who"), "text"), model, "who", "text")
-    per = found.groupBy("who").agg(F.count_distinct("paragraph").alias("n_findings"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"), F.max("probability").alias("probability"))
+    per = found.groupBy("who").agg(F.count(F.lit(1)).alias("n_findings"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"), F.max("probability").alias("probability"))
     per = stored(per.select("who.id", "who.same", "n_findings", "licences", "probability"), "findings")
     out = thin.join(per, (thin["id"].eqNullSafe(per["id"])) & (thin["same"] == per["same"]), "left")
     return out.select(thin["id"].alias(key), "n_paragraphs", F.coalesce("n_findings", F.lit(0)).cast("bigint").alias("n_findings"), F.coalesce("licences", F.lit("")).alias("licences"), "probability")

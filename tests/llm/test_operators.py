@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -431,6 +432,18 @@ def test_notices_are_found_by_any_of_their_words(spark, licence_model):
     assert got == {i: f for i, _, f in rows}
 
 
+def test_wrapped_notices_are_found(spark, licence_model):
+    rows = []
+    for family, n in (("MIT", 2), ("BSD", 1), ("GPL", 1)):
+        t = licences.TEMPLATES[family][n]
+        rows += [(len(rows) + k, f"Some heading\n\n{pre}{wrapped}\nand more\n\nend", family) for k, (width, pre) in enumerate(((72, ""), (40, " * "), (14, "# "))) for wrapped in ["\n".join(textwrap.wrap(t, width)).replace("\n", "\n" + pre)]]
+    rows += [(20, "Available under CC BY 4.0.\nReleased under the MIT\nLicense.", "CC-BY,MIT"), (21, "Released under\n\nthe MIT License", "")]
+    rows += [(22, "This work is licensed under a Creative Commons Attribution-\nShareAlike 4.0 International License.", "CC-BY-SA")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, f string")
+    got = {r["doc_id"]: (r["licences"], r["n_findings"]) for r in licences.scan_documents(df, licence_model).collect()}
+    assert got == {i: (f, len(f.split(",")) if f else 0) for i, _, f in rows}
+
+
 def test_what_is_passed_over_cannot_be_confirmed(spark):
     rng, rows = random.Random(5), []
     for t, ((f, n), cover) in ((licences.words_of(licences.TEMPLATES[f][n]), ((f, n), c)) for (f, n), c in licences.covers().items()):
