@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -95,13 +96,14 @@ class WordTokenizer:
     """Token ids of whole texts. Byte-level BPE works on each match of the splitting pattern by itself, so
     each distinct word of a batch is encoded once, by the tokenizers library, and its ids are copied to all
     its places. Words of up to 15 bytes are told apart by their bytes and length packed in two integers (the
-    hash that finds them is checked), longer ones by a dict. Texts beyond Latin letters are encoded whole."""
+    hash that finds them is checked), longer ones by a dict. Texts beyond Latin letters, and those that hold an
+    added token (which the library finds before it splits words), are encoded whole."""
 
     KEEP = 400_000
 
     def __init__(self, path: str):
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
+        self.added = [t.content for t in self.tk.get_added_tokens_decoder().values()]
         z = np.zeros(0, np.uint64)
         self.h, self.a, self.b = z, z, z
         self.at, self.n, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -119,7 +121,10 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         raw, off = flat(texts)
         high = np.flatnonzero(raw >= 0xC9)
-        odd = np.unique(np.searchsorted(off, high, side="right") - 1)
+        held = np.zeros(len(texts), bool)
+        for t in self.added:
+            held |= pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
+        odd = np.union1d(np.searchsorted(off, high, side="right") - 1, np.flatnonzero(held))
         if len(odd):
             values, out = texts.to_pylist(), [None] * len(texts)
             rest = np.setdiff1d(np.arange(len(texts)), odd)

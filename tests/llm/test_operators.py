@@ -461,6 +461,14 @@ def test_the_scan_runs_no_python_on_executors(spark, corpus, licence_model):
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
+def test_added_tokens_are_those_of_the_default_call():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tk = Tokenizer.from_file(path)
+    texts = ["plain words", None, *(f"a {t.content} b{t.content}" for t in tk.get_added_tokens_decoder().values()), "a <|endoftext|> b", "<|endoftext", "中 <|endoftext|> b", "it's\n<|endoftext|>"]
+    got = packing.WordTokenizer(path).encode(pa.array(texts).fill_null(""))
+    assert [g.tolist() for g in got] == [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
