@@ -20,7 +20,8 @@ equal scores); ties go to the smaller id.
 
 Defined cases: vectors that are null, empty, zero, of a length other than the commonest, or that hold null or
 non-finite components take no part, neither as queries nor as candidates; rows with a null id likewise;
-repeated rows are candidates of their own, but never for a query with their id; with fewer candidates than k
+repeated rows are candidates of their own, but never for a query with their id; of several vectors under one id the
+largest asks, once; with fewer candidates than k
 all are given; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -200,7 +201,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_i
     placed = stored(rows.mapInArrow(put, f"id {kind}, x binary, leaf bigint"), "leaves")
 
     # Calibration: how many leaves hold TARGET of the exact neighbours.
-    some = bounded_sample(rows.filter(is_query), "id", CALIBRATE).collect()
+    asking = stored(rows.filter(is_query).groupBy("id").agg(F.max("v").alias("v")), "queries")  # one for each id
+    some = bounded_sample(asking, "id", CALIBRATE).collect()
     visits = 1
     if some:
         truth = exact(rows, some, k).join(placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").collect()  # CALIBRATE * k rows
@@ -237,7 +239,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_i
                 data = pa.array([x[k].tobytes() for k in at], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), data, *(pa.array(c, t) for c, t in zip((bins, leaves, first), kinds, strict=True))], ["id", "x", "bin", "leaves", "first"])
 
-    asked = stored(rows.filter(is_query).mapInArrow(visit, f"id {kind}, x binary, bin bigint, leaves array<bigint>, first boolean"), "visits")
+    asked = stored(asking.mapInArrow(visit, f"id {kind}, x binary, bin bigint, leaves array<bigint>, first boolean"), "visits")
     come = dict(asked.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each bin
     sizes = [(g, vector_blocks[g], max(1, -(-come.get(g, 0) // QUERY_ROWS))) for g in vector_blocks]
     blocks = F.broadcast(spark.createDataFrame(sizes, "bin bigint, vb int, qb int"))

@@ -3,9 +3,10 @@ and vectorised byte-level work on Arrow string columns."""
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import tempfile
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,36 +21,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session may leave it unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="docintake-"))
     return base.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a new folder in the shared place and read it back: lineage ends there, so a lost
-    executor costs at most a re-read."""
+    executor costs at most a re-read. The folder goes when the driver's Python ends, or by ``forget``."""
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/docintake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(forget)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget() -> None:
+    """Delete all stored tables. Call it when no result that reads them is needed any more."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; what is left lies in the scratch folder
+            _written.clear()
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the decimal text of ``col`` modulo ``n``."""
     return F.crc32(col.cast("string")) % n
 
 
+def hash_below(col: Column, share: Column | float) -> Column:
+    """Whether the hash of ``col`` lies in the lowest ``share`` of its range."""
+    return F.xxhash64(col) / F.lit(2.0**64) + 0.5 <= share
+
+
 def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows, picked by a hash of ``key`` (same rows whatever the partitioning)."""
+    """At most ``limit`` distinct keys, those with the smallest hashes (the same whatever the partitioning), each
+    with its largest row. A threshold on the hash, from the number of keys, comes first, so that what is sorted
+    and sent to one task is some ``2 * limit`` rows, whatever the number of partitions and repeats."""
+    n = df.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    if n > 2 * limit:
+        df = df.filter(hash_below(F.col(key), 1.5 * limit / n))
+    rest = [c for c in df.columns if c != key]
+    df = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("__rest")).select(key, "__rest.*") if rest else df.distinct()
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
 
 
 def with_texts(sample: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Join the texts to a bounded sample of ids; the sample is the broadcast side (its row limit bounds it)."""
-    return docs.select(F.col(key), F.col(text)).join(F.broadcast(sample), key)
+    """Join the texts to a bounded sample of ids (the broadcast side: its row limit bounds it); of several texts
+    under one id the largest counts, so the result is bounded as well."""
+    found = docs.select(F.col(key), F.col(text).cast("string").alias(text)).join(F.broadcast(sample), key)
+    return found.groupBy(*sample.columns).agg(F.max(text).alias(text))
 
 
 # ---------------------------------------------------------------- Arrow strings as bytes
@@ -101,15 +135,8 @@ def spans(raw: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-
-
-@lru_cache(maxsize=2)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,14 +148,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: a polynomial in an odd base modulo 2**64, then mixed."""
+    """A 64-bit hash of the bytes of each span: eight bytes at a time are mixed in, beginning with the length, so a
+    difference anywhere changes every bit; spans above ``LONG_SPAN`` bytes get their BLAKE2b digest."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     if not len(start):
-        return np.zeros(0, np.uint64)
-    room = 1 << max(21, int(len(raw)).bit_length())
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_P, room)[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * _powers(_P_INV, room)[start] + (end - start).astype(np.uint64))
+        return h
+    pad = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", pad.data, strides=(1,))
+    for k in range(0, min(int(size.max()), LONG_SPAN), 8):
+        more = np.flatnonzero(size > k) if k else slice(None)
+        left = np.minimum(size[more] - k, 8)
+        h[more] = mix(h[more] ^ (eight[start[more] + k] & _MASK[left])) * _ODD
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
 
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)

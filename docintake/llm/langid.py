@@ -10,8 +10,9 @@ Document frequencies are counted over all learnable texts; the centroids are fit
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; a text whose
 n-grams were never seen gets the first language with score 0 and is rejected; rows without a language are
-not learned from; without any learnable row everything is ``und``; repeated rows each get their result;
-empty tables give empty tables.
+not learned from; without any learnable row everything is ``und``; repeated rows each get their result; of several
+texts under one key and language the largest is learned from; very long texts are read whole; of equal cosines the
+first language in order counts; other columns are ignored, whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docintake.llm.common import crc_mod, flat, pieces_of, stored, table
+from docintake.llm.common import crc_mod, flat, hash_below, pieces_of, stored, table, with_texts
 
 BITS = 12
 DIMS = 1 << BITS
@@ -120,10 +121,13 @@ def fit(docs: DataFrame, use: Column, key: str = "doc_id", text: str = "text", l
     learn = docs.filter(use & F.col(lang).isNotNull() & F.col(text).isNotNull())
     df, n = document_frequencies(learn, text)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 0.1, 0).astype(np.float32)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    picked = learn.select(F.col(key).alias("key"), F.col(lang).alias("lang")).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= PER_LANGUAGE)
+    # PER_LANGUAGE keys of each language, by a hash: a threshold for each language leaves some more, and these are ranked.
+    named = learn.select(F.col(key).alias("key"), F.col(lang).alias("lang"))
+    sizes = stored(named.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")), "languages")
+    some = named.join(sizes, "lang").filter(hash_below(F.col("key"), F.lit(2.0 * PER_LANGUAGE) / F.col("n"))).select("lang", "key").distinct()
+    picked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))).filter(F.col("rank") <= PER_LANGUAGE)
     # The picked rows are bounded by PER_LANGUAGE times the languages, which is what allows the broadcast.
-    sample = learn.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked.select("key", "lang")), "key").select("lang", "text")
+    sample = with_texts(picked.select("lang", F.col("key").alias("__key")), learn.select(F.col(key).alias("__key"), F.col(text).alias("text")), "__key", "text").select("lang", "text")
 
     def vector_rows(batches):
         for whole in batches:

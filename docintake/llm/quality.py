@@ -4,12 +4,14 @@ A text is a bag of passages (``PASSAGE`` white-space words each, the whole text)
 (byte histogram and word figures, then a learned dense layer), gated attention (Ilse et al., 2018) learned
 from document labels weighs the passages, and the weighted passage representation is scored.
 
-``fit`` learns from a bounded sample of labelled rows (``MAX_LABELLED``, picked by a hash of the key);
-``score_column`` scores every whole text.
+``fit`` learns from a bounded sample of labelled rows (``MAX_LABELLED`` rows and ``MAX_PASSAGES`` passages, picked by
+a hash of the key; texts of more than ``MAX_BAG`` passages are left out); ``score_column`` scores every whole text.
 
 Defined cases: null and empty texts are one empty passage and get that passage's score; rows of labels with
 null doc_id or quality are not used; several labels of one document count as their minimum; without labels
-every score is 0.5; repeated rows each get their score; empty tables give empty tables.
+every score is 0.5; repeated rows each get their score; of several texts under one id the largest is learned from;
+very long texts are scored whole; a score of exactly ``THRESHOLD`` counts as good; other columns of documents are
+ignored (``stage``: kept, whatever their names); empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docintake.llm.common import ASCII_LOWER, WHITE, Adam, bounded_sample, crc_mod, flat, pieces_of, sigmoid, span_hashes, spans, stored, table, with_texts
@@ -28,6 +30,8 @@ HIST = 160
 INPUTS = HIST + 6
 HIDDEN, GATE = 32, 16
 MAX_LABELLED = 8000
+#: Passages that are learned from, in all and of one text: longer texts are scored but not learned from.
+MAX_PASSAGES, MAX_BAG = 200_000, 2_000
 #: Passes over the sample (more where it is small, so that there are STEPS steps at least).
 EPOCHS, STEPS, BATCH, RATE = 14, 1200, 128, 0.004
 #: Bytes below 128 have a cell each; others share 32 by their upper bits.
@@ -140,10 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
             for b in pieces_of(whole, "text"):
                 x, first = passages(*flat(b.column("text")))
                 bags = [x[i:j].astype(np.float16).tobytes() for i, j in zip(first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column(key), b.column("y"), pa.array(bags, pa.binary())], [key, "y", "bag"])
+                out = pa.RecordBatch.from_arrays([b.column(key), b.column("y"), pa.array(np.diff(first)), pa.array(bags, pa.binary())], [key, "y", "passages", "bag"])
+                yield out.filter(pa.array(np.diff(first) <= MAX_BAG))
 
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    rows = stored(src.mapInArrow(run, f"{key} {kinds[key]}, y {kinds['y']}, bag binary"), "mil").orderBy(key).collect()  # bounded by the row limit
+    bags = stored(src.mapInArrow(run, f"{key} {kinds[key]}, y {kinds['y']}, passages bigint, bag binary"), "mil")
+    so_far = F.sum("passages").over(Window.orderBy(F.xxhash64(key), key).rowsBetween(Window.unboundedPreceding, 0))
+    use = bags.select(key, "passages").withColumn("total", so_far).filter(F.col("total") <= MAX_PASSAGES)  # MAX_LABELLED thin rows at most
+    rows = bags.join(F.broadcast(use.select(key)), key).orderBy(key).collect()  # bounded by MAX_PASSAGES
     bags = [np.frombuffer(r["bag"], np.float16).astype(np.float32).reshape(-1, INPUTS) for r in rows]
     return train(bags, np.array([float(r["y"]) for r in rows], np.float32))
 

@@ -5,7 +5,8 @@ with the class-prior-corrected, non-negative risk estimator of Kiryo et al. (201
 the score of whole texts as a Column.
 
 The model is a linear one over the set of distinct words of a text (not over frequencies, so one abusive
-word weighs as much in a long text as in a short one). Words are ASCII-lower-cased runs of letters, digits
+word weighs as much in a long text as in a short one), and over word beginnings that some words of a text share
+(``BEGINNINGS``, ``TIERS``), for languages that inflect. Words are ASCII-lower-cased runs of letters, digits
 and non-ASCII bytes, hashed to ``SLOTS`` slots; slots seen in fewer than ``MIN_DOCS`` sampled texts carry
 no weight.
 
@@ -14,11 +15,14 @@ a hash of the key; every text is scored.
 
 Defined cases: null and empty texts get the score of a text without words; rows of labels with null doc_id
 or toxic are not used; several labels of one document count as their maximum; without any toxic example
-every score is 0; repeated rows each get their score; empty tables give empty tables.
+every score is 0; repeated rows each get their score; of several texts under one id the largest is learned from;
+very long texts are scored whole; a score of exactly ``THRESHOLD`` is toxic; other columns of documents are ignored
+(``stage``: kept, whatever their names); empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,27 +30,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docintake.llm.common import ASCII_LOWER, NOT_WORD, Adam, bounded_sample, crc_mod, flat, pieces_of, sigmoid, span_hashes, spans, stored, table, with_texts
+from docintake.llm.common import ASCII_LOWER, NOT_WORD, Adam, bounded_sample, crc_mod, flat, mix, pieces_of, sigmoid, span_hashes, spans, stored, table, with_texts
 
 BITS = 18
 SLOTS = 1 << BITS
 MIN_DOCS = 5
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
-EPOCHS, RATE, DECAY = 200, 0.05, 1e-6
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
+EPOCHS, RATE, DECAY = 80, 0.02, 1e-4
 LOWER = 2.5
+#: Bytes of the word beginnings that are features too, and how many words of a text must share one.
+BEGINNINGS, TIERS = (5, 7), (1, 2, 4)
+#: Parts of the rows for setting the threshold.
+FOLDS = 3
 
 
 def word_slots(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, owners) of the distinct word slots of each value, ordered by owner."""
+    """(slots, owners) of the features of each value, ordered by owner: its distinct words, and the beginnings that
+    one, two or four of these share."""
     raw = ASCII_LOWER[raw]
     start, end, owner = spans(raw, off, NOT_WORD)
-    slot = span_hashes(raw, start, end) >> np.uint64(64 - BITS)
-    both = np.unique(owner.astype(np.uint64) << np.uint64(BITS) | slot)
+    h = span_hashes(raw, start, end)
+    whose = owner.astype(np.uint64)
+    _, at = np.unique(mix(h ^ mix(whose + np.uint64(1))), return_index=True)
+    start, end, whose, h = start[at], end[at], whose[at], h[at]
+    out = [whose << np.uint64(BITS) | h >> np.uint64(64 - BITS)]
+    for n in BEGINNINGS:
+        long = end - start > n
+        h, w = span_hashes(raw, start[long], start[long] + n), whose[long]
+        _, first, count = np.unique(mix(h ^ mix(w + np.uint64(1))), return_index=True, return_counts=True)
+        for t in TIERS:
+            i = first[count >= t]
+            out.append(w[i] << np.uint64(BITS) | mix(h[i] + np.uint64(8 * t + n)) >> np.uint64(64 - BITS))
+    both = np.unique(np.concatenate(out))
     return (both & np.uint64(SLOTS - 1)).astype(np.int64), (both >> np.uint64(BITS)).astype(np.int64)
 
 
+def packed_slots(slots: np.ndarray) -> bytes:
+    """Ascending slots as compressed differences."""
+    return zlib.compress(np.diff(slots, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked_slots(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64))
+
+
 def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``slots`` (distinct word slots as little-endian 32-bit integers) in place of the text."""
+    """``df`` with ``slots`` (``packed_slots``) in place of the text."""
     keep = [c for c in df.columns if c != text]
     src = df.select(*keep, F.col(text).alias("text"))
 
@@ -55,7 +84,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
             for b in pieces_of(whole, "text"):
                 slot, owner = word_slots(*flat(b.column("text")))
                 cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
-                data = [slot[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+                data = [packed_slots(slot[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(data, pa.binary())], [*keep, "slots"])
 
     return src.mapInArrow(run, ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in keep) + ", slots binary")
@@ -74,44 +103,87 @@ class _Sparse:
     """Binary sparse rows: sums of weights by row, and the transpose."""
 
     def __init__(self, rows: list[np.ndarray], slots: int):
-        self.slot = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         self.n, self.slots = len(rows), slots
+        self.slot = np.concatenate([np.zeros(0, np.int64), *rows])
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.some, self.at = np.unique(row, return_index=True)
+        order = np.argsort(self.slot, kind="stable")
+        self.row = row[order]
+        self.used, self.begin = np.unique(self.slot[order], return_index=True)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.slot], self.n)
+        out = np.zeros(self.n)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(w[self.slot], self.at)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slot, g[self.row], self.slots)
-
-
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the sigmoid loss
-    l(z) = sigmoid(-z); where the second part is negative its gradient is reversed, as nnPU does."""
-    if not positive or not unlabelled:
-        return Model(np.zeros(SLOTS, np.float32), -50.0, prior)
+        out = np.zeros(self.slots)
+        if len(self.used):
+            out[self.used] = np.add.reduceat(g[self.row], self.begin)
+        return out
+
+
+def risk(p: _Sparse, u: _Sparse, weight: np.ndarray, bias: float, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """prior * E_p[l(f)] and E_u[l(-f)] - prior * E_p[l(-f)] for the sigmoid loss l(z) = sigmoid(-z), and the step's
+    gradient: of both together, or, where the second is negative, of minus the second alone."""
+    sp, su = sigmoid(p.dot(weight) + bias), sigmoid(u.dot(weight) + bias)
+    first, second = prior * (1 - sp).mean(), su.mean() - prior * sp.mean()
+    gp = sp * (1 - sp) * (prior if second < 0 else -2 * prior) / p.n
+    gu = su * (1 - su) * (-1 if second < 0 else 1) / u.n
+    return first, second, p.back(gp) + u.back(gu), float(gp.sum() + gu.sum())
+
+
+def threshold(p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """A cut with the least estimated error, prior * misses + max(0, unlabelled above - prior * hits), of the scores
+    of rows that the fit did not see: of the cuts within a quarter of a standard error of the best the highest."""
+    every = np.unique(np.concatenate([p, u]))
+    cut = np.append((every[1:] + every[:-1]) / 2, every[-1])
+    miss = np.searchsorted(np.sort(p), cut) / len(p)
+    above = 1 - np.searchsorted(np.sort(u), cut) / len(u)
+    r = prior * miss + np.maximum(0, above - prior * (1 - miss))
+    i = r.argmin()
+    spread = np.sqrt(prior**2 * (miss[i] * (1 - miss[i]) + 1 / len(p)) / len(p) + above[i] * (1 - above[i]) / len(u))
+    return float(cut[r <= r[i] + spread / 4].max())
+
+
+def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int) -> tuple[np.ndarray, float]:
+    """Weights by slot and bias that minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the
+    sigmoid loss; where the second part is negative its gradient is reversed, as nnPU does."""
     dp, du = (np.bincount(np.concatenate(x), minlength=SLOTS) for x in (positive, unlabelled))
-    # Slots whose log-odds between the two samples are above 0 by LOWER standard errors; they also start there,
-    # so that the non-convex loss begins on the right side.
-    odds = np.log((dp + 0.5) / (len(positive) + 1)) - np.log((du + 0.5) / (len(unlabelled) + 1))
-    odds -= LOWER * np.sqrt(1 / (dp + 0.5) + 1 / (du + 0.5))
-    known = np.flatnonzero((dp + du >= MIN_DOCS) & (odds > 0))
+    known = np.flatnonzero(dp + du >= MIN_DOCS)
     index = np.full(SLOTS, -1)
     index[known] = np.arange(len(known))
-    cut = lambda rows: _Sparse([x[x >= 0] for x in (index[r] for r in rows)], len(known))
-    p, u = cut(positive), cut(unlabelled)
-    par = {"w": odds[known].copy(), "b": np.full(1, -1.0)}
+    p, u = (_Sparse([x[x >= 0] for x in (index[r] for r in rows)], len(known)) for rows in (positive, unlabelled))
+    # Weights begin at the log-odds between the two samples less LOWER standard errors, where these are positive: the
+    # loss isn't convex. They stay at 0 or more: words are evidence of toxicity or none, and length is none against it.
+    odds = np.log((dp + 0.5) / (p.n + 1)) - np.log((du + 0.5) / (u.n + 1))
+    odds = np.maximum(odds - LOWER * np.sqrt(1 / (dp + 0.5) + 1 / (du + 0.5)), 0)
+    par = {"w": odds[known], "b": np.full(1, -1.0)}
     opt = Adam(par, RATE)
-    for _ in range(EPOCHS):
-        sp, su = sigmoid(p.dot(par["w"]) + par["b"]), sigmoid(u.dot(par["w"]) + par["b"])
-        ascend = su.mean() < prior * sp.mean()  # the estimate of the negatives' risk is below 0: reverse it
-        gp = sp * (1 - sp) * (prior if ascend else -2 * prior) / p.n
-        gu = su * (1 - su) * (-1 if ascend else 1) / u.n
-        opt.step({"w": p.back(gp) + u.back(gu) + DECAY * par["w"], "b": np.array([gp.sum() + gu.sum()])})
-        np.maximum(par["w"], 0, out=par["w"])  # words are evidence of toxicity or none; length is no evidence against it
+    for _ in range(epochs):
+        _, _, g, gb = risk(p, u, par["w"], par["b"][0], prior)
+        opt.step({"w": g + DECAY * par["w"], "b": np.array([gb])})
+        np.maximum(par["w"], 0, out=par["w"])
     weight = np.zeros(SLOTS, np.float32)
     weight[known] = par["w"]
-    return Model(weight, float(par["b"][0]), prior)
+    return weight, float(par["b"][0])
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS) -> Model:
+    """``descend`` on all rows; the bias is set by the same risk of the zero-one loss, on scores that each part of the
+    rows gets from the others (``FOLDS`` parts)."""
+    if not positive or not unlabelled:
+        return Model(np.zeros(SLOTS, np.float32), -50.0, prior)
+    prior = min(max(prior, 1e-4), 0.9999)
+    weight, _ = descend(positive, unlabelled, prior, epochs)
+    scores: tuple[list, list] = ([], [])
+    for f in range(FOLDS):
+        rest = [[x for k, x in enumerate(rows) if k % FOLDS != f] or rows for rows in (positive, unlabelled)]
+        w, _ = descend(*rest, prior, epochs)
+        for out, rows in zip(scores, (positive, unlabelled), strict=True):
+            out += [w[x].sum() for x in rows[f::FOLDS]]
+    return Model(weight, -threshold(*map(np.array, scores), prior), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None) -> Model:
@@ -123,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
     toxic = bounded_sample(known.filter("y = 1").select(key), key, MAX_POSITIVE).select(key, F.lit(1).alias("y"))
     plain = bounded_sample(docs.filter(use & F.col(key).isNotNull()).select(key), key, MAX_UNLABELLED).select(key, F.lit(0).alias("y"))
     rows = stored(features(with_texts(toxic.unionByName(plain), docs, key, text).select("y", text), text), "pu").collect()  # bounded by the two limits
-    sets = {y: [np.frombuffer(r["slots"], "<u4").astype(np.int64) for r in rows if r["y"] == y] for y in (0, 1)}
+    sets = {y: [unpacked_slots(bytes(r["slots"])) for r in sorted(rows, key=lambda r: bytes(r["slots"])) if r["y"] == y] for y in (0, 1)}
     return train(sets[1], sets[0], prior)
 
 
