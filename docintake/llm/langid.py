@@ -47,9 +47,10 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     raw, off = flat(pc.utf8_lower(texts.cast(pa.large_string())))
     n = len(off) - 1
     owner = np.repeat(np.arange(n), np.diff(off))
-    line = np.zeros(len(raw) + n + max(GRAMS), np.uint32)  # a gap after each value
+    gap = max(GRAMS)  # after each value, so that no n-gram reaches into the next
+    line = np.zeros(len(raw) + (n + 1) * gap, np.uint32)
     whose = np.full(len(line), n)
-    at = np.arange(len(raw)) + owner
+    at = np.arange(len(raw)) + owner * gap
     line[at] = _LETTER[raw]
     whose[at] = owner
     out = np.zeros(n * DIMS)
