@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docintake.functions.text import braces_balanced, clip, filled, ordered_distinct, squeeze, strip
+from docintake.operators.normalise import RAW_UNCERTAINTY, markup_diagnostics
 
 ISSUE = "array<struct<agent:string,stage:string,severity:string,detail:string>>"
 #: A placeholder for a figure in generated text.
@@ -46,8 +47,6 @@ RESOLVED = ("已修", "修正", "清理", "已清", "已改", "改为", "调整
 TRANSIENT_ERRORS = ("timeout", "timed out", "temporarily", "connection reset", "connection refused", "rate limit", "too many requests", "429", "502", "503", "504")
 ERROR_TEXTS = {"document-too-short": "the document is too short", "missing-h1": "the first line is no title", "leading-code-fence": "the document begins with a code fence", "prompt-leak": "the document repeats its instructions", "duplicate-h1": "there is more than one title", "missing-tldr": "there is no TL;DR"}
 
-_NUMBER = r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)"
-RAW_UNCERTAINTY = rf"(?<![\w.]){_NUMBER}\s*(?:\^\s*\{{\s*{_NUMBER}\s*\}}\s*_\s*\{{\s*{_NUMBER}\s*\}}|_\s*\{{\s*{_NUMBER}\s*\}}\s*\^\s*\{{\s*{_NUMBER}\s*\}})(?![\w.])"
 PROTECTED = r"(?s)<latex>.*?</latex>|<code>.*?</code>"
 
 
@@ -84,7 +83,7 @@ def raw_display_math(text: Column) -> Column:
 
 
 def formula_agent(markdown: Column, xml: Column) -> Column:
-    parts = []
+    parts = [_labelled(markup_diagnostics(markdown), "markdown")]
     for stage, text in (("markdown", markdown), ("xml", xml)):
         labels = F.flatten(F.transform(formula_bodies(text), body_labels))
         parts.append(_labelled(labels, stage))
@@ -333,7 +332,10 @@ def with_title(text: Column, title: Column) -> Column:
 
 
 def last_complete_suffix(docs: DataFrame, markers: Column) -> DataFrame:
-    """doc_id and the last suffix, from a title on, that has no completeness errors."""
-    starts = docs.select("doc_id", "markdown", F.explode(F.regexp_extract_all("markdown", F.lit(r"(?m)^#\s+\S[^\n]*"), F.lit(0))).alias("title")).withColumn("at", F.expr("locate(title, markdown)"))
-    rows = starts.withColumn("suffix", F.expr("substring(markdown, at)")).filter(F.size(completeness_errors(F.col("suffix"), markers)) == 0)
+    """doc_id and the last suffix, from a title on, that has no completeness errors. Titles are told apart by their
+    place, so drafts under one title are several."""
+    parts = docs.select("doc_id", F.split("markdown", r"(?m)(?=^#\s+\S)").alias("parts"))
+    rows = parts.select("doc_id", "parts", F.posexplode("parts").alias("at", "part")).filter(F.col("part").rlike(r"^#\s+\S"))
+    rows = rows.select("doc_id", "at", F.array_join(F.slice("parts", F.col("at") + 1, F.size("parts")), "").alias("suffix"))
+    rows = rows.filter(F.size(completeness_errors(F.col("suffix"), markers)) == 0)
     return rows.groupBy("doc_id").agg(F.max_by("suffix", "at").alias("markdown"))

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import braces_balanced, collapse_blank_lines, entity_decode
-from docintake.operators.gates import RAW_UNCERTAINTY
+from docintake.functions.text import braces_balanced, collapse_blank_lines, entity_decode, strip
 
 # Symbols and the commands they stand for.
 SYMBOLS = {
@@ -19,10 +18,18 @@ SYMBOLS = {
 VISIBLE = ("textnormal", "operatorname", "textbf", "textit", "textsc", "textrm", "emph", "mathrm", "mathbf", "mathtt")
 ACCENTS = "overline|underline|hat|widehat|tilde|widetilde|bar|vec|dot|ddot|check|breve|acute|grave"
 UNSAFE_NAMES = ("R", "N", "Z", "C", "E", "P", "Q", "KL", "Var", "Cov", "argmax", "argmin", "max", "min", "sin", "cos", "tan", "log", "exp", "sqrt", "frac")
-#: Repairs of commands from papers and of split or fused commands: (pattern, replacement), in order.
+GREEK = "alpha|beta|gamma|delta|epsilon|varepsilon|zeta|eta|theta|vartheta|iota|kappa|lambda|Lambda|mu|nu|xi|pi|rho|sigma|tau|upsilon|phi|varphi|chi|psi|omega"
+#: An argument in braces, nested up to three deep.
+ARGUMENT = r"\s*\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+# Repairs of commands from papers and of split or fused commands: (pattern, replacement), in order.
 REPAIRS = (
-    (r"\\le\s+ft\b", r"\\left"), (r"\\ri\s+ght\b", r"\\right"), (r"\\in\s+fty\b", r"\\infty"), (r"\\ap\s+prox\b", r"\\approx"), (r"\^\\to\s+p\b", r"^\\top"),
-    (r"\\(?:label|ref|eqref|tag)\s*\{[^{}]*\}", ""),
+    (r"\\le\s+ft\b", r"\\left"), (r"\\ri\s+ght\b", r"\\right"), (r"(?<=\^)\\to\s+p\b", r"\\top"), (r"\\in\s+fty\b", r"\\infty"), (r"\\ap\s+prox\b", r"\\approx"),
+    (r"\\ge\s+q\b", r"\\geq"), (r"\\le\s+q\b", r"\\leq"),
+    (r"\\(?:label|ref|eqref|tag)\s*\{[^{}]*\}", ""), (r"\\nonumber\b", ""),
+    (r"\\mathsfit\s*\{([^{}]+)\}", r"\\mathbf{$1}"), (r"\\(?:tens|etens)\s*\{([^{}]+)\}", r"\\mathbf{$1}"),
+    (rf"\\(?:matrix|vector){ARGUMENT}", r"\\mathbf{$1}"), (rf"\\tr(?![A-Za-z]){ARGUMENT}", r"{$1}^\\top"),
+    (rf"\\rv({GREEK})(?![A-Za-z])", r"\\mathbf{\\$1}"), (r"\\rv([A-Za-z]+)(?![A-Za-z])", r"\\mathbf{$1}"), (r"\\rm([A-Z])(?![A-Za-z])", r"\\mathbf{$1}"),
+    (r"\\er[vm]([A-Za-z])(?![A-Za-z])", r"\\mathrm{$1}"), (r"\\e?t(Lambda)(?![A-Za-z])", r"\\mathbf{\\$1}"), (r"\\e?t([A-Z][A-Za-z]*)(?![A-Za-z])", r"\\mathbf{$1}"),
     (rf"\\({ACCENTS})\s+([A-Za-z])", r"\\$1{$2}"), (rf"\\({ACCENTS})([A-Z])", r"\\$1{$2}"),
     (r"\\mbox\s*\{([^{}]*)\}", "$1"), (r"\\xspace\b", ""),
     (r"\\(?:text|textnormal|textsc|textbf|textit|emph|mathtt|operatorname)\s*\{([^{}]*)\}", r"\\mathrm{$1}"),
@@ -35,15 +42,19 @@ REPAIRS = (
     (r"(\d+)\\mathrm\{e\}\{(-?\d+)\}", r"$1\\times10^{$2}"), (r"(\d+)\\mathrm\{e\}\s*([+-]\d+)", r"$1\\times10^{$2}"),
 )
 
-#: Commands that are known where one backslash too many stands before them.
+# Commands that are known where one backslash too many stands before them.
 COMMANDS = (
     "alpha", "approx", "bar", "begin", "beta", "bmatrix", "cdot", "chi", "circ", "cos", "cup", "delta", "dot", "doteq", "dots", "ell", "end", "epsilon", "eta", "frac", "gamma", "ge", "geq", "hat", "in", "infty", "int", "kappa", "lambda",
     "Lambda", "le", "leq", "left", "log", "mathbb", "mathbf", "mathcal", "mathrm", "mathsf", "mathit", "max", "mu", "nabla", "neg", "neq", "notin", "nu", "omega", "operatorname", "overline", "partial", "phi", "pi", "pm", "psi", "qquad", "quad",
     "rho", "right", "rightarrow", "rm", "sigma", "sin", "sqrt", "star", "substack", "sum", "tau", "text", "textbf", "textit", "textnormal", "theta", "times", "to", "top", "triangleq", "varphi", "vartheta", "vec", "xi", "zeta",
 )
-#: Greek names and functions that make a word with an underscore or brackets math, not code.
+# Greek names and functions that make a word with an underscore or brackets math, not code.
 MATH_WORDS = ("alpha", "beta", "chi", "delta", "eta", "gamma", "kappa", "lambda", "mu", "nu", "omega", "phi", "psi", "rho", "sigma", "tau", "theta")
 
+#: A number with its errors above and below, as raw TeX.
+_NUMBER = r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)"
+RAW_UNCERTAINTY = rf"(?<![\w.]){_NUMBER}\s*(?:\^\s*\{{\s*{_NUMBER}\s*\}}\s*_\s*\{{\s*{_NUMBER}\s*\}}|_\s*\{{\s*{_NUMBER}\s*\}}\s*\^\s*\{{\s*{_NUMBER}\s*\}})(?![\w.])"
+
 SPAN = r"(?s)<latex>.*?</latex>|<code>.*?</code>"
 
 
@@ -72,10 +83,24 @@ def decode_formula(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(entity_decode(c), r"(?i)<\s*br\s*/?\s*>", " "), r"(?i)<\s*/?\s*(?:p|div)\b[^>]*>", " ")
 
 
+def flatten_substack(c: Column) -> Column:
+    """The lines of a stack under a sum, separated by commas."""
+    stack = rf"(?s)\\substack{ARGUMENT}"
+    inside = lambda x: F.trim(F.regexp_replace(F.replace(F.regexp_extract(x, stack, 1), F.lit("\\\\"), F.lit(", ")), r"(?U)\s+", " "))
+    return F.when(c.contains("\\substack"), map_parts(c, inside, formulas=True, protected=rf"(?s)\\substack\s*\{{(?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\}}")).otherwise(c)
+
+
+def break_cases(c: Column) -> Column:
+    """Two cases that lost the break between their rows get it back: value, condition, value, condition."""
+    row = r"(?s)\\begin\{cases\}\s*((?:(?!\\\\|,\s*&|\\end\{cases\}).)+?)\s*,\s*&\s*((?:(?!\\\\|,\s*&|\\end\{cases\}).)+?)\s{2,}(\\[A-Za-z](?:(?!\\\\|,\s*&|\\end\{cases\}).)*?)\s*,\s*&\s*((?:(?!\\\\|\\end\{cases\}).)+?)\s*\\end\{cases\}"
+    return F.regexp_replace(c, row, r"\\begin{cases}$1 & $2 \\\\ $3 & $4\\end{cases}")
+
+
 def repair_formula(c: Column) -> Column:
+    c = flatten_substack(c)
     for pattern, new in REPAIRS:
         c = F.regexp_replace(c, pattern, new)
-    return c
+    return break_cases(c)
 
 
 def recover_overescaped(c: Column) -> Column:
@@ -108,7 +133,7 @@ def normalise_formula(c: Column) -> Column:
 
 def strip_visible_macros(c: Column) -> Column:
     """Prose without presentation commands."""
-    for _ in range(2):  # nested once
+    for _ in range(4):  # the innermost first, as deep as braces are nested
         c = F.regexp_replace(c, rf"\\(?:{'|'.join(VISIBLE)})\s*\{{([^{{}}]*)\}}", "$1")
     c = F.regexp_replace(c, rf"\\(?:{'|'.join(VISIBLE)})(?=[A-Za-z])", "")
     c = F.regexp_replace(c, r"\\(?:xspace|NB|DX|lpk|wx|qz)(?![A-Za-z])", "")
@@ -121,6 +146,33 @@ def prose_macros(macros: DataFrame) -> DataFrame:
     return macros.filter(~F.col("name").isin(*UNSAFE_NAMES) & (F.length(v) >= 2) & ~v.rlike(r"[\\{}_^]"))
 
 
+def _expanded(c: Column, macros: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """``c`` with each macro of an array of (name, value) written out, long names first."""
+    longest = F.array_sort(macros, lambda x, y: F.when(F.length(x["name"]) != F.length(y["name"]), F.length(y["name"]) - F.length(x["name"])).when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(0))
+    literal = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    name = lambda m: F.concat(F.lit(r"\\\Q"), m["name"], F.lit(r"\E"), F.lit(pattern))
+    return F.aggregate(longest, c, lambda acc, m: F.regexp_replace(acc, name(m), new(literal(m["value"]))))
+
+
+def expand_prose_macros(c: Column, macros: Column) -> Column:
+    """Prose with a paper's macros (array of name, value; see ``prose_macros``) written out; formulas stay. Space
+    behind a macro becomes one space."""
+
+    def both(x: Column) -> Column:
+        x = _expanded(x, macros, r"(?![A-Za-z])\s+", lambda v: F.concat(v, F.lit(" ")))
+        return _expanded(x, macros, r"(?![A-Za-z])", lambda v: v)
+
+    return map_parts(c, both, protected=r"(?s)<latex>.*?</latex>")
+
+
+def expand_formula_macros(c: Column, plain: Column, with_argument: Column) -> Column:
+    """A formula with a paper's macros without and with one argument (``#1``) written out, macros in macros once."""
+    for _ in range(2):
+        c = _expanded(c, plain, r"(?![A-Za-z])", lambda v: v)
+        c = _expanded(c, with_argument, rf"(?![A-Za-z]){ARGUMENT}", lambda v: F.replace(v, F.lit("#1"), F.lit("$1")))
+    return c
+
+
 def table_row(line: Column) -> Column:
     t = F.trim(line)
     return t.startswith("|") & t.endswith("|") & (F.length(t) > 1) | (F.regexp_count(t, F.lit(r"\|")) >= 2)
@@ -153,14 +205,48 @@ def breaks_to_lines(c: Column) -> Column:
 
 
 def valid_formula(c: Column) -> Column:
-    """Can a formula be published: not empty or too long, braces and \\left\\right balanced, no Chinese
-    characters, tags, definitions, environments that aren't supported, or dangling script."""
+    r"""Can a formula be published: not empty, braces and \left ... \right balanced, and no Chinese or replacement
+    characters, definitions, environments that aren't supported, fused spacing commands, \rm, or prose."""
     count = lambda x: F.regexp_count(c, F.lit(x))
-    return (
-        (F.trim(c) != "") & (F.length(c) <= 2000) & braces_balanced(c) & (count(r"\\left(?![A-Za-z])") == count(r"\\right(?![A-Za-z])"))
-        & ~c.rlike(r"[\x{4e00}-\x{9fff}]") & ~c.rlike(r"</?[A-Za-z]") & ~c.rlike(r"\\(?:def|newcommand|renewcommand|usepackage)\b") & ~c.rlike(r"\\begin\s*\{(?!aligned|align|array|matrix|pmatrix|bmatrix|cases)")
-        & ~c.rlike(r"[_^]\s*$") & ~c.rlike(r"(?<!\\)\$")
+    wrong = (
+        r"[\x{4e00}-\x{9fff}\x{fffd}]", r"\\(?:def|newcommand|renewcommand|usepackage|RequirePackage)\b", r"\\(?:begin|end)\s*\{(?!aligned|align|array|matrix|pmatrix|bmatrix|cases)[^{}]+\}",
+        r"\\(?:qquad|quad)[A-Za-z]", r"\\rm\b", r"\\[A-Za-z]+(?:\s+[A-Za-z]{3,}){3,}",
     )
+    return (strip(c) != "") & braces_balanced(c) & (count(r"\\left(?![A-Za-z])") == count(r"\\right(?![A-Za-z])")) & ~c.rlike("|".join(f"(?:{p})" for p in wrong))
+
+
+FORMULA = r"(?is)<latex\b[^>]*>.*?</latex\s*>"
+_OPEN, _CLOSE = r"(?i)^<latex\b[^>]*>", r"(?i)</latex\s*>$"
+
+
+def compile_markup(c: Column) -> Column:
+    """Boundaries between prose and formulas put in order: escaped paragraph wrappers read, paragraph tags removed
+    from prose, breaks in formulas as spaces, nested formula tags removed, and one backslash for two before known
+    commands."""
+    lower, upper = r"(?:&lt;|&#0*60;|&#x0*3c;)", r"(?:&gt;|&#0*62;|&#x0*3e;)"
+    escaped = rf"(?is){lower}\s*/?\s*(?:p|div|br)\b[^<>]*{upper}"
+    inner = lambda x: F.regexp_extract(x, rf"(?is)^{lower}\s*(.*){upper}$", 1)
+    c = map_parts(c, lambda x: F.when(inner(x).rlike(f"(?i){upper}|&amp;"), x).otherwise(F.concat(F.lit("<"), inner(x), F.lit(">"))), formulas=True, protected=escaped)
+
+    def body(x: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, _OPEN, ""), _CLOSE, "")
+        x = F.regexp_replace(F.regexp_replace(x, r"(?i)<\s*br\b[^>]*>", " "), r"(?i)<\s*/?\s*(?:p|div|br)\b[^>]*>", "")
+        return F.concat(F.lit("<latex>"), recover_overescaped(F.regexp_replace(x, r"(?i)<\s*/?\s*latex\b[^>]*>", "")), F.lit("</latex>"))
+
+    parts = F.split(F.regexp_replace(c, f"({FORMULA})", "\x1e$1\x1e"), "\x1e")
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, body(x)).otherwise(F.regexp_replace(x, r"(?i)<\s*/?\s*(?:p|div)\b[^>]*>", ""))), "")
+
+
+def markup_diagnostics(c: Column) -> Column:
+    """The codes of what is wrong with a document's formulas and can't be put in order, in order of appearance."""
+    bodies = F.regexp_extract_all(c, F.lit(f"({FORMULA})"), F.lit(1))
+
+    def codes(x: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, _OPEN, ""), _CLOSE, "")
+        tags = F.filter(F.regexp_extract_all(x, F.lit(r"<\s*/?\s*[A-Za-z][^<>]*>"), F.lit(0)), lambda t: ~t.rlike(r"(?i)^<\s*/?\s*(?:p|div|br)\b"))
+        return F.array_compact(F.concat(F.transform(tags, lambda t: F.lit("unknown-html-in-formula")), F.array(F.when(~braces_balanced(F.regexp_replace(x, r"<[^>]*>", "")), F.lit("unbalanced-braces")))))
+
+    return F.flatten(F.transform(bodies, codes))
 
 
 def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,23 +287,30 @@ def drop_false_warnings(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 #: The steps of ``polish``, in order; each is a Column expression, and users can put in their own.
 POLISH: tuple[tuple[str, Callable[[Column], Column]], ...] = (
+    ("compile", compile_markup),
     ("flatten", flatten_tags),
-    ("escapes", lambda c: map_parts(c, recover_overescaped, formulas=True, protected=r"(?s)<latex>.*?</latex>")),
     ("back-ticks", backticks_to_tags),
     ("tags", math_to_tags),
     ("tables", table_uncertainty),
     ("formulas", lambda c: map_parts(c, normalise_formula, formulas=True, protected=r"(?s)<latex>.*?</latex>")),
     ("breaks", breaks_to_lines),
     ("macros", lambda c: map_parts(c, strip_visible_macros)),
+    ("compile again", compile_markup),
     ("flatten again", flatten_tags),
     ("blank lines", lambda c: F.concat(F.trim(collapse_blank_lines(c), F.lit("\n ")), F.lit("\n"))),
 )
 
 
-def polish(docs: DataFrame, text: str = "text", steps=POLISH) -> DataFrame:
-    """``docs`` with all normalisation steps applied to ``text``, each in a projection of its own."""
-    for _, step in steps:
+def polish(docs: DataFrame, text: str = "text", steps=POLISH, macros: str | None = None) -> DataFrame:
+    """``docs`` with all normalisation steps applied to ``text``, each in a projection of its own. ``macros`` names a
+    column struct<prose, plain, argument> of arrays of (name, value), the paper's macros."""
+    for name, step in steps:
         docs = docs.withColumn(text, step(F.col(text)))
+        if macros and name == "tables":
+            body = lambda x: F.concat(F.lit("<latex>"), expand_formula_macros(F.regexp_extract(x, r"(?s)^<latex>(.*)</latex>$", 1), F.col(f"{macros}.plain"), F.col(f"{macros}.argument")), F.lit("</latex>"))
+            docs = docs.withColumn(text, map_parts(F.col(text), body, formulas=True, protected=r"(?s)<latex>.*?</latex>"))
+        if macros and name == "breaks":
+            docs = docs.withColumn(text, expand_prose_macros(F.col(text), F.col(f"{macros}.prose")))
     return docs
 
 
@@ -233,5 +326,5 @@ def formula_diagnostics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """key, pos, code of formulas with unbalanced braces, unknown tags, or no end."""
     tokens = formula_tokens(docs, key, text)
     body = F.regexp_replace("value", r"(?s)^<latex>|</latex>$", "")
-    codes = F.when(F.col("kind") == "formula", F.array_compact(F.array(F.when(~braces_balanced(body), "unbalanced-braces"), F.when(body.rlike(r"<\s*/?\s*(?!latex\b)[A-Za-z][^<>]*>"), "unknown-html")))).otherwise(F.array_compact(F.array(F.when(F.col("value").rlike("</?latex>"), "unclosed-formula"))))
+    codes = F.when(F.col("kind") == "formula", F.array_compact(F.array(F.when(~braces_balanced(body), "unbalanced-braces"), F.when(F.regexp_replace(body, r"(?i)<\s*/?\s*(?:p|div|br)\b[^>]*>", "").rlike(r"<\s*/?\s*[A-Za-z][^<>]*>"), "unknown-html-in-formula")))).otherwise(F.array_compact(F.array(F.when(F.col("value").rlike("</?latex>"), "unclosed-formula"))))
     return tokens.select(key, "pos", F.explode(codes).alias("code"))

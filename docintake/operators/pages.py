@@ -25,6 +25,9 @@ EMPTY_CLAIMS = (r"(?i)^(we\s+)?find\s+that\s*[\.:;,!?。！？；：]*$", r"(?i)
 BLOCK = "page_id bigint, pos bigint, kind string, value bigint, text string"
 CAPS = {"code": 4000, "table": 4000, "math": 1200}
 DEFAULT_TITLE = "正文"
+OVERVIEW_TITLE = "原网页标题区和可视目录"
+# Words of links that matter.
+IMPORTANT = r"(?i)github|gitlab|huggingface|repository|repo|code|paper|arxiv|demo|api|modelscope|在线体验|仓库|代码"
 
 
 def _clean(s: str) -> str:
@@ -42,6 +45,8 @@ class _Blocks(HTMLParser):
         self.figure_image = 0
         self.buffers: dict[str, list[str]] = {}
         self.title = ""
+        self.href, self.label = "", []
+        self.captions: dict[int, list[int]] = {}
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -68,9 +73,8 @@ class _Blocks(HTMLParser):
                 self.figure_image = n
         elif tag in ("d-math", "pre", "code", "table", "figcaption"):
             self.buffers["code" if tag == "pre" else tag] = []
-        if tag == "a" and not self.skip and a.get("href"):
-            self.rows.append(("anchor", 0, urljoin(self.url, a["href"]) + "\t"))
-            self.buffers["a"] = []
+        if tag == "a" and a.get("href"):
+            self.href, self.label = urljoin(self.url, a["href"]), []
 
     def image(self, a: dict, block: bool) -> int:
         src = a.get("src") or a.get("data-src") or a.get("data-original")
@@ -78,6 +82,7 @@ class _Blocks(HTMLParser):
             return 0
         self.images += 1
         self.rows.append(("image_url", self.images, urljoin(self.url, src)))
+        self.captions[self.images] = [len(self.rows)]
         self.rows.append(("image" if block else "toc_image", self.images, a.get("alt", "")))
         return self.images
 
@@ -85,9 +90,13 @@ class _Blocks(HTMLParser):
         return glue.join(self.buffers.pop(name, []))
 
     def caption(self, n: int, text: str) -> None:
-        self.rows = [(k, v, text) if v == n and k in ("image", "toc_image") else (k, v, t) for k, v, t in self.rows]
+        for i in self.captions[n]:
+            self.rows[i] = (self.rows[i][0], n, text)
 
     def handle_endtag(self, tag):
+        if tag == "a" and self.href:  # also in navigation, where pages keep their code links
+            self.rows.append(("anchor", 0, f"{self.href}\t{_clean(' '.join(self.label))}"))
+            self.href = ""
         if tag in SKIPPED_TAGS and self.skip:
             self.skip -= 1
         if tag == "d-tochead" and "toc" in self.buffers:
@@ -121,6 +130,7 @@ class _Blocks(HTMLParser):
                     if text.lower() not in BOILERPLATE and text.lower() != self.title.strip().lower():
                         self.rows.append(("heading", int(tag[1]), text))
                         if n := self.toc_titles.get(heading_key(text)):
+                            self.captions[n].append(len(self.rows))
                             self.rows.append(("image", n, text))
                 else:
                     self.rows.append(("text", 0, text))
@@ -136,12 +146,10 @@ class _Blocks(HTMLParser):
             text = _clean(self.take("figcaption"))
             if text and self.figure_image:
                 self.caption(self.figure_image, text)
-        elif tag == "a" and "a" in self.buffers:
-            text = _clean(self.take("a"))
-            at = max(i for i, r in enumerate(self.rows) if r[0] == "anchor")
-            self.rows[at] = ("anchor", 0, self.rows[at][2] + text)
 
     def handle_data(self, data):
+        if self.href:
+            self.label.append(data)
         if "toc" in self.buffers:
             self.buffers["toc"].append(data)
         elif self.skip:
@@ -151,7 +159,7 @@ class _Blocks(HTMLParser):
             self.buffers["d-math"].append(data)
         else:
             inside = any(t in TEXT_TAGS for t in self.open)
-            for name in ("title", "code", "table", "figcaption", "a", *(["text"] if inside else [])):
+            for name in ("title", "code", "table", "figcaption", *(["text"] if inside else [])):
                 if name in self.buffers:
                     self.buffers[name].append(data)
 
@@ -232,7 +240,7 @@ def anchors(blocks: DataFrame) -> DataFrame:
     return blocks.filter("kind = 'anchor'").select("page_id", "pos", F.substring_index("text", "\t", 1).alias("href"), F.expr("substring(text, locate('\t', text) + 1)").alias("text"))
 
 
-def important_links(anchor_rows: DataFrame, pattern: str = r"(?i)paper|arxiv|code|github|data|demo|model|pdf", most: int = 12) -> DataFrame:
+def important_links(anchor_rows: DataFrame, pattern: str = IMPORTANT, most: int = 12) -> DataFrame:
     """The first ``most`` distinct links of each page whose text or target matters."""
     first = anchor_rows.filter(F.concat_ws(" ", "text", "href").rlike(pattern)).groupBy("page_id", "href").agg(F.min(F.struct("pos", "text")).alias("f"))
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("f.pos"))
@@ -295,17 +303,26 @@ def section_material(section_rows: DataFrame, most: int = 80, clip: int = 60_000
 
 
 def match_sections(snapshots: DataFrame, section_rows: DataFrame) -> DataFrame:
-    """Each snapshot (page_id, snap, heading) with its section: equal normalised titles, else the longest title
-    that contains or is contained in its heading, else the first section."""
+    """Each snapshot (page_id, snap, heading) with its section: equal normalised titles (the last of them), else the
+    longest title that contains or is contained in its heading, else the first section without a heading and the
+    last one with a heading that fits none."""
     s = section_rows.select("page_id", "section", heading_norm(F.col("title")).alias("key"))
     q = snapshots.withColumn("key", heading_norm(F.col("heading")))
-    equal = q.join(s, ["page_id", "key"]).groupBy("page_id", "snap").agg(F.min("section").alias("equal"))
+    equal = q.join(s, ["page_id", "key"]).groupBy("page_id", "snap").agg(F.max("section").alias("equal"))
     t = s.withColumnRenamed("key", "title_key")
     near = q.join(t, "page_id").filter((F.col("key") != "") & (F.col("title_key") != "") & (F.col("key").contains(F.col("title_key")) | F.col("title_key").contains(F.col("key"))))
     near = near.groupBy("page_id", "snap").agg(F.max_by("section", F.struct(F.length("title_key"), -F.col("section"))).alias("near"))
-    first = s.groupBy("page_id").agg(F.min("section").alias("first"))
-    got = q.select("page_id", "snap").join(equal, ["page_id", "snap"], "left").join(near, ["page_id", "snap"], "left").join(first, "page_id", "left")
-    return got.select("page_id", "snap", F.coalesce("equal", "near", "first").alias("section"))
+    first = s.groupBy("page_id").agg(F.min("section").alias("first"), F.max("section").alias("last"))
+    got = q.select("page_id", "snap", "heading").join(equal, ["page_id", "snap"], "left").join(near, ["page_id", "snap"], "left").join(first, "page_id", "left")
+    return got.select("page_id", "snap", F.coalesce("equal", "near", F.when(F.coalesce("heading", F.lit("")) == "", F.col("first")).otherwise(F.col("last"))).alias("section"))
+
+
+def overview_sections(snapshots: DataFrame) -> DataFrame:
+    """The section that pages with overview snapshots (page_id, kind, y, n, caption) begin with: their images, from top
+    to bottom. Its number is -1, before all others."""
+    block = F.trim(F.concat(F.lit("[ArticleImage:"), F.col("n").cast("string"), F.lit("] "), F.coalesce("caption", F.lit(""))))
+    got = snapshots.filter("kind = 'overview'").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y", "n", block.alias("t")))).alias("x"))
+    return got.select("page_id", F.lit(-1).cast("bigint").alias("section"), F.lit(OVERVIEW_TITLE).alias("title"), F.lit(1).cast("bigint").alias("level"), F.transform("x", lambda x: x["t"]).alias("blocks"))
 
 
 def anchor_snapshots(snapshots: DataFrame, block_rows: DataFrame, least: int = 24, overlap: float = 0.72) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docintake.operators import pages as p
@@ -19,9 +20,14 @@ def _(spark, d):
     return _blocks(spark, d)
 
 
-@query("art_titles", "SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')) AS title FROM pages WHERE html NOT LIKE '%og:title%' AND html LIKE '%<title>%'")
+_ENTITY = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+@query("art_titles", f"SELECT page_id, CASE WHEN og <> '' THEN {_ENTITY.format('og')} ELSE trim({_ENTITY.format('tag')}) END AS title FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('Own ', CAST(page_id AS VARCHAR)) ELSE '' END AS og, CASE WHEN page_id % 5 = 0 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS tag FROM pages) x")
 def _(spark, d):
-    pages = load(spark, d, "pages").filter("html not like '%og:title%' and html like '%<title>%'")
+    meta = F.concat(F.lit('<meta property="og:title" content="Own '), F.col("page_id").cast("string"), F.lit('">'))
+    html = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("html", "<title>[^<]*</title>", "")).otherwise(F.col("html"))
+    pages = load(spark, d, "pages").withColumn("html", F.when(F.col("page_id") % 3 == 0, F.regexp_replace(html, F.lit("<head>"), F.concat(F.lit("<head>"), meta))).otherwise(html))
     return p.titles(p.page_blocks(pages)).select("page_id", "title")
 
 
@@ -45,9 +51,13 @@ def _(spark, d):
     return p.section_material(p.sections(_blocks(spark, d)))
 
 
-@query("art_anchors")
+_LINKS = "SELECT page_id, n, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h[n]) AS href, t[n] AS text FROM (SELECT page_id, url, h, t, unnest(generate_series(1, len(h))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"(/[^\"]*)\">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href=\"/[^\"]*\">([^<]*)</a>', 1) AS t FROM pages) x) y"
+
+
+@query("art_anchors", f"SELECT page_id, CAST(n AS INT) AS n, href, trim(text) AS text FROM ({_LINKS}) z")
 def _(spark, d):
-    return p.anchors(_blocks(spark, d))
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return p.anchors(_blocks(spark, d)).select("page_id", n.alias("n"), "href", "text")
 
 
 #: Sections whose number, level and blocks follow from the lines of documents.
@@ -60,16 +70,17 @@ def _(spark, d):
     return p.sections(sql(spark, d, _LINES)).select("page_id", "section", "title", "level", F.array_join("blocks", "|").alias("blocks"))
 
 
-@query("art_useful_text", "SELECT event_id, event_id % 4 = 3 AS ok FROM events")
+@query("art_useful_text", "SELECT doc_id, CAST(doc_id % 4 = 3 AND length(t) + 21 >= 2 OR doc_id % 4 = 1 AND length(t) >= 2 AS BOOLEAN) AS ok FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) x")
 def _(spark, d):
-    t = F.when(F.col("event_id") % 4 == 0, "We find that .").when(F.col("event_id") % 4 == 1, "x").when(F.col("event_id") % 4 == 2, "We show that:").otherwise("We find that it works")
-    return load(spark, d, "events").select("event_id", p.useful_text(t).alias("ok"))
+    t = F.when(F.col("doc_id") % 4 == 0, "We find that .").when(F.col("doc_id") % 4 == 1, F.coalesce("text", F.lit(""))).when(F.col("doc_id") % 4 == 2, "We show that:").otherwise(F.concat(F.lit("We find that it works "), F.coalesce("text", F.lit(""))))
+    return load(spark, d, "documents").select("doc_id", p.useful_text(t).alias("ok"))
 
 
-@query("art_inline_math", "SELECT event_id, unnest(['a+b', 'c=d', concat('x', CAST(event_id AS VARCHAR))]) AS m FROM events")
+@query("art_inline_math", "SELECT doc_id, unnest(['a+b', 'c=d', concat('x', CAST(doc_id AS VARCHAR))]) AS m FROM documents")
 def _(spark, d):
-    t = F.concat(F.lit("$x"), F.col("event_id").cast("string"), F.lit(r"$ and \[c=d\] and $$a+b$$ and \[c=d\]"))
-    return load(spark, d, "events").select("event_id", F.explode(p.inline_math(t)).alias("m"))
+    bare = F.replace(F.coalesce("text", F.lit("")), F.lit("$"), F.lit(""))
+    t = F.concat(bare, F.lit("\n$x"), F.col("doc_id").cast("string"), F.lit(r"$ and \[c=d\] and $$a+b$$ and \[c=d\] "), bare)
+    return load(spark, d, "documents").select("doc_id", F.explode(p.inline_math(t)).alias("m"))
 
 
 @query("art_too_thin", "SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) < 600 AND doc_id % 3 > 0 AS thin FROM documents")
@@ -77,16 +88,17 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", p.too_thin(F.concat(F.lit("[ArticleImage:3] "), "text"), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(0)).alias("thin"))
 
 
-@query("art_density", "SELECT page_id, page_id % 2 = 0 OR page_id % 3 = 0 AS dense FROM pages")
+@query("art_density", "SELECT page_id, page_id % 2 = 0 OR page_id % 3 = 0 OR page_id % 5 = 0 OR len(regexp_extract_all(lower(html), '<(canvas|svg|video|iframe|figure)[ >/]')) >= 20 AS dense FROM pages")
 def _(spark, d):
-    html = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<d-article>"), "page_id")).otherwise(F.repeat(F.lit("<svg></svg>"), 5))
-    url = F.when(F.col("page_id") % 2 == 0, "https://dense.example/x").otherwise("https://other.example/")
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<d-article>"))).when(F.col("page_id") % 5 == 0, F.concat(F.repeat(F.lit("<svg></svg>"), 20), "html")).otherwise(F.col("html"))
+    url = F.when(F.col("page_id") % 2 == 0, "https://dense.example/x").otherwise(F.col("url"))
     return load(spark, d, "pages").select("page_id", p.visually_dense(url, html, ("dense.example",)).alias("dense"))
 
 
-@query("art_heading_norm", "SELECT doc_id, concat('methods ', lang) AS k FROM documents")
+@query("art_heading_norm", "SELECT page_id, lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'))) AS k FROM pages")
 def _(spark, d):
-    return load(spark, d, "documents").select("doc_id", p.heading_norm(F.concat(F.lit(" 3.1. Methods \n"), "lang")).alias("k"))
+    title = F.concat(F.lit(" 3.1. "), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("\n "))
+    return load(spark, d, "pages").select("page_id", p.heading_norm(title).alias("k"))
 
 
 _ANCHORS = "SELECT event_id % 300 AS page_id, event_id AS pos, concat('https://x/', CAST(event_id % 20 AS VARCHAR(4))) AS href, CASE WHEN event_id % 3 = 0 THEN 'our Code' ELSE 'other' END AS text FROM events"
@@ -98,11 +110,11 @@ def _(spark, d):
 
 
 _SECTIONS = "SELECT user_id AS page_id, event_id AS section, concat(CAST(event_id % 9 AS VARCHAR(4)), '. ', event_type, ' part ', CAST(event_id % 5 AS VARCHAR(4))) AS title FROM events WHERE event_id % 10 = 0"
-_SNAPS = "SELECT user_id AS page_id, event_id AS snap, CASE event_id % 3 WHEN 0 THEN concat(event_type, ' part ', CAST(event_id % 5 AS VARCHAR(4))) WHEN 1 THEN concat('the ', event_type, ' part 0 again') ELSE 'zzz' END AS heading FROM events WHERE event_id % 7 = 0"
+_SNAPS = "SELECT user_id AS page_id, event_id AS snap, CASE event_id % 4 WHEN 0 THEN concat(event_type, ' part ', CAST(event_id % 5 AS VARCHAR(4))) WHEN 1 THEN concat('the ', event_type, ' part 0 again') WHEN 2 THEN '' ELSE 'zzz' END AS heading FROM events WHERE event_id % 7 = 0"
 
 
 @query("art_match_sections", f"""WITH s AS (SELECT page_id, section, regexp_replace(title, '^[0-9]+[.] ', '') AS k FROM ({_SECTIONS}) x), q AS (SELECT * FROM ({_SNAPS}) y)
-SELECT q.page_id, q.snap, coalesce((SELECT min(section) FROM s WHERE s.page_id = q.page_id AND s.k = q.heading), (SELECT arg_max(section, length(k) * 100000000 - section) FROM s WHERE s.page_id = q.page_id AND (contains(q.heading, k) OR contains(k, q.heading))), (SELECT min(section) FROM s WHERE s.page_id = q.page_id)) AS section FROM q""")
+SELECT q.page_id, q.snap, coalesce((SELECT max(section) FROM s WHERE s.page_id = q.page_id AND s.k = q.heading), (SELECT arg_max(section, length(k) * 100000000 - section) FROM s WHERE s.page_id = q.page_id AND q.heading <> '' AND (contains(q.heading, k) OR contains(k, q.heading))), (SELECT CASE WHEN q.heading = '' THEN min(section) ELSE max(section) END FROM s WHERE s.page_id = q.page_id)) AS section FROM q""")
 def _(spark, d):
     return p.match_sections(sql(spark, d, _SNAPS), sql(spark, d, _SECTIONS))
 
@@ -186,10 +198,11 @@ def _(spark, d):
     return sql(spark, d, _CODE_DOCS).select("doc_id", F.exists(r.urls(F.col("text")), r.project_page).alias("project"))
 
 
-@query("repo_project_context", "SELECT event_id, event_id % 3 = 0 AS near FROM events")
+@query("repo_project_context", "SELECT doc_id, doc_id % 3 = 0 AS near FROM documents")
 def _(spark, d):
-    t = F.when(F.col("event_id") % 3 == 0, F.lit("Project page: https://a.example/x")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("project page "), F.repeat(F.lit("z"), 300), F.lit(" https://a.example/x"))).otherwise("nothing")
-    return load(spark, d, "events").select("event_id", r.project_context(t, F.lit("http://a.example/x")).alias("near"))
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "(?i)project|code|repository|://", "")
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(t, F.lit(" Project page: https://a.example/x "), t)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("project page "), F.repeat(F.lit("z"), 300), F.lit(" https://a.example/x "), t)).otherwise(t)
+    return load(spark, d, "documents").select("doc_id", r.project_context(said, F.lit("http://a.example/x")).alias("near"))
 
 
 @query("repo_resolved", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('https://github.com/o/r', CAST(doc_id AS VARCHAR)) WHEN 2 THEN concat('https://github.com/c/d', CAST(doc_id AS VARCHAR)) ELSE concat('https://github.com/p/q', CAST(doc_id AS VARCHAR)) END AS repo FROM ({_CODE_DOCS}) x WHERE doc_id % 5 IN (0, 2) OR doc_id % 10 = 3")
@@ -201,12 +214,12 @@ def _(spark, d):
 
 @query("repo_in_anchors", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://github.com/a/code' ELSE 'https://gitlab.com/z/y' END AS repo FROM pages WHERE page_id % 3 < 2")
 def _(spark, d):
-    html = F.when(F.col("page_id") % 3 == 0, '<p><a href="https://github.com/x/y">x</a><a href="https://github.com/a/code">Code</a></p>').when(F.col("page_id") % 3 == 1, "<script>u='https://gitlab.com/z/y'</script>").otherwise("<p>none</p>")
-    pages = load(spark, d, "pages").withColumn("html", html)
+    put = F.when(F.col("page_id") % 3 == 0, '<nav><a href="https://github.com/x/y">x</a><a href="https://github.com/a/code">Code</a></nav>').when(F.col("page_id") % 3 == 1, "<script>u='https://gitlab.com/z/y'</script>").otherwise("<p>none</p>")
+    pages = load(spark, d, "pages").withColumn("html", F.concat("html", put))
     return r.repos_in_anchors(p.anchors(p.page_blocks(pages)).filter("href <> 'https://github.com/x/y'"), pages)
 
 
-@query("repo_rewrite", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('a', chr(10), '| 代码仓库 | https://g/', CAST(doc_id AS VARCHAR), ' |', chr(10), 'b') ELSE concat('a', chr(10), 'b') END AS text FROM documents")
+@query("repo_rewrite", "SELECT doc_id, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN concat(t, chr(10), '| 代码仓库 | https://g/', CAST(doc_id AS VARCHAR), ' |', chr(10), t) ELSE concat(t, chr(10), t) END, '\n{3,}', chr(10) || chr(10), 'g') AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) x")
 def _(spark, d):
-    repo = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://g/"), F.col("doc_id").cast("string")))
-    return load(spark, d, "documents").select("doc_id", r.rewrite_line(F.lit("a\n| 代码仓库 | old |\nb"), repo).alias("text"))
+    repo, t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://g/"), F.col("doc_id").cast("string"))), F.coalesce("text", F.lit(""))
+    return load(spark, d, "documents").select("doc_id", r.rewrite_line(F.concat(t, F.lit("\n| 代码仓库 | old |\n"), t), repo).alias("text"))

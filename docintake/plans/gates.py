@@ -11,61 +11,90 @@ from docintake.plans.queue import _with
 from docintake.plans.registry import query
 from docintake.sources.views import load, sql
 
-#: Documents with faults of many kinds, by number.
-_DOCS = """SELECT doc_id, concat(left(text, 300), CASE doc_id % 8 WHEN 0 THEN concat(chr(10), '<latex>a{b</latex>') WHEN 1 THEN concat(chr(10), chr(92), 'textbf{x}') WHEN 2 THEN ' what ?? here' WHEN 3 THEN ' [TRUNCATED]' WHEN 4 THEN '<p class="a">' WHEN 5 THEN concat(chr(10), '| 1.28^{+0.11}_{-0.10} |') WHEN 6 THEN ' 图表补充' ELSE concat(chr(10), '这是 comput') END) AS markdown,
- CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<p>a<br/>## head</p>' WHEN 2 THEN concat('<code>', chr(92), 'frac</code>') WHEN 3 THEN '<p>[AnyFigure:1:x]</p>' ELSE '<p>fine</p>' END AS xml FROM documents WHERE NOT contains(text, '$') AND NOT contains(text, '??')"""
-_ISSUES = """SELECT doc_id, agent, stage, severity, detail FROM (
- SELECT doc_id, 'formula' AS agent, 'markdown' AS stage, 'high' AS severity, 'unbalanced-braces' AS detail FROM d WHERE doc_id % 8 = 0
- UNION ALL SELECT doc_id, 'format', 'markdown', 'high', 'raw-tex-formatting-command' FROM d WHERE doc_id % 8 = 1
- UNION ALL SELECT doc_id, 'text', 'markdown', 'medium', 'unresolved-question-placeholder' FROM d WHERE doc_id % 8 = 2
- UNION ALL SELECT doc_id, 'text', 'markdown', 'medium', 'source-truncated-marker' FROM d WHERE doc_id % 8 = 3
- UNION ALL SELECT doc_id, 'format', 'markdown', 'high', 'raw-html-paragraph-tag' FROM d WHERE doc_id % 8 = 4
- UNION ALL SELECT doc_id, 'format', 'markdown', 'high', 'raw-table-math' FROM d WHERE doc_id % 8 = 5
- UNION ALL SELECT doc_id, 'figure', 'markdown', 'medium', 'figure-supplement-section' FROM d WHERE doc_id % 8 = 6
- UNION ALL SELECT doc_id, 'text', 'markdown', 'medium', 'possible-truncated-english-tail' FROM d WHERE doc_id % 8 = 7
- UNION ALL SELECT doc_id, 'format', 'xml', 'high', 'markdown-heading-inside-paragraph' FROM d WHERE doc_id % 5 = 1
- UNION ALL SELECT doc_id, 'xml', 'xml', 'high', 'latex-downgraded-to-code' FROM d WHERE doc_id % 5 = 2
- UNION ALL SELECT doc_id, 'xml', 'xml', 'medium', 'unpublished-marker:[AnyFigure:1:x]' FROM d WHERE doc_id % 5 = 3) x"""
+
+def _spliced(fault: str, many: int = 1) -> str:
+    """SQL: the whole text of every document with ``fault`` (an SQL expression; ``many`` kinds by doc_id) at a place of
+    its own."""
+    return f"SELECT doc_id, CAST(doc_id % {many} AS INT) AS kind, substring(t, 1, CAST(k AS INT)) AS a, substring(t, CAST(k AS INT) + 1) AS b, {fault} AS fault FROM (SELECT doc_id, t, doc_id * 37 % (length(t) + 1) AS k FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) x) y"
+
+
+def _text(spark, d, fault: str, many: int = 1):
+    return sql(spark, d, _spliced(fault, many)).select("doc_id", "kind", F.concat("a", "fault", "b").alias("text"))
+
+
+_BS = "chr(92)"
+#: A fault of each kind, on lines of its own before or behind the text (inside, dollar signs could make it a formula).
+_FAULTS = f"""concat(chr(10), CASE doc_id % 9 WHEN 0 THEN '<latex>a{{b</latex>' WHEN 1 THEN concat({_BS}, 'textbf{{x}}') WHEN 2 THEN '这 ?? 里' WHEN 3 THEN '[TRUNCATED]' WHEN 4 THEN '<p class="a">' WHEN 5 THEN '| 1.28^{{+0.11}}_{{-0.10}} |' WHEN 6 THEN '图表补充' WHEN 7 THEN '这是 comput' ELSE '<latex>x<span>y</span></latex>' END, chr(10))"""
+_DOCS = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(fault, a, b) ELSE concat(a, b, fault) END AS markdown,
+ CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<p>a<br/>## head</p>' WHEN 2 THEN concat('<code>', chr(92), 'frac</code>') WHEN 3 THEN '<p>[AnyFigure:1:x]</p>' ELSE '<p>fine</p>' END AS xml FROM ({_spliced(_FAULTS)}) z"""
 
 
 def _docs(spark, d):
     return sql(spark, d, _DOCS)
 
 
-@query("qg_issues", f"WITH d AS ({_DOCS}) {_ISSUES}")
+#: What every text may hold beside its fault, by rules that both engines read alike.
+_OWN = r"""SELECT doc_id, 'text' AS agent, 'markdown' AS stage, 'medium' AS severity, 'unresolved-question-placeholder' AS detail FROM d WHERE regexp_matches(concat(' ', markdown, ' '), '[^?][?][?][^?]')
+ UNION ALL SELECT doc_id, 'formula', 'markdown', 'medium', 'raw-dollar-display-math' FROM d WHERE regexp_matches(concat(' ', markdown), '[^\\][$][$]') OR contains(markdown, concat(chr(92), '[')) OR contains(markdown, concat(chr(92), ']'))
+ UNION ALL SELECT doc_id, 'text', 'markdown', 'medium', 'source-truncated-marker' FROM d WHERE contains(markdown, '[TRUNCATED]')
+ UNION ALL SELECT doc_id, 'format', 'markdown', 'high', 'raw-html-paragraph-tag' FROM d WHERE regexp_matches(markdown, '(?i)</?p([ \t\n][^>]*)?>')
+ UNION ALL SELECT doc_id, 'figure', 'markdown', 'medium', 'figure-supplement-section' FROM d WHERE contains(markdown, '图表补充')
+ UNION ALL SELECT doc_id, 'formula', 'markdown', 'high', 'unknown-html-in-formula' FROM d WHERE doc_id % 9 = 8
+ UNION ALL SELECT doc_id, 'formula', 'markdown', 'high', 'unbalanced-braces' FROM d WHERE doc_id % 9 = 0
+ UNION ALL SELECT doc_id, 'format', 'markdown', 'high', 'raw-tex-formatting-command' FROM d WHERE doc_id % 9 = 1
+ UNION ALL SELECT doc_id, 'format', 'markdown', 'high', 'raw-table-math' FROM d WHERE doc_id % 9 = 5
+ UNION ALL SELECT doc_id, 'text', 'markdown', 'medium', 'possible-truncated-english-tail' FROM d WHERE doc_id % 9 = 7
+ UNION ALL SELECT doc_id, 'format', 'xml', 'high', 'markdown-heading-inside-paragraph' FROM d WHERE doc_id % 5 = 1
+ UNION ALL SELECT doc_id, 'xml', 'xml', 'high', 'latex-downgraded-to-code' FROM d WHERE doc_id % 5 = 2
+ UNION ALL SELECT doc_id, 'xml', 'xml', 'medium', 'unpublished-marker:[AnyFigure:1:x]' FROM d WHERE doc_id % 5 = 3"""
+@query("qg_issues", f"WITH d AS ({_DOCS}) {_OWN}")
 def _(spark, d):
     return g.issue_table(g.inspect(_docs(spark, d))).drop("pos")
 
 
-@query("qg_warnings", f"WITH d AS ({_DOCS}) SELECT doc_id, concat('quality:', agent, ':', stage, ':', severity, ':', detail) AS warning, severity = 'high' AS blocking FROM ({_ISSUES}) i WHERE detail NOT LIKE 'unpublished%'")
+@query("qg_warnings", f"WITH d AS ({_DOCS}) SELECT doc_id, concat('quality:', agent, ':', stage, ':', severity, ':', detail) AS warning, severity = 'high' AS blocking FROM ({_OWN}) i WHERE detail NOT LIKE 'unpublished%'")
 def _(spark, d):
     rows = g.inspect(_docs(spark, d)).select("doc_id", F.explode(g.prepublish_warnings(F.col("issues"))).alias("warning"))
     return rows.withColumn("blocking", g.blocking(F.col("warning")))
 
 
-@query("qg_formula_bodies", "SELECT doc_id, unnest(regexp_extract_all(md, '(?s)<latex>(.*?)</latex>', 1)) AS body FROM v_md WHERE doc_id % 3 = 1 AND NOT contains(replace(md, '$x_{1}$', ''), '$') UNION ALL SELECT doc_id, 'x_{1}' FROM v_md WHERE doc_id % 3 = 1 AND NOT contains(replace(md, '$x_{1}$', ''), '$')", "v_md")
+@query("qg_formula_bodies")
 def _(spark, d):
-    rows = load(spark, d, "v_md").filter("doc_id % 3 = 1").filter(~F.replace("md", F.lit("$x_{1}$"), F.lit("")).contains("$"))
-    return rows.select("doc_id", F.explode(g.formula_bodies(F.col("md"))).alias("body"))
+    return load(spark, d, "v_md").select("doc_id", F.posexplode(g.formula_bodies(F.col("md"))).alias("pos", "body"))
+
 
+_KINDS = f"CASE doc_id % 6 WHEN 0 THEN concat({_BS}, 'tens{{K}}') WHEN 1 THEN concat({_BS}, 'mbox {{a}}') WHEN 2 THEN concat({_BS}, 'left( a') WHEN 3 THEN concat('a', {_BS}, '{{ b}}') WHEN 4 THEN '中文' ELSE 'x^{{2}}' END"
+#: Bodies of formulas: the whole text without characters that have a meaning in TeX, with a fault spliced in.
+_BODIES = f"SELECT doc_id AS id, concat(regexp_replace(a, '[^A-Za-z0-9 .,]', '', 'g'), ' ', fault, ' ', regexp_replace(b, '[^A-Za-z0-9 .,]', '', 'g')) AS body FROM ({_spliced(_KINDS)}) z"
 
-_BODIES = "SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN concat(chr(92), 'tens{K}') WHEN 1 THEN concat(chr(92), 'mbox {a}') WHEN 2 THEN concat(chr(92), 'left( a') WHEN 3 THEN concat('a', chr(92), '{ b}') WHEN 4 THEN '中文' ELSE 'x^{2}' END AS body FROM events"
+
+def _bodies(spark, d):
+    bare = lambda c: F.regexp_replace(c, "[^A-Za-z0-9 .,]", "")
+    return sql(spark, d, _spliced(_KINDS)).select(F.col("doc_id").alias("id"), F.concat_ws(" ", bare("a"), "fault", bare("b")).alias("body"))
 
 
 @query("qg_body_rules", f"SELECT id, CASE id % 6 WHEN 0 THEN 'unsupported-tensor-macro' WHEN 1 THEN 'mbox-command-in-formula' WHEN 2 THEN 'unbalanced-left-right' WHEN 3 THEN 'unbalanced-braces' ELSE 'cjk-inside-formula' END AS label FROM ({_BODIES}) b WHERE id % 6 < 5")
 def _(spark, d):
-    return sql(spark, d, _BODIES).select("id", F.explode(g.body_labels(F.col("body"))).alias("label"))
+    return _bodies(spark, d).select("id", F.explode(g.body_labels(F.col("body"))).alias("label"))
 
 
-@query("qg_braces", "SELECT event_id, event_id % 3 = 0 AS ok FROM events")
+@query("norm_valid_formulas", f"SELECT id, id % 6 IN (0, 1, 5) AND NOT regexp_matches(body, '\\\\[A-Za-z]+([ ]+[A-Za-z]{{3,}}){{3,}}') AS ok FROM ({_BODIES}) b")
 def _(spark, d):
-    s = F.when(F.col("event_id") % 3 == 0, F.lit(r"{a{b}\}}")).when(F.col("event_id") % 3 == 1, F.lit("}{")).otherwise(F.lit(r"{a\}"))
-    return load(spark, d, "events").select("event_id", tx.braces_balanced(s).alias("ok"))
+    return _bodies(spark, d).select("id", n.valid_formula(F.col("body")).alias("ok"))
+
+
+_BRACES = "CASE doc_id % 4 WHEN 0 THEN concat('{a{b}', chr(92), '}}') WHEN 1 THEN '}{' WHEN 2 THEN concat('{a', chr(92), '}') ELSE '' END"
 
 
-@query("qg_display_math", "SELECT doc_id, contains(md, '$$') AS raw FROM v_md WHERE doc_id % 3 <> 1", "v_md")
+@query("qg_braces", f"""SELECT doc_id, balance AND lows >= 0 AS ok FROM (SELECT doc_id, sum(step) = 0 AS balance, min(depth) AS lows FROM (SELECT doc_id, step, sum(step) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS depth
+ FROM (SELECT doc_id, i, CASE ch WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END AS step FROM (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, list_concat([' '], regexp_extract_all(regexp_replace(concat(a, fault, b), '(?s)\\\\.', '', 'g'), '[{{}}]')) AS c FROM ({_spliced(_BRACES)}) z) q) r) s) t GROUP BY 1) u""")
 def _(spark, d):
-    return load(spark, d, "v_md").filter("doc_id % 3 <> 1").select("doc_id", g.raw_display_math(F.col("md")).alias("raw"))
+    return _text(spark, d, _BRACES).select("doc_id", tx.braces_balanced(F.col("text")).alias("ok"))
+
+
+@query("qg_display_math", "SELECT doc_id, regexp_matches(concat(' ', md), '[^\\\\][$][$]') OR contains(md, concat(chr(92), '[')) OR contains(md, concat(chr(92), ']')) AS raw FROM v_md", "v_md")
+def _(spark, d):
+    return load(spark, d, "v_md").select("doc_id", g.raw_display_math(F.col("md")).alias("raw"))
 
 
 _WARN = "SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN 'post-publish:quality:text:xml:high:x' WHEN 1 THEN 'quality:text:xml:medium:x' WHEN 2 THEN 'visual-qa:high:table-overflow:a' WHEN 3 THEN 'visual-qa:recheck:high:image-overflow:a' WHEN 4 THEN 'visual-qa:remote-error:t' WHEN 5 THEN 'image-insert-failed:3' WHEN 6 THEN 'post-publish:marker-left-after-publish' ELSE 'visual-qa:medium:x' END AS w FROM events"
@@ -124,18 +153,6 @@ def _(spark, d):
     return load(spark, d, "v_md").select("doc_id", g.structure_error(o, r, F.lit(["[Figure:9:z]"])).alias("error"))
 
 
-@query("qg_refusals", "SELECT event_id, event_id % 3 = 0 AS refused FROM events")
-def _(spark, d):
-    t = F.when(F.col("event_id") % 3 == 0, "I'm  SORRY, but I cannot\nassist").otherwise("Fine")
-    return load(spark, d, "events").select("event_id", g.refusal(t).alias("refused"))
-
-
-@query("qg_transient_errors", "SELECT event_id, event_type IN ('error', 'click') AS transient FROM events")
-def _(spark, d):
-    t = F.when(F.col("event_type") == "error", "Connection RESET by peer").when(F.col("event_type") == "click", "HTTP 429").otherwise("not found")
-    return load(spark, d, "events").select("event_id", g.transient_error(t).alias("transient"))
-
-
 @query("qg_repair_ledger", """SELECT user_id AS doc_id, coalesce(min(event_id) FILTER (event_type = 'purchase'), max(event_id)) AS chosen, count(*) FILTER (event_type = 'purchase') > 0 AS passed, count(*) AS rounds, bool_or(same) AS stalled
  FROM (SELECT *, coalesce(props = lag(props) OVER (PARTITION BY user_id ORDER BY event_id), false) AS same FROM events) e GROUP BY 1""")
 def _(spark, d):
@@ -149,99 +166,186 @@ def _(spark, d):
     return g.failure_ledger(rows)
 
 
-@query("qg_repairs", "SELECT doc_id, concat('# T', chr(10), chr(10), 'body ', CAST(doc_id AS VARCHAR)) AS text FROM documents")
+# ---------------------------------------------------------------- normalisation
+
+
+_REFUSED = "CASE doc_id % 3 WHEN 0 THEN concat('I''m  SORRY, but I cannot', chr(10), 'assist') WHEN 1 THEN '抱歉，我无法' ELSE 'Fine' END"
+
+
+@query("qg_refusals", f"SELECT doc_id, doc_id % 3 < 2 OR regexp_matches(lower(regexp_replace(concat(a, b), '\\s+', ' ', 'g')), 'i cannot assist with that request') AS refused FROM ({_spliced(_REFUSED)}) z")
+def _(spark, d):
+    return _text(spark, d, _REFUSED).select("doc_id", g.refusal(F.col("text")).alias("refused"))
+
+
+@query("qg_transient_errors", "SELECT doc_id, regexp_matches(lower(coalesce(text, '')), 'timeout|timed out|temporarily|connection reset|connection refused|rate limit|too many requests|429|502|503|504') AS transient FROM documents")
+def _(spark, d):
+    return load(spark, d, "documents").select("doc_id", g.transient_error(F.col("text")).alias("transient"))
+
+
+@query("qg_repairs", "SELECT doc_id, CASE WHEN regexp_matches(ltrim(t, chr(10) || ' '), '^#[ ]+[^ ]') THEN t ELSE concat('# T', chr(10), chr(10), t) END AS text FROM (SELECT doc_id, trim(coalesce(text, ''), chr(10) || ' ') AS t FROM documents) x")
 def _(spark, d):
-    k = F.concat(F.lit("body "), F.col("doc_id").cast("string"))
-    fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```markdown\n"), k, F.lit("\n```"))).otherwise(k)
+    body = F.trim(F.coalesce("text", F.lit("")), F.lit("\n "))
+    fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```markdown\n"), body, F.lit("\n```"))).otherwise(body)
     return load(spark, d, "documents").select("doc_id", g.with_title(g.unwrap_outer_fence(fenced), F.lit("T")).alias("text"))
 
 
-@query("qg_false_warnings", "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN concat('a', chr(10), 'c') ELSE concat('a', chr(10), '# h') END AS text FROM documents")
+_CLAIM = "concat(chr(10), '材料不足，x', chr(10), 'y', chr(10), chr(10))"
+
+
+@query("qg_false_warnings", f"SELECT doc_id, concat(a, chr(10), b) AS text FROM ({_spliced(_CLAIM)}) z")
+def _(spark, d):
+    return n.drop_false_warnings(_text(spark, d, _CLAIM).select("doc_id", "text"))
+
+
+#: A short draft and a complete one under the same title, behind the text of the document.
+_DRAFTS = "SELECT doc_id, concat(coalesce(text, ''), chr(10), '# T', chr(10), 'short', chr(10), '# T', chr(10), 'TL;DR', chr(10), coalesce(text, '')) AS markdown FROM documents"
+
+
+@query("qg_last_complete")
 def _(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "a\n材料不足，x\ny\n\nc").otherwise("a\n材料不足\ny\n# h").alias("text"))
-    return n.drop_false_warnings(docs)
+    parts = "".join(f"\n## {k}. Part {k}\n" + "text of the part. " * 30 for k in range(1, 8))
+    whole = F.concat("markdown", F.lit("\n# T\nshort\n# T\n\n**TL;DR** x\n"), F.lit(parts))
+    return g.last_complete_suffix(sql(spark, d, _DRAFTS).select("doc_id", whole.alias("markdown")), F.array().cast("array<string>"))
 
 
 # ---------------------------------------------------------------- normalisation
 
 
-@query("norm_symbols", "SELECT event_id, concat(chr(92), 'alpha', chr(92), 'le 3 ', event_type) AS s FROM events")
+def _mapped(table: dict[str, str], c: str) -> str:
+    for old, new in table.items():
+        c = f"replace({c}, '{old}', '{new}')"
+    return c
+
+
+@query("norm_symbols", f"SELECT doc_id, {_mapped(n.SYMBOLS, 'concat(a, fault, b)')} AS s FROM ({_spliced(repr('α≤3'))}) z")
 def _(spark, d):
-    return load(spark, d, "events").select("event_id", n.symbols_to_commands(F.concat(F.lit("α≤3 "), "event_type")).alias("s"))
+    return _text(spark, d, "'α≤3'").select("doc_id", n.symbols_to_commands(F.col("text")).alias("s"))
 
 
-@query("norm_entities", "SELECT event_id, concat('a < b &', chr(160), 'c ', event_type) AS s FROM events")
+_ENTITIES = "'a &amp;lt; b &amp;&nbsp;c<br/>'"
+
+
+@query("norm_entities", f"SELECT doc_id, concat(a, 'a < b &', chr(160), 'c ', b) AS s FROM ({_spliced(_ENTITIES)}) z")
 def _(spark, d):
-    return load(spark, d, "events").select("event_id", n.decode_formula(F.concat(F.lit("a &amp;lt; b &amp;&nbsp;c<br/>"), "event_type")).alias("s"))
+    return _text(spark, d, _ENTITIES).select("doc_id", n.decode_formula(F.col("text")).alias("s"))
+
 
+_SPANS = "'<latex>x</latex> and <code>y</code>'"
 
-@query("norm_segments", "SELECT doc_id, CAST(k AS INT) AS pos, CASE k WHEN 0 THEN left(text, 40) WHEN 1 THEN '<latex>x</latex>' WHEN 2 THEN ' and ' WHEN 3 THEN '<code>y</code>' ELSE '.' END AS text, CASE k WHEN 1 THEN 'formula' WHEN 3 THEN 'code' ELSE 'prose' END AS kind FROM documents, range(5) t(k)")
+
+@query("norm_segments", f"SELECT doc_id, CAST(k AS INT) AS pos, CASE k WHEN 0 THEN a WHEN 1 THEN '<latex>x</latex>' WHEN 2 THEN ' and ' WHEN 3 THEN '<code>y</code>' ELSE b END AS text, CASE k WHEN 1 THEN 'formula' WHEN 3 THEN 'code' ELSE 'prose' END AS kind FROM ({_spliced(_SPANS)}) z, range(5) t(k)")
 def _(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit("<latex>x</latex> and <code>y</code>.")).alias("text"))
-    return n.segments(docs)
+    return n.segments(_text(spark, d, _SPANS).select("doc_id", "text"))
+
 
+_MACROS = f"concat({_BS}, 'textbf{{a}} ', {_BS}, 'emph{{b ', {_BS}, 'textsc{{d}}}} ', {_BS}, 'textitc <latex>', {_BS}, 'textbf{{k}}</latex>')"
 
-@query("norm_visible_macros", "SELECT event_id, concat('a b c ', event_type, ' <latex>', chr(92), 'textbf{k}</latex>') AS s FROM events")
+
+@query("norm_visible_macros", f"SELECT doc_id, concat(a, 'a b d c <latex>', {_BS}, 'textbf{{k}}</latex>', b) AS s FROM ({_spliced(_MACROS)}) z")
 def _(spark, d):
-    s = F.concat(F.lit(r"\textbf{a} \emph{b} \textitc "), "event_type", F.lit(r" <latex>\textbf{k}</latex>"))
-    return load(spark, d, "events").select("event_id", n.map_parts(s, n.strip_visible_macros).alias("s"))
+    return _text(spark, d, _MACROS).select("doc_id", n.map_parts(F.col("text"), n.strip_visible_macros).alias("s"))
+
+
+_REPAIRED = [
+    (r"\le ft( \bm{x}", r"\left( \mathbf{x}"), (r"\hatA", r"\hat{A}"), (r"\KL", r"\mathrm{KL}"), (r"\rvtheta", r"\mathbf{\theta}"), (r"\rvx", r"\mathbf{x}"), (r"\ervx", r"\mathrm{x}"), (r"\ermA", r"\mathrm{A}"), (r"\etK", r"\mathbf{K}"),
+    (r"\tX", r"\mathbf{X}"), (r"\tens{K}", r"\mathbf{K}"), (r"\mathsfit{q}", r"\mathbf{q}"), (r"\matrix{A}", r"\mathbf{A}"), (r"\vector{v_{i}}", r"\mathbf{v_{i}}"), (r"\tr{A}", r"{A}^\top"), (r"a \nonumber", "a "), (r"\ge q", r"\geq"), (r"\le q", r"\leq"),
+    (r"\sum_{\substack{i \\ j}}", r"\sum_{i , j}"), (r"\label{eq:a}x", "x"),
+]
+_case = lambda side: f"CASE doc_id % {len(_REPAIRED)} " + " ".join(f"WHEN {i} THEN '{x[side]}'" for i, x in enumerate(_REPAIRED)) + " END"
 
 
-@query("norm_formula_repairs", "SELECT event_id, concat(chr(92), 'left( ', chr(92), 'mathbf{x} ', chr(92), 'hat{A} ', chr(92), 'mathrm{KL} ', event_type) AS s FROM events")
+@query("norm_formula_repairs", f"SELECT doc_id, concat(t, ' ', {_case(1)}, ' ', t) AS s FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z .,]', '', 'g') AS t FROM documents) x")
 def _(spark, d):
-    return load(spark, d, "events").select("event_id", n.repair_formula(F.concat(F.lit(r"\le ft( \bm{x} \hatA \KL "), "event_type")).alias("s"))
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z .,]", "")
+    fault = F.element_at(F.lit([x for x, _ in _REPAIRED]), (F.col("doc_id") % len(_REPAIRED) + 1).cast("int"))
+    return load(spark, d, "documents").select("doc_id", n.repair_formula(F.concat_ws(" ", bare, fault, bare)).alias("s"))
+
+
+_ROW = "concat(chr(10), '| v | 1.28^{+0.11}_{-0.10} |', chr(10))"
 
 
-@query("norm_table_uncertainty", "SELECT event_id, concat('| ', event_type, ' | <latex>1.28^{+0.11}_{-0.10}</latex> |', chr(10), 'plain 1.28^{+0.11}_{-0.10}') AS s FROM events")
+@query("norm_table_uncertainty", f"SELECT doc_id, concat(a, chr(10), '| v | <latex>1.28^{{+0.11}}_{{-0.10}}</latex> |', chr(10), b) AS s FROM ({_spliced(_ROW)}) z")
 def _(spark, d):
-    s = F.concat(F.lit("| "), "event_type", F.lit(" | 1.28^{+0.11}_{-0.10} |\nplain 1.28^{+0.11}_{-0.10}"))
-    return load(spark, d, "events").select("event_id", n.table_uncertainty(s).alias("s"))
+    return _text(spark, d, _ROW).select("doc_id", n.table_uncertainty(F.col("text")).alias("s"))
 
 
-@query("norm_math_tags", "SELECT event_id, concat('<latex>k=4</latex> ', event_type, ' <latex>x</latex>') AS s FROM events")
+_MATH = f"concat(chr(10), {_BS}, '(k=4', {_BS}, ') and ', {_BS}, '[a', {_BS}, ']', chr(10))"
+
+
+@query("norm_math_tags", f"SELECT doc_id, concat(regexp_replace(a, '[$`]', '', 'g'), chr(10), '<latex>k=4</latex> and ', chr(10), '<latex>a</latex>', chr(10), chr(10), regexp_replace(b, '[$`]', '', 'g')) AS s FROM ({_spliced(_MATH)}) z")
 def _(spark, d):
-    return load(spark, d, "events").select("event_id", n.math_to_tags(F.concat(F.lit(r"\(k=4\) "), "event_type", F.lit(" $x$"))).alias("s"))
+    bare = lambda c: F.regexp_replace(c, "[$`]", "")
+    return sql(spark, d, _spliced(_MATH)).select("doc_id", n.math_to_tags(F.concat(bare("a"), "fault", bare("b"))).alias("s"))
+
+
+_ESCAPED = f"concat({_BS}, {_BS}, 'frac', {_BS}, {_BS}, '{{a ', {_BS}, {_BS}, 'j ')"
 
 
-@query("qg_overescaped", "SELECT event_id, concat(chr(92), 'frac', chr(92), '{a ', chr(92), chr(92), 'j ', event_type) AS s FROM events")
+@query("qg_overescaped", f"SELECT doc_id, concat(a, {_BS}, 'frac', {_BS}, '{{a ', {_BS}, {_BS}, 'j ', b) AS s FROM ({_spliced(_ESCAPED)}) z")
 def _(spark, d):
-    return load(spark, d, "events").select("event_id", n.recover_overescaped(F.concat(F.lit(r"\\frac\\{a \\j "), "event_type")).alias("s"))
+    return _text(spark, d, _ESCAPED).select("doc_id", n.recover_overescaped(F.col("text")).alias("s"))
 
 
-@query("norm_backticks", "SELECT event_id, concat('<latex>x^{2}</latex> `my_var` `plain` `get_item` ', event_type) AS s FROM events")
+_TICKS = "' `x^{2}` `my_var` `plain` <latex>get_item</latex> '"
+
+
+@query("norm_backticks", f"SELECT doc_id, concat(a, ' <latex>x^{{2}}</latex> `my_var` `plain` `get_item` ', b) AS s FROM ({_spliced(_TICKS)}) z")
+def _(spark, d):
+    return _text(spark, d, _TICKS).select("doc_id", n.backticks_to_tags(F.col("text")).alias("s"))
+
+
+@query("norm_blocks")
+def _(spark, d):
+    return n.markdown_blocks(_text(spark, d, "concat(chr(10), '# t', chr(10), 'p', chr(10), '- a', chr(10), '- b', chr(10), '| x | y |', chr(10), '|---|---|', chr(10))").select("doc_id", "text"))
+
+
+_GAPS = "concat(chr(10), chr(10), chr(10), chr(10), ' ', chr(9), ' x')"
+
+
+@query("norm_blank_lines", f"SELECT doc_id, regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g') AS s, trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g')) AS t FROM (SELECT doc_id, concat(a, fault, b) AS t FROM ({_spliced(_GAPS)}) z) q")
 def _(spark, d):
-    return load(spark, d, "events").select("event_id", n.backticks_to_tags(F.concat(F.lit("`x^{2}` `my_var` `plain` <latex>get_item</latex> "), "event_type")).alias("s"))
+    return _text(spark, d, _GAPS).select("doc_id", tx.collapse_blank_lines(F.col("text")).alias("s"), tx.squeeze(F.col("text")).alias("t"))
 
 
-@query("norm_valid_formulas", f"SELECT id, id % 6 IN (0, 1, 5) AS ok FROM ({_BODIES}) b")
+@query("norm_tokens", f"SELECT doc_id, CAST(k AS INT) AS pos, CASE k WHEN 1 THEN 'formula' ELSE 'text' END AS kind, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN length(a) ELSE length(a) + 16 END AS BIGINT) AS start, CASE k WHEN 0 THEN a WHEN 1 THEN '<latex>x</latex>' ELSE b END AS value FROM ({_spliced(repr('<latex>x</latex>'))}) z, range(3) t(k) WHERE k = 1 OR k = 0 AND a <> '' OR k = 2 AND b <> ''")
 def _(spark, d):
-    return sql(spark, d, _BODIES).select("id", n.valid_formula(F.col("body")).alias("ok"))
+    return n.formula_tokens(_text(spark, d, "'<latex>x</latex>'").select("doc_id", "text"))
+
+
+_BAD = "CASE doc_id % 4 WHEN 0 THEN '<latex>a{b</latex>' WHEN 1 THEN '<latex>a<b>c</latex>' WHEN 2 THEN '<latex>a<br/>c</latex>' ELSE '<latex>ok</latex>' END"
 
 
-@query("norm_blocks", "SELECT doc_id, CAST(k AS INT) AS block, CASE k WHEN 0 THEN 'heading' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'unordered-list' WHEN 3 THEN 'table' ELSE 'paragraph' END AS kind, CASE k WHEN 0 THEN '# t' WHEN 1 THEN concat('p ', CAST(doc_id AS VARCHAR), chr(10), 'q') WHEN 2 THEN concat('- a', chr(10), '- b') WHEN 3 THEN concat('| x | y |', chr(10), '|---|---|') ELSE 'end' END AS text FROM documents, range(5) t(k)")
+@query("norm_diagnostics", f"SELECT doc_id, 1 AS pos, CASE kind WHEN 0 THEN 'unbalanced-braces' ELSE 'unknown-html-in-formula' END AS code FROM ({_spliced(_BAD, 4)}) z WHERE kind < 2")
 def _(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit("# t\np "), F.col("doc_id").cast("string"), F.lit("\nq\n- a\n- b\n| x | y |\n|---|---|\n\nend")).alias("text"))
-    return n.markdown_blocks(docs)
+    return n.formula_diagnostics(_text(spark, d, _BAD).select("doc_id", "text"))
+
+
+_WRAPPED = "CASE doc_id % 3 WHEN 0 THEN '<p><latex>V=[T;F;M]</latex></p>' WHEN 1 THEN '<p>&lt;p&gt;<latex>x<br/>y</latex>&lt;/p&gt;</p>' ELSE '<div><latex>a<latex>b</latex></div>' END"
 
 
-@query("norm_blank_lines", "SELECT doc_id, concat('a', chr(10), chr(10), 'b ', CAST(doc_id AS VARCHAR)) AS s, concat('x y ', CAST(doc_id AS VARCHAR)) AS t FROM documents")
+@query("norm_compile", f"SELECT doc_id, concat(a, CASE kind WHEN 0 THEN '<latex>V=[T;F;M]</latex>' WHEN 1 THEN '<latex>x y</latex>' ELSE '<latex>ab</latex>' END, b) AS s FROM ({_spliced(_WRAPPED, 3)}) z")
 def _(spark, d):
-    k = F.col("doc_id").cast("string")
-    return load(spark, d, "documents").select("doc_id", tx.collapse_blank_lines(F.concat(F.lit("a\n\n\n\nb "), k)).alias("s"), tx.squeeze(F.concat(F.lit(" x \n\t y "), k, F.lit(" "))).alias("t"))
+    return _text(spark, d, _WRAPPED).select("doc_id", n.compile_markup(F.col("text")).alias("s"))
 
 
-@query("norm_tokens", "SELECT doc_id, CAST(k AS INT) AS pos, CASE k WHEN 1 THEN 'formula' ELSE 'text' END AS kind, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN length(left(text, 30)) ELSE length(left(text, 30)) + 16 END AS BIGINT) AS start, CASE k WHEN 0 THEN left(text, 30) WHEN 1 THEN '<latex>x</latex>' ELSE ' z' END AS value FROM documents, range(3) t(k)")
+_USES = f"concat(' ', {_BS}, 'model  ', {_BS}, 'modelx <latex>', {_BS}, 'model</latex>')"
+
+
+@query("norm_prose_macros", f"SELECT doc_id, concat(a, ' Great Model ', {_BS}, 'modelx <latex>', {_BS}, 'model</latex>', b) AS s FROM ({_spliced(_USES)}) z")
 def _(spark, d):
-    return n.formula_tokens(load(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 30), F.lit("<latex>x</latex> z")).alias("text")))
+    macros = F.array(F.struct(F.lit("model").alias("name"), F.lit("Great Model").alias("value")))
+    return _text(spark, d, _USES).select("doc_id", n.expand_prose_macros(F.col("text"), macros).alias("s"))
+
+
+_CALLS = f"concat(' ', {_BS}, 'vx + ', {_BS}, 'nrm{{a_{{1}}}} ')"
 
 
-@query("norm_diagnostics", "SELECT doc_id, 1 AS pos, CASE doc_id % 3 WHEN 0 THEN 'unbalanced-braces' ELSE 'unknown-html' END AS code FROM documents WHERE doc_id % 3 < 2")
+@query("norm_formula_macros", f"SELECT doc_id, concat(a, ' ', {_BS}, 'mathbf{{x}} + |a_{{1}}|_2 ', b) AS s FROM ({_spliced(_CALLS)}) z")
 def _(spark, d):
-    body = F.when(F.col("doc_id") % 3 == 0, "a{b").when(F.col("doc_id") % 3 == 1, "a<b>c").otherwise("ok")
-    return n.formula_diagnostics(load(spark, d, "documents").select("doc_id", F.concat(F.lit("t "), F.lit("<latex>"), body, F.lit("</latex>")).alias("text")))
+    pair = lambda name, value: F.array(F.struct(F.lit(name).alias("name"), F.lit(value).alias("value")))
+    return _text(spark, d, _CALLS).select("doc_id", n.expand_formula_macros(F.col("text"), pair("vx", r"\mathbf{x}"), pair("nrm", "|#1|_2")).alias("s"))
 
 
-@query("norm_polish", "SELECT doc_id, concat('a <latex>k=', chr(92), 'alpha</latex> b', chr(10), 'c ', CAST(doc_id AS VARCHAR), chr(10)) AS text FROM documents")
+@query("norm_polish")
 def _(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit(r"\emph{a} $k=α$ b<br>c "), F.col("doc_id").cast("string"), F.lit("\n\n\n")).alias("text"))
-    return n.polish(docs)
+    return n.polish(_text(spark, d, f"concat('<p>', {_BS}, 'emph{{a}} $k=α$ b<br>c</p>')").select("doc_id", "text"))
