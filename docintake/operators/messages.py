@@ -179,6 +179,26 @@ def with_thread_context(messages: DataFrame, most: int = 12) -> DataFrame:
     return got.withColumn("context", F.when(F.col("has_link"), F.col("content")).otherwise(F.concat_ws("\n", "content", "thread_text"))).drop("thread_text")
 
 
+def related_context(events: DataFrame, messages: DataFrame, most_threads: int = 3, page: int = 12, most_messages: int = 5) -> DataFrame:
+    """message_id, ``context``, ``papers`` and ``articles`` of events (message_id, content, private, mention, retry,
+    reply, threads, related) in groups that name no link themselves and ask for the bot, by mention or by a retry in a
+    thread: the first ``page`` messages of up to ``most_threads`` threads, then up to ``most_messages`` related
+    messages, a line each; links are looked for in the event's text and its context. ``messages``: message_id,
+    thread_id, turn, content. Threads are cut before they are gathered."""
+    own = (F.size(paper_refs(F.col("content"))) > 0) | (F.size(article_urls(F.col("content"))) > 0)
+    asked = events.filter(~own & ~F.col("private") & (F.col("mention") | (F.col("retry") & F.col("reply")))).select("message_id", F.col("content").alias("own"), "threads", "related")
+    n = F.row_number().over(Window.partitionBy("thread_id").orderBy("turn", "message_id"))
+    heads = messages.withColumn("n", n).filter(F.col("n") <= page).select("thread_id", "n", "content")
+    threads = asked.select("message_id", F.posexplode(F.slice("threads", 1, most_threads)).alias("g", "thread_id")).join(heads, "thread_id").select("message_id", "g", "n", "content")
+    named = asked.select("message_id", F.posexplode(F.slice("related", 1, most_messages)).alias("g", "other")).withColumn("g", F.col("g") + most_threads)
+    single = named.join(messages.select(F.col("message_id").alias("other"), "content"), "other").select("message_id", "g", F.lit(0).alias("n"), "content")
+    lines = threads.unionByName(single).filter("content <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "n", "content"))), lambda x: x["content"]), "\n")
+    found = lines.groupBy("message_id").agg(strip(text).alias("context"))
+    every = F.concat_ws("\n", "own", "context")
+    return asked.join(found, "message_id").select("message_id", "context", paper_refs(every).alias("papers"), article_urls(every).alias("articles"))
+
+
 def route(has_link: Column, retry: Column, private: Column, mention: Column, feedback: Column, asks_help: Column) -> Column:
     return F.when(has_link, "enqueue").when(retry, "retry_missing").when(private & feedback, "feedback").when(private & asks_help, "intro").when(private, "none").when(mention, "group_intro").otherwise("none")
 

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, *views: str) -> Callable[[Query], Q
 
 
 #: Modules that register queries when imported.
-FAMILIES = ("workflow", "queue", "reports", "calendars", "messages", "layout", "figures", "gates", "articles", "streams")
+FAMILIES = ("workflow", "queue", "reports", "calendars", "messages", "layout", "figures", "gates", "articles", "streams", "sources")
 
 
 def load_all() -> None:

@@ -352,3 +352,87 @@ def test_listings(spark):
     write_listing(spark.createDataFrame([(1, "a")], "id int, name string"), path)
     assert spark.read.text(path).first()[0] == '{"id":1,"name":"a"}'
     assert json_lines(spark.createDataFrame([(1,)], "id int")).first()[0] == '{"id":1}'
+
+
+# ---------------------------------------------------------------- formula markup, drafts, anchors, threads
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("说明：<p><latex>V=[T;F;M]</latex></p>结束", "说明：<latex>V=[T;F;M]</latex>结束"),
+        ("<p>&lt;p&gt;<latex>x<br/>y</latex>&lt;/p&gt;</p>", "<latex>x y</latex>"),
+        ("<latex>x<span>y</span></latex>", "<latex>x<span>y</span></latex>"),
+        (r"<latex>\\mathbf{x}=\\mathcal{N}(x)\\mathrm{d}x\\begin{aligned}a\\ b\\j\\le i</latex>", r"<latex>\mathbf{x}=\mathcal{N}(x)\mathrm{d}x\begin{aligned}a\\ b\\j\le i</latex>"),
+        ("a &lt;p&gt; kept &lt;/p&gt; b", "a &lt;p&gt; kept &lt;/p&gt; b"),
+    ],
+)
+def test_markup_is_compiled(spark, said, want):
+    assert text(spark, normalise.compile_markup, said) == want
+
+
+def test_diagnostics_of_markup(spark):
+    assert text(spark, normalise.markup_diagnostics, "<latex>x<span>y</span></latex> <latex>a{b</latex> <latex>a<br/>b</latex>") == ["unknown-html-in-formula", "unknown-html-in-formula", "unbalanced-braces"]
+    issues = one(spark, gates.formula_agent(F.lit("<latex>x<span>y</span></latex>"), F.lit("")))
+    assert ("formula", "markdown", "high", "unknown-html-in-formula") in [tuple(i) for i in issues]
+
+
+@pytest.mark.parametrize(
+    ("body", "ok"),
+    [("x^{2}", True), (" ", False), ("a\ufffdb", False), (r"{\rm x}", False), (r"a\quadb", False), (r"\end{foo}", False), (r"\begin{aligned}a\end{aligned}", True), (r"\alpha these are words here", False), (r"\left( a", False), ("中", False), (r"\RequirePackage x", False)],
+)
+def test_valid_formulas(spark, body, ok):
+    assert text(spark, normalise.valid_formula, body) is ok
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (r"\begin{cases}a, & x>0  \frac{b}{c}, & x<0\end{cases}", r"\begin{cases}a & x>0 \\ \frac{b}{c} & x<0\end{cases}"),
+        (r"\begin{cases}a & x \\ b & y\end{cases}", r"\begin{cases}a & x \\ b & y\end{cases}"),
+        (r"q\to p", r"q\to p"),
+        (r"A^\to p", r"A^\top"),
+        (r"\dots \vector{x}", r"\dots \mathbf{x}"),
+        (r"\tr{A_{i}} \theta", r"{A_{i}}^\top \theta"),
+    ],
+)
+def test_paper_commands_are_repaired(spark, body, want):
+    assert text(spark, normalise.repair_formula, body) == want
+
+
+def test_polish_recovers_wrappers_and_macros(spark):
+    pair = "array<struct<name:string,value:string>>"
+    df = spark.createDataFrame([(1, r"公式：<p><latex>V=\vx</latex></p> by \ours now", ([("ours", "Our Model")], [("vx", r"\mathbf{x}")], []))], f"doc_id int, text string, m struct<prose:{pair},plain:{pair},argument:{pair}>")
+    assert normalise.polish(df, macros="m").first()["text"] == "公式：<latex>V=\\mathbf{x}</latex> by Our Model now\n"
+
+
+def test_drafts_under_one_title_are_told_apart(spark):
+    whole = "# T\n\n**TL;DR** x\n" + "".join(f"\n## {k}. Part\n" + "words of the part. " * 30 for k in range(1, 8))
+    df = spark.createDataFrame([(1, "# T\nshort\n" + whole), (2, "# T\nshort"), (3, "no title")], "doc_id int, markdown string")
+    got = {r["doc_id"]: r["markdown"] for r in gates.last_complete_suffix(df, F.array().cast("array<string>")).collect()}
+    assert got == {1: whole}
+
+
+def test_anchors_in_navigation(spark):
+    rows = spark.createDataFrame([(1, "https://p.example/x/", '<nav><a href="https://github.com/a/b">Code <b>here</b></a></nav><a href="y">z<a href="w">open')], "page_id bigint, url string, html string")
+    got = [(r["href"], r["text"]) for r in pages.anchors(pages.page_blocks(rows)).orderBy("pos").collect()]
+    assert got == [("https://github.com/a/b", "Code here")]
+    assert repos.repos_in_anchors(pages.anchors(pages.page_blocks(rows)), rows).first()["repo"] == "https://github.com/a/b"
+
+
+def test_overviews_come_first_and_odd_headings_last(spark):
+    snaps = spark.createDataFrame([(1, "overview", 200, 11, "b"), (1, "overview", 100, 10, "a"), (1, "figure", 5, 12, "c")], "page_id bigint, kind string, y int, n bigint, caption string")
+    assert [tuple(r) for r in pages.overview_sections(snaps).collect()] == [(1, -1, "原网页标题区和可视目录", 1, ["[ArticleImage:10] a", "[ArticleImage:11] b"])]
+    sections = spark.createDataFrame([(1, 0, "Title"), (1, 1, "Later")], "page_id bigint, section bigint, title string")
+    q = spark.createDataFrame([(1, 1, ""), (1, 2, "Nothing like it"), (1, 3, "2. later")], "page_id bigint, snap bigint, heading string")
+    assert {r["snap"]: r["section"] for r in pages.match_sections(q, sections).collect()} == {1: 0, 2: 1, 3: 1}
+
+
+def test_links_of_related_messages(spark):
+    events = spark.createDataFrame(
+        [(1, "@Bot look", False, True, False, False, [7], []), (2, "重试", False, False, True, True, [7], []), (3, "hi", False, False, False, False, [7], []), (4, "x", True, True, False, False, [7], []), (5, "y", False, True, False, False, [], [70])],
+        "message_id bigint, content string, private boolean, mention boolean, retry boolean, reply boolean, threads array<bigint>, related array<bigint>",
+    )
+    said = spark.createDataFrame([(70, 7, 0, "原消息 https://arxiv.org/abs/2604.12946"), (71, 7, 1, "more")], "message_id bigint, thread_id bigint, turn int, content string")
+    got = {r["message_id"]: [x["paper_id"] for x in r["papers"]] for r in messages.related_context(events, said).collect()}
+    assert got == {1: ["2604.12946"], 2: ["2604.12946"], 5: ["2604.12946"]}
