@@ -44,6 +44,7 @@ DANGLING = ("comput", "eval", "gener", "gen", "informat", "meas", "measu", "oper
 REFUSALS = ("i'm sorry, but i cannot assist", "i’m sorry, but i cannot assist", "i cannot assist with that request", "i can't assist with that request", "sorry, i can’t help", "抱歉，我无法", "不能协助")
 UNRESOLVED = ("仍有", "仍然", "仍存在", "未解决", "未修复", "尚未", "无法判断", "无法确认", "无法修复", "需要人工", "需要检查", "可能错误", "可能不", "疑似", "存在风险", "事实风险")
 RESOLVED = ("已修", "修正", "清理", "已清", "已改", "改为", "调整为", "中文化", "已保留", "均已保留", "未新增", "未补回", "按要求", "避免", "保持", "未改变", "更自然", "已简", "已补", "已统一")
+PROMPT_LEAKS = ("the user wants me to", "let me carefully follow the rules", "let me carefully follow all the rules", "i'm instructed to generate", "i’m instructed to generate")
 TRANSIENT_ERRORS = ("timeout", "timed out", "temporarily", "connection reset", "connection refused", "rate limit", "too many requests", "429", "502", "503", "504")
 ERROR_TEXTS = {"document-too-short": "the document is too short", "missing-h1": "the first line is no title", "leading-code-fence": "the document begins with a code fence", "prompt-leak": "the document repeats its instructions", "duplicate-h1": "there is more than one title", "missing-tldr": "there is no TL;DR"}
 
@@ -186,7 +187,7 @@ def blocking(w: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed."""
-    return strip(F.coalesce(F.get(F.filter(F.split(F.ltrim(text, F.lit("\ufeff")), r"\r\n|[\n\r]"), lambda x: strip(x) != ""), 0), F.lit("")))
+    return strip(F.regexp_extract(text, r"(?U)^\x{feff}*\s*(\S[^\n\r]*)", 1))
 
 
 def completeness_errors(text: Column, markers: Column) -> Column:
@@ -196,14 +197,18 @@ def completeness_errors(text: Column, markers: Column) -> Column:
     named = F.regexp_count(text, F.lit(r"#\s+\[[^\]\n]+\]"))
     present = F.size(F.filter(markers, lambda m: text.contains(m)))
     needed = F.least(F.lit(3), F.size(markers))
+    sections = F.regexp_extract_all(text, F.lit(r"(?m)^##\s+([1-7])(?:[.、]|\s)"), F.lit(1))
+    lower, leak = F.lower(text), F.lit(False)
+    for words in PROMPT_LEAKS:
+        leak = leak | lower.contains(words)
     codes = [
-        F.when(F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) < 1800, "document-too-short"),
+        F.when(F.length(strip(text)) < 1800, "document-too-short"),
         F.when(~line.rlike(r"^#\s+\S"), "missing-h1"),
         F.when(line.startswith("```"), "leading-code-fence"),
-        F.when(text.rlike(r"(?i)(?:the user wants me to|let me carefully follow(?: all)? the rules|i(?:'|’)m instructed to generate)"), "prompt-leak"),
+        F.when(leak, "prompt-leak"),
         F.when((titles > 1) | (named > 1), "duplicate-h1"),
         F.when(~text.contains("TL;DR"), "missing-tldr"),
-        *(F.when(~text.rlike(rf"(?m)^##\s+{n}(?:[.、]|\s)"), f"missing-section-{n}") for n in range(1, 8)),
+        *(F.when(~F.array_contains(sections, str(n)), f"missing-section-{n}") for n in range(1, 8)),
         F.when(present < needed, F.concat(F.lit("too-few-figures:"), present.cast("string"), F.lit("/"), needed.cast("string"))),
     ]
     return F.array_compact(F.array(*codes))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import clip, squeeze
+from docintake.functions.text import braces_balanced, clip, squeeze
 
 # Parts of a file's name that say where it belongs, in reading order.
 PARTS = ("abstract", "intro", "prelim", "background", "observation", "method", "approach", "experiment", "evaluation", "result", "ablation", "analysis", "conclusion", "appendix")
@@ -222,8 +222,6 @@ def text_macros(docs: DataFrame) -> DataFrame:
 
 def formula_macros(docs: DataFrame) -> DataFrame:
     """paper_id, name, arguments (0 or 1), body of macros that can safely be expanded in formulas."""
-    from docintake.functions.text import braces_balanced
-
     def rows(_, content: str):
         for k, pattern in enumerate(_WITH_ARGUMENT):
             for m, _, body in spans_after(pattern, content):

@@ -121,7 +121,9 @@ def replay(log: DataFrame, segment: int = SEGMENT) -> DataFrame:
     number = F.floor(F.col("seq") / segment)
     parts = log.select("job_id", number.alias("segment"), F.struct("seq", _event_number(F.col("event")).alias("e")).alias("x"))
     parts = parts.groupBy("job_id", "segment").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # at most `segment` events
-    starts = F.transform(F.sequence(F.lit(0), F.lit(len(STATES) - 1)), start)
+    # A job's first segment begins in the first state; the others are carried from every state.
+    parts = parts.withColumn("first", F.min("segment").over(Window.partitionBy("job_id")) == F.col("segment"))
+    starts = F.when(F.col("first"), F.array(start(F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(len(STATES) - 1)), start))
     ends = F.aggregate("xs", starts, lambda acc, x: F.transform(acc, lambda a: _carry(a, x["e"])))
     jobs = parts.select("job_id", F.struct("segment", ends.alias("ends")).alias("x")).groupBy("job_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
 

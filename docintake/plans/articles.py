@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docintake.operators import pages as p
 from docintake.operators import repos as r
 from docintake.plans.registry import query
+from docintake.sources.sinks import scratch_path
 from docintake.sources.views import load, sql
 
 
@@ -15,6 +16,13 @@ def _blocks(spark, d):
     return p.page_blocks(load(spark, d, "pages"))
 
 
+def _parsed(spark, d):
+    """The blocks, written down: for queries that need them more than once."""
+    path = scratch_path(spark, "blocks")
+    _blocks(spark, d).write.parquet(path)
+    return spark.read.schema(p.BLOCK).parquet(path)
+
+
 @query("art_blocks")
 def _(spark, d):
     return _blocks(spark, d)
@@ -43,7 +51,8 @@ def _(spark, d):
 
 @query("art_images")
 def _(spark, d):
-    return p.substitute_markers(p.sections(_blocks(spark, d)).select("page_id", F.posexplode("blocks").alias("pos", "text")), p.number_images(p.images(_blocks(spark, d))))
+    blocks = _parsed(spark, d)
+    return p.substitute_markers(p.sections(blocks).select("page_id", F.posexplode("blocks").alias("pos", "text")), p.number_images(p.images(blocks)))
 
 
 @query("art_section_material")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docintake.operators import workflow as wf
 from docintake.plans.registry import query
 from docintake.plans.workflow import _EDGES
 from docintake.streaming import streams as st

@@ -12,9 +12,13 @@ _own: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or in one of our own
-    where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docintake-"))
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). A local session may leave it
+    unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docintake-"))
     return f"{base.rstrip('/')}/docintake-{label}-{uuid.uuid4().hex}"
 
 
