@@ -183,7 +183,7 @@ def exact(rows: DataFrame, queries: list, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row where ``is_query`` (an expression
-    over ``id``) holds."""
+    over ``id``) holds; with ``leaves_visited`` and ``share_read`` (of all rows), what the query's search took."""
     spark = vectors.sparkSession
     rows = stored(usable(vectors, key, vector), "vectors")
     kind = rows.schema["id"].dataType.simpleString()
@@ -233,13 +233,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_i
                 out: list[tuple] = []
                 for j, leaves in enumerate(chosen(x[i : i + 512])):
                     bins = bin_of[leaves]
-                    out += [(i + j, int(g), leaves[bins == g].tolist(), bool(g == bins[0])) for g in np.unique(bins)]
-                at, bins, leaves, first = zip(*out, strict=True)
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.bool_())
+                    effort = len(leaves), float(rows_of[leaves].sum()) / max(int(rows_of.sum()), 1)
+                    out += [(i + j, int(g), leaves[bins == g].tolist(), bool(g == bins[0]), *effort) for g in np.unique(bins)]
+                at, bins, leaves, first, visited, share = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.float64())
                 data = pa.array([x[k].tobytes() for k in at], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), data, *(pa.array(c, t) for c, t in zip((bins, leaves, first), kinds, strict=True))], ["id", "x", "bin", "leaves", "first"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), data, *(pa.array(c, t) for c, t in zip((bins, leaves, first, visited, share), kinds, strict=True))], ["id", "x", "bin", "leaves", "first", "leaves_visited", "share_read"])
 
-    asked = stored(asking.mapInArrow(visit, f"id {kind}, x binary, bin bigint, leaves array<bigint>, first boolean"), "visits")
+    asked = stored(asking.mapInArrow(visit, f"id {kind}, x binary, bin bigint, leaves array<bigint>, first boolean, leaves_visited int, share_read double"), "visits")
+    effort = asked.filter("first").select(F.col("id").alias("query_id"), "leaves_visited", "share_read")
+    asked = asked.drop("leaves_visited", "share_read")
     come = dict(asked.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each bin
     sizes = [(g, vector_blocks[g], max(1, -(-come.get(g, 0) // QUERY_ROWS))) for g in vector_blocks]
     blocks = F.broadcast(spark.createDataFrame(sizes, "bin bigint, vb int, qb int"))
@@ -275,7 +278,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_i
     floor = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     rest = asked.filter("not first").drop("first").join(floor, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     far = dealt(rest, "q", "v").groupBy("cell").cogroup(vectors_dealt).applyInArrow(meet, found)
-    return best(near.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", "score")
+    got = best(near.select("query_id", "vec_id", "score").unionByName(far), k)
+    return got.join(effort, "query_id").select("query_id", "rank", "vec_id", "score", "leaves_visited", "share_read")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ default duration, if it has one), Void and CRC-32 skipped.
 Defined cases: null or empty text is stored as 64 zero bytes; null media gives no packets and null
 results in ``read_back``; bytes that are not Matroska give no packets, and ``read_back`` returns them with
 ``error`` set; a truncated file gives the frames that lie wholly inside it; repeated rows each give a row;
-other columns are ignored.
+very long texts are one file of many clusters; empty tables give empty tables; other columns are ignored.
 """
 
 from __future__ import annotations

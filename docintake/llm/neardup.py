@@ -19,7 +19,8 @@ all blocks of the cluster. Nothing is capped.
 
 Defined cases: null and empty texts and texts of white space have no set, and are linked with nothing; texts
 of fewer than five words have their whole word sequence as one shingle; rows with a null id are linked with
-nothing and kept; rows of one id are one document; an empty table gives an empty table; other columns are
+nothing and kept; rows of one id are one document; very long texts are taken whole (one text's shingles are in one
+task's memory); an empty table gives an empty table; other columns are
 ignored.
 """
 

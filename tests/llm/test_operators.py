@@ -736,3 +736,55 @@ def test_pipeline(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in got} == kept
     check_packed(got, 1024)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, none, sf_dir):
+    """Nulls, empty, long and repeated texts, a null id, clashing columns: columns stay, every kept row is one of the
+    input's, repeated rows share their fate, an empty table gives an empty one."""
+    rows = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        kept = got.collect()
+        assert got.columns == docs.columns and len(kept) <= rows, name
+        inside = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        assert all((r["doc_id"], r["text"]) in inside for r in kept), name
+        assert sum(r["doc_id"] == 3 for r in kept) in ((0, 2) if name != "neardup" else (2,)), name
+        assert stage(spark, none, sf_dir).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    packed = last(spark, docs, sf_dir)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packed.select("doc_id").distinct().count() == len(TEXTS) + 1 and last(spark, none, sf_dir).count() == 0
+
+
+def test_long_and_clashing_payloads(spark):
+    big = "<p>" + "long text " * 400_000
+    rows = [(1, "u", big, "x", 5), (2, "u", big, "y", 6), (3, "v", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, same string, size int")
+    got = {r["record_id"]: (r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_records(warc.bundle(warc.tag(pages))).collect()}
+    assert got == {"1": ("revisit", len(big), "2"), "2": ("response", len(big), None), "3": ("response", 0, None)}
+
+
+def test_media_features_follow_the_payload(spark, small):
+    """The feature is computed from what is read back: equal texts have equal ones, different texts differ."""
+    d, texts = small
+    got = {r["doc_id"]: r["feature"] for r in matroska.query(spark, d).collect()}
+    by_text = {}
+    for i, t in texts.items():
+        by_text.setdefault(t, set()).add(got[i])
+    assert all(len(x) == 1 for x in by_text.values()) and len({next(iter(x)) for x in by_text.values()}) > 0.9 * len(by_text)
+
+
+def test_search_sql_agrees(spark):
+    """Recall and scores against the exact search in SQL."""
+    d = "/root/testdata/sf0.01"
+    con = connect(d)
+    want = {}
+    for q, rank, v, score in con.execute("SELECT query_id, rank, vec_id, score FROM (" + ann.SQL + ") x").fetchall():
+        want.setdefault(q, {})[v] = score
+    got, hits = ann.query(spark, d).collect(), 0
+    assert {r["query_id"] for r in got} == set(want)
+    for r in got:
+        if r["vec_id"] in want[r["query_id"]]:
+            hits += 1
+            assert abs(r["score"] - want[r["query_id"]][r["vec_id"]]) < 1e-9
+    assert hits >= 0.9 * sum(map(len, want.values()))
