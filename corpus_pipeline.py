@@ -2,6 +2,12 @@
 
 toxicity -> quality -> near-duplicates -> packing. The first three return the columns of documents; the last
 returns one row per packed piece.
+
+Defined cases, for ``run`` and each stage: null and empty texts are scored as such, have no shingles and so are no
+copies, and are packed as one end token; very long texts are scored whole and packed in pieces; repeated rows share
+their fate in the first two stages and, having one id, are one document in the third and pieces of their own in the
+last; rows with a null id are kept; scores at a threshold count as toxic, and as good; an empty table gives an empty
+table; other columns of documents stay, whatever their names, up to the last stage, which ignores them.
 """
 
 from __future__ import annotations
