@@ -115,40 +115,56 @@ def _carry(acc: Column, event: Column) -> Column:
     return F.struct(F.when(ok, to).otherwise(acc["state"]).alias("state"), (acc["version"] + ok.cast("int")).alias("version"), (acc["rejected"] + (~ok).cast("int")).alias("rejected"))
 
 
-def replay(log: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """job_id, state, version, rejected from ``log`` (job_id, seq, event): events are taken in the order of seq."""
-    start = lambda s: F.struct(s.cast("int").alias("state"), F.lit(0).alias("version"), F.lit(0).alias("rejected"))
+def _segments(log: DataFrame, segment: int) -> DataFrame:
+    """job_id, segment, xs (events in order, at most ``segment`` where sequence numbers are distinct) and ``ends``:
+    (state, version, rejected) after the segment by the state before it. A job's first segment begins in the first
+    state; the others are carried from every state."""
     number = F.floor(F.col("seq") / segment)
-    parts = log.select("job_id", number.alias("segment"), F.struct("seq", _event_number(F.col("event")).alias("e")).alias("x"))
-    parts = parts.groupBy("job_id", "segment").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # at most `segment` events
-    # A job's first segment begins in the first state; the others are carried from every state.
+    x = F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("event").alias("event"), _event_number(F.col("event")).alias("e"))
+    parts = log.select("job_id", number.alias("segment"), x.alias("x")).groupBy("job_id", "segment").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     parts = parts.withColumn("first", F.min("segment").over(Window.partitionBy("job_id")) == F.col("segment"))
-    starts = F.when(F.col("first"), F.array(start(F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(len(STATES) - 1)), start))
-    ends = F.aggregate("xs", starts, lambda acc, x: F.transform(acc, lambda a: _carry(a, x["e"])))
-    jobs = parts.select("job_id", F.struct("segment", ends.alias("ends")).alias("x")).groupBy("job_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    starts = F.when(F.col("first"), F.array(_start(F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(len(STATES) - 1)), _start))
+    return parts.withColumn("ends", F.aggregate("xs", starts, lambda acc, x: F.transform(acc, lambda a: _carry(a, x["e"]))))
+
+
+def _start(s: Column) -> Column:
+    return F.struct(s.cast("int").alias("state"), F.lit(0).alias("version"), F.lit(0).alias("rejected"))
+
 
-    def compose(acc: Column, x: Column) -> Column:
-        end = F.get(x["ends"], acc["state"])
-        return F.struct(end["state"].alias("state"), (acc["version"] + end["version"]).alias("version"), (acc["rejected"] + end["rejected"]).alias("rejected"))
+def _compose(acc: Column, ends: Column) -> Column:
+    end = F.get(ends, acc["state"])
+    return F.struct(end["state"].alias("state"), (acc["version"] + end["version"]).alias("version"), (acc["rejected"] + end["rejected"]).alias("rejected"))
 
-    got = jobs.select("job_id", F.aggregate("xs", start(F.lit(0)), compose).alias("r"))
+
+def replay(log: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """job_id, state, version, rejected from ``log`` (job_id, seq, event): events are taken in the order of seq."""
+    jobs = _segments(log, segment).select("job_id", F.struct("segment", "ends").alias("x")).groupBy("job_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    got = jobs.select("job_id", F.aggregate("xs", _start(F.lit(0)), lambda acc, x: _compose(acc, x["ends"])).alias("r"))
     return got.select("job_id", F.get(F.lit(list(STATES)), F.col("r.state")).alias("state"), F.col("r.version").alias("version"), F.col("r.rejected").alias("rejected"))
 
 
-def audit(log: DataFrame) -> DataFrame:
+def audit(log: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Every event of ``log`` with from_state, to_state, accepted, and version, the number of the accepted
-    transition in its job. One job's log is folded in one array: for logs of bounded length a job."""
-    xs = F.array_sort(F.collect_list(F.struct("seq", "event", _event_number(F.col("event")).alias("e"))))
-    jobs = log.groupBy("job_id").agg(xs.alias("xs"))
-    first = F.struct(F.lit(0).alias("state"), F.lit(0).alias("version"), F.array().cast("array<struct<seq:bigint,event:string,from_no:int,to_no:int,version:int>>").alias("out"))
+    transition in its job. Logs are cut into segments; what each does to every state is put together to the state
+    and version that each begins with, and then every segment is folded by itself."""
+    parts = _segments(log, segment)
+    jobs = parts.select("job_id", F.struct("segment", "ends").alias("x")).groupBy("job_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    none = F.struct(_start(F.lit(0)).alias("now"), F.array().cast("array<struct<segment:bigint,state:int,version:int>>").alias("out"))
+
+    def along(acc: Column, x: Column) -> Column:
+        begin = F.struct(x["segment"].alias("segment"), acc["now"]["state"].alias("state"), acc["now"]["version"].alias("version"))
+        return F.struct(_compose(acc["now"], x["ends"]).alias("now"), F.array_append(acc["out"], begin).alias("out"))
+
+    begins = jobs.select("job_id", F.explode(F.aggregate("xs", none, along)["out"]).alias("b")).select("job_id", "b.*")
+    first = F.struct("state", "version", F.array().cast("array<struct<seq:bigint,event:string,from_no:int,to_no:int,version:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         to = F.when(x["e"] >= 0, F.get(_table(), acc["state"] * len(EVENTS) + x["e"])).otherwise(F.lit(-1))
         version = acc["version"] + (to >= 0).cast("int")
-        row = F.struct(x["seq"].cast("bigint").alias("seq"), x["event"].alias("event"), acc["state"].alias("from_no"), to.alias("to_no"), version.alias("version"))
+        row = F.struct(x["seq"].alias("seq"), x["event"].alias("event"), acc["state"].alias("from_no"), to.alias("to_no"), version.alias("version"))
         return F.struct(F.when(to >= 0, to).otherwise(acc["state"]).alias("state"), version.alias("version"), F.array_append(acc["out"], row).alias("out"))
 
-    rows = jobs.select("job_id", F.explode(F.aggregate("xs", first, step)["out"]).alias("r"))
+    rows = parts.select("job_id", "segment", "xs").join(begins, ["job_id", "segment"]).select("job_id", F.explode(F.aggregate("xs", first, step)["out"]).alias("r"))
     name = lambda c: F.when(c >= 0, F.get(F.lit(list(STATES)), c))
     return rows.select("job_id", "r.seq", "r.event", name(F.col("r.from_no")).alias("from_state"), name(F.col("r.to_no")).alias("to_state"), (F.col("r.to_no") >= 0).alias("accepted"), F.when(F.col("r.to_no") >= 0, F.col("r.version")).alias("version"))
 

@@ -436,3 +436,12 @@ def test_links_of_related_messages(spark):
     said = spark.createDataFrame([(70, 7, 0, "原消息 https://arxiv.org/abs/2604.12946"), (71, 7, 1, "more")], "message_id bigint, thread_id bigint, turn int, content string")
     got = {r["message_id"]: [x["paper_id"] for x in r["papers"]] for r in messages.related_context(events, said).collect()}
     assert got == {1: ["2604.12946"], 2: ["2604.12946"], 5: ["2604.12946"]}
+
+
+def test_audits_of_cut_logs_are_those_of_whole_ones(spark):
+    r = __import__("random").Random(3)
+    rows = [(j, k, r.choice(workflow.EVENTS)) for j in range(4) for k in range(60)]
+    log = spark.createDataFrame(rows, "job_id bigint, seq bigint, event string")
+    whole, cut = (sorted(map(tuple, workflow.audit(log, n).collect()), key=repr) for n in (1000, 7))
+    assert whole == cut and len(cut) == 240 and any(x[5] for x in cut) and not all(x[5] for x in cut)
+    assert sorted(map(tuple, workflow.replay(log, 7).collect())) == sorted(map(tuple, workflow.replay(log, 1000).collect()))
