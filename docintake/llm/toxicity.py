@@ -71,7 +71,7 @@ def packed_slots(slots: np.ndarray) -> bytes:
 
 
 def unpacked_slots(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64))
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int32)
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -104,21 +104,23 @@ class _Sparse:
 
     def __init__(self, rows: list[np.ndarray], slots: int):
         self.n, self.slots = len(rows), slots
-        self.slot = np.concatenate([np.zeros(0, np.int64), *rows])
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.some, self.at = np.unique(row, return_index=True)
-        order = np.argsort(self.slot, kind="stable")
-        self.row = row[order]
-        self.used, self.begin = np.unique(self.slot[order], return_index=True)
+        length = np.array([len(r) for r in rows], np.int64)
+        self.slot = np.concatenate([np.zeros(0, np.int32), *rows])
+        self.some = np.flatnonzero(length)
+        self.at = (np.cumsum(length) - length)[self.some]
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), length)[np.argsort(self.slot, kind="stable")]
+        times = np.bincount(self.slot, minlength=slots)
+        self.used = np.flatnonzero(times)
+        self.begin = (np.cumsum(times) - times)[self.used]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n)
+        out = np.zeros(self.n, w.dtype)
         if len(self.some):
             out[self.some] = np.add.reduceat(w[self.slot], self.at)
         return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.slots)
+        out = np.zeros(self.slots, g.dtype)
         if len(self.used):
             out[self.used] = np.add.reduceat(g[self.row], self.begin)
         return out
@@ -135,35 +137,41 @@ def risk(p: _Sparse, u: _Sparse, weight: np.ndarray, bias: float, prior: float)
 
 
 def threshold(p: np.ndarray, u: np.ndarray, prior: float) -> float:
-    """A cut with the least estimated error, prior * misses + max(0, unlabelled above - prior * hits), of the scores
-    of rows that the fit did not see: of the cuts within a quarter of a standard error of the best the highest."""
+    """The highest cut with the least estimated error, prior * misses + max(0, unlabelled above - prior * hits), of
+    the scores of rows that the fit did not see."""
     every = np.unique(np.concatenate([p, u]))
     cut = np.append((every[1:] + every[:-1]) / 2, every[-1])
     miss = np.searchsorted(np.sort(p), cut) / len(p)
     above = 1 - np.searchsorted(np.sort(u), cut) / len(u)
-    r = prior * miss + np.maximum(0, above - prior * (1 - miss))
-    i = r.argmin()
-    spread = np.sqrt(prior**2 * (miss[i] * (1 - miss[i]) + 1 / len(p)) / len(p) + above[i] * (1 - above[i]) / len(u))
-    return float(cut[r <= r[i] + spread / 4].max())
+    error = prior * miss + np.maximum(0, above - prior * (1 - miss))
+    return float(cut[error <= error.min() + 1e-12].max())
+
+
+def documents_with(rows: list[np.ndarray]) -> np.ndarray:
+    """By slot, the number of rows that have it."""
+    out = np.zeros(SLOTS, np.int64)
+    for x in rows:
+        out[x] += 1  # a row's slots are distinct
+    return out
 
 
 def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int) -> tuple[np.ndarray, float]:
     """Weights by slot and bias that minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the
     sigmoid loss; where the second part is negative its gradient is reversed, as nnPU does."""
-    dp, du = (np.bincount(np.concatenate(x), minlength=SLOTS) for x in (positive, unlabelled))
+    dp, du = map(documents_with, (positive, unlabelled))
     known = np.flatnonzero(dp + du >= MIN_DOCS)
-    index = np.full(SLOTS, -1)
+    index = np.full(SLOTS, -1, np.int32)
     index[known] = np.arange(len(known))
     p, u = (_Sparse([x[x >= 0] for x in (index[r] for r in rows)], len(known)) for rows in (positive, unlabelled))
     # Weights begin at the log-odds between the two samples less LOWER standard errors, where these are positive: the
     # loss isn't convex. They stay at 0 or more: words are evidence of toxicity or none, and length is none against it.
     odds = np.log((dp + 0.5) / (p.n + 1)) - np.log((du + 0.5) / (u.n + 1))
     odds = np.maximum(odds - LOWER * np.sqrt(1 / (dp + 0.5) + 1 / (du + 0.5)), 0)
-    par = {"w": odds[known], "b": np.full(1, -1.0)}
+    par = {"w": odds[known].astype(np.float32), "b": np.full(1, -1.0, np.float32)}
     opt = Adam(par, RATE)
     for _ in range(epochs):
         _, _, g, gb = risk(p, u, par["w"], par["b"][0], prior)
-        opt.step({"w": g + DECAY * par["w"], "b": np.array([gb])})
+        opt.step({"w": g + DECAY * par["w"], "b": np.array([gb], np.float32)})
         np.maximum(par["w"], 0, out=par["w"])
     weight = np.zeros(SLOTS, np.float32)
     weight[known] = par["w"]
@@ -195,7 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
     toxic = bounded_sample(known.filter("y = 1").select(key), key, MAX_POSITIVE).select(key, F.lit(1).alias("y"))
     plain = bounded_sample(docs.filter(use & F.col(key).isNotNull()).select(key), key, MAX_UNLABELLED).select(key, F.lit(0).alias("y"))
     rows = stored(features(with_texts(toxic.unionByName(plain), docs, key, text).select("y", text), text), "pu").collect()  # bounded by the two limits
-    sets = {y: [unpacked_slots(bytes(r["slots"])) for r in sorted(rows, key=lambda r: bytes(r["slots"])) if r["y"] == y] for y in (0, 1)}
+    packed = sorted((r["y"], bytes(r["slots"])) for r in rows)  # the order decides who is in which part
+    del rows
+    sets = {y: [unpacked_slots(x) for k, x in packed if k == y] for y in (0, 1)}
     return train(sets[1], sets[0], prior)
 
 
