@@ -242,12 +242,14 @@ every AS (
   UNION ALL SELECT 1, length, pid, 0L, CAST(NULL AS BIGINT) FROM {items}),
 rows AS (SELECT *, CAST(pmod(xxhash64(id, slot), {buckets}) AS INT) AS bucket FROM every),
 counts AS (SELECT size, kind, bucket, count(*) AS n FROM rows GROUP BY size, kind, bucket),
-sizes AS (SELECT size, sum(if(kind = 0, n, 0)) AS slots, sum(if(kind = 0, n, -n)) AS net FROM counts GROUP BY size),
-sums AS (SELECT size, slots, net, sum(net) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS total FROM sizes),
-lows AS (SELECT size, slots, net, total - least(0, min(total) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING)) AS after FROM sums),
-heights AS (SELECT size, slots, coalesce(lag(after) OVER (ORDER BY size DESC), 0) AS height FROM lows),
-befores AS (SELECT size, kind, bucket, coalesce(sum(n) OVER (PARTITION BY size, kind ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts),
-starts AS (SELECT /*+ BROADCAST(h) */ b.*, h.slots, h.height FROM befores b JOIN heights h ON b.size = h.size),
+cells AS (
+  SELECT *, sum(if(kind = 0, n, 0)) OVER (PARTITION BY size) AS slots, sum(if(kind = 0, n, -n)) OVER (PARTITION BY size) AS net,
+    coalesce(sum(n) OVER (PARTITION BY size, kind ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM counts),
+sums AS (SELECT size, sum(max(net)) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS total FROM cells GROUP BY size),
+lows AS (SELECT size, total - least(0, min(total) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING)) AS after FROM sums),
+heights AS (SELECT size, coalesce(lag(after) OVER (ORDER BY size DESC), 0) AS height FROM lows),
+starts AS (SELECT /*+ BROADCAST(h) */ c.*, h.height FROM cells c JOIN heights h ON c.size = h.size),
 places AS (SELECT *, row_number() OVER (PARTITION BY size, kind, bucket ORDER BY id, slot) AS place FROM rows),
 levels AS (
   SELECT p.*, s.height + if(p.kind = 0, s.before + p.place, s.slots + 1 - s.before - p.place) AS level
