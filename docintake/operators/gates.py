@@ -41,6 +41,16 @@ FORMULA_RULES = (
 )
 FORMATTING_COMMANDS = r"\\(?:textnormal|operatorname|textbf|textit|textsc|textrm|emph|mathcal|mathbb|mathsf|mathit|mathrm|mathbf|mathtt)"
 DANGLING = ("comput", "eval", "gener", "gen", "informat", "meas", "measu", "oper", "pred", "represent", "rep", "verbal")
+# Patterns of the agents.
+DOWNGRADED_FORMULA = r"<code>[^<]*(?:\\[A-Za-z]+|[_^]\{|\\frac|\\sum|\\mathbb)"
+RAW_PARAGRAPH, ESCAPED_PARAGRAPH = r"(?i)</?p(?:\s[^>]*)?>", r"(?i)&lt;/?p(?:\s[^&]*)&gt;"
+SWALLOWED = r"(?is)<p(?:\s[^>]*)?>.*?<br\s*/?>\s*"
+SWALLOWED_TABLE = r"\|[^\n<]*\|\s*<br\s*/?>\s*\|[\s:|\-]+\|"
+SUPPLEMENT, LOGO_FIGURE = "图表补充", r"(?i)(logo|brand|icon).{0,60}\[\w*Figure:"
+BLOCKING = (
+    "image-anchor-lookup-failed:", "image-anchor-missing:", "image-insert-failed:", "image-block-id-missing:", "image-anchor-refresh-failed:", "image-move-failed:", "image-marker-remove-failed:",
+    "post-publish:marker-left-after-publish",
+)
 REFUSALS = ("i'm sorry, but i cannot assist", "i’m sorry, but i cannot assist", "i cannot assist with that request", "i can't assist with that request", "sorry, i can’t help", "抱歉，我无法", "不能协助")
 UNRESOLVED = ("仍有", "仍然", "仍存在", "未解决", "未修复", "尚未", "无法判断", "无法确认", "无法修复", "需要人工", "需要检查", "可能错误", "可能不", "疑似", "存在风险", "事实风险")
 RESOLVED = ("已修", "修正", "清理", "已清", "已改", "改为", "调整为", "中文化", "已保留", "均已保留", "未新增", "未补回", "按要求", "避免", "保持", "未改变", "更自然", "已简", "已补", "已统一")
@@ -97,7 +107,7 @@ def _labelled(labels: Column, stage: str) -> Column:
 
 
 def xml_agent(markdown: Column, xml: Column) -> Column:
-    downgraded = xml.rlike(r"<code>[^<]*(?:\\[A-Za-z]+|[_^]\{|\\frac|\\sum|\\mathbb)")
+    downgraded = xml.rlike(DOWNGRADED_FORMULA)
     left = F.transform(F.regexp_extract_all(xml, F.lit(MARKER), F.lit(0)), lambda m: issue("xml", "xml", "medium", F.concat(F.lit("unpublished-marker:"), m))).cast(ISSUE)
     return F.concat(_compact(when_issue(downgraded, "xml", "xml", "high", "latex-downgraded-to-code")), left)
 
@@ -115,19 +125,18 @@ def format_agent(markdown: Column, xml: Column) -> Column:
         open_text = F.regexp_replace(text, PROTECTED, "\x00")
         parts.append(when_issue(open_text.rlike(FORMATTING_COMMANDS), "format", stage, "high", "raw-tex-formatting-command"))
         if stage == "markdown":
-            parts.append(when_issue(text.rlike(r"(?i)</?p(?:\s[^>]*)?>"), "format", stage, "high", "raw-html-paragraph-tag"))
+            parts.append(when_issue(text.rlike(RAW_PARAGRAPH), "format", stage, "high", "raw-html-paragraph-tag"))
         else:
-            swallowed = r"(?is)<p(?:\s[^>]*)?>.*?<br\s*/?>\s*"
-            parts.append(when_issue(text.rlike(r"(?i)&lt;/?p(?:\s[^&]*)&gt;"), "format", stage, "high", "escaped-html-paragraph-tag"))
-            parts.append(when_issue(text.rlike(swallowed + r"#{2,6}\s+"), "format", stage, "high", "markdown-heading-inside-paragraph"))
-            parts.append(when_issue(text.rlike(swallowed + r"\|[^\n<]*\|\s*<br\s*/?>\s*\|[\s:|\-]+\|"), "format", stage, "high", "markdown-table-inside-paragraph"))
-            parts.append(when_issue(text.rlike(swallowed + MARKER), "format", stage, "high", "figure-marker-inside-paragraph"))
+            parts.append(when_issue(text.rlike(ESCAPED_PARAGRAPH), "format", stage, "high", "escaped-html-paragraph-tag"))
+            parts.append(when_issue(text.rlike(SWALLOWED + r"#{2,6}\s+"), "format", stage, "high", "markdown-heading-inside-paragraph"))
+            parts.append(when_issue(text.rlike(SWALLOWED + SWALLOWED_TABLE), "format", stage, "high", "markdown-table-inside-paragraph"))
+            parts.append(when_issue(text.rlike(SWALLOWED + MARKER), "format", stage, "high", "figure-marker-inside-paragraph"))
         parts.append(when_issue(has_raw_uncertainty(text, stage), "format", stage, "high", "raw-table-math"))
     return _compact(*parts)
 
 
 def figure_agent(markdown: Column, xml: Column) -> Column:
-    return _compact(when_issue(markdown.contains("图表补充"), "figure", "markdown", "medium", "figure-supplement-section"), when_issue(markdown.rlike(r"(?i)(logo|brand|icon).{0,60}\[\w*Figure:"), "figure", "markdown", "medium", "possible-logo-figure"))
+    return _compact(when_issue(markdown.contains(SUPPLEMENT), "figure", "markdown", "medium", "figure-supplement-section"), when_issue(markdown.rlike(LOGO_FIGURE), "figure", "markdown", "medium", "possible-logo-figure"))
 
 
 def has_dangling_tail(text: Column) -> Column:
@@ -180,7 +189,7 @@ def blocking(w: Column) -> Column:
         .when(bare.rlike(r"^visual-qa:(recheck:)?high:table-(overflow|clipped):"), False)
         .when(w.rlike(r"^visual-qa:(recheck:)?high:"), True)
         .when(w.rlike(r"^visual-qa:(remote|recheck)-error:"), True)
-        .when(w.rlike(r"^(image-anchor-lookup-failed:|image-anchor-missing:|image-insert-failed:|image-block-id-missing:|image-anchor-refresh-failed:|image-move-failed:|image-marker-remove-failed:|post-publish:marker-left-after-publish)"), True)
+        .when(w.rlike(f"^({'|'.join(BLOCKING)})"), True)
         .otherwise(False)
     )
 

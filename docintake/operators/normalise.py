@@ -16,6 +16,7 @@ SYMBOLS = {
     "ω": r"\omega", "Δ": r"\Delta", "Σ": r"\Sigma", "Π": r"\Pi", "Λ": r"\Lambda", "ℓ": r"\ell", "≤": r"\le ", "≥": r"\ge ", "×": r"\times ",
 }
 VISIBLE = ("textnormal", "operatorname", "textbf", "textit", "textsc", "textrm", "emph", "mathrm", "mathbf", "mathtt")
+PAPER_COMMANDS, CITATIONS = ("xspace", "NB", "DX", "lpk", "wx", "qz"), ("cite", "citep", "ref", "label", "url", "href")
 ACCENTS = "overline|underline|hat|widehat|tilde|widetilde|bar|vec|dot|ddot|check|breve|acute|grave"
 UNSAFE_NAMES = ("R", "N", "Z", "C", "E", "P", "Q", "KL", "Var", "Cov", "argmax", "argmin", "max", "min", "sin", "cos", "tan", "log", "exp", "sqrt", "frac")
 GREEK = "alpha|beta|gamma|delta|epsilon|varepsilon|zeta|eta|theta|vartheta|iota|kappa|lambda|Lambda|mu|nu|xi|pi|rho|sigma|tau|upsilon|phi|varphi|chi|psi|omega"
@@ -136,8 +137,8 @@ def strip_visible_macros(c: Column) -> Column:
     for _ in range(4):  # the innermost first, as deep as braces are nested
         c = F.regexp_replace(c, rf"\\(?:{'|'.join(VISIBLE)})\s*\{{([^{{}}]*)\}}", "$1")
     c = F.regexp_replace(c, rf"\\(?:{'|'.join(VISIBLE)})(?=[A-Za-z])", "")
-    c = F.regexp_replace(c, r"\\(?:xspace|NB|DX|lpk|wx|qz)(?![A-Za-z])", "")
-    return F.regexp_replace(c, r"\\(?:citep?|ref|label|url|href)\s*\{[^{}]*\}", "")
+    c = F.regexp_replace(c, rf"\\(?:{'|'.join(PAPER_COMMANDS)})(?![A-Za-z])", "")
+    return F.regexp_replace(c, rf"\\(?:{'|'.join(CITATIONS)})\s*\{{[^{{}}]*\}}", "")
 
 
 def prose_macros(macros: DataFrame) -> DataFrame:
