@@ -75,7 +75,7 @@ def unpacked_slots(data: bytes) -> np.ndarray:
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``slots`` (``packed_slots``) in place of the text."""
+    """``df`` with ``n`` and ``slots`` (their number, and ``packed_slots``) in place of the text."""
     keep = [c for c in df.columns if c != text]
     src = df.select(*keep, F.col(text).alias("text"))
 
@@ -85,9 +85,9 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
                 slot, owner = word_slots(*flat(b.column("text")))
                 cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
                 data = [packed_slots(slot[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(data, pa.binary())], [*keep, "slots"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(np.diff(cut), pa.int32()), pa.array(data, pa.binary())], [*keep, "n", "slots"])
 
-    return src.mapInArrow(run, ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in keep) + ", slots binary")
+    return src.mapInArrow(run, ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in keep) + ", n int, slots binary")
 
 
 @dataclass
@@ -99,16 +99,48 @@ class Model:
     prior: float
 
 
+class Rows:
+    """Sets of slots on end: ``slot``, and ``length`` of each row. Few large arrays, which go back to the system."""
+
+    def __init__(self, slot: np.ndarray, length: np.ndarray):
+        self.slot, self.length = slot, length
+
+    @classmethod
+    def of(cls, rows: Rows | list[np.ndarray]) -> Rows:
+        if isinstance(rows, Rows):
+            return rows
+        return cls(np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32), np.array([len(r) for r in rows], np.int64))
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+    def part(self, use: np.ndarray) -> Rows:
+        """The rows for which ``use`` holds."""
+        return Rows(self.slot[np.repeat(use, self.length)], self.length[use])
+
+    def known(self, index: np.ndarray) -> Rows:
+        """The slots by ``index``, those of -1 left out."""
+        slot = index[self.slot]
+        keep = slot >= 0
+        row = np.repeat(np.arange(len(self), dtype=np.int32), self.length)
+        return Rows(slot[keep], np.bincount(row[keep], minlength=len(self)))
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        out, some = np.zeros(len(self), weight.dtype), np.flatnonzero(self.length)
+        if len(some):
+            out[some] = np.add.reduceat(weight[self.slot], (np.cumsum(self.length) - self.length)[some])
+        return out
+
+
 class _Sparse:
     """Binary sparse rows: sums of weights by row, and the transpose."""
 
-    def __init__(self, rows: list[np.ndarray], slots: int):
-        self.n, self.slots = len(rows), slots
-        length = np.array([len(r) for r in rows], np.int64)
-        self.slot = np.concatenate([np.zeros(0, np.int32), *rows])
+    def __init__(self, rows: Rows | list[np.ndarray], slots: int):
+        rows = Rows.of(rows)
+        self.n, self.slots, self.slot, length = len(rows), slots, rows.slot, rows.length
         self.some = np.flatnonzero(length)
         self.at = (np.cumsum(length) - length)[self.some]
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), length)[np.argsort(self.slot, kind="stable")]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), length)[np.argsort(self.slot, kind="stable")]
         times = np.bincount(self.slot, minlength=slots)
         self.used = np.flatnonzero(times)
         self.begin = (np.cumsum(times) - times)[self.used]
@@ -147,22 +179,14 @@ def threshold(p: np.ndarray, u: np.ndarray, prior: float) -> float:
     return float(cut[error <= error.min() + 1e-12].max())
 
 
-def documents_with(rows: list[np.ndarray]) -> np.ndarray:
-    """By slot, the number of rows that have it."""
-    out = np.zeros(SLOTS, np.int64)
-    for x in rows:
-        out[x] += 1  # a row's slots are distinct
-    return out
-
-
-def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int) -> tuple[np.ndarray, float]:
-    """Weights by slot and bias that minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the
+def descend(positive: Rows, unlabelled: Rows, prior: float, epochs: int) -> np.ndarray:
+    """Weights by slot that minimise prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the
     sigmoid loss; where the second part is negative its gradient is reversed, as nnPU does."""
-    dp, du = map(documents_with, (positive, unlabelled))
+    dp, du = (np.bincount(x.slot, minlength=SLOTS) for x in (positive, unlabelled))
     known = np.flatnonzero(dp + du >= MIN_DOCS)
     index = np.full(SLOTS, -1, np.int32)
     index[known] = np.arange(len(known))
-    p, u = (_Sparse([x[x >= 0] for x in (index[r] for r in rows)], len(known)) for rows in (positive, unlabelled))
+    p, u = (_Sparse(rows.known(index), len(known)) for rows in (positive, unlabelled))
     # Weights begin at the log-odds between the two samples less LOWER standard errors, where these are positive: the
     # loss isn't convex. They stay at 0 or more: words are evidence of toxicity or none, and length is none against it.
     odds = np.log((dp + 0.5) / (p.n + 1)) - np.log((du + 0.5) / (u.n + 1))
@@ -175,23 +199,24 @@ def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: flo
         np.maximum(par["w"], 0, out=par["w"])
     weight = np.zeros(SLOTS, np.float32)
     weight[known] = par["w"]
-    return weight, float(par["b"][0])
+    return weight
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS) -> Model:
+def train(positive: Rows | list[np.ndarray], unlabelled: Rows | list[np.ndarray], prior: float, epochs: int = EPOCHS) -> Model:
     """``descend`` on all rows; the bias is set by the same risk of the zero-one loss, on scores that each part of the
     rows gets from the others (``FOLDS`` parts)."""
-    if not positive or not unlabelled:
+    both = Rows.of(positive), Rows.of(unlabelled)
+    if not all(map(len, both)):
         return Model(np.zeros(SLOTS, np.float32), -50.0, prior)
     prior = min(max(prior, 1e-4), 0.9999)
-    weight, _ = descend(positive, unlabelled, prior, epochs)
-    scores: tuple[list, list] = ([], [])
+    weight = descend(*both, prior, epochs)
+    scores = [np.zeros(len(rows), np.float32) for rows in both]
     for f in range(FOLDS):
-        rest = [[x for k, x in enumerate(rows) if k % FOLDS != f] or rows for rows in (positive, unlabelled)]
-        w, _ = descend(*rest, prior, epochs)
-        for out, rows in zip(scores, (positive, unlabelled), strict=True):
-            out += [w[x].sum() for x in rows[f::FOLDS]]
-    return Model(weight, -threshold(*map(np.array, scores), prior), prior)
+        out = [np.arange(len(rows)) % FOLDS == f for rows in both]
+        w = descend(*(rows.part(~x) if len(rows) > FOLDS else rows for rows, x in zip(both, out, strict=True)), prior, epochs)
+        for score, rows, x in zip(scores, both, out, strict=True):
+            score[x] = rows.part(x).sums(w)
+    return Model(weight, -threshold(*scores, prior), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None) -> Model:
@@ -202,10 +227,18 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
         prior = float(known.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0)
     toxic = bounded_sample(known.filter("y = 1").select(key), key, MAX_POSITIVE).select(key, F.lit(1).alias("y"))
     plain = bounded_sample(docs.filter(use & F.col(key).isNotNull()).select(key), key, MAX_UNLABELLED).select(key, F.lit(0).alias("y"))
-    rows = stored(features(with_texts(toxic.unionByName(plain), docs, key, text).select("y", text), text), "pu").collect()  # bounded by the two limits
-    packed = sorted((r["y"], bytes(r["slots"])) for r in rows)  # the order decides who is in which part
-    del rows
-    sets = {y: [unpacked_slots(x) for k, x in packed if k == y] for y in (0, 1)}
+    rows = stored(features(with_texts(toxic.unionByName(plain), docs, key, text).select("y", text), text), "pu").toArrow()  # bounded by the two limits
+    packed = rows.column("slots").combine_chunks()
+    order = sorted(range(len(packed)), key=lambda i: packed[i].as_buffer().to_pybytes())  # it decides who is in which part
+    y, n = (rows.column(c).to_numpy() for c in ("y", "n"))
+    sets = {}
+    for k in (0, 1):
+        own = [i for i in order if y[i] == k]
+        end = np.cumsum(n[own], dtype=np.int64)
+        slot = np.empty(int(end[-1]) if own else 0, np.int32)
+        for i, e in zip(own, end.tolist(), strict=True):
+            slot[e - n[i] : e] = unpacked_slots(packed[i].as_buffer())
+        sets[k] = Rows(slot, n[own].astype(np.int64))
     return train(sets[1], sets[0], prior)
 
 
