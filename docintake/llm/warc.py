@@ -11,7 +11,8 @@ makes its own, so a lost executor costs only its unwritten bundles.
 
 Defined cases: null html is an empty payload; null url is an empty target; a null key gives a record whose
 id ends in ``null`` and which is a response; repeated rows (equal key and payload) are all responses if their
-key is the group's largest, else all revisits; equal payloads are found by SHA-256; an empty table gives no
+key is the group's largest, else all revisits; equal payloads are found by SHA-256; a very long payload is one record, in a frame of its
+own; an empty table gives no
 bundles; other columns are ignored; a damaged bundle raises an error that names it.
 """
 
@@ -130,12 +131,13 @@ def tag(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html
     ``min_bytes`` bytes, where that is another row's; html is null there, so it isn't written again.
 
     Only keys and hashes meet by payload; the groups with more than one row are written down first, so that
-    a join partition with a hot payload can be split at run time."""
+    a join partition with a hot payload can be split at run time. So are the rows that repeat another: by the size of
+    that table the optimizer tells whether they can be sent to the pages, or pages and repeats must be shuffled."""
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), body.alias("html"), F.octet_length(body).cast("bigint").alias("size"), F.sha2(body, 256).alias("same"))
     thin = rows.filter(F.col("size") >= min_bytes).select("key", "same")
     groups = stored(thin.groupBy("same").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("same", "last"), "payload-groups")
-    again = thin.join(groups, "same").filter("key < last").select("key", "same", "last").distinct()
+    again = stored(thin.join(groups, "same").filter("key < last").select("key", "same", "last").distinct(), "payload-repeats")
     out = rows.join(again, ["key", "same"], "left")
     return out.select("key", "url", F.when(F.col("last").isNull(), F.col("html")).alias("html"), "size", F.sha1("html").alias("sha1"), F.col("last").alias("refers_to"))
 
