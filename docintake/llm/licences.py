@@ -16,9 +16,9 @@ whose n-grams the window holds the share ``CONFIRM``, n-grams of few families we
 Every paragraph is scored. Words outside the vocabulary become gaps first, so a window's n-grams are those that
 the model or a template has; a window without any gets the intercepts' answer, which is unknown.
 
-Everything on the main path is DataFrame functions: n-grams by higher-order functions, model and templates
-as small tables that are broadcast (their size is set by TEMPLATES), sums by partial aggregates on the key
-of a paragraph.
+Everything on the main path is DataFrame functions and Spark's own transformers: n-grams by higher-order functions,
+scores row by row, without a shuffle; only windows that the model takes for a licence are joined with the templates
+(a small table that is broadcast; its size is set by TEMPLATES).
 
 Defined cases: null and empty texts have no paragraphs and no findings; repeated rows each get a row (rows
 are told apart by a hash of their text, so equal rows share their findings); very long texts and lines are
@@ -32,8 +32,9 @@ import math
 import re
 from collections import Counter
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,10 +206,13 @@ def like_templates(hits: DataFrame, unit: list[str]) -> DataFrame:
 
 
 class Model:
-    """Weights by n-gram and family, intercepts, temperature."""
+    """The vocabulary and the regression as Spark holds them; weights by n-gram and family, intercepts, temperature."""
 
-    def __init__(self, families: list[str], grams: list[tuple], intercept: list[float], temperature: float):
-        self.families, self.grams, self.intercept, self.temperature = families, grams, intercept, temperature
+    def __init__(self, vocabulary: CountVectorizerModel, regression: LogisticRegressionModel, families: list[str], temperature: float):
+        self.vocabulary, self.regression, self.families, self.temperature = vocabulary, regression, families, temperature
+        weight = regression.coefficientMatrix.toArray()
+        grams = [(w, *map(float, weight[:, i])) for i, w in enumerate(vocabulary.vocabulary) if abs(weight[:, i]).max() > 1e-6]
+        self.grams, self.intercept = grams, regression.interceptVector.toArray().tolist()
         #: Words of the vocabulary, and those of them that every n-gram of it has one of.
         every = {g for g, *_ in grams} | {g for g, *_ in template_grams()}
         self.words = {w for g in every for w in g.split()}
@@ -231,17 +235,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     rows = stored(made.unionByName(plain), "licence-rows")
     train = stored(vocabulary.transform(rows.coalesce(1)), "licence-features")
     model = LogisticRegression(regParam=0.002, elasticNetParam=0.3, maxIter=40, family="multinomial").fit(train.filter(~F.col("held")))
-    weight = model.coefficientMatrix.toArray()
-    intercept = model.interceptVector.toArray().tolist()
-    intercept += [0.0] * (len(families) - len(intercept))
-    grams = [(w, *map(float, weight[:, i])) for i, w in enumerate(vocabulary.vocabulary) if abs(weight[:, i]).max() > 1e-6]
     # Temperature: the one that gives the rows held out from training the largest likelihood.
     raw = [(r["rawPrediction"].toArray(), int(r["label"])) for r in model.transform(train.filter("held")).select("rawPrediction", "label").collect()]  # bounded like the training rows
 
     def loss(t: float) -> float:
         return sum(math.log(sum(math.exp((x - max(z)) / t) for x in z)) - (z[y] - max(z)) / t for z, y in raw)
 
-    return Model(families, grams, intercept, min((0.4, 0.5, 0.65, 0.8, 1.0, 1.25, 1.6, 2.0), key=loss))
+    return Model(vocabulary, model, families, min((0.4, 0.5, 0.65, 0.8, 1.0, 1.25, 1.6, 2.0), key=loss))
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -295,18 +295,21 @@ def tight(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per confirmed finding (paragraph and family): key, paragraph, family, probability, unknown_probability, containment."""
-    spark = docs.sparkSession
     unit = ["id", "paragraph", "first", "last"]
-    weights = F.broadcast(spark.createDataFrame([(g, i, w) for g, *ws in model.grams for i, w in enumerate(ws) if w], "gram string, class int, weight double"))
-    hits = paragraphs(docs, key, text).select("id", "paragraph", F.explode(windows_column(F.col("paragraph_text"), model)).alias("w")).select("id", "paragraph", "w.*")
-    hits = stored(hits.select("id", "paragraph", "first", "last", grams_column(F.col("words")).alias("grams")), "licence-grams")
-    hits = hits.select(*unit, F.explode("grams").alias("gram"))
-    logit = hits.join(weights, "gram").groupBy(*unit, "class").agg(F.sum("weight").alias("weight"))
-    logit = logit.groupBy(*unit).agg(F.map_from_entries(F.collect_list(F.struct("class", "weight"))).alias("by_class"))  # a number for each family at most
-    at = F.lit([float(x) for x in model.intercept])
-    z = F.transform(at, lambda c, i: (c + F.coalesce(F.try_element_at("by_class", i), F.lit(0.0))) / model.temperature)
-    odds = logit.select(*unit, z.alias("z")).select(*unit, F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
-    scored = odds.select(*unit, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda p, q: p + q)).alias("p"))
+    rows = paragraphs(docs, key, text).select("id", "paragraph", F.explode(windows_column(F.col("paragraph_text"), model)).alias("w"))
+    rows = rows.select("id", "paragraph", "w.first", "w.last", grams_column(F.col("w.words")).alias("grams"))
+    raw = model.regression.transform(model.vocabulary.transform(rows)).select(*unit, "grams", vector_to_array("rawPrediction").alias("raw"))
+
+    def shares(z: Column) -> Column:  # softmax; arrays are bound to lambda variables, so each is computed once
+        once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+        e = once(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp((x - top) / model.temperature)))
+        return once(e, lambda e: once(F.aggregate(e, F.lit(0.0), lambda p, q: p + q), lambda total: F.transform(e, lambda x: x / total)))
+
+    # What is left of all windows: those that the model takes for a licence. A filter would be pushed below the scores
+    # and compute them again; a generator isn't.
+    likely = F.filter(F.array(F.struct(*unit, "grams", F.get(F.transform(F.array("raw"), shares), 0).alias("p"))), lambda r: F.array_max(F.slice(r["p"], 1, len(model.families) - 1)) >= CONFIDENT)
+    scored = stored(raw.select(F.explode(likely).alias("r")).select("r.*"), "licence-scored")
+    hits = scored.select(*unit, F.explode("grams").alias("gram"))
     scored = scored.select(*unit, F.element_at("p", -1).alias("unknown_probability"), F.posexplode(F.slice("p", 1, len(model.families) - 1)).alias("class", "probability"))
     scored = scored.filter((F.col("probability") >= CONFIDENT) & (F.col("probability") > F.col("unknown_probability")))
     scored = scored.select(*unit, F.element_at(F.lit(model.families), F.col("class") + 1).alias("family"), "probability", "unknown_probability")
