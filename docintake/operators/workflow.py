@@ -2,11 +2,12 @@
 
 A job's log is folded to its state by composition: within a segment of the log every possible start state is
 carried through, so segments of one job are folded independently of each other, and a second pass composes
-the segments. A job with very many events is thus spread over tasks.
+the segments. A job with very many events is thus spread over tasks. Leases, whose holders are names, are carried symbolically.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -174,28 +175,134 @@ def transition_detail(from_state: Column, to_state: Column, event: Column, detai
     return F.to_json(F.struct(from_state.alias("from"), to_state.alias("to"), event.alias("event"), F.substring(detail, 1, most).alias("detail")))
 
 
-def replay_with_leases(log: DataFrame) -> DataFrame:
+# ---------------------------------------------------------------- leases, by composition
+#
+# Who holds a job's lease isn't one of a few values, so a segment is carried from every state with a symbolic holder:
+# ``holder`` null stands for whoever held it before. The first event that names a worker and would have an effect splits
+# such a path: in one branch that worker is the holder (``guard`` says so), in the other it isn't. A segment thus becomes
+# a list of paths (begin, guard) -> (state, holder, counts), and two lists compose to one of the same form.
+
+_PATH = "array<struct<begin:int,guard:string,state:int,holder:string,version:bigint,rejected:bigint,ignored:bigint>>"
+#: Events of a segment, and segments that are put together in one step.
+LEASE_SEGMENT, LEASE_FAN = 4096, 256
+
+
+def _path(begin: Column, guard: Column, state: Column, holder: Column, version: Column, rejected: Column, ignored: Column) -> Column:
+    return F.struct(begin.alias("begin"), guard.alias("guard"), state.alias("state"), holder.alias("holder"), version.alias("version"), rejected.alias("rejected"), ignored.alias("ignored"))
+
+
+def _lease_rules() -> tuple[list[list[int]], list[list[bool]], int, set[int]]:
+    """By event number (-1: none): to-state of each state (-1: no edge), whether each state ignores it; the claim's
+    number; the events that end a lease."""
+    no = {e: i for i, e in enumerate(EVENTS)}
+    to = {(s, e): STATES.index(t) for s, e, t in expanded_edges()}
+    tos = [[to.get((s, e), -1) for s in STATES] for e in EVENTS] + [[-1] * len(STATES)]
+    quiet = {"fail": ("completed", *RETRYABLE), "complete": ("completed",)}
+    ignores = [[s in quiet.get(e, ()) for s in STATES] for e in EVENTS] + [[False] * len(STATES)]
+    return tos, ignores, no["claim"], {no[e] for e in ("recover", "complete", "fail", "retry", "cancel")}
+
+
+def segment_paths(events: list[int], workers: list[str], first: bool, rules: tuple) -> list[tuple]:
+    """Paths of a segment. Paths that meet in one state and holder go on as one: each keeps what its counts were more
+    than the joint ones when they met, so an event costs a step for each different (state, holder) only."""
+    tos, ignores, claim, ends = rules
+    # (state, holder) -> [version, rejected, ignored, members]; a member: [begin, guard, more version, rejected, ignored]
+    live = {(0, ""): [0, 0, 0, [[0, None, 0, 0, 0]]]} if first else {(s, None): [0, 0, 0, [[s, None, 0, 0, 0]]] for s in range(len(STATES))}
+    told: set[tuple[int, str]] = set()
+
+    def into(out: dict, key: tuple, v: int, r: int, i: int, members: list) -> None:
+        known = out.get(key)
+        if known is None:
+            out[key] = [v, r, i, members]
+            return
+        if len(known[3]) < len(members):
+            out[key], known, (v, r, i, members) = (large := [v, r, i, members]), large, known
+        for m in members:
+            m[2] += v - known[0]
+            m[3] += r - known[1]
+            m[4] += i - known[2]
+        known[3].extend(members)
+
+    for e, w in zip(events, workers, strict=True):
+        to, ignore, named = tos[e], ignores[e], e != claim and w != ""
+        out: dict[tuple, list] = {}
+        for (state, holder), (v, r, i, members) in live.items():
+            effect = ignore[state] or to[state] >= 0
+            if named and holder != w:
+                if holder is None and effect:  # where this worker holds the lease, it isn't lost
+                    new = [[m[0], w, *m[2:]] for m in members if (m[0], w) not in told]
+                    told.update((m[0], w) for m in new)
+                    if new:
+                        into(out, (state, w) if ignore[state] else (to[state], "" if e in ends else w), v + (not ignore[state]), r, i + ignore[state], new)
+                into(out, (state, holder), v, r + 1, i, members)
+            elif ignore[state]:
+                into(out, (state, holder), v, r, i + 1, members)
+            elif to[state] < 0:
+                into(out, (state, holder), v, r + 1, i, members)
+            else:
+                into(out, (to[state], w if e == claim else "" if e in ends else holder), v + 1, r, i, members)
+        live = out
+    return [(m[0], m[1], state, holder, v + m[2], r + m[3], i + m[4]) for (state, holder), (v, r, i, members) in live.items() for m in members]
+
+
+def _lease_paths(parts: DataFrame) -> DataFrame:
+    """job_id, at, paths from (job_id, at, first, e, w): a segment's events and workers in order."""
+
+    def run(batches):
+        rules = _lease_rules()
+        names = ("begin", "guard", "state", "holder", "version", "rejected", "ignored")
+        kind = pa.list_(pa.struct([(n, pa.string() if n in ("guard", "holder") else pa.int32() if n in ("begin", "state") else pa.int64()) for n in names]))
+        for b in batches:
+            paths = [segment_paths(e, w, first, rules) for first, e, w in zip(*(b.column(c).to_pylist() for c in ("first", "e", "w")), strict=True)]
+            rows = [[dict(zip(names, p, strict=True)) for p in x] for x in paths]
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("at"), pa.array(rows, kind)], ["job_id", "at", "paths"])
+
+    return parts.mapInArrow(run, f"job_id {parts.schema['job_id'].dataType.simpleString()}, at bigint, paths {_PATH}")
+
+
+def _then(a: Column, b: Column) -> Column:
+    """The paths of what ``a`` stands for and then ``b``."""
+
+    def on(p: Column, q: Column, guard: Column) -> Column:
+        return _path(p["begin"], guard, q["state"], F.coalesce(q["holder"], p["holder"]), p["version"] + q["version"], p["rejected"] + q["rejected"], p["ignored"] + q["ignored"])
+
+    def each(p: Column) -> Column:
+        follow = F.filter(b, lambda q: q["begin"] == p["state"])
+        known = F.filter(follow, lambda q: q["guard"] == p["holder"])
+        fixed = F.transform(F.when(F.size(known) > 0, known).otherwise(F.filter(follow, lambda q: q["guard"].isNull())), lambda q: on(p, q, p["guard"]))
+        split = F.filter(follow, lambda q: q["guard"].isNull() | ~F.exists(a, lambda o: (o["begin"] == p["begin"]) & o["guard"].eqNullSafe(q["guard"])))
+        return F.when(p["holder"].isNull(), F.transform(split, lambda q: on(p, q, q["guard"]))).otherwise(fixed)
+
+    return F.flatten(F.transform(a, each))
+
+
+def replay_with_leases(log: DataFrame, segment: int = LEASE_SEGMENT, fan: int = LEASE_FAN) -> DataFrame:
     """job_id, state, version, worker, rejected, ignored from ``log`` (job_id, seq, event, worker_id).
 
     A claim takes the lease for its worker; an event that names another worker than the holder is rejected;
     recovery, completion, failure and retry end the lease; a failure reported after completion is ignored, and
-    one that follows a specific failure keeps that; completion may be reported again."""
-    done, fails = STATES.index("completed"), [STATES.index(s) for s in RETRYABLE]
-    no = {e: i for i, e in enumerate(EVENTS)}
-    xs = F.array_sort(F.collect_list(F.struct("seq", _event_number(F.col("event")).alias("e"), F.coalesce("worker_id", F.lit("")).alias("w"))))
-    first = F.struct(F.lit(0).alias("state"), F.lit(0).alias("version"), F.lit("").alias("worker"), F.lit(0).alias("rejected"), F.lit(0).alias("ignored"))
-
-    def step(acc: Column, x: Column) -> Column:
-        lost = (x["e"] != no["claim"]) & (x["w"] != "") & (x["w"] != acc["worker"])
-        to = F.when(x["e"] >= 0, F.get(_table(), acc["state"] * len(EVENTS) + x["e"])).otherwise(F.lit(-1))
-        ignored = ~lost & ((x["e"] == no["fail"]) & ((acc["state"] == done) | acc["state"].isin(fails)) | (x["e"] == no["complete"]) & (acc["state"] == done))
-        ok = ~lost & ~ignored & (to >= 0)
-        ends = x["e"].isin([no[e] for e in ("recover", "complete", "fail", "retry", "cancel")])
-        worker = F.when(ok & (x["e"] == no["claim"]), x["w"]).when(ok & ends, F.lit("")).otherwise(acc["worker"])
-        return F.struct(F.when(ok, to).otherwise(acc["state"]).alias("state"), (acc["version"] + ok.cast("int")).alias("version"), worker.alias("worker"), (acc["rejected"] + (~ok & ~ignored).cast("int")).alias("rejected"), (acc["ignored"] + ignored.cast("int")).alias("ignored"))
-
-    got = log.groupBy("job_id").agg(xs.alias("xs")).select("job_id", F.aggregate("xs", first, step).alias("r"))
-    return got.select("job_id", F.get(F.lit(list(STATES)), F.col("r.state")).alias("state"), "r.version", F.col("r.worker").alias("worker_id"), "r.rejected", "r.ignored")
+    one that follows a specific failure keeps that; completion may be reported again.
+
+    Segments of a log are folded apart (in Arrow batches: paths that meet are merged, which no built-in
+    function can do), and their paths are put together ``fan`` at a time, level by level, so no array
+    is longer than a segment or ``fan`` lists of paths; a list has at most a path for each state and worker that the
+    segments name while the holder is open."""
+    x = F.struct("seq", F.coalesce(_event_number(F.col("event")), F.lit(-1)).alias("e"), F.coalesce("worker_id", F.lit("")).alias("w"))
+    parts = log.select("job_id", F.floor(F.col("seq") / segment).alias("at"), x.alias("x"))
+    spread = parts.groupBy("job_id").agg(F.min("at").alias("begin"), F.max("at").alias("end"))
+    reach = spread.agg(F.max(F.col("end") - F.col("begin"))).first()[0] or 0
+    parts = parts.groupBy("job_id", "at").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    if reach:
+        parts = parts.join(spread.filter("begin < end").select("job_id", "begin"), "job_id", "left")
+    first = F.col("at") == F.coalesce("begin", "at") if reach else F.lit(True)
+    parts = _lease_paths(parts.select("job_id", "at", first.alias("first"), F.col("xs.e").alias("e"), F.col("xs.w").alias("w")))
+    while reach:  # a level for every factor of ``fan`` in the longest log
+        reach //= fan
+        parts = parts.select("job_id", F.floor(F.col("at") / fan).alias("up") if reach else F.lit(0).cast("bigint").alias("up"), F.struct("at", "paths").alias("p"))
+        parts = parts.groupBy("job_id", "up").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+        parts = parts.select("job_id", F.col("up").alias("at"), F.aggregate(F.slice("ps", 2, F.size("ps")), F.get("ps", 0)["paths"].cast(_PATH), lambda acc, p: _then(acc, p["paths"])).alias("paths"))
+    got = parts.select("job_id", F.get("paths", 0).alias("r"))
+    return got.select("job_id", F.get(F.lit(list(STATES)), F.col("r.state")).alias("state"), F.col("r.version").cast("int").alias("version"), F.col("r.holder").alias("worker_id"), F.col("r.rejected").cast("int").alias("rejected"), F.col("r.ignored").cast("int").alias("ignored"))
 
 
 def checkpoints(log: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,43 @@ def test_edges_with_policies():
     assert len(workflow.EDGES) == 27 and len(workflow.expanded_edges()) == 77
 
 
+def replayed(events):
+    """The lease rules as a plain loop over (event, worker)."""
+    edges = {(s, e): t for s, e, t in workflow.expanded_edges()}
+    state, version, holder, rejected, ignored = "queued", 0, "", 0, 0
+    for e, w in events:
+        w = w or ""
+        if e != "claim" and w and w != holder:
+            rejected += 1
+        elif e == "fail" and state in ("completed", *workflow.RETRYABLE) or e == "complete" and state == "completed":
+            ignored += 1
+        elif (state, e) not in edges:
+            rejected += 1
+        else:
+            state, version = edges[state, e], version + 1
+            holder = w if e == "claim" else "" if e in ("recover", "complete", "fail", "retry", "cancel") else holder
+    return state, version, holder, rejected, ignored
+
+
+@pytest.mark.parametrize(("segment", "fan"), [(1000, 256), (7, 3), (1, 2)])
+def test_segments_of_leases_compose_to_the_plain_loop(spark, segment, fan):
+    r = random.Random(1)
+    names = ["claim"] * 4 + ["fetch_started", "source_ready", "source_missing", "generation_started", "fail", "recover", "retry", "cancel", "complete", "nonsense", None]
+    jobs = {j: [(r.choice(names), r.choice(["a", "b", "c", "", None])) for _ in range(r.choice([1, 5, 30, 120]))] for j in range(40)}
+    rows = [(j, 50 + k, e, w) for j, x in jobs.items() for k, (e, w) in enumerate(x)]
+    got = workflow.replay_with_leases(spark.createDataFrame(rows, "job_id long, seq long, event string, worker_id string"), segment, fan)
+    assert sorted(tuple(x) for x in got.select("job_id", "state", "version", "worker_id", "rejected", "ignored").collect()) == sorted((j, *replayed(x)) for j, x in jobs.items())
+
+
+def test_leases_of_one_job_with_a_million_events(spark):
+    names, workers = ["claim", "claim", "fetch_started", "source_ready", "fail", "retry", "recover", "nonsense"], ["a", "b", ""]
+    pick = lambda x, salt: F.get(F.lit(x), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(x))).cast("int"))
+    log = spark.range(1_000_000, numPartitions=4).select(F.lit(1).alias("job_id"), F.col("id").alias("seq"), pick(names, 1).alias("event"), pick(workers, 2).alias("worker_id"))
+    got = workflow.replay_with_leases(log).select("state", "version", "worker_id", "rejected", "ignored").collect()
+    want = replayed((x["event"], x["worker_id"]) for x in log.select("event", "worker_id").toLocalIterator(prefetchPartitions=True))
+    assert [tuple(x) for x in got] == [want] and want[1] > 1000
+
+
 def test_a_lost_lease_changes_nothing(spark):
     rows = log(spark, ("claim", "worker-a"), ("recover", ""), ("claim", "worker-b"), ("fetch_started", "worker-a"), ("fail", "worker-a"))
     got = workflow.replay_with_leases(rows).first()
