@@ -170,7 +170,10 @@ def inspect(docs: DataFrame, agents: dict[str, Callable[[Column, Column], Column
 
 
 def issue_table(inspected: DataFrame, key: str = "doc_id") -> DataFrame:
-    return inspected.select(key, F.posexplode("issues").alias("pos", "i")).select(key, "pos", "i.*")
+    """One row per issue. The outer form of explode keeps Spark from inferring a filter on the array's size, which it
+    would push below the projections that compute the issues, and so compute every rule twice."""
+    rows = inspected.select(key, F.posexplode_outer("issues").alias("pos", "i"))
+    return rows.filter("pos is not null").select(key, "pos", "i.*")
 
 
 def warning(i: Column) -> Column:
@@ -325,6 +328,40 @@ def repair_ledger(rounds: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.coalesce(first, F.max("round")).alias("chosen"), first.isNotNull().alias("passed"), F.count(F.lit(1)).alias("rounds"), F.bool_or("same").alias("stalled"))
 
 
+ROUND = "round int, markdown string, blocking array<string>, issues array<string>, candidate string, error string"
+
+
+def repair_outcome(rounds: DataFrame, max_rounds: int = 2, prior: Column | None = None) -> DataFrame:
+    """How the repair of each document ended, from its recorded rounds (doc_id, round from 0, markdown, ``blocking``
+    warnings, and of the repair call the ``issues`` it named, its ``candidate`` text, or its ``error``).
+
+    The loop ends with the first round that has no blocking warnings, that is number ``max_rounds``, or whose candidate
+    changed nothing; rounds recorded after it don't count. Gives doc_id, the ``round``, ``reason`` (passed, spent,
+    no-change; open where the recorded rounds end before), the markdown, its ``blocking`` warnings, the
+    ``repair_warnings`` and the ``feedback`` that a further round would be told, each once, in order of appearance."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    strings = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    number = lambda tail: F.concat(F.lit("quality-repair:round-"), (F.col("round") + 1).cast("string"), F.lit(tail))
+    failed, called = F.col("error").isNotNull(), F.col("candidate").isNotNull()
+    same = called & ~failed & (strip(text("candidate")) == strip(text("markdown")))
+    said = F.transform(strings("issues"), lambda i: F.concat(F.lit("quality-repair:"), i))
+    said = F.when(failed, F.array(F.concat(number(":model-call-failed:"), clip(squeeze(F.col("error")), 180)))).when(same, F.array_append(said, number(":no-change"))).otherwise(said)
+    reason = F.when(F.size(strings("blocking")) == 0, "passed").when(F.col("round") >= max_rounds, "spent").when(same, "no-change").otherwise("open")
+    rows = rounds.filter(F.col("round") <= max_rounds).select("doc_id", "round", reason.alias("reason"), F.when(same, F.col("candidate")).otherwise(text("markdown")).alias("markdown"), strings("blocking").alias("blocking"), said.alias("said"))
+    one = F.struct("round", "reason", "markdown", "blocking", "said")
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("rs"))  # max_rounds + 1 of each document
+    ends = F.filter(F.transform("rs", lambda r: F.when(r["reason"] != "open", r["round"])), lambda x: x.isNotNull())
+    parts = parts.withColumn("end", F.coalesce(F.get(ends, 0), F.element_at("rs", -1)["round"]))
+    parts = parts.withColumn("rs", F.filter("rs", lambda r: r["round"] <= F.col("end"))).withColumn("last", F.element_at("rs", -1))
+    before = F.filter("rs", lambda r: ~r["reason"].isin("passed", "spent"))
+    told = F.flatten(F.transform(before, lambda r: F.concat(r["blocking"], r["said"])))
+    first = F.array().cast("array<string>") if prior is None else prior
+    return parts.select(
+        "doc_id", F.col("end").alias("round"), F.col("last.reason").alias("reason"), F.col("last.markdown").alias("markdown"), ordered_distinct(F.col("last.blocking")).alias("blocking"),
+        ordered_distinct(F.flatten(F.transform(before, lambda r: r["said"]))).alias("repair_warnings"), ordered_distinct(F.concat(first, told)).alias("feedback"),
+    )
+
+
 def failure_ledger(rows: DataFrame, keep: int = 16) -> DataFrame:
     """The last ``keep`` distinct failures of each job in order of first appearance (job_id, seq, text)."""
     text = clip(squeeze(F.col("text")), 700)
@@ -345,11 +382,23 @@ def with_title(text: Column, title: Column) -> Column:
     return F.when(first_line(text).rlike(r"^#\s+\S"), text).when(found != "", F.concat(found, F.lit("\n\n"), rest)).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), text))
 
 
-def last_complete_suffix(docs: DataFrame, markers: Column) -> DataFrame:
-    """doc_id and the last suffix, from a title on, that has no completeness errors. Titles are told apart by their
-    place, so drafts under one title are several."""
-    parts = docs.select("doc_id", F.split("markdown", r"(?m)(?=^#\s+\S)").alias("parts"))
-    rows = parts.select("doc_id", "parts", F.posexplode("parts").alias("at", "part")).filter(F.col("part").rlike(r"^#\s+\S"))
-    rows = rows.select("doc_id", "at", F.array_join(F.slice("parts", F.col("at") + 1, F.size("parts")), "").alias("suffix"))
-    rows = rows.filter(F.size(completeness_errors(F.col("suffix"), markers)) == 0)
-    return rows.groupBy("doc_id").agg(F.max_by("suffix", "at").alias("markdown"))
+def last_complete_suffix(docs: DataFrame, markers: Column, identifier: Column | None = None) -> DataFrame:
+    """doc_id and the last suffix, from a title on, that has no completeness errors.
+
+    A title is a line that begins with ``# ``; with ``identifier`` it is ``# [identifier]``, wherever it stands (``''``:
+    with anything in the brackets), of the document without an outer fence. Drafts under one title are told apart by
+    their place. A suffix that holds a second title isn't complete, so only the one from the last title on can be: it
+    is the last match and what follows the last match, and no other suffix is ever built."""
+    text = F.col("markdown") if identifier is None else unwrap_outer_fence(F.col("markdown"))
+    if identifier is None:
+        title = F.lit(r"(?m)^#\s+\S")
+    else:
+        exact = F.concat(F.lit("\\Q"), F.replace(identifier, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        title = F.concat(F.lit(r"(?U)#\s+\["), F.when(identifier == "", r"[^\]\n]+").otherwise(exact), F.lit(r"\]"))
+    rows = docs.select("doc_id", text.alias("text"), title.alias("title"))
+    found = F.try_element_at(F.regexp_extract_all("text", "title", F.lit(0)), F.lit(-1))
+    suffix = F.concat(found, F.element_at(F.split("text", F.col("title")), -1))
+    if identifier is not None:
+        suffix = F.concat(strip(suffix), F.lit("\n"))
+    rows = rows.select("doc_id", suffix.alias("markdown")).filter("markdown is not null")
+    return rows.filter(F.size(completeness_errors(F.col("markdown"), markers)) == 0)

@@ -197,15 +197,38 @@ def _(spark, d):
     return n.drop_false_warnings(_text(spark, d, _CLAIM).select("doc_id", "text"))
 
 
-#: A short draft and a complete one under the same title, behind the text of the document.
-_DRAFTS = "SELECT doc_id, concat(coalesce(text, ''), chr(10), '# T', chr(10), 'short', chr(10), '# T', chr(10), 'TL;DR', chr(10), coalesce(text, '')) AS markdown FROM documents"
+#: Behind the text of each document: a short draft and then, under the same title, one whose third section is the whole
+#: text, which is complete where it is long enough (or, by doc_id, has a section or the TL;DR less); some in a fence.
+_DRAFTS = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('```markdown', chr(10), md, chr(10), '```') ELSE md END AS markdown FROM (
+ SELECT doc_id, concat(t, chr(10), '# [', CAST(doc_id AS VARCHAR(12)), '] T', chr(10), 'short', chr(10), '# [', CAST(doc_id AS VARCHAR(12)), '] T', chr(10), CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'TL;DR' END, chr(10),
+ '## 1. a', chr(10), '## 2 b', chr(10), '## 3. c', chr(10), t, chr(10), '## 4. d', chr(10), '## 5. e', chr(10), '## 6. f', chr(10), CASE WHEN doc_id % 7 = 0 THEN '' ELSE '## 7. g' END, chr(10), 'end') AS md
+ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) x) y"""
 
 
-@query("qg_last_complete")
+@query("qg_last_complete", f"""WITH c AS (SELECT doc_id, concat(regexp_extract(trim(markdown, '` ' || chr(10)), concat('(?s)^.*(# [[]', CAST(doc_id AS VARCHAR), '[]].*)$'), 1), chr(10)) AS s FROM ({_DRAFTS}) d)
+SELECT doc_id, s AS markdown FROM c WHERE length(trim(s, chr(10) || ' ')) >= 1800 AND contains(s, 'TL;DR') AND len(regexp_extract_all(s, '#\\s+\\[[^\\]\\n]+\\]')) = 1 AND len(regexp_extract_all(s, '(?m)^\\s*#\\s+[^\\s]')) = 1
+ AND NOT regexp_matches(lower(s), 'the user wants me to|let me carefully follow( all)? the rules|i[''’]m instructed to generate')
+ AND list_has_all(regexp_extract_all(s, '(?m)^##\\s+([1-7])(?:[.、]|\\s)', 1), ['1', '2', '3', '4', '5', '6', '7'])""")
 def _(spark, d):
-    parts = "".join(f"\n## {k}. Part {k}\n" + "text of the part. " * 30 for k in range(1, 8))
-    whole = F.concat("markdown", F.lit("\n# T\nshort\n# T\n\n**TL;DR** x\n"), F.lit(parts))
-    return g.last_complete_suffix(sql(spark, d, _DRAFTS).select("doc_id", whole.alias("markdown")), F.array().cast("array<string>"))
+    return g.last_complete_suffix(sql(spark, d, _DRAFTS), F.array().cast("array<string>"), F.col("doc_id").cast("string"))
+
+
+#: Repair rounds: a document's turns, of which some name blocking warnings, fail, or change nothing.
+_ROUNDS = """SELECT conv_id AS doc_id, CAST(turn AS INT) AS round, content AS markdown, CASE WHEN (conv_id + turn) % 5 = 0 THEN array() WHEN turn % 2 = 0 THEN array('quality:a', 'quality:b') ELSE array('quality:b', 'quality:c', 'quality:b') END AS blocking,
+ CASE WHEN conv_id % 3 = 0 THEN array('math:high:x', 'math:high:x') ELSE array('table:low:y') END AS issues, CASE WHEN (conv_id + turn) % 4 = 0 THEN NULL WHEN (conv_id + turn) % 7 = 0 THEN concat(' ', content, ' ') ELSE concat(content, '!') END AS candidate,
+ CASE WHEN (conv_id + turn) % 4 = 0 THEN 'time  out' END AS error FROM (SELECT conv_id, turn, coalesce(text, '') AS content FROM conversations) t"""
+
+
+@query("qg_repair_outcome", f"""WITH r AS ({_ROUNDS.replace('array()', '[]::VARCHAR[]').replace('array(', 'list_value(')}),
+k AS (SELECT *, CASE WHEN len(blocking) = 0 THEN 'passed' WHEN round >= 3 THEN 'spent' WHEN error IS NULL AND (doc_id + round) % 7 = 0 THEN 'no-change' ELSE 'open' END AS reason,
+  CASE WHEN error IS NOT NULL THEN [concat('quality-repair:round-', CAST(round + 1 AS VARCHAR), ':model-call-failed:time out')] WHEN (doc_id + round) % 7 = 0 THEN list_append(list_transform(issues, lambda x: 'quality-repair:' || x), concat('quality-repair:round-', CAST(round + 1 AS VARCHAR), ':no-change')) ELSE list_transform(issues, lambda x: 'quality-repair:' || x) END AS said FROM r WHERE round <= 3),
+e AS (SELECT doc_id, coalesce(min(CASE WHEN reason <> 'open' THEN round END), max(round)) AS last FROM k GROUP BY doc_id),
+z AS (SELECT k.doc_id, e.last AS round, max(CASE WHEN k.round = e.last THEN reason END) AS reason, max(CASE WHEN k.round = e.last THEN CASE WHEN error IS NULL AND (k.doc_id + k.round) % 7 = 0 THEN candidate ELSE markdown END END) AS markdown,
+  flatten(list(blocking ORDER BY k.round) FILTER (k.round = e.last)) AS b, coalesce(flatten(list(said ORDER BY k.round) FILTER (reason IN ('open', 'no-change'))), []) AS w, coalesce(flatten(list(list_concat(blocking, said) ORDER BY k.round) FILTER (reason IN ('open', 'no-change'))), []) AS f
+  FROM k JOIN e ON e.doc_id = k.doc_id AND k.round <= e.last GROUP BY k.doc_id, e.last)
+SELECT doc_id, round, reason, markdown, list_filter(b, lambda x, i: list_position(b, x) = i) AS blocking, list_filter(w, lambda x, i: list_position(w, x) = i) AS repair_warnings, list_filter(f, lambda x, i: list_position(f, x) = i) AS feedback FROM z""")
+def _(spark, d):
+    return g.repair_outcome(sql(spark, d, _ROUNDS), 3)
 
 
 # ---------------------------------------------------------------- normalisation

@@ -211,6 +211,47 @@ def test_last_complete_suffix(spark):
     assert gates.last_complete_suffix(docs, F.array().cast("array<string>")).first()["markdown"] == good
 
 
+def test_last_complete_suffix_by_identifier(spark):
+    body = "\nTL;DR x\n" + "".join(f"## {i}. s\n{'w ' * 200}\n" for i in range(1, 8))
+    rows = [
+        (1, "# [1.2] short\nThe user wants me to draft.\n# [1.2] T" + body, "1.2"),
+        (2, "```markdown\n# [a.b] T" + body + "\n```", "a.b"),
+        (3, "# [axb] T" + body, "a.b"),
+        (4, "# [a] T" + body + "# [b] U\n", "a"),
+        (5, "say # [x] T" + body, ""),
+        (6, "# T" + body, ""),
+        (7, "# [9] t\n" * 10_000 + "# [9] T" + body, "9"),
+        (8, None, "9"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, markdown string, own string")
+    got = {r["doc_id"]: r["markdown"] for r in gates.last_complete_suffix(docs, F.array().cast("array<string>"), F.col("own")).collect()}
+    assert got == {1: "# [1.2] T" + body.rstrip() + "\n", 2: "# [a.b] T" + body.rstrip() + "\n", 5: "# [x] T" + body.rstrip() + "\n", 7: "# [9] T" + body.rstrip() + "\n"}
+
+
+def test_repair_rounds_end(spark):
+    rows = [
+        (1, 0, "a", ["x"], ["m:high:z"], "b", None), (1, 1, "b", [], None, None, None), (1, 2, "c", ["y"], None, "c", None),
+        (2, 0, "a", ["x", "x"], ["i"], " a ", None), (2, 1, "z", [], None, None, None),
+        (3, 0, "a", ["x"], None, None, "no\nanswer"), (3, 1, "a", ["x"], [], "q", None), (3, 2, "q", ["x"], ["late"], "r", None), (3, 3, "r", [], None, None, None),
+        (4, 0, "a", ["x"], [], "b", None),
+    ]
+    df = spark.createDataFrame(rows, f"doc_id bigint, {gates.ROUND}")
+    got = {r["doc_id"]: (r["round"], r["reason"], r["markdown"], r["blocking"], r["repair_warnings"], r["feedback"]) for r in gates.repair_outcome(df, 2, F.lit(["old"])).collect()}
+    q = "quality-repair:"
+    assert got[1] == (1, "passed", "b", [], [q + "m:high:z"], ["old", "x", q + "m:high:z"])
+    assert got[2] == (0, "no-change", " a ", ["x"], [q + "i", q + "round-1:no-change"], ["old", "x", q + "i", q + "round-1:no-change"])
+    assert got[3] == (2, "spent", "q", ["x"], [q + "round-1:model-call-failed:no answer"], ["old", "x", q + "round-1:model-call-failed:no answer"])
+    assert got[4] == (0, "open", "a", ["x"], [], ["old", "x"])
+
+
+def test_issues_are_computed_once(spark, sf_dir):
+    from docintake.plans import registry
+
+    registry.load_all()
+    plan = registry.QUERIES["qg_issues"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("mathsfit") == 2  # once for either form of the text
+
+
 def test_dangling_tail(spark):
     assert text(spark, gates.has_dangling_tail, "这个方法 comput。下一句") is True
     assert text(spark, gates.has_dangling_tail, "only English comput.") is False
