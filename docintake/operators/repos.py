@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docintake.functions.text import filled
+from docintake.operators.pages import anchors, page_blocks
 
 # Hosts, and words that tell a project's own code.
 FORGES = ("github.com", "gitlab.com", "bitbucket.org", "codeberg.org")
@@ -127,6 +128,45 @@ def resolve(docs: DataFrame, page_repos: DataFrame, most: int = 4) -> DataFrame:
     return docs.select("doc_id").join(own, "doc_id", "left").join(named, "doc_id", "left").select("doc_id", F.coalesce("own", "named").alias("repo")).filter("repo is not null")
 
 
+def source_text(docs: DataFrame, key: str = "doc_id", text: str = "text", fallback: str | None = None) -> DataFrame:
+    """Where a document's own links stand: its source without bibliography files and comments, or, where that is blank,
+    the ``fallback`` text before its references."""
+    own = drop_bibliography(docs.select(key, F.coalesce(text, F.lit("")).alias(text)), key, text).withColumn(text, strip_comments(F.col(text)))
+    if fallback is None:
+        return own
+    rest = docs.select(key, cut_references(F.coalesce(fallback, F.lit(""))).alias("__rest"))
+    return own.join(rest, key).select(key, F.when(F.trim(F.col(text)) != "", F.col(text)).otherwise(F.col("__rest")).alias(text))
+
+
+def named_pages(docs: DataFrame, most: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos, url of the first ``most`` distinct addresses of a text that look like a project's page, or that the
+    text speaks of as one."""
+    found = F.filter(urls(F.col(text)), lambda u: project_page(u) | project_context(F.col(text), u))
+    return docs.filter(F.col(text).contains("://")).select(key, F.posexplode(F.slice(found, 1, most)).alias("pos", "url"))
+
+
+def page_repositories(named: DataFrame, pages: DataFrame) -> DataFrame:
+    """url, repo of the addresses in ``named`` that ``pages`` (page_id, url, html) holds: of several pages with one
+    address the one with the largest id. Addresses meet page ids first; only the html of pages that some document names
+    is read further and parsed."""
+    thin = pages.select("page_id", clean_url(F.col("url")).alias("url")).filter("url is not null")
+    wanted = thin.join(named.select("url").distinct(), "url").groupBy("url").agg(F.max("page_id").alias("page_id"))
+    rows = pages.select("page_id", "url", "html").join(wanted.select("page_id"), "page_id", "left_semi")
+    found = repos_in_anchors(anchors(page_blocks(rows)), rows)
+    return wanted.join(found, "page_id").select("url", "repo")
+
+
+def repositories(docs: DataFrame, pages: DataFrame, most: int = 4) -> DataFrame:
+    """doc_id and repository of documents (doc_id, text): what the text clearly calls its own, else that of the first of
+    up to ``most`` project pages that has one. Documents and pages meet by the address as it stands; one that very many
+    documents name has one row on the pages' side, so that a join can split it. Small jobs send the pages' side instead."""
+    own = repos_in_text(docs).select("doc_id", F.col("repo").alias("own"))
+    rest = docs.select("doc_id", "text").join(own, "doc_id", "left_anti")
+    named = named_pages(rest, most)
+    by_page = named.join(page_repositories(named, pages), "url").groupBy("doc_id").agg(F.min_by("repo", "pos").alias("repo"))
+    return own.withColumnRenamed("own", "repo").unionByName(by_page)
+
+
 def rewrite_line(markdown: Column, repo: Column, label: str = "代码仓库") -> Column:
     """The document with the address in its repository row or line replaced, or the line dropped without one."""
     row = rf"(?m)^\|\s*{label}\s*\|[^\n]*$"

@@ -221,6 +221,28 @@ def _(spark, d):
     return r.resolve(docs, pages)
 
 
+_PAD = "repeat('pad ', 60)"
+#: Documents that begin with addresses of the pages table: named as project pages, or (kind 3) far from any such words;
+#: the repository stands on the pages whose id is divisible by three, in an anchor or in a script.
+_NAMING = f"""SELECT d.doc_id, concat(CASE d.doc_id % 5 WHEN 4 THEN '' WHEN 3 THEN concat('Project page ', {_PAD}) ELSE 'Project page: ' END,
+ coalesce(a.url, ''), ' ', CASE d.doc_id % 5 WHEN 0 THEN '' ELSE coalesce(b.url, '') END, ' ', CASE WHEN d.doc_id % 5 = 2 THEN concat('https://w.github.io/1 https://w.github.io/2 https://w.github.io/3 ', coalesce(c.url, '')) ELSE '' END,
+ CASE WHEN d.doc_id % 5 = 4 THEN concat(chr(10), 'our code is released at https://github.com/own/r', CAST(d.doc_id AS VARCHAR(12)), ' today', chr(10)) ELSE ' ' END, {_PAD}, coalesce(d.text, '')) AS text,
+ d.doc_id % 5 AS kind, a.page_id AS a, b.page_id AS b, c.page_id AS c
+FROM documents d LEFT JOIN pages a ON a.page_id = d.doc_id * 7 % 197 LEFT JOIN pages b ON b.page_id = d.doc_id * 11 % 197 LEFT JOIN pages c ON c.page_id = d.doc_id * 3 % 197"""
+_HELD = "CASE WHEN page_id % 6 = 0 THEN concat('https://github.com/p/', CAST(page_id AS VARCHAR(12))) WHEN page_id % 6 = 3 THEN concat('https://gitlab.com/q/', CAST(page_id AS VARCHAR(12))) END"
+
+
+@query("repo_from_pages", f"""WITH n AS ({_NAMING}), u AS (SELECT url, max(page_id) AS page_id FROM (SELECT page_id, regexp_replace(url, '[).,;:!?]+$', '') AS url FROM pages) x GROUP BY url),
+p AS (SELECT q.page_id, u.url, {_HELD.replace('page_id', 'u.page_id')} AS repo FROM pages q JOIN u ON u.url = regexp_replace(q.url, '[).,;:!?]+$', ''))
+SELECT doc_id, repo FROM (SELECT n.doc_id, CASE kind WHEN 4 THEN concat('https://github.com/own/r', CAST(n.doc_id AS VARCHAR)) WHEN 0 THEN pa.repo WHEN 1 THEN coalesce(pa.repo, pb.repo) WHEN 2 THEN coalesce(pa.repo, pb.repo) END AS repo
+ FROM n LEFT JOIN p pa ON pa.page_id = n.a LEFT JOIN p pb ON pb.page_id = n.b) z WHERE repo IS NOT NULL""")
+def _(spark, d):
+    pages = load(spark, d, "pages")
+    link = F.when(F.col("page_id") % 6 == 0, F.concat(F.lit('<nav><a href="https://github.com/topics/y">x</a><a href="'), F.expr(_HELD), F.lit('/tree/main">Code</a></nav>'))).otherwise(F.concat(F.lit("<script>u='"), F.expr(_HELD), F.lit("'</script>")))
+    pages = pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.coalesce(link, F.lit(""))))
+    return r.repositories(sql(spark, d, _NAMING).select("doc_id", "text"), pages)
+
+
 @query("repo_in_anchors", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://github.com/a/code' ELSE 'https://gitlab.com/z/y' END AS repo FROM pages WHERE page_id % 3 < 2")
 def _(spark, d):
     put = F.when(F.col("page_id") % 3 == 0, '<nav><a href="https://github.com/x/y">x</a><a href="https://github.com/a/code">Code</a></nav>').when(F.col("page_id") % 3 == 1, "<script>u='https://gitlab.com/z/y'</script>").otherwise("<p>none</p>")

@@ -252,6 +252,30 @@ def test_issues_are_computed_once(spark, sf_dir):
     assert plan.count("mathsfit") == 2  # once for either form of the text
 
 
+def test_repositories_from_named_pages(spark):
+    far = "pad " * 80
+    docs = spark.createDataFrame(
+        [
+            (1, "Project page: https://a.example/x/ and more"),
+            (2, f"Project page {far} https://a.example/x/ {far}"),
+            (3, "see https://none.github.io/p https://a.github.io/p1 here"),
+            (4, "https://w.github.io/1 https://w.github.io/2 https://w.github.io/3 https://w.github.io/4 https://a.github.io/p1"),
+            (5, "our code is released at https://github.com/own/r.\nProject page: https://a.example/x/"),
+            (6, "Project page: http://A.example/x/"),
+            (7, None),
+        ],
+        "doc_id bigint, text string",
+    )
+    pages = spark.createDataFrame(
+        [(1, "https://a.example/x/", "<a href='https://github.com/old/r'>Code</a>"), (2, "https://a.example/x/", "<a href='https://github.com/new/r/issues/1'>Code</a>"), (3, "https://a.github.io/p1", "<script>'https://gitlab.com/s/t'</script>"), (4, "https://none.github.io/p", "<p>x</p>"), (5, None, "<a href='https://github.com/q/q'>Code</a>")],
+        "page_id bigint, url string, html string",
+    )
+    assert sorted(tuple(x) for x in repos.repositories(docs, pages).collect()) == [(1, "https://github.com/new/r"), (3, "https://gitlab.com/s/t"), (5, "https://github.com/own/r")]
+    src = spark.createDataFrame([(1, "% FILE: a.tex\nsee % x\n% FILE: b.bib\nhttps://github.com/c/d", "pdf"), (2, "% FILE: b.bbl\nhttps://github.com/c/d", "body " * 9 + "\nReferences\nhttps://github.com/c/d"), (3, None, None)], "doc_id bigint, text string, pdf string")
+    got = {r["doc_id"]: r["text"] for r in repos.source_text(src, fallback="pdf").collect()}
+    assert "github" not in "".join(got.values()) and got[1].startswith("\nsee ") and got[2].startswith("body body") and got[3] == ""
+
+
 def test_dangling_tail(spark):
     assert text(spark, gates.has_dangling_tail, "这个方法 comput。下一句") is True
     assert text(spark, gates.has_dangling_tail, "only English comput.") is False
