@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +69,65 @@ def entity_decode(c: Column) -> Column:
         for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
             c = F.replace(c, F.lit(name), F.lit(char))
     return c
+
+
+# ---------------------------------------------------------------- braces of any depth
+#
+# Regular expressions can't count, so every pair of braces is first marked with its height (0 for a pair without pairs
+# inside), one pass of innermost pairs per height: ``{`` and ``}`` become LEVEL[h] OPEN ... CLOSE LEVEL[h]. Between the
+# marks of a pair there are only lower ones, so the first mark of the same height ends it, and an argument of any depth
+# is one regular expression (``ARGUMENT``). All marks lie in a private area of Unicode; a marked text begins with one.
+
+OPEN, CLOSE, _LEFT, _RIGHT, _DOUBLE, _BEGIN = map(chr, range(0xF0001, 0xF0007))
+LEVELS = "".join(map(chr, range(0xF0100, 0xF0300)))
+_MARKS = r"[\x{F0000}-\x{F02FF}]"
+#: An argument in marked braces: ``lv`` is its height, ``a`` its content without white space at the ends.
+ARGUMENT = rf"\s*(?<lv>[\x{{F0100}}-\x{{F02FF}}]){OPEN}(?s:\s*(?<a>.*?)\s*){CLOSE}\k<lv>"
+
+
+def brace_height(c: Column) -> Column:
+    """The deepest nesting of braces, closing ones too many left out."""
+    chars = F.split(F.regexp_replace(c, r"[^{}]", ""), "")
+    first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = F.greatest(acc["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0), F.lit(0))
+        return F.struct(depth.alias("depth"), F.greatest(acc["most"], depth).alias("most"))
+
+    return F.aggregate(chars, first, step)["most"]
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with ``value`` computed once however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def mark_braces(c: Column) -> Column:
+    """``c`` with each pair of braces marked by its height. Escaped braces, and those without a partner, stay plain, as
+    do pairs higher than there are levels; a text that holds characters of the marks' area stays as it is."""
+
+    def bare(x: Column) -> Column:
+        for old, new in (("\\\\", _DOUBLE), ("\\{", _LEFT), ("\\}", _RIGHT), (_DOUBLE, "\\\\")):
+            x = F.replace(x, F.lit(old), F.lit(new))
+        return x
+
+    level = lambda k: F.substring(F.lit(LEVELS), k + 1, F.lit(1))
+    heights = lambda x: F.sequence(F.lit(1), F.least(brace_height(x), F.lit(len(LEVELS))))
+    step = lambda acc, k: F.regexp_replace(acc, F.lit(r"\{([^{}]*)\}"), F.concat(level(k - 1), F.lit(f"{OPEN}$1{CLOSE}"), level(k - 1)))
+    marked = lambda x: once(bare(x), lambda b: F.when(brace_height(b) > 0, F.aggregate(heights(b), b, step)).otherwise(b))
+    return once(c, lambda x: F.when(x.contains("{") & ~x.rlike(_MARKS), F.concat(F.lit(_BEGIN), marked(x))).otherwise(x))
+
+
+def unmark_braces(c: Column) -> Column:
+    plain = lambda x: F.replace(F.replace(F.translate(x, OPEN + CLOSE + _BEGIN + LEVELS, "{}"), F.lit(_LEFT), F.lit("\\{")), F.lit(_RIGHT), F.lit("\\}"))
+    return once(c, lambda x: F.when(x.startswith(_BEGIN), plain(x)).otherwise(x))
+
+
+def replace_command(marked: Column, name: str, new: Callable[[Column], Column]) -> Column:
+    r"""Marked text with each ``\\name`` and its argument replaced by ``new(content)``, a marked Column; a command without
+    argument stays. What stands in a content is left to ``new``."""
+    call = rf"\\{name}(?![A-Za-z]){ARGUMENT}"
+    parts = lambda x: F.split(F.regexp_replace(x, f"({call})", "\x1e$1\x1e"), "\x1e")
+    content = lambda x: F.regexp_extract(x, f"^{call}$", 2)
+    done = lambda m: F.array_join(F.transform(parts(m), lambda x, i: F.when(i % 2 == 1, new(content(x))).otherwise(x)), "")
+    return once(marked, lambda m: F.when(m.contains(f"\\{name}"), done(m)).otherwise(m))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import braces_balanced, collapse_blank_lines, entity_decode, strip
+from docintake.functions.text import ARGUMENT, CLOSE, LEVELS, OPEN, braces_balanced, collapse_blank_lines, entity_decode, mark_braces, replace_command, strip, unmark_braces
 
 # Symbols and the commands they stand for.
 SYMBOLS = {
@@ -20,22 +20,20 @@ PAPER_COMMANDS, CITATIONS = ("xspace", "NB", "DX", "lpk", "wx", "qz"), ("cite",
 ACCENTS = "overline|underline|hat|widehat|tilde|widetilde|bar|vec|dot|ddot|check|breve|acute|grave"
 UNSAFE_NAMES = ("R", "N", "Z", "C", "E", "P", "Q", "KL", "Var", "Cov", "argmax", "argmin", "max", "min", "sin", "cos", "tan", "log", "exp", "sqrt", "frac")
 GREEK = "alpha|beta|gamma|delta|epsilon|varepsilon|zeta|eta|theta|vartheta|iota|kappa|lambda|Lambda|mu|nu|xi|pi|rho|sigma|tau|upsilon|phi|varphi|chi|psi|omega"
-#: An argument in braces, nested up to three deep.
-ARGUMENT = r"\s*\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+# Commands whose argument is text.
+TEXT_COMMANDS = ("text", "textnormal", "textsc", "textbf", "textit", "emph", "mathtt", "operatorname")
 # Repairs of commands from papers and of split or fused commands: (pattern, replacement), in order.
 REPAIRS = (
     (r"\\le\s+ft\b", r"\\left"), (r"\\ri\s+ght\b", r"\\right"), (r"(?<=\^)\\to\s+p\b", r"\\top"), (r"\\in\s+fty\b", r"\\infty"), (r"\\ap\s+prox\b", r"\\approx"),
     (r"\\ge\s+q\b", r"\\geq"), (r"\\le\s+q\b", r"\\leq"),
-    (r"\\(?:label|ref|eqref|tag)\s*\{[^{}]*\}", ""), (r"\\nonumber\b", ""),
-    (r"\\mathsfit\s*\{([^{}]+)\}", r"\\mathbf{$1}"), (r"\\(?:tens|etens)\s*\{([^{}]+)\}", r"\\mathbf{$1}"),
-    (rf"\\(?:matrix|vector){ARGUMENT}", r"\\mathbf{$1}"), (rf"\\tr(?![A-Za-z]){ARGUMENT}", r"{$1}^\\top"),
+    (rf"\\(?:label|ref|eqref|tag){ARGUMENT}", ""), (r"\\nonumber\b", ""),
+    (rf"\\(?:mathsfit|tens|etens|matrix|vector)(?![A-Za-z]){ARGUMENT}", r"\\mathbf{${a}}"), (rf"\\tr(?![A-Za-z]){ARGUMENT}", r"{${a}}^\\top"),
     (rf"\\rv({GREEK})(?![A-Za-z])", r"\\mathbf{\\$1}"), (r"\\rv([A-Za-z]+)(?![A-Za-z])", r"\\mathbf{$1}"), (r"\\rm([A-Z])(?![A-Za-z])", r"\\mathbf{$1}"),
     (r"\\er[vm]([A-Za-z])(?![A-Za-z])", r"\\mathrm{$1}"), (r"\\e?t(Lambda)(?![A-Za-z])", r"\\mathbf{\\$1}"), (r"\\e?t([A-Z][A-Za-z]*)(?![A-Za-z])", r"\\mathbf{$1}"),
     (rf"\\({ACCENTS})\s+([A-Za-z])", r"\\$1{$2}"), (rf"\\({ACCENTS})([A-Z])", r"\\$1{$2}"),
-    (r"\\mbox\s*\{([^{}]*)\}", "$1"), (r"\\xspace\b", ""),
-    (r"\\(?:text|textnormal|textsc|textbf|textit|emph|mathtt|operatorname)\s*\{([^{}]*)\}", r"\\mathrm{$1}"),
-    (r"\\boldsymbol\s*\{([^{}]*)\}", r"\\mathbf{$1}"),
-    (r"\\bm\s*\{([^{}]+)\}", r"\\mathbf{$1}"), (r"\\bm([A-Za-z])(?=[^A-Za-z]|$)", r"\\mathbf{$1}"),
+)
+REPAIRS_AFTER = (
+    (r"\\bm([A-Za-z])(?=[^A-Za-z]|$)", r"\\mathbf{$1}"),
     (r"\\(?:m|v)([A-Z])(?=\b|_)", r"\\mathbf{$1}"), (r"\\g([A-Z])(?=\b|_)", r"\\mathcal{$1}"), (r"\\mathcal([A-Za-z])\b", r"\\mathcal{$1}"), (r"\\(?:Ls|mathcalL)(?=\b|_)", r"\\mathcal{L}"),
     (r"\\R\b", r"\\mathbb{R}"), (r"\\rm\s+([A-Za-z][A-Za-z0-9]*)", r"\\mathrm{$1}"), (r"\\rm\b", r"\\mathrm"), (r"\\sg\b", r"\\mathrm{sg}"), (r"\\softmax\b", r"\\mathrm{softmax}"),
     (r"(?<!\\)(?<![A-Za-z])(softmax|stopgrad)(?=\s*(?:\\left|\())", r"\\mathrm{$1}"), (r"\\(KL|TopK)\b", r"\\mathrm{$1}"),
@@ -84,11 +82,32 @@ def decode_formula(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(entity_decode(c), r"(?i)<\s*br\s*/?\s*>", " "), r"(?i)<\s*/?\s*(?:p|div)\b[^>]*>", " ")
 
 
-def flatten_substack(c: Column) -> Column:
+def plain_content(c: Column) -> Column:
+    """A command's content (marked) as text: trimmed, commands with a simple argument replaced by it, others gone."""
+    inner = rf"\\[A-Za-z]+\s*([{LEVELS[0]}]){OPEN}([^{OPEN}{CLOSE}]*){CLOSE}\1"
+    return F.regexp_replace(F.regexp_replace(strip(c), inner, "$2"), r"\\[A-Za-z]+", "")
+
+
+def flatten_substack(marked: Column) -> Column:
     """The lines of a stack under a sum, separated by commas."""
-    stack = rf"(?s)\\substack{ARGUMENT}"
-    inside = lambda x: F.trim(F.regexp_replace(F.replace(F.regexp_extract(x, stack, 1), F.lit("\\\\"), F.lit(", ")), r"(?U)\s+", " "))
-    return F.when(c.contains("\\substack"), map_parts(c, inside, formulas=True, protected=rf"(?s)\\substack\s*\{{(?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\}}")).otherwise(c)
+    return replace_command(marked, "substack", lambda x: F.trim(F.regexp_replace(F.replace(x, F.lit("\\\\"), F.lit(", ")), r"(?U)\s+", " ")))
+
+
+def text_commands(marked: Column) -> Column:
+    """Text commands of formulas as upright letters."""
+    upright = lambda x: F.concat(F.lit("\\mathrm{"), x, F.lit("}"))
+    marked = F.regexp_replace(replace_command(marked, "mbox", plain_content), r"\\xspace\b", "")
+    for name in TEXT_COMMANDS:
+        marked = replace_command(marked, name, lambda x: upright(plain_content(x)))
+    return replace_command(marked, "mathrm", lambda x: upright(F.regexp_replace(F.regexp_replace(strip(x), r"\\\s+", " "), r"(?U)\s+", " ")))
+
+
+def bold_symbols(marked: Column) -> Column:
+    """Bold symbols: letters and what hangs on them; other contents stand alone."""
+    letter = r"(?s)^[A-Za-z](?:[_^].*)?$"
+    for name in ("boldsymbol", "bm"):
+        marked = replace_command(marked, name, lambda x: F.when(strip(x).rlike(letter), F.concat(F.lit("\\mathbf{"), strip(x), F.lit("}"))).otherwise(strip(x)))
+    return marked
 
 
 def break_cases(c: Column) -> Column:
@@ -98,9 +117,13 @@ def break_cases(c: Column) -> Column:
 
 
 def repair_formula(c: Column) -> Column:
-    c = flatten_substack(c)
+    """Repairs of split, fused and private commands. Braces are marked while arguments are told, whatever their depth."""
+    c = flatten_substack(mark_braces(c))
     for pattern, new in REPAIRS:
         c = F.regexp_replace(c, pattern, new)
+    c = unmark_braces(bold_symbols(text_commands(c)))
+    for pattern, new in REPAIRS_AFTER:
+        c = F.regexp_replace(c, pattern, new)
     return break_cases(c)
 
 
@@ -134,8 +157,10 @@ def normalise_formula(c: Column) -> Column:
 
 def strip_visible_macros(c: Column) -> Column:
     """Prose without presentation commands."""
-    for _ in range(4):  # the innermost first, as deep as braces are nested
-        c = F.regexp_replace(c, rf"\\(?:{'|'.join(VISIBLE)})\s*\{{([^{{}}]*)\}}", "$1")
+    c = mark_braces(c)
+    for name in sorted(VISIBLE, key=len, reverse=True):
+        c = replace_command(c, name, plain_content)
+    c = unmark_braces(c)
     c = F.regexp_replace(c, rf"\\(?:{'|'.join(VISIBLE)})(?=[A-Za-z])", "")
     c = F.regexp_replace(c, rf"\\(?:{'|'.join(PAPER_COMMANDS)})(?![A-Za-z])", "")
     return F.regexp_replace(c, rf"\\(?:{'|'.join(CITATIONS)})\s*\{{[^{{}}]*\}}", "")
@@ -170,7 +195,7 @@ def expand_formula_macros(c: Column, plain: Column, with_argument: Column) -> Co
     """A formula with a paper's macros without and with one argument (``#1``) written out, macros in macros once."""
     for _ in range(2):
         c = _expanded(c, plain, r"(?![A-Za-z])", lambda v: v)
-        c = _expanded(c, with_argument, rf"(?![A-Za-z]){ARGUMENT}", lambda v: F.replace(v, F.lit("#1"), F.lit("$1")))
+        c = unmark_braces(_expanded(mark_braces(c), with_argument, rf"(?![A-Za-z]){ARGUMENT}", lambda v: F.replace(v, F.lit("#1"), F.lit("${a}"))))
     return c
 
 

@@ -273,15 +273,18 @@ _REPAIRED = [
     (r"\le ft( \bm{x}", r"\left( \mathbf{x}"), (r"\hatA", r"\hat{A}"), (r"\KL", r"\mathrm{KL}"), (r"\rvtheta", r"\mathbf{\theta}"), (r"\rvx", r"\mathbf{x}"), (r"\ervx", r"\mathrm{x}"), (r"\ermA", r"\mathrm{A}"), (r"\etK", r"\mathbf{K}"),
     (r"\tX", r"\mathbf{X}"), (r"\tens{K}", r"\mathbf{K}"), (r"\mathsfit{q}", r"\mathbf{q}"), (r"\matrix{A}", r"\mathbf{A}"), (r"\vector{v_{i}}", r"\mathbf{v_{i}}"), (r"\tr{A}", r"{A}^\top"), (r"a \nonumber", "a "), (r"\ge q", r"\geq"), (r"\le q", r"\leq"),
     (r"\sum_{\substack{i \\ j}}", r"\sum_{i , j}"), (r"\label{eq:a}x", "x"),
+    (r"\matrix{a_{b_{c_{d_{e_{f}}}}}}", r"\mathbf{a_{b_{c_{d_{e_{f}}}}}}"), (r"\vector{\frac{\sqrt{x_{1}^{2}}}{y}}", r"\mathbf{\frac{\sqrt{x_{1}^{2}}}{y}}"),
 ]
 _case = lambda side: f"CASE doc_id % {len(_REPAIRED)} " + " ".join(f"WHEN {i} THEN '{x[side]}'" for i, x in enumerate(_REPAIRED)) + " END"
 
 
-@query("norm_formula_repairs", f"SELECT doc_id, concat(t, ' ', {_case(1)}, ' ', t) AS s FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z .,]', '', 'g') AS t FROM documents) x")
+_REPAIR = f"concat('<latex>', {_case(0)}, '</latex>')"
+
+
+@query("norm_formula_repairs", f"SELECT doc_id, concat(a, '<latex>', {_case(1)}, '</latex>', b) AS s FROM ({_spliced(_REPAIR)}) z")
 def _(spark, d):
-    bare = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z .,]", "")
-    fault = F.element_at(F.lit([x for x, _ in _REPAIRED]), (F.col("doc_id") % len(_REPAIRED) + 1).cast("int"))
-    return load(spark, d, "documents").select("doc_id", n.repair_formula(F.concat_ws(" ", bare, fault, bare)).alias("s"))
+    body = lambda x: F.concat(F.lit("<latex>"), n.repair_formula(F.regexp_extract(x, "(?s)^<latex>(.*)</latex>$", 1)), F.lit("</latex>"))
+    return _text(spark, d, _REPAIR.replace("\\", "\\\\")).select("doc_id", n.map_parts(F.col("text"), body, formulas=True, protected=r"(?s)<latex>.*?</latex>").alias("s"))
 
 
 _ROW = "concat(chr(10), '| v | 1.28^{+0.11}_{-0.10} |', chr(10))"

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docintake.functions import text as functions
 from docintake.operators import figures, gates, layout, messages, normalise, pages, queue, repos, rota, tex, workflow
 from docintake.sources.sinks import json_lines, scratch_path, write_listing
 from docintake.streaming import streams
@@ -276,6 +277,23 @@ def test_repositories_from_named_pages(spark):
     assert "github" not in "".join(got.values()) and got[1].startswith("\nsee ") and got[2].startswith("body body") and got[3] == ""
 
 
+@pytest.mark.parametrize("said", [r"a{b{c}d}{e}\{f\}", "}{a}{", "{" * 50 + "x" + "}" * 50, r"\\{x} \{ {", "no", "{\U000f0100}", ""])
+def test_marked_braces_go_back(spark, said):
+    marked = text(spark, functions.mark_braces, said)
+    assert text(spark, functions.unmark_braces, marked) == said
+    if "\U000f0100" not in said and said.count("{") == said.count("}") and "\\" not in said:
+        assert "{" not in marked.partition("}{")[2]
+
+
+def test_arguments_of_any_depth(spark):
+    deep = "{" * 50 + "x" + "}" * 50
+    assert text(spark, normalise.strip_visible_macros, rf"\textbf{{a {{b}} c}} \emph{{x \textbf{{y {{z}} w}}}} \textbf {{q}} \textbfTitle \textbf{{{deep}}}") == f"a {{b}} c x y {{z}} w q Title {deep}"
+    assert text(spark, normalise.repair_formula, rf"\matrix{{{deep}}} \tr{{ A_{{b}} }} \text{{if {{x}}}} \boldsymbol{{x_{{i}}}} \bm{{\mathbf{{x}}}}") == rf"\mathbf{{{deep}}} {{A_{{b}}}}^\top \mathrm{{if {{x}}}} \mathbf{{x_{{i}}}} \mathbf{{x}}"
+    macro = F.array(F.struct(F.lit("nrm").alias("name"), F.lit("|#1|_2").alias("value")))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    assert text(spark, lambda c: normalise.expand_formula_macros(c, none, macro), rf"\nrm{{{deep}}} \nrm{{\nrm{{b}}}}") == f"|{deep}|_2 ||b|_2|_2"
+
+
 def test_dangling_tail(spark):
     assert text(spark, gates.has_dangling_tail, "这个方法 comput。下一句") is True
     assert text(spark, gates.has_dangling_tail, "only English comput.") is False
