@@ -340,16 +340,39 @@ def anchor_snapshots(snapshots: DataFrame, block_rows: DataFrame, least: int = 2
     return rows.withColumn("score", score).filter("score is not null").groupBy("page_id", "section", "snap").agg(F.max_by(F.struct("pos", "score"), F.struct("score", -F.col("pos"))).alias("m")).select("page_id", "section", "snap", "m.*")
 
 
-def interleave(block_rows: DataFrame, placed: DataFrame, loose: DataFrame) -> DataFrame:
-    """page_id, section, order, text: blocks with snapshots put behind their anchors (page_id, section, pos, snap,
-    text), and those without (page_id, section, snap, text) spread evenly over the section."""
-    n = block_rows.groupBy("page_id", "section").agg(F.max("pos").alias("last"), F.min("pos").alias("start"))
-    w = Window.partitionBy("page_id", "section")
-    spread = loose.join(n, ["page_id", "section"]).withColumn("i", F.row_number().over(w.orderBy("snap"))).withColumn("m", F.count(F.lit(1)).over(w))
-    at = F.col("start") + F.floor((F.col("last") - F.col("start") + 1) * F.col("i") / (F.col("m") + 1))
-    rows = block_rows.select("page_id", "section", F.struct(F.col("pos").cast("double").alias("p"), F.lit(-1).cast("bigint").alias("s")).alias("order"), "text")
-    rows = rows.unionByName(placed.select("page_id", "section", F.struct((F.col("pos") + 0.25).cast("double").alias("p"), F.col("snap").cast("bigint").alias("s")).alias("order"), "text"))
-    return rows.unionByName(spread.select("page_id", "section", F.struct((at + 0.5).cast("double").alias("p"), F.col("snap").cast("bigint").alias("s")).alias("order"), "text"))
+def interleave(block_rows: DataFrame, placed: DataFrame, loose: DataFrame, image: str = r"^\[\w*Image:") -> DataFrame:
+    """page_id, section, order, text: a section's blocks (pos, text) with snapshots behind their anchors (page_id,
+    section, pos, snap, text), and those without an anchor (page_id, section, snap, text) spread evenly over the places
+    behind its blocks of text. A place that is taken is passed over for the next free one; the last place holds any
+    number. A section without blocks gets the loose ones in their order.
+
+    The places that are wanted don't decrease, so the free places, numbered, are given out by one running maximum: the
+    i-th gets number i + max(r(j) - j) over j <= i, r(j) being the number of free places before the one it wants."""
+    keys = ["page_id", "section"]
+    w = Window.partitionBy(*keys)
+    blocks = block_rows.select(*keys, "pos", "text", (F.row_number().over(w.orderBy("pos")) - 1).alias("i"))
+    size = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    anchored = placed.join(blocks.select(*keys, "pos", "i"), [*keys, "pos"]).select(*keys, (F.col("i") + 1).alias("at"), "snap", "text")
+    # free places: 1 to n - 1, without those behind an anchor
+    taken = anchored.select(*keys, "at").distinct()
+    free = blocks.filter("i > 0").select(*keys, F.col("i").alias("at")).join(taken, [*keys, "at"], "left_anti")
+    free = free.withColumn("rank", F.row_number().over(w.orderBy("at")) - 1)
+    # wanted places: those behind text, evenly
+    behind = blocks.filter(~F.col("text").rlike(image)).select(*keys, (F.col("i") + 1).alias("at"))
+    behind = behind.withColumn("k", F.row_number().over(w.orderBy("at")) - 1)
+    points = behind.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
+    rest = loose.withColumn("j", F.row_number().over(w.orderBy("snap")) - 1).withColumn("m", F.count(F.lit(1)).over(w)).join(size, keys, "left").join(points, keys, "left")
+    rest = rest.withColumn("k", F.bround(F.col("j") * (F.col("points") - 1) / F.greatest(F.col("m") - 1, F.lit(1))).cast("int"))
+    rest = rest.join(behind, [*keys, "k"], "left").withColumn("at", F.coalesce("at", "n", F.lit(0)))
+    # r: free places before the wanted one, from both kinds of rows in order of place
+    line = rest.select(*keys, "at", F.lit(1).alias("kind"), "j", "snap", "text", "n").unionByName(free.select(*keys, "at", F.lit(2).alias("kind")), allowMissingColumns=True)
+    before = F.count_if(F.col("kind") == 2).over(w.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    wants = line.withColumn("r", F.coalesce(before, F.lit(0))).filter("kind = 1")
+    wants = wants.withColumn("rank", F.when(F.col("at") < F.col("n"), F.col("j") + F.max(F.col("r") - F.col("j")).over(w.orderBy("j"))))
+    got = wants.withColumnRenamed("at", "wanted").join(free, [*keys, "rank"], "left")
+    order = lambda p, s: F.struct(p.cast("double").alias("p"), s.cast("bigint").alias("s")).alias("order")
+    out = blocks.select(*keys, order(F.col("i"), F.lit(-1)), "text").unionByName(anchored.select(*keys, order(F.col("at") - 0.5, F.col("snap")), "text"))
+    return out.unionByName(got.select(*keys, order(F.coalesce("at", "n", F.lit(0)) - 0.25, F.col("snap")), "text"))
 
 
 def image_kind(content: Column) -> Column:

@@ -294,6 +294,41 @@ def test_arguments_of_any_depth(spark):
     assert text(spark, lambda c: normalise.expand_formula_macros(c, none, macro), rf"\nrm{{{deep}}} \nrm{{\nrm{{b}}}}") == f"|{deep}|_2 ||b|_2|_2"
 
 
+def spread(blocks, placed, loose):
+    """Snapshots among blocks, as a plain loop."""
+    at = {}
+    for snap, anchor in placed:
+        at.setdefault(anchor + 1, []).append(f"s{snap}")
+    points = [i + 1 for i, b in enumerate(blocks) if not b.startswith("[ArticleImage:")] or [len(blocks)]
+    for k, snap in enumerate(loose):
+        want = points[round(k * (len(points) - 1) / max(1, len(loose) - 1)) if len(loose) > 1 else 0]
+        while at.get(want) and want < len(blocks):
+            want += 1
+        at.setdefault(want, []).append(f"s{snap}")
+    out = []
+    for i in range(len(blocks) + 1):
+        out += at.get(i, []) + blocks[i : i + 1]
+    return out
+
+
+def test_snapshots_pass_over_taken_places(spark):
+    r = random.Random(4)
+    blocks, placed, loose, want = [], [], [], {}
+    for page in range(150):
+        mine = [r.choice(["text", "text", "[ArticleImage:1:x]"]) + str(k) for k in range(r.randint(0, 9))]
+        snaps = list(range(r.randint(0, 8)))
+        anchored = [(s, r.randrange(len(mine))) for s in snaps if mine and r.random() < 0.5]
+        free = [s for s in snaps if s not in dict(anchored)]
+        blocks += [(page, 0, 10 + 3 * k, b) for k, b in enumerate(mine)]
+        placed += [(page, 0, 10 + 3 * a, s, f"s{s}") for s, a in anchored]
+        loose += [(page, 0, s, f"s{s}") for s in free]
+        want[page] = spread(mine, anchored, free)
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = pages.interleave(frame(blocks, "page_id long, section int, pos long, text string"), frame(placed, "page_id long, section int, pos long, snap long, text string"), frame(loose, "page_id long, section int, snap long, text string"))
+    rows = got.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("order", "text"))).alias("x")).select("page_id", "x.text").collect()
+    assert {x["page_id"]: x["text"] for x in rows} == {k: v for k, v in want.items() if v}
+
+
 def test_dangling_tail(spark):
     assert text(spark, gates.has_dangling_tail, "这个方法 comput。下一句") is True
     assert text(spark, gates.has_dangling_tail, "only English comput.") is False
