@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,11 +65,58 @@ def braces_balanced(c: Column) -> Column:
     return end["ok"] & (end["depth"] == 0)
 
 
+#: What HTML reads as a character reference: numbers, or up to 32 characters that may begin with a name.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@lru_cache(maxsize=1)
+def _names() -> tuple[str, str, int]:
+    """The named references of HTML5 as JSON, by first letter (a map is searched from end to end); those that need no
+    semicolon; and the longest of these."""
+    from html.entities import html5
+
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, char in html5.items():
+        by_letter.setdefault(name[0], {})[name] = char
+    bare = {n: c for n, c in html5.items() if not n.endswith(";")}
+    return json.dumps(by_letter), json.dumps(bare), max(map(len, bare))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with ``value`` computed once however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _character(n: Column) -> Column:
+    """The character of a code point, as HTML reads numbers: those of Windows' Latin page in place of C1 controls, the
+    replacement character for what is none, and nothing for other controls and noncharacters."""
+    latin = "".join(bytes([k]).decode("cp1252") if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(k) for k in range(0x80, 0xA0))
+    gone = n.between(0x1, 0x8) | n.between(0xE, 0x1F) | n.isin(0xB, 0x7F) | n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+    wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    none = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(none, "\ufffd").when(n.between(0x80, 0x9F), F.substring(F.lit(latin), (n - 0x7F).cast("int"), F.lit(1))).when(gone, "").otherwise(wide)
+
+
+def _reference(x: Column) -> Column:
+    """One reference decoded, or as it stands."""
+    names, bare, longest = _names()
+    names, bare = F.from_json(F.lit(names), "map<string,map<string,string>>"), F.from_json(F.lit(bare), "map<string,string>")
+    s = F.substring(x, F.lit(2), F.length(x))
+    digits = F.regexp_extract(s, "^#(?:[xX]0*)?0*([0-9a-fA-F]*)", 1)
+    number = F.when(F.length(digits) > 8, F.lit(1 << 40)).otherwise(F.conv(F.when(digits == "", "0").otherwise(digits), 10, 10).cast("bigint"))
+    hexed = F.when(F.length(digits) > 8, F.lit(1 << 40)).otherwise(F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10).cast("bigint"))
+    whole = F.try_element_at(F.try_element_at(names, F.substring(s, 1, 1)), s)
+    begins = [F.concat(F.try_element_at(bare, F.substring(s, 1, k)), F.substring(s, F.lit(k + 1), F.length(s))) for k in range(longest, 1, -1)]
+    named = F.coalesce(whole, *begins, x)
+    return F.when(s.rlike("^#[xX]"), once(hexed, _character)).when(s.startswith("#"), once(number, _character)).otherwise(named)
+
+
 def entity_decode(c: Column) -> Column:
-    """The common HTML entities, decoded up to three times as deep."""
+    """Character references of HTML, named and numeric, with or without a semicolon, decoded up to three times."""
+    parts = lambda x: F.split(F.regexp_replace(x, f"({REFERENCE})", "\x1e$1\x1e"), "\x1e")
+    decoded = lambda x: F.array_join(F.transform(parts(x), lambda p, i: F.when(i % 2 == 1, _reference(p)).otherwise(p)), "")
     for _ in range(3):
-        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-            c = F.replace(c, F.lit(name), F.lit(char))
+        c = once(c, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
     return c
 
 
@@ -97,11 +146,6 @@ def brace_height(c: Column) -> Column:
     return F.aggregate(chars, first, step)["most"]
 
 
-def once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)``, with ``value`` computed once however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def mark_braces(c: Column) -> Column:
     """``c`` with each pair of braces marked by its height. Escaped braces, and those without a partner, stay plain, as
     do pairs higher than there are levels; a text that holds characters of the marks' area stays as it is."""

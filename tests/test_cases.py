@@ -329,6 +329,28 @@ def test_snapshots_pass_over_taken_places(spark):
     assert {x["page_id"]: x["text"] for x in rows} == {k: v for k, v in want.items() if v}
 
 
+def test_references_are_read_as_html_does(spark):
+    import html
+    from html.entities import html5
+
+    r = random.Random(6)
+    names = sorted(html5)
+    said = ["&lt", "&ltx;", "&notit;", "&notin;", "&", "&;", "&#", "&#x", "&#;", "a&#65b", "&#x41g", "&#0;", "&#128;", "&#x81;", "&#xD800;", "&#1114112;", "&#99999999999999999999;", "&#x0000000000041;", "&#11;", "&#xfdd0;", "&#x1ffff;", "&#x1F600;", "&amp;amp;amp;amp;lt;", "&NotEqualTilde;", "&unknown;", "&&lt;;", "&a" * 30, "&" + "x" * 40 + ";", None]
+    said += ["".join(r.choice([f"&{r.choice(names)}", "&" + r.choice(names)[: r.randint(1, 5)], f"&#{r.randrange(70000)};", f"&#x{r.randrange(0x110000):x}", " t ", "é", ";"]) for _ in range(8)) for _ in range(300)]
+    said += [f"&{n}" for n in names]
+
+    def thrice(t):
+        for _ in range(3):
+            t = html.unescape(t)
+        return t
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string")
+    got = [x["d"] for x in rows.select("k", functions.entity_decode(F.col("t")).alias("d")).orderBy("k").collect()]
+    assert [(t, g) for t, g in zip(said, got) if g != (t if t is None else thrice(t))] == []
+    plan = rows.select(functions.entity_decode(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
+
+
 def test_dangling_tail(spark):
     assert text(spark, gates.has_dangling_tail, "这个方法 comput。下一句") is True
     assert text(spark, gates.has_dangling_tail, "only English comput.") is False
