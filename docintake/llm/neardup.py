@@ -1,14 +1,16 @@
 """Near-duplicates by b-bit MinHash, with every link confirmed on full shingle sets.
 
 1. ``sketch``: words are lower-cased (A-Z) runs of non-white bytes; a text's set is its distinct 5-word
-   shingles (64-bit hashes). ``K`` minima under random functions give ``BANDS`` band keys of ``ROWS`` minima
+   shingles. Each distinct word of a batch gets a 64-bit BLAKE2b digest under a key that every run draws anew, so that
+   no text can be written to collide; shingles are sums of these under odd factors. ``K`` minima under random functions give ``BANDS`` band keys of ``ROWS`` minima
    each; of every minimum the low ``B`` bits are kept, packed in ``K * B / 8`` bytes.
-2. Texts with equal sets form one class; only the class's smallest id goes on.
+2. Texts with equal sets (their size and two 64-bit sums over their keyed hashes) form one class; only the class's
+   smallest id goes on.
 3. Classes that share a band key meet in buckets. There the similarity is estimated by bit counts on the
    packed signatures, corrected for chance collisions (1 in 2**B), and pairs of at least ``LOOSE`` are
    joined to loose clusters. At a similarity of 0.75 a pair shares no band once in some 30 million times,
    and is estimated below ``LOOSE`` (5 standard errors less) about as rarely.
-4. Within a loose cluster the full sets meet and links are confirmed exactly; components of confirmed links
+4. Within a loose cluster the full texts meet and links are confirmed on their words, not on hashes; components of confirmed links
    are the result. Comparisons that can't change a component any more are left out; pairs are never emitted,
    only spanning edges, so output is linear in the rows.
 
@@ -26,12 +28,15 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docintake.llm.common import ASCII_LOWER, WHITE, flat, mix, pieces_of, span_hashes, spans, stored, table
+from docintake.llm.common import ASCII_LOWER, WHITE, flat, mix, pieces_of, spans, stored, table
 from docintake.llm.components import components
 
 WORDS = 5
@@ -47,28 +52,54 @@ _ADD = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
 _ODD = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, owners) of all shingles, in order, repeats included."""
+def numbered_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of lower-cased texts: each word's number, the distinct words by number, and the text of each word. Numbers are
+    exact: Arrow's dictionary compares the words themselves."""
     raw = ASCII_LOWER[raw]
     start, end, owner = spans(raw, off, WHITE)
-    w = span_hashes(raw, start, end)
-    n = np.bincount(owner, minlength=len(off) - 1)
+    edges = np.concatenate([[0], np.cumsum(end - start)]).astype("<i8")
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(raw[~WHITE[raw]])]).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary, owner
+
+
+def shingle_places(owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, text) of all shingles, in order, repeats included."""
+    n = np.bincount(owner, minlength=texts)
     first = np.concatenate([[0], np.cumsum(n)])
     count = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
-    whose = np.repeat(np.arange(len(n)), count)
+    whose = np.repeat(np.arange(texts), count)
     at = first[whose] + np.arange(len(whose)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    pad = np.concatenate([w, np.zeros(WORDS, np.uint64)])
-    size = np.minimum(n, WORDS)[whose]
+    return at, np.minimum(n, WORDS)[whose], whose
+
+
+def shingles(raw: np.ndarray, off: np.ndarray, secret: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, texts) of all shingles."""
+    word, distinct, owner = numbered_words(raw, off)
+    digest = b"".join(hashlib.blake2b(x, digest_size=8, key=secret).digest() for x in distinct.to_pylist())
+    pad = np.concatenate([np.frombuffer(digest, "<u8").astype(np.uint64)[word], np.zeros(WORDS, np.uint64)])
+    at, size, whose = shingle_places(owner, len(off) - 1)
     h = size.astype(np.uint64)
     for k in range(WORDS):
         h = h + np.where(k < size, pad[at + k], np.uint64(0)) * _ODD[k]
     return mix(h), whose
 
 
-def sketches(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def exact_shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, texts) of all shingles: equal numbers mean equal words."""
+    word, distinct, owner = numbered_words(raw, off)
+    none = len(distinct)
+    pad = np.concatenate([word, np.full(WORDS, none)])
+    at, size, whose = shingle_places(owner, len(off) - 1)
+    name = pad[at]
+    for k in range(1, WORDS):
+        name = np.unique(name * (none + 1) + np.where(k < size, pad[at + k], none), return_inverse=True)[1]
+    return name, whose
+
+
+def sketches(raw: np.ndarray, off: np.ndarray, secret: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By value: set size, two sums over the set's hashes, band keys (n x BANDS int32), packed bits (n x K*B/8)."""
     total = len(off) - 1
-    h, whose = shingles(raw, off)
+    h, whose = shingles(raw, off, secret)
     _, at = np.unique(mix(h ^ mix(whose.astype(np.uint64) + np.uint64(1))), return_index=True)
     at.sort()
     h, whose = h[at], whose[at]
@@ -94,14 +125,16 @@ def sketches(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return n, one.view(np.int64), two.view(np.int64), keys, bits
 
 
-def sketch(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n, set_a, set_b, bands array<int>, bits binary - one row per input row."""
+def sketch(df: DataFrame, key: str = "doc_id", text: str = "text", secret: bytes | None = None) -> DataFrame:
+    """id, n, set_a, set_b, bands array<int>, bits binary - one row per input row. Sketches can be compared with each
+    other if they have one ``secret`` (drawn here if it isn't given)."""
+    secret = secret or secrets.token_bytes(32)
     src = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         for whole in batches:
             for b in pieces_of(whole, "text", 512 << 10, 4096):
-                n, one, two, keys, bits = sketches(*flat(b.column("text")))
+                n, one, two, keys, bits = sketches(*flat(b.column("text")), secret)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(one), pa.array(two), bands, pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "n", "set_a", "set_b", "bands", "bits"])
 
@@ -199,7 +232,7 @@ def loose_edges(buckets: DataFrame) -> DataFrame:
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Are two distinct sorted hash sets linked?"""
+    """Are two distinct sorted sets linked?"""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return ALL * both >= SAME * (len(x) + len(y) - both)
 
@@ -225,7 +258,7 @@ def confirmed_edges(rows: DataFrame) -> DataFrame:
 def confirm(cell: pa.RecordBatch) -> list[tuple[int, int]]:
     asks, target, ids, comp, n = (cell.column(k).to_numpy(zero_copy_only=False) for k in ("asks", "target", "id", "component", "n"))
     bits = words_of(cell.column("bits"))
-    h, whose = shingles(*flat(cell.column("text")))
+    h, whose = exact_shingles(*flat(cell.column("text")))
     cut = np.searchsorted(whose, np.arange(len(ids) + 1))
     sets: dict[int, np.ndarray] = {}
     u = Union(len(ids))

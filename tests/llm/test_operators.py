@@ -313,6 +313,30 @@ def test_words_with_equal_sums_are_told_apart(spark):
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 3)} == brute_components(texts)
 
 
+def test_words_written_to_collide_are_told_apart(spark):
+    """These two have one value under the library's unkeyed mixing hash."""
+    a, b = 'rs18bf38!@!@!";!', "usjce7b8utzwm[[%"
+    raw, off = flat(pa.array([a, b]))
+    assert len(set(span_hashes(raw, *spans(raw, off, WHITE)[:2]).tolist())) == 1
+    texts = {1: a, 2: b, 3: f"q {a} w e r t", 4: f"q {b} w e r t", 5: f"q {a.upper()} w e r t"}
+    got = {r["id"]: (r["n"], r["component"]) for r in neardup.components_of(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == brute_components(texts) and len({got[k][1] for k in (1, 2, 3, 4)}) == 4 and got[5][1] == 3
+
+
+def test_links_are_confirmed_on_words():
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randrange(14))) for _ in range(60)] + [None, "A b\tC"]
+    raw, off = flat(pa.array(texts))
+    name, whose = neardup.exact_shingles(raw, off)
+    words = [(t or "").lower().split() for t in texts]
+    want = [(i, tuple(w[k : k + 5])) for i, w in enumerate(words) for k in range(max(len(w) - 4, min(len(w), 1)))]
+    assert whose.tolist() == [i for i, _ in want]
+    seen = {}
+    assert all(seen.setdefault(n, x) == x for n, (_, x) in zip(name.tolist(), want)) and len(seen) == len({x for _, x in want})
+    h, same = neardup.shingles(raw, off, b"k")
+    assert same.tolist() == whose.tolist() and len(set(h.tolist())) == len(seen) and h.tolist() != neardup.shingles(raw, off, b"l")[0].tolist()
+
+
 def test_near_duplicates_of_odd_rows(spark, docs, none):
     got = neardup.components_of(docs).collect()
     assert sorted((r["id"], r["component"]) for r in got if r["id"] in (7, 8)) == [(7, 7), (8, 7)]
