@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import filled
+from docintake.functions.text import WHITE, filled, squeeze, strip
+from docintake.operators.normalise import map_parts, strip_visible_macros
 
 # Names that make a figure likely to matter, best first, and other word lists.
 PREFERRED = ("introfig", "fig1", "main", "framework", "overall", "teacher_training", "inference", "world_state", "sparse_attention", "blade", "workflow", "asav3", "mask_generation", "teaser", "attn_proportion", "proportion", "flops", "overview", "pipeline", "method", "architecture", "attention", "heatmap", "patterns", "ablation", "scaling", "warmup")
@@ -204,6 +205,65 @@ def unrenderable(figures: DataFrame, selected: DataFrame) -> DataFrame:
     return left.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set(F.lower(F.regexp_extract("asset", r"\.([^./]+)$", 1)))), ",").alias("formats"))
 
 
+# Heads behind which missing figures go, and what is said before them.
+PRIORITY_HEADS = ("## 3.", "## 方法", "## 2.", "## 核心", "## 关键")
+METHOD_HEADS = ("## 3.", "## 方法", "## 核心方法", "## 模型", "## 框架")
+PRIORITY_LEAD, METHOD_LEAD = "这张图概括了论文中最关键的流程或方法结构。", "原文的方法总览图如下。"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def short_caption(caption: Column, most: int = 180) -> Column:
+    text = squeeze(map_parts(F.coalesce(caption, F.lit("")), strip_visible_macros))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most)), F.lit("...")))
+
+
+def _missing(docs: DataFrame, inserts: DataFrame, most: int) -> DataFrame:
+    """doc_id, lines, and ``lack``: the first ``most`` figures (marker, caption, name) in order that a document (doc_id,
+    text) has no marker of, of inserts (doc_id, n, marker, asset, caption, description) that explain a method."""
+    said = F.concat_ws(" ", "caption", "description")
+    rows = inserts.filter(is_priority(F.col("asset"), said)).join(docs.select("doc_id", "text"), "doc_id").filter(~F.col("text").contains(F.col("marker")))
+    one = F.struct("n", "marker", F.coalesce("caption", F.lit("")).alias("caption"), stem(F.col("asset")).alias("name"))
+    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).filter(F.col("k") <= most)
+    lack = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("lack"))
+    return docs.select("doc_id", "text").join(lack, "doc_id", "left").withColumn("lines", F.split(F.rtrim(F.col("text"), F.lit(WHITE)), LINE_END))
+
+
+def _first(lines: Column, heads: tuple[str, ...], after: Column | int = 0) -> Column:
+    """The number of the first line behind ``after`` that begins with one of the heads, or 0."""
+    hit = lambda x: F.exists(F.lit(list(heads)), lambda h: F.startswith(strip(x), h))
+    return F.array_position(F.transform(lines, lambda x, i: hit(x) & (i >= after)), True).cast("int")
+
+
+def _put(at: Column, block: Column) -> Column:
+    lines = F.concat(F.slice("lines", 1, at), block, F.slice("lines", at + 1, F.greatest(F.size("lines") - at, F.lit(0))))
+    return F.concat(strip(F.array_join(lines, "\n")), F.lit("\n"))
+
+
+def ensure_priority_markers(docs: DataFrame, inserts: DataFrame, most: int = 2) -> DataFrame:
+    """Documents with up to ``most`` missing figures of the method behind the head of the method's section, or the first
+    head, or the eighth line, each with its caption."""
+    rows = _missing(docs, inserts, most)
+    head, any_head = _first(F.col("lines"), PRIORITY_HEADS), _first(F.col("lines"), ("## ",))
+    at = F.when(head > 0, head).when(any_head > 0, any_head).otherwise(F.least(F.size("lines"), F.lit(8)))
+    caption = lambda m: F.when(m["caption"] != "", F.array(F.concat(F.lit("**图："), short_caption(m["caption"]), F.lit("**")))).otherwise(F.array().cast("array<string>"))
+    one = lambda m, i: F.concat(F.when(i > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), F.array(F.lit(PRIORITY_LEAD), m["marker"]), caption(m))
+    block = F.concat(F.array(F.lit("")), F.flatten(F.transform("lack", one)), F.array(F.lit("")))
+    return rows.select("doc_id", F.when(F.col("lack").isNull(), F.col("text")).otherwise(_put(at, block)).alias("text"))
+
+
+def ensure_referenced_markers(docs: DataFrame, inserts: DataFrame, most: int = 1, enough: int = 3) -> DataFrame:
+    """Documents with fewer than ``enough`` distinct markers, with up to ``most`` missing figures of the method at the
+    end of the method's section; a document without one stays as it is."""
+    rows = _missing(docs, inserts, most)
+    held = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\[\w*Figure:[^\]]+\])"), F.lit(1))))
+    head = _first(F.col("lines"), METHOD_HEADS)
+    after = F.array_position(F.transform("lines", lambda x, i: (i >= head) & strip(x).rlike(r"^##\s+")), True).cast("int")
+    at = F.when(after > 0, after - 1).otherwise(F.size("lines"))
+    one = lambda m: F.array(F.lit(""), F.lit(METHOD_LEAD), m["marker"], F.concat(F.lit("**图："), short_caption(F.coalesce(filled(m["caption"]), m["name"])), F.lit("**")), F.lit(""))
+    go = F.col("lack").isNotNull() & (held < enough) & (head > 0)
+    return rows.select("doc_id", F.when(go, _put(at, F.flatten(F.transform("lack", one)))).otherwise(F.col("text")).alias("text"))
+
+
 def insert_markers(docs: DataFrame, markers: DataFrame, most: int = 2) -> DataFrame:
     """Documents (doc_id, text) with up to ``most`` missing markers put after the heading that names their
     section (doc_id, marker, section), in order; markers whose section has no heading are left out."""

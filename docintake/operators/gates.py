@@ -58,6 +58,20 @@ PROMPT_LEAKS = ("the user wants me to", "let me carefully follow the rules", "le
 TRANSIENT_ERRORS = ("timeout", "timed out", "temporarily", "connection reset", "connection refused", "rate limit", "too many requests", "429", "502", "503", "504")
 ERROR_TEXTS = {"document-too-short": "the document is too short", "missing-h1": "the first line is no title", "leading-code-fence": "the document begins with a code fence", "prompt-leak": "the document repeats its instructions", "duplicate-h1": "there is more than one title", "missing-tldr": "there is no TL;DR"}
 
+# What a writer is told of each error; ``{}`` stands for the code's parameter.
+FEEDBACK = {
+    "missing-h1": "第一个非空行不是 H1；最终输出必须直接以 `# ` 标题开始",
+    "leading-code-fence": "全文被 Markdown 代码围栏包裹；必须删除最外层围栏",
+    "prompt-leak": "正文泄露了模型的思考或指令复述；必须删除这些前置解释",
+    "duplicate-h1": "存在重复 H1 或重复完整文档；只保留一份最终文档",
+    "missing-tldr": "缺少 TL;DR；必须在标题后保留清晰的一句话摘要",
+    "retry-from-previous-failed-draft": "这是上一任务留下的失败稿；以历史失败账本为验收清单完成修复",
+}
+FEEDBACK_FORMS = (
+    (r"(?s)^missing-section-(?:.*-)?(.*)$", "缺少第 {} 章二级标题及正文；必须补齐该章，不能只放空标题"),
+    (r"(?s)^too-few-figures:(.*)$", "关键图 marker 数量不足（{}）；按方法、实验、分析位置恢复要求数量"),
+)
+
 PROTECTED = r"(?s)<latex>.*?</latex>|<code>.*?</code>"
 
 
@@ -237,6 +251,21 @@ def error_text(code: Column) -> Column:
     return F.coalesce(known, F.when(section != "", F.concat(F.lit("section "), section, F.lit(" is missing"))), F.when(figures != "", F.concat(F.lit("figures placed: "), figures)), code)
 
 
+def generation_feedback(codes: Column, attempt: Column) -> Column:
+    """What the next attempt is told of the errors of one: the attempt, the code, and what it means, if that is known."""
+    table = F.create_map(*(F.lit(x) for kv in FEEDBACK.items() for x in kv))
+
+    def said(raw: Column) -> Column:
+        code = strip(F.coalesce(raw, F.lit("")))
+        text = F.coalesce(F.try_element_at(table, code), code)
+        for pattern, form in reversed(FEEDBACK_FORMS):
+            before, _, after = form.partition("{}")
+            text = F.when(code.rlike(pattern), F.concat(F.lit(before), F.regexp_extract(code, pattern, 1), F.lit(after))).otherwise(text)
+        return F.concat(F.lit("attempt "), attempt.cast("string"), F.lit(": ["), code, F.lit("] "), text)
+
+    return F.transform(codes, said)
+
+
 def published_errors(content: Column, title: Column, terms: Column, latex_min: Column, table_min: Column) -> Column:
     """What a delivered document lacks against what was to be delivered."""
     block = strip(F.regexp_replace(F.regexp_extract(content, r"(?is)<title(?:\s[^>]*)?>(.*?)</title>", 1), r"<[^>]+>", ""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import ARGUMENT, CLOSE, LEVELS, OPEN, braces_balanced, collapse_blank_lines, entity_decode, mark_braces, replace_command, strip, unmark_braces
+from docintake.functions.text import ARGUMENT, CLOSE, LEVELS, OPEN, braces_balanced, collapse_blank_lines, entity_decode, mark_braces, once, replace_command, strip, unmark_braces
 
 # Symbols and the commands they stand for.
 SYMBOLS = {
@@ -49,6 +49,7 @@ COMMANDS = (
 )
 # Greek names and functions that make a word with an underscore or brackets math, not code.
 MATH_WORDS = ("alpha", "beta", "chi", "delta", "eta", "gamma", "kappa", "lambda", "mu", "nu", "omega", "phi", "psi", "rho", "sigma", "tau", "theta")
+MATH_FUNCTIONS = ("argmax", "argmin", "cos", "det", "exp", "f", "g", "h", "log", "max", "mean", "min", "p", "q", "relu", "sigmoid", "sin", "softmax", "sqrt", "sum", "tanh", "var")
 
 #: A number with its errors above and below, as raw TeX.
 _NUMBER = r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)"
@@ -134,9 +135,18 @@ def recover_overescaped(c: Column) -> Column:
 
 
 def code_like(c: Column) -> Column:
-    """Is a span a program's identifier: words joined by underscores or dots, or a call, and no math name first."""
-    t = F.trim(c)
-    return t.rlike(r"^[A-Za-z][A-Za-z0-9]+(?:[_.][A-Za-z0-9]+)+(?:\(\))?$") & ~F.lower(F.regexp_extract(t, "^([A-Za-z]+)", 1)).isin(*MATH_WORDS)
+    """Is a span a program's identifier: a name of several words joined by underscores, or a call with an argument that
+    has one; not where its first word, or all of it, is a name of mathematics."""
+
+    def told(t: Column) -> Column:
+        shape = r"^([A-Za-z_][A-Za-z0-9_.]*)(?:\(([A-Za-z0-9_.,'\"\s-]*)\))?$"
+        name, call = F.regexp_extract(t, shape, 1), F.regexp_extract(t, shape, 2)
+        words = F.split(name, "_")
+        of_math = F.lower(F.get(words, 0)).isin(*MATH_WORDS) | F.lower(name).isin(*MATH_FUNCTIONS)
+        snake = (F.size(words) >= 2) & ~F.exists(words, lambda w: F.length(w) < 2)
+        return (name != "") & ~t.rlike(r"[\\\n{}=+*/^<>≤≥]") & ~of_math & (snake | (call.contains("_") & (F.length(name) >= 3)))
+
+    return once(strip(entity_decode(c)), told)
 
 
 def backticks_to_tags(c: Column) -> Column:
@@ -144,7 +154,6 @@ def backticks_to_tags(c: Column) -> Column:
     shapes = (r"\\[A-Za-z]+|[_^]", r"[α-ωΑ-Ωϑϕϵℓ≤≥×]", r"^[A-Za-z]$", r"^\(?[A-Za-z](?:\s*,\s*[A-Za-z])+\)?$", r"^[A-Za-z0-9.{}()\[\],\s]+(?:[=<>+*/-][A-Za-z0-9.{}()\[\],\s]*)+$", r"^\[[0-9.,\s]+\]$")
     math = lambda x: x.rlike("|".join(f"(?:{p})" for p in shapes)) & ~code_like(x)
     tick = lambda x: F.trim(F.regexp_extract(x, "^`([^`\n]{1,240})`$", 1))
-    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731 - the value is computed once
     to_tag = lambda x: once(normalise_formula(tick(x)), lambda b: F.when(math(tick(x)) & valid_formula(b), F.concat(F.lit("<latex>"), b, F.lit("</latex>"))).otherwise(x))
     c = map_parts(c, to_tag, formulas=True, protected="`[^`\n]{1,240}`")
     body = lambda x: F.regexp_extract(x, r"(?s)^<latex>(.*)</latex>$", 1)
@@ -340,6 +349,46 @@ def polish(docs: DataFrame, text: str = "text", steps=POLISH, macros: str | None
     return docs
 
 
+def compiled_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos, kind (text, formula), value, start, end: what ``compile_markup`` makes of each document, part by part,
+    and where in the document (from 0, end excluded) each part was made from. Prose of which nothing is left gives no
+    token; the values, with formula tags around formulas, joined are the compiled document."""
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"({FORMULA})", "\x1e$1\x1e"), "\x1e")
+    rows = docs.select(key, F.posexplode(parts).alias("pos", "source"))
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("source")).over(w), F.lit(0)).cast("bigint")).withColumn("made", compile_markup(F.col("source")))
+    formula = F.col("pos") % 2 == 1
+    value = F.when(formula, F.regexp_extract("made", r"(?s)^<latex>(.*)</latex>$", 1)).otherwise(F.col("made"))
+    rows = rows.select(key, "pos", F.when(formula, "formula").otherwise("text").alias("kind"), value.alias("value"), "start", (F.col("start") + F.length("source")).alias("end"))
+    return rows.filter("kind = 'formula' or value <> ''")
+
+
+def markup_problems(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, code, severity, start, end, said of what is wrong with a document's formulas: unknown tags at their own
+    place, unbalanced braces at the formula's content, and one note where paragraph tags around formulas were removed."""
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    whole = docs.select(key, F.coalesce(text, F.lit("")).alias("text"))
+    rows = whole.select(key, F.posexplode(F.split(F.regexp_replace("text", f"({FORMULA})", "\x1e$1\x1e"), "\x1e")).alias("pos", "source"))
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("source")).over(w), F.lit(0)).cast("bigint")).filter("pos % 2 = 1")
+    body = F.regexp_replace(F.regexp_replace("source", _OPEN, ""), _CLOSE, "")
+    rows = rows.select(key, body.alias("body"), (F.col("at") + F.length(F.regexp_extract("source", _OPEN, 0))).alias("at"))
+    tag = r"<\s*/?\s*[A-Za-z][^<>]*>"
+    rows = rows.withColumns({"tags": F.regexp_extract_all("body", F.lit(f"({tag})"), F.lit(1)), "gaps": F.split("body", tag)})
+    reach = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x))
+    one = lambda code, severity, start, end, said: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), start.alias("start"), end.alias("end"), said.alias("said"))
+
+    def unknown(t: Column, i: Column) -> Column:
+        start = F.col("at") + reach("gaps", i + 1) + reach("tags", i)
+        return F.when(~t.rlike(r"(?i)^<\s*/?\s*(?:p|div|br)\b"), one("unknown-html-in-formula", "high", start, start + F.length(t), t))
+
+    clean = F.regexp_replace("body", r"(?i)<\s*/?\s*(?:p|div|br|latex)\b[^>]*>", "")
+    braces = F.when(~braces_balanced(recover_overescaped(clean)), one("unbalanced-braces", "high", F.col("at"), F.col("at") + F.length("body"), F.lit("")))
+    found = rows.select(key, F.explode(F.array_compact(F.concat(F.transform("tags", unknown), F.array(braces)))).alias("p"))
+    wrapped = F.regexp_replace("text", r"(?is)(?:&lt;|&#0*60;|&#x0*3c;)\s*(/?\s*p\b[^<>]*?)(?:&gt;|&#0*62;|&#x0*3e;)", "<$1>").rlike(r"(?is)<\s*p\b[^>]*>\s*<latex>.*?</latex>\s*</\s*p\s*>")
+    note = whole.filter(wrapped).select(key, one("recovered-formula-wrapper", "info", F.lit(0).cast("bigint"), F.length("text").cast("bigint"), F.lit("")).alias("p"))
+    return found.unionByName(note).select(key, "p.*")
+
+
 def formula_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, kind (text, formula), start, value: the tokens of each document with their offsets."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

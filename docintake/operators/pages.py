@@ -293,6 +293,12 @@ def substitute_markers(lines: DataFrame, numbered: DataFrame) -> DataFrame:
     return got.select("page_id", "pos", F.when(F.col("n").isNull(), F.col("text")).when(F.col("marker").isNull(), caption).otherwise(F.concat("marker", F.lit("\n"), caption)).alias("text"))
 
 
+def marked_documents(lines: DataFrame, numbered: DataFrame) -> DataFrame:
+    """page_id and the page's lines (page_id, pos, text) on end, with placeholders put in (see ``substitute_markers``)."""
+    rows = substitute_markers(lines, numbered)
+    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
 def section_material(section_rows: DataFrame, most: int = 80, clip: int = 60_000) -> DataFrame:
     """page_id and the first sections written out under numbered heads, clipped."""
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("section"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import filled
+from docintake.functions.text import filled, strip
 
 DEFAULT_LIMIT, MOST_LIMIT = 80, 300
 
@@ -108,3 +108,59 @@ def last_reports(rows: DataFrame, layers: dict[str, int]) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("job_id", "layer").orderBy(F.desc("seq")))
     most = F.try_element_at(F.create_map(*(F.lit(x) for kv in layers.items() for x in kv)), F.col("layer"))
     return rows.withColumn("__n", n).filter(F.col("__n") <= most).drop("__n")
+
+
+#: The reports of a job's folder: name pattern and how many of the last ones count.
+LAYERS = {"attempt": (r"^01-.*-attempt-.*\.json$", 12), "quality": (r"^07-quality-round-.*\.json$", 8), "visual": (r"^09-visual-qa\.json$", 1), "failure": (r"^08-failure\.txt$", 1)}
+#: One schema for the JSON of all layers; what a layer lacks is null.
+REPORT = "errors array<string>, blocking_warnings array<string>, rounds array<struct<round:string,findings:array<struct<detail:string,kind:string,section:string>>>>"
+VISUAL_ROUNDS = 4
+
+
+def read_artifacts(spark: SparkSession, root: str, folder: str = "pipeline_artifacts") -> DataFrame:
+    """job_id, name, content of the text files in ``<root>/<job>/<folder>``, one row a file."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,md,txt}").text(root, wholetext=True)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    rows = files.select(F.element_at(parts, -3).alias("job_id"), F.element_at(parts, -2).alias("folder"), F.url_decode(F.element_at(parts, -1)).alias("name"), F.col("value").alias("content"))
+    return rows.filter(F.col("folder") == folder).drop("folder")
+
+
+def retry_context(files: DataFrame, most: int = 16) -> DataFrame:
+    """job_id, ``feedback`` (the last ``most`` distinct lines) and ``markdown`` (the draft to go on from, or '') of the
+    artifacts of failed jobs (job_id, name, content).
+
+    Feedback, in this order: the errors of the last 12 attempts and the blocking warnings of the last 8 quality rounds,
+    both by name, the findings of the last 4 visual rounds, and the last failure. Draft: the final text, else the last
+    text of a quality round, else that of the last of these attempts; blank ones don't count. JSON that can't be read,
+    or that isn't an object, says nothing."""
+    name, text = F.col("name"), F.col("content")
+    layer = F.when(F.lit(False), "")
+    for k, (pattern, _) in LAYERS.items():
+        layer = layer.when(name.rlike(pattern), k)
+    rank = F.when(name == "05-final.md", 0).when(name.rlike(r"^05-quality-round-.*\.md$"), 1).when(name.rlike(r"^01-.*-attempt-.*\.md$"), 2)
+    rows = files.select("job_id", "name", F.coalesce(text, F.lit("")).alias("content"), layer.alias("layer"), rank.alias("rank"))
+    n = F.row_number().over(Window.partitionBy("job_id", "layer").orderBy(F.desc("name")))
+    last = F.create_map(*(F.lit(x) for k, (_, m) in LAYERS.items() for x in (k, m)))
+    reports = rows.filter("layer is not null").withColumn("n", n).filter(F.col("n") <= F.try_element_at(last, F.col("layer")))
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    listed = lambda items: F.when(F.size(items) > 0, F.array(F.concat(stem, F.lit(": "), F.array_join(items, ", "))))
+    said = lambda f: F.coalesce(filled(strip(f["detail"])), strip(f["kind"]), F.lit(""))
+    where = lambda f: strip(F.coalesce(f["section"], F.lit("")))
+    finding = lambda f: F.when(where(f) != "", F.concat(said(f), F.lit(" [section="), where(f), F.lit("]"))).otherwise(said(f))
+    line = lambda r: F.when(F.size(r["findings"]) > 0, F.concat(F.lit("visual-round-"), F.coalesce(r["round"], F.lit("?")), F.lit(": "), F.array_join(F.transform(r["findings"], finding), "; ")))
+    rounds = F.slice("r.rounds", F.greatest(F.size("r.rounds") - (VISUAL_ROUNDS - 1), F.lit(1)), VISUAL_ROUNDS)
+    failure = strip(F.col("content"))
+    lines = (
+        F.when(F.col("layer") == "attempt", listed(F.col("r.errors"))).when(F.col("layer") == "quality", listed(F.col("r.blocking_warnings")))
+        .when(F.col("layer") == "visual", F.array_compact(F.transform(rounds, line))).when(failure != "", F.array(F.concat(F.lit("last-job: "), failure)))
+    )
+    read = reports.withColumn("r", F.from_json("content", REPORT)).withColumn("lines", lines)
+    place = F.array_position(F.lit(list(LAYERS)), F.col("layer"))
+    told = read.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "name", "lines"))).alias("x"))
+    every = F.array_distinct(F.filter(F.flatten(F.transform(F.filter("x", lambda x: x["lines"].isNotNull()), lambda x: x["lines"])), lambda x: x != ""))
+    told = told.select("job_id", F.slice(every, F.greatest(F.size(every) - (most - 1), F.lit(1)), most).alias("feedback"))
+    counted = reports.filter("layer = 'attempt'").select("job_id", F.regexp_replace("name", r"json$", "md").alias("name"))
+    drafts = rows.filter(F.col("rank").isNotNull() & (strip(F.col("content")) != "")).join(counted.withColumn("counts", F.lit(True)), ["job_id", "name"], "left").filter("rank < 2 or counts")
+    draft = drafts.groupBy("job_id").agg(F.max_by("content", F.struct(-F.col("rank"), "name")).alias("content"))
+    jobs = files.select("job_id").distinct().join(told, "job_id", "left").join(draft, "job_id", "left")
+    return jobs.select("job_id", F.coalesce("feedback", F.array().cast("array<string>")).alias("feedback"), F.coalesce(F.concat(strip(F.col("content")), F.lit("\n")), F.lit("")).alias("markdown"))

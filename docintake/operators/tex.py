@@ -47,6 +47,34 @@ def file_inventory(spark, root: str, suffixes: tuple[str, ...] = (".pdf", ".png"
     return rows.withColumn("n", n).filter(F.col("n") <= most).drop("n")
 
 
+def read_inventory(spark, root: str) -> DataFrame:
+    """paper_id, path, length of all files below ``root`` that aren't empty; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    below = F.regexp_extract("path", re.escape(root.rstrip("/").removeprefix("file:").lstrip("/")) + r"/(.*)$", 1)
+    return files.select(F.substring_index(below, "/", 1).alias("paper_id"), F.regexp_replace(below, "^[^/]*/", "").alias("path"), "length")
+
+
+def source_tree(inventory: DataFrame, most: int = 200) -> DataFrame:
+    """paper_id, files, and ``tree``: the first ``most`` paths (paper_id, path), folder by folder, a line each, and a
+    line that says so where there are more. Only these are ever gathered."""
+    n = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.split("path", "/")))
+    size = inventory.groupBy("paper_id").agg(F.count(F.lit(1)).alias("files"))
+    first = inventory.select("paper_id", "path").withColumn("n", n).filter(F.col("n") <= most)
+    lines = first.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x["path"]).alias("lines"))
+    tree = F.array_join(F.when(F.col("files") > most, F.array_append("lines", F.lit("[TRUNCATED]"))).otherwise(F.col("lines")), "\n")
+    return lines.join(size, "paper_id").select("paper_id", "files", tree.alias("tree"))
+
+
+def paper_summary(papers: DataFrame, figure_rows: DataFrame, table_rows: DataFrame) -> DataFrame:
+    """One row a paper (paper_id, title, source, pdf_text, warnings) for its listing: lengths, how many figures and tables
+    its source has, and what its parsing warned of."""
+    count = lambda rows, name: rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias(name))
+    size = lambda c: F.length(F.coalesce(c, F.lit(""))).alias(f"{c.removesuffix('_text')}_chars")
+    got = papers.join(count(figure_rows, "figures"), "paper_id", "left").join(count(table_rows, "tables"), "paper_id", "left")
+    none = F.array().cast("array<string>")
+    return got.select("paper_id", "title", size("source"), size("pdf_text"), F.coalesce("figures", F.lit(0)).alias("figures"), F.coalesce("tables", F.lit(0)).alias("tables"), F.coalesce("warnings", none).alias("parse_warnings"))
+
+
 def concatenate_files(files: DataFrame, order: str = "path", most: int = MOST_FILES) -> DataFrame:
     """paper_id and its best ranked files on end, each after a line that names it."""
     k = F.struct(file_rank(F.col("path")).alias("r"), F.lower("path").alias("p"), F.col(order).alias("o"))

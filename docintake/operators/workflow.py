@@ -305,6 +305,25 @@ def replay_with_leases(log: DataFrame, segment: int = LEASE_SEGMENT, fan: int =
     return got.select("job_id", F.get(F.lit(list(STATES)), F.col("r.state")).alias("state"), F.col("r.version").cast("int").alias("version"), F.col("r.holder").alias("worker_id"), F.col("r.rejected").cast("int").alias("rejected"), F.col("r.ignored").cast("int").alias("ignored"))
 
 
+def retry_jobs(jobs: DataFrame, watchers: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs, watchers and new audit rows after the jobs in ``asked`` (id) were put back by hand.
+
+    Only jobs with status failed go back, and only from a state that the machine lets be retried: they are queued again,
+    their error, worker and times are cleared, their version goes up by one, and their watchers are to be told anew."""
+    ids = asked.select("id").distinct()
+    again = F.col("asked").isNotNull() & (F.col("status") == "failed") & F.col("state").isin(*RETRYABLE)
+    rows = jobs.join(ids.withColumn("asked", F.lit(True)), "id", "left").withColumn("again", F.coalesce(again, F.lit(False))).drop("asked")
+    put = {"status": F.lit("queued"), "state": F.lit("queued"), "last_event": F.lit("retry"), "error": F.lit(""), "worker_id": F.lit(""), "stage": F.lit("retry_queued"), "state_version": F.coalesce("state_version", F.lit(0)) + 1}
+    put |= {c: F.lit(None) for c in ("started_at", "finished_at", "heartbeat_at")}
+    done = rows.select(*(F.when(F.col("again"), put[c]).otherwise(F.col(c)).cast(jobs.schema[c].dataType).alias(c) if c in put else F.col(c) for c in jobs.columns))
+    back = rows.filter("again").select("id", "state")
+    told = watchers.join(back.select(F.col("id").alias("job_id"), F.lit(True).alias("__again")), "job_id", "left")
+    told = told.withColumn("notified", F.when(F.col("__again"), False).otherwise(F.col("notified"))).select(*watchers.columns)
+    move = transition_detail(F.col("state"), F.lit("queued"), F.lit("retry"), F.lit("manual retry"))
+    kinds = F.array(F.struct(F.lit("transition").alias("event_type"), move.alias("detail")), F.struct(F.lit("retry").alias("event_type"), F.lit("manual retry").alias("detail")))
+    return done, told, back.select("id", F.explode(kinds).alias("r")).select("id", "r.*")
+
+
 def checkpoints(log: DataFrame) -> DataFrame:
     """The last publish_succeeded detail of each job."""
     return log.groupBy("job_id").agg(F.max_by("detail", F.when(F.col("event") == "publish_succeeded", F.col("seq"))).alias("checkpoint"), F.count_if(F.col("event") == "publish_succeeded").alias("publishes")).filter("publishes > 0")

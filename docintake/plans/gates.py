@@ -8,7 +8,7 @@ from docintake.functions import text as tx
 from docintake.operators import gates as g
 from docintake.operators import normalise as n
 from docintake.plans.queue import _with
-from docintake.plans.registry import query
+from docintake.plans.registry import ORACLE_SQL, query
 from docintake.sources.views import load, sql
 
 
@@ -111,6 +111,16 @@ def _(spark, d):
     return load(spark, d, "v_md").select("doc_id", F.explode(g.completeness_errors(F.col("md"), F.lit(["[Figure:1:a]", "[Figure:2:b]"]))).alias("code"))
 
 
+_TOLD = " ".join(f"WHEN '{code}' THEN '{said}'" for code, said in g.FEEDBACK.items())
+
+
+@query("qg_feedback", f"""SELECT doc_id, concat('attempt ', CAST(doc_id % 3 + 1 AS VARCHAR), ': [', code, '] ', CASE WHEN starts_with(code, 'missing-section-') THEN concat('缺少第 ', right(code, 1), ' 章二级标题及正文；必须补齐该章，不能只放空标题')
+ WHEN starts_with(code, 'too-few') THEN '关键图 marker 数量不足（0/2）；按方法、实验、分析位置恢复要求数量' ELSE CASE code {_TOLD} ELSE code END END) AS said FROM ({ORACLE_SQL['qg_completeness']}) c""")
+def _(spark, d):
+    codes = g.completeness_errors(F.col("md"), F.lit(["[Figure:1:a]", "[Figure:2:b]"]))
+    return load(spark, d, "v_md").select("doc_id", F.explode(g.generation_feedback(codes, F.col("doc_id") % 3 + 1)).alias("said"))
+
+
 @query("qg_structure_warnings", "SELECT doc_id, concat('quality:structure:markdown:high:missing-section-', CAST(k AS VARCHAR)) AS warning, concat('section ', CAST(k AS VARCHAR), ' is missing') AS said FROM v_md, range(3, 8) t(k)", "v_md")
 def _(spark, d):
     codes = F.filter(g.completeness_errors(F.col("md"), F.array().cast("array<string>")), lambda c: c.rlike("section-[3-7]"))
@@ -338,6 +348,24 @@ def _(spark, d):
     return n.formula_tokens(_text(spark, d, "'<latex>x</latex>'").select("doc_id", "text"))
 
 
+_MAPPED = "'<p>&lt;p&gt;<latex>x<br/>y</latex></p>'"
+
+
+@query("norm_source_map", f"SELECT doc_id, CAST(k AS INT) AS pos, CASE k WHEN 1 THEN 'formula' ELSE 'text' END AS kind, CASE k WHEN 0 THEN a WHEN 1 THEN 'x y' ELSE b END AS value, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN length(a) + 12 ELSE length(a) + 34 END AS BIGINT) AS start, CAST(CASE k WHEN 0 THEN length(a) + 12 WHEN 1 THEN length(a) + 34 ELSE length(a) + 38 + length(b) END AS BIGINT) AS \"end\" FROM (SELECT doc_id, length(a0) AS la, a0 AS a, b0 AS b FROM (SELECT doc_id, a AS a0, b AS b0 FROM ({_spliced(_MAPPED)}) y) x) z, range(3) t(k) WHERE k = 1 OR k = 0 AND a <> '' OR k = 2 AND b <> ''")
+def _(spark, d):
+    return n.compiled_tokens(_text(spark, d, _MAPPED).select("doc_id", "text"))
+
+
+_PROBLEMS = "CASE doc_id % 3 WHEN 0 THEN '<latex>a{<b></latex>' WHEN 1 THEN '<p><latex>ok</latex></p>' ELSE '<latex>fine</latex>' END"
+
+
+@query("norm_problems", f"""SELECT doc_id, 'unknown-html-in-formula' AS code, 'high' AS severity, CAST(length(a) + 9 AS BIGINT) AS start, CAST(length(a) + 12 AS BIGINT) AS "end", '<b>' AS said FROM ({_spliced(_PROBLEMS, 3)}) z WHERE kind = 0
+ UNION ALL SELECT doc_id, 'unbalanced-braces', 'high', length(a) + 7, length(a) + 12, '' FROM ({_spliced(_PROBLEMS, 3)}) z WHERE kind = 0
+ UNION ALL SELECT doc_id, 'recovered-formula-wrapper', 'info', 0, length(a) + length(b) + 24, '' FROM ({_spliced(_PROBLEMS, 3)}) z WHERE kind = 1""")
+def _(spark, d):
+    return n.markup_problems(_text(spark, d, _PROBLEMS).select("doc_id", "text"))
+
+
 _BAD = "CASE doc_id % 4 WHEN 0 THEN '<latex>a{b</latex>' WHEN 1 THEN '<latex>a<b>c</latex>' WHEN 2 THEN '<latex>a<br/>c</latex>' ELSE '<latex>ok</latex>' END"
 
 

@@ -8,7 +8,8 @@ from docintake.operators import gates as g
 from docintake.operators import reports as r
 from docintake.plans.queue import _with
 from docintake.plans.registry import query
-from docintake.sources.views import load
+from docintake.sources.sinks import scratch_path, write_listing
+from docintake.sources.views import load, sql
 
 _RESOLVED = "detail <> '' AND (detail LIKE '%仍有%' OR detail NOT LIKE '%已修正%')"
 
@@ -147,3 +148,32 @@ WHERE n <= CASE event_type WHEN 'click' THEN 12 WHEN 'view' THEN 8 WHEN 'error'
 def _(spark, d):
     rows = load(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("layer"), F.col("event_id").alias("seq"))
     return r.last_reports(rows, {"click": 12, "view": 8, "error": 4})
+
+
+#: The files that failed jobs have left: attempts and quality rounds of each user, drafts of some, and the last failure.
+_NAME = "lpad(CAST(event_id AS VARCHAR(12)), 9, '0')"
+_ARTIFACTS = f"""SELECT user_id AS job_id, concat('01-paper-attempt-', {_NAME}, '.json') AS name, CASE WHEN event_id % 5 = 0 THEN '{{broken' ELSE concat('{{"errors":["e', CAST(event_id % 7 AS VARCHAR(12)), '","x"],"more":{{"deep":[1]}}}}') END AS content FROM events WHERE event_type = 'click'
+ UNION ALL SELECT user_id, concat('01-paper-attempt-', {_NAME}, '.md'), CASE WHEN event_id % 3 = 0 THEN ' ' ELSE concat('draft ', CAST(event_id AS VARCHAR(12)), chr(10)) END FROM events WHERE event_type = 'click'
+ UNION ALL SELECT user_id, concat('07-quality-round-', {_NAME}, '.json'), concat('{{"blocking_warnings":["w', CAST(event_id AS VARCHAR(12)), '"]}}') FROM events WHERE event_type = 'view'
+ UNION ALL SELECT user_id, concat('05-quality-round-', {_NAME}, '.md'), concat(' round ', CAST(event_id AS VARCHAR(12))) FROM events WHERE event_type = 'error' AND user_id % 4 = 0
+ UNION ALL SELECT user_id, '08-failure.txt', concat(' failed at ', CAST(max(event_id) AS VARCHAR(12)), chr(10)) FROM events GROUP BY user_id"""
+
+
+@query("src_retry_context", f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events),
+l AS (SELECT user_id, 1 AS p, event_id, concat('01-paper-attempt-', {_NAME}, ': e', CAST(event_id % 7 AS VARCHAR), ', x') AS line FROM e WHERE event_type = 'click' AND k <= 12 AND event_id % 5 <> 0
+ UNION ALL SELECT user_id, 2, event_id, concat('07-quality-round-', {_NAME}, ': w', CAST(event_id AS VARCHAR)) FROM e WHERE event_type = 'view' AND k <= 8
+ UNION ALL SELECT user_id, 3, 0, concat('last-job: failed at ', CAST(max(event_id) AS VARCHAR)) FROM events GROUP BY user_id),
+f AS (SELECT user_id, list(line ORDER BY p, event_id) AS x FROM l GROUP BY user_id),
+m AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND user_id % 4 = 0 THEN event_id END) AS r, max(CASE WHEN event_type = 'click' AND k <= 12 AND event_id % 3 <> 0 THEN event_id END) AS a FROM e GROUP BY user_id)
+SELECT f.user_id AS job_id, x[-16:] AS feedback, concat(CASE WHEN r IS NOT NULL THEN concat('round ', CAST(r AS VARCHAR), chr(10)) WHEN a IS NOT NULL THEN concat('draft ', CAST(a AS VARCHAR), chr(10)) ELSE '' END) AS markdown FROM f JOIN m ON m.user_id = f.user_id""")
+def _(spark, d):
+    return r.retry_context(sql(spark, d, _ARTIFACTS))
+
+
+#: Requests, the listing of them as lines of JSON, written down and read back.
+@query("src_listing", "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS sender, event_type AS status, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS detail FROM events")
+def _(spark, d):
+    rows = load(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("sender"), F.col("event_type").alias("status"), F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("detail"))
+    path = scratch_path(spark, "listing")
+    write_listing(rows, path)
+    return spark.read.schema("id bigint, sender string, status string, detail string").json(path)

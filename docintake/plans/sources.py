@@ -11,6 +11,7 @@ from docintake.operators import pages as p
 from docintake.operators import tex as t
 from docintake.plans.queue import _with
 from docintake.plans.registry import query
+from docintake.sources.sinks import scratch_path
 from docintake.sources.views import load, sql
 
 
@@ -180,3 +181,75 @@ def _(spark, d):
     response = F.to_json(F.struct(F.array(F.struct("block_id", "mode", F.col("t").alias("text"))).alias("repairs")))
     known = rows.select("page_id", F.explode(F.lit(["b1", "b2"])).alias("block_id"), F.lit("text").alias("kind"))
     return lay.repair_decisions(rows.select("page_id", response.alias("response")), known, 5)
+
+
+@query("src_tree", """WITH f AS (SELECT coalesce(source, '') AS paper_id, concat(coalesce(lang, 'x'), '/', CAST(doc_id AS VARCHAR), '.tex') AS path, coalesce(lang, 'x') AS folder FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY folder, path) AS n, count(*) OVER (PARTITION BY paper_id) AS files FROM f)
+SELECT paper_id, files, concat(string_agg(path, chr(10) ORDER BY n), CASE WHEN files > 20 THEN concat(chr(10), '[TRUNCATED]') ELSE '' END) AS tree FROM k WHERE n <= 20 GROUP BY paper_id, files""")
+def _(spark, d):
+    path = F.concat(F.coalesce("lang", F.lit("x")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".tex"))
+    return t.source_tree(load(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("paper_id"), path.alias("path")), 20)
+
+
+_PAPERS = "SELECT doc_id AS paper_id, concat('T', CAST(doc_id AS VARCHAR(12))) AS title, text AS source, CASE WHEN doc_id % 2 = 0 THEN lang END AS pdf_text, doc_id % 4 = 0 AS warned FROM documents"
+
+
+@query("tex_paper_summary", f"""SELECT p.paper_id, title, length(coalesce(source, '')) AS source_chars, length(coalesce(pdf_text, '')) AS pdf_chars, coalesce(f.n, 0) AS figures, coalesce(g.n, 0) AS tables, CASE WHEN warned THEN ['no figures', 'late'] ELSE []::VARCHAR[] END AS parse_warnings
+FROM ({_PAPERS}) p LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) f ON f.user_id = p.paper_id LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) g ON g.user_id = p.paper_id""")
+def _(spark, d):
+    papers = sql(spark, d, _PAPERS).withColumn("warnings", F.when(F.col("warned"), F.lit(["no figures", "late"]))).drop("warned")
+    events = load(spark, d, "events").select(F.col("user_id").alias("paper_id"), "event_type")
+    return t.paper_summary(papers, events.filter("event_type = 'click'"), events.filter("event_type = 'view'"))
+
+
+_LINES_OF = "SELECT doc_id AS page_id, CAST(k AS BIGINT) AS pos, CASE k WHEN 1 THEN concat('[ArticleImage:', CAST(doc_id % 5 AS VARCHAR(4)), ']  Caption ', lang) ELSE coalesce(text, '') END AS text FROM documents, (VALUES (0), (1), (2)) v(k)"
+
+
+@query("art_documents", f"""SELECT doc_id AS page_id, concat(coalesce(text, ''), chr(10), CASE WHEN doc_id % 5 < 3 THEN concat('[Figure:', CAST(doc_id % 5 + 1 AS VARCHAR), ':image-', CAST(doc_id % 5 AS VARCHAR), ']', chr(10)) ELSE '' END, 'Caption ', lang, chr(10), coalesce(text, '')) AS text FROM documents
+WHERE NOT regexp_matches(coalesce(text, ''), '^[[]ArticleImage:')""")
+def _(spark, d):
+    lines = sql(spark, d, _LINES_OF)
+    images = lines.select("page_id").distinct().select("page_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("n"))
+    return p.marked_documents(lines, p.number_images(images))
+
+
+#: Documents under a head of their method, and two figures each of which the first stands in some of them already.
+_FIGURED = "SELECT doc_id, concat('# t', chr(10), '## 3. Method', chr(10), 'x', chr(10), '## 4. End', chr(10), CASE WHEN doc_id % 3 = 0 THEN '[Figure:1:overview]' ELSE '' END, coalesce(text, ''), '.') AS text FROM documents"
+
+
+def _inserts(docs):
+    kind = "array<struct<marker:string,asset:string,caption:string>>"
+    rows = docs.select("doc_id", F.posexplode(F.from_json(F.lit('[{"marker":"[Figure:1:overview]","asset":"fig/overview.png","caption":"The whole"},{"marker":"[Figure:2:arch]","asset":"fig/arch.pdf","caption":""}]'), kind)).alias("n", "f"))
+    return rows.select("doc_id", "n", "f.*", F.lit(None).cast("string").alias("description"))
+
+
+_ENDS = r"'\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+
+
+@query("fig_priority_markers", f"""SELECT doc_id, concat(regexp_replace(replace(text, concat('Method', chr(10)), concat('Method', chr(10), chr(10), CASE WHEN contains(text, '[Figure:1:overview]') THEN '' ELSE concat('{fig.PRIORITY_LEAD}', chr(10), '[Figure:1:overview]', chr(10), '**图：The whole**', chr(10), chr(10)) END, '{fig.PRIORITY_LEAD}', chr(10), '[Figure:2:arch]', chr(10), chr(10))), {_ENDS}, chr(10), 'g'), chr(10)) AS text
+FROM (SELECT doc_id, concat('# t', chr(10), '## 3. Method', chr(10)) AS head, text FROM ({_FIGURED}) y) x WHERE NOT contains(substr(text, 20), concat('Method', chr(10)))""")
+def _(spark, d):
+    docs = sql(spark, d, _FIGURED)
+    return fig.ensure_priority_markers(docs, _inserts(docs))
+
+
+@query("fig_referenced_markers", f"""SELECT doc_id, CASE WHEN n >= 3 THEN text ELSE concat(regexp_replace(concat('# t', chr(10), '## 3. Method', chr(10), 'x', chr(10), chr(10), '{fig.METHOD_LEAD}', chr(10), CASE WHEN contains(text, '[Figure:1:overview]') THEN concat('[Figure:2:arch]', chr(10), '**图：arch**') ELSE concat('[Figure:1:overview]', chr(10), '**图：The whole**') END, chr(10), chr(10), substr(text, 20)), {_ENDS}, chr(10), 'g'), chr(10)) END AS text
+FROM (SELECT doc_id, text, len(list_distinct(regexp_extract_all(text, '[[][A-Za-z0-9_]*Figure:[^]]+[]]'))) AS n FROM ({_FIGURED}) y) x""")
+def _(spark, d):
+    docs = sql(spark, d, _FIGURED)
+    return fig.ensure_referenced_markers(docs, _inserts(docs))
+
+
+#: A feed whose entries' summaries are the documents' whole texts.
+_CLEAN = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\u009f]', ' ', 'g'), '[\\s  -     　]+', ' ', 'g'))"
+
+
+@query("src_feed", f"SELECT CAST(doc_id AS VARCHAR) AS id, concat('About ', coalesce(lang, '')) AS title, {_CLEAN} AS summary, ['Ann', 'Bob'] AS authors, ['cs.LG'] AS categories FROM documents")
+def _(spark, d):
+    docs = load(spark, d, "documents")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", " ")
+    title = F.concat(F.lit(" About\n  "), F.coalesce("lang", F.lit("")), F.lit(" "))
+    people = F.array(*(F.struct(F.lit(x).alias("name")) for x in (" Ann", "Bob ", " ")))
+    entries = docs.select(F.col("doc_id").cast("string").alias("id"), title.alias("title"), body.alias("summary"), people.alias("author"), F.array(F.struct(F.lit("cs.LG").alias("_term"))).alias("category"))
+    path = scratch_path(spark, "feed")
+    entries.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    return p.feed_entries(spark, path)

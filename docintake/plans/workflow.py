@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docintake.operators import workflow as wf
+from docintake.plans.queue import _with
 from docintake.plans.registry import query
 from docintake.sources.views import load, sql
 
@@ -153,3 +154,29 @@ def _(spark, d):
 FROM ({_JOBS}) q, (VALUES ('transition'), ('recover_stale')) k(event_type) WHERE status = 'running' AND (heartbeat_at IS NULL OR heartbeat_at < as_of - INTERVAL 30 MINUTE)""", "v_jobs")
 def _(spark, d):
     return wf.recovery_rows(wf.stale(_jobs(spark, d), F.col("as_of"), 30), "recover_stale")
+
+
+_FAILED = "SELECT id, status, CASE id % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'needs_source' ELSE 'cancelled' END AS state, source_id AS error, worker_id, 'x' AS stage, created_at AS started_at, created_at AS finished_at, created_at AS heartbeat_at, CAST(id % 4 AS INT) AS state_version FROM v_jobs"
+_AGAIN_IDS = "status = 'failed' AND id % 3 < 2 AND id % 2 = 0"
+
+
+def _retried(spark, d):
+    jobs = _with(spark, d, _FAILED, ["v_jobs"])
+    watchers = jobs.select((F.col("id") * 10).alias("watcher_id"), F.col("id").alias("job_id"), (F.col("id") % 5 > 0).alias("notified"))
+    return wf.retry_jobs(jobs, watchers, jobs.filter("id % 2 = 0").select("id"))
+
+
+@query("wf_retried_jobs", f"""SELECT id, CASE WHEN {_AGAIN_IDS} THEN 'queued' ELSE status END AS status, CASE WHEN {_AGAIN_IDS} THEN 'queued' ELSE state END AS state, CASE WHEN {_AGAIN_IDS} THEN '' ELSE error END AS error, CASE WHEN {_AGAIN_IDS} THEN '' ELSE worker_id END AS worker_id,
+ CASE WHEN {_AGAIN_IDS} THEN 'retry_queued' ELSE stage END AS stage, CASE WHEN NOT ({_AGAIN_IDS}) THEN started_at END AS started_at, CASE WHEN NOT ({_AGAIN_IDS}) THEN finished_at END AS finished_at, CASE WHEN NOT ({_AGAIN_IDS}) THEN heartbeat_at END AS heartbeat_at, state_version + CASE WHEN {_AGAIN_IDS} THEN 1 ELSE 0 END AS state_version FROM ({_FAILED}) f""", "v_jobs")
+def _(spark, d):
+    return _retried(spark, d)[0]
+
+
+@query("wf_retried_watchers", f"SELECT id * 10 AS watcher_id, id AS job_id, CASE WHEN {_AGAIN_IDS} THEN false ELSE id % 5 > 0 END AS notified FROM ({_FAILED}) f", "v_jobs")
+def _(spark, d):
+    return _retried(spark, d)[1]
+
+
+@query("wf_retried_events", f"""SELECT id, k AS event_type, CASE k WHEN 'retry' THEN 'manual retry' ELSE concat('{{"from":"', state, '","to":"queued","event":"retry","detail":"manual retry"}}') END AS detail FROM ({_FAILED}) f, (VALUES ('retry'), ('transition')) v(k) WHERE {_AGAIN_IDS}""", "v_jobs")
+def _(spark, d):
+    return _retried(spark, d)[2]

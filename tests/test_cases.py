@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docintake.functions import text as functions
-from docintake.operators import figures, gates, layout, messages, normalise, pages, queue, repos, rota, tex, workflow
+from docintake.operators import figures, gates, layout, messages, normalise, pages, queue, reports, repos, rota, tex, workflow
 from docintake.sources.sinks import json_lines, scratch_path, write_listing
 from docintake.streaming import streams
 
@@ -351,6 +351,95 @@ def test_references_are_read_as_html_does(spark):
     assert "from_json" not in plan
 
 
+def test_code_is_told_from_math(spark):
+    said = {"get_item": True, "alpha_beta": False, "x_i": False, "foo.bar()": False, "call_me(a_b)": True, "run(a_b)": True, "f(a_b)": False, "load(x)": False, "log(a_b)": False, "a_b = c": False, "load_all": True, " my_var ": True, "my_var\nx": False, "load(&quot;a_b&quot;)": True, r"\x_yy": False, "": False}
+    rows = spark.createDataFrame(list(said.items()), "t string, w boolean").select("t", "w", normalise.code_like(F.col("t")).alias("got")).collect()
+    assert [(r["t"], r["got"]) for r in rows if r["got"] != r["w"]] == []
+
+
+def test_tokens_and_problems_know_their_source(spark):
+    said = r"a<p>&lt;p&gt;<latex>x<br/>y</latex></p> b <latex class='k'>u{<b></latex><div></div><LATEX>\\alpha</LATEX > &lt;br&gt;"
+    docs = spark.createDataFrame([(1, said), (2, None), (3, "plain")], "doc_id bigint, text string")
+    got = normalise.compiled_tokens(docs).orderBy("doc_id", "pos").collect()
+    mine = [r for r in got if r["doc_id"] == 1]
+    assert [(r["kind"], r["value"]) for r in mine] == [("text", "a"), ("formula", "x y"), ("text", " b "), ("formula", "u{<b>"), ("formula", r"\alpha"), ("text", " <br>")]
+    assert [said[r["start"] : r["end"]] for r in mine] == ["a<p>&lt;p&gt;", "<latex>x<br/>y</latex>", "</p> b ", "<latex class='k'>u{<b></latex>", r"<LATEX>\\alpha</LATEX >", " &lt;br&gt;"]
+    whole = "".join(f"<latex>{r['value']}</latex>" if r["kind"] == "formula" else r["value"] for r in mine)
+    assert whole == text(spark, normalise.compile_markup, said) and [r["doc_id"] for r in got if r["doc_id"] > 1] == [3]
+    found = {(r["code"], r["severity"]): said[r["start"] : r["end"]] for r in normalise.markup_problems(docs).collect()}
+    assert found == {("unknown-html-in-formula", "high"): "<b>", ("unbalanced-braces", "high"): "u{<b>", ("recovered-formula-wrapper", "info"): said}
+
+
+def test_feedback_of_errors(spark):
+    got = one(spark, gates.generation_feedback(F.lit(["missing-h1", "missing-section-3", "too-few-figures:1/3", " document-too-short "]), F.lit(2)))
+    assert got == ["attempt 2: [missing-h1] " + gates.FEEDBACK["missing-h1"], "attempt 2: [missing-section-3] 缺少第 3 章二级标题及正文；必须补齐该章，不能只放空标题", "attempt 2: [too-few-figures:1/3] 关键图 marker 数量不足（1/3）；按方法、实验、分析位置恢复要求数量", "attempt 2: [document-too-short] document-too-short"]
+
+
+def test_retry_context_of_folders(spark, tmp_path):
+    def put(job, name, content):
+        folder = tmp_path / job / "pipeline_artifacts"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(content if isinstance(content, str) else json.dumps(content))
+
+    for k in range(14):
+        put("a", f"01-paper-attempt-{k:02}.json", {"errors": [f"e{k}", "x"] if k != 5 else []})
+        put("a", f"01-paper-attempt-{k:02}.md", f"draft {k}\n" if k < 13 else " ")
+    put("a", "07-quality-round-1.json", {"blocking_warnings": ["w"], "other": {"deep": [1]}})
+    put("a", "07-quality-round-2.json", "{broken")
+    put("a", "09-visual-qa.json", {"rounds": [{"round": k, "findings": [{"detail": f"d{k}", "section": "s"}, {"kind": "k"}] if k != 3 else []} for k in range(1, 7)]})
+    put("a", "08-failure.txt", " timed out \n")
+    put("b", "05-final.md", "\n")
+    put("b", "05-quality-round-1.md", "one\n\n")
+    put("b", "05-quality-round-2.md", "two")
+    put("c", "09-visual-qa.json", [])
+    got = {r["job_id"]: (r["feedback"], r["markdown"]) for r in reports.retry_context(reports.read_artifacts(spark, str(tmp_path))).collect()}
+    want = [f"01-paper-attempt-{k:02}: e{k}, x" for k in range(2, 14) if k != 5] + ["07-quality-round-1: w"] + [f"visual-round-{k}: d{k} [section=s]; k" for k in (4, 5, 6)] + ["last-job: timed out"]
+    assert got == {"a": (want[-16:], "draft 12\n"), "b": ([], "two\n"), "c": ([], "")}
+
+
+def test_tree_and_summary_of_sources(spark, tmp_path):
+    for paper, n in (("p", 3), ("q", 250)):
+        for k in range(n):
+            f = tmp_path / paper / ("a" if k % 2 else "a-b") / f"{k:03}.tex"
+            f.parent.mkdir(parents=True, exist_ok=True)
+            f.write_text("x" * (k + 1))
+    got = {r["paper_id"]: (r["files"], r["tree"].split("\n")) for r in tex.source_tree(tex.read_inventory(spark, str(tmp_path))).collect()}
+    assert got["p"] == (3, ["a/001.tex", "a-b/000.tex", "a-b/002.tex"])
+    assert got["q"][0] == 250 and len(got["q"][1]) == 201 and got["q"][1][-1] == "[TRUNCATED]" and got["q"][1][124:126] == ["a/249.tex", "a-b/000.tex"]
+    papers = spark.createDataFrame([("p", "T", "abc", None, ["w"]), ("q", None, None, "pd", None)], "paper_id string, title string, source string, pdf_text string, warnings array<string>")
+    rows = spark.createDataFrame([("p",), ("p",), ("z",)], "paper_id string")
+    assert sorted((tuple(r) for r in tex.paper_summary(papers, rows, rows.limit(1)).collect()), key=str) == [("p", "T", 3, 0, 2, 1, ["w"]), ("q", None, 0, 2, 0, 0, [])]
+
+
+def test_failed_jobs_are_put_back(spark):
+    kind = "id bigint, status string, state string, error string, worker_id string, stage string, started_at timestamp, finished_at timestamp, heartbeat_at timestamp, state_version int, extra string"
+    import datetime
+
+    t = datetime.datetime(2026, 1, 1)
+    rows = [(1, "failed", "failed", "boom", "w", "x", t, t, t, 4, "k"), (2, "failed", "cancelled", "c", "w", "x", t, t, t, 1, "k"), (3, "running", "failed", "", "w", "x", t, None, t, None, "k"), (4, "failed", "needs_source", "n", "w", "x", t, t, t, None, "k"), (5, "failed", "failed", "e", "w", "x", t, t, t, 2, "k")]
+    jobs, watchers, events = workflow.retry_jobs(spark.createDataFrame(rows, kind), spark.createDataFrame([(10, 1, True), (11, 1, False), (12, 2, True), (13, 5, True)], "watcher_id bigint, job_id bigint, notified boolean"), spark.createDataFrame([(1,), (1,), (2,), (3,), (4,), (9,)], "id bigint"))
+    got = {r["id"]: tuple(r)[1:] for r in jobs.collect()}
+    assert got[1] == ("queued", "queued", "", "", "retry_queued", None, None, None, 5, "k") and got[4] == ("queued", "queued", "", "", "retry_queued", None, None, None, 1, "k")
+    assert all(got[r[0]] == r[1:] for r in rows if r[0] in (2, 3, 5))
+    assert sorted(tuple(r) for r in watchers.collect()) == [(10, 1, False), (11, 1, False), (12, 2, True), (13, 5, True)]
+    assert sorted((r["id"], r["event_type"]) for r in events.collect()) == [(1, "retry"), (1, "transition"), (4, "retry"), (4, "transition")]
+
+
+def test_missing_figures_of_the_method(spark):
+    base = "# t\n## 1. a\nx\n## 3. Method\ny\n## 4. z\nw  \n\n"
+    docs = spark.createDataFrame([(1, base), (2, "l\n" * 12), (3, base + "[Figure:1:overview]"), (4, base + "[Figure:7:a][Figure:8:b][Figure:9:c]"), (5, base)], "doc_id bigint, text string")
+    rows = [(d, k, m, f"fig/{s}.png", c, None) for d in (1, 2, 3, 4) for k, (m, s, c) in enumerate([("[Figure:1:overview]", "overview", r"The \textbf{whole}  thing"), ("[Figure:2:acc]", "acc", "accuracy"), ("[Figure:3:arch]", "arch", "")])]
+    inserts = spark.createDataFrame(rows, "doc_id bigint, n int, marker string, asset string, caption string, description string")
+    got = {r["doc_id"]: r["text"] for r in figures.ensure_priority_markers(docs, inserts).collect()}
+    block = f"\n{figures.PRIORITY_LEAD}\n[Figure:1:overview]\n**图：The whole thing**\n\n{figures.PRIORITY_LEAD}\n[Figure:3:arch]\n\n"
+    assert got[1] == base.rstrip().replace("## 3. Method\n", "## 3. Method\n" + block) + "\n" and got[5] == base
+    assert got[2] == "l\n" * 8 + block + "l\n" * 4 and got[3].count(figures.PRIORITY_LEAD) == 1
+    got = {r["doc_id"]: r["text"] for r in figures.ensure_referenced_markers(docs, inserts).collect()}
+    one = f"\n{figures.METHOD_LEAD}\n[Figure:1:overview]\n**图：The whole thing**\n\n"
+    assert got[1] == base.rstrip().replace("y\n## 4", "y\n" + one + "## 4") + "\n" and got[2] == "l\n" * 12
+    assert "**图：arch**" in got[3] and got[4].endswith("[Figure:9:c]") and got[5] == base
+
+
 def test_dangling_tail(spark):
     assert text(spark, gates.has_dangling_tail, "这个方法 comput。下一句") is True
     assert text(spark, gates.has_dangling_tail, "only English comput.") is False
