@@ -64,8 +64,9 @@ def cut_references(c: Column, share: float = 0.35) -> Column:
     """The text before its list of references: the first such heading that begins after a share of the text."""
     heading = r"(?im)^\s*(?:#+\s*|\\section\*?\{\s*)?(?:references|bibliography)\s*\}?\s*$"
     least = F.floor(F.length(c) * share).cast("int")
-    tail = F.substr(c, least + 1, F.length(c))
-    at = F.regexp_instr(tail, F.lit(heading))
+    # a share that ends within a line must not look like the line's beginning
+    cut = F.when((least == 0) | (F.substr(c, least, F.lit(1)) == "\n"), "").otherwise("\x01")
+    at = F.regexp_instr(F.concat(cut, F.substr(c, least + 1, F.length(c))), F.lit(heading)) - F.length(cut)
     return F.when(at > 0, F.rtrim(F.substr(c, F.lit(1), least + at - 1))).otherwise(c)
 
 

@@ -23,12 +23,19 @@ def _parsed(spark, d):
     return spark.read.schema(p.BLOCK).parquet(path)
 
 
-@query("art_blocks")
-def _(spark, d):
-    return _blocks(spark, d)
+_ENTITY = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_LINKS = "SELECT page_id, n, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h[n]) AS href, t[n] AS text FROM (SELECT page_id, url, h, t, unnest(generate_series(1, len(h))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"(/[^\"]*)\">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href=\"/[^\"]*\">([^<]*)</a>', 1) AS t FROM pages) x) y"
+#: What the pages hold, by their own form: a title, links in a navigation, and paragraphs of plain text; a paragraph that
+#: isn't closed is lost where the next one begins.
+_CLEANED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_PARAGRAPHS = f"SELECT page_id, {_CLEANED.format(_ENTITY.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)'])))} AS title, list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: {_CLEANED.format(_ENTITY.format('x'))}), lambda x: length(x) >= 2) AS ts FROM pages"
 
 
-_ENTITY = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+@query("art_blocks", f"""SELECT page_id, CAST(0 AS BIGINT) AS pos, 'title' AS kind, CAST(0 AS BIGINT) AS value, title AS text FROM ({_PARAGRAPHS}) a
+UNION ALL SELECT page_id, n, 'anchor', 0, concat(href, chr(9), trim(text)) FROM ({_LINKS}) b
+UNION ALL SELECT c.page_id, k + coalesce(m.n, 0), 'text', 0, ts[k] FROM (SELECT page_id, ts, unnest(generate_series(1, len(ts))) AS k FROM ({_PARAGRAPHS}) x) c LEFT JOIN (SELECT page_id, count(*) AS n FROM ({_LINKS}) y GROUP BY page_id) m ON m.page_id = c.page_id""")
+def _(spark, d):
+    return _blocks(spark, d)
 
 
 @query("art_titles", f"SELECT page_id, CASE WHEN og <> '' THEN {_ENTITY.format('og')} ELSE trim({_ENTITY.format('tag')}) END AS title FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('Own ', CAST(page_id AS VARCHAR)) ELSE '' END AS og, CASE WHEN page_id % 5 = 0 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS tag FROM pages) x")
@@ -39,30 +46,27 @@ def _(spark, d):
     return p.titles(p.page_blocks(pages)).select("page_id", "title")
 
 
-@query("art_sections")
+@query("art_sections", f"SELECT page_id, CAST(0 AS BIGINT) AS section, '{p.DEFAULT_TITLE}' AS title, CAST(0 AS BIGINT) AS level, array_to_string(ts, '|') AS blocks FROM ({_PARAGRAPHS}) x WHERE len(ts) > 0")
 def _(spark, d):
-    return p.sections(_blocks(spark, d))
+    return p.sections(_blocks(spark, d)).withColumn("blocks", F.array_join("blocks", "|"))
 
 
-@query("art_main_text")
+@query("art_main_text", f"SELECT page_id, CASE WHEN length(t) > 100000 THEN concat(left(t, 100000), chr(10), chr(10), '[TRUNCATED]') ELSE t END AS text FROM (SELECT page_id, array_to_string(ts, concat(chr(10), chr(10))) AS t FROM ({_PARAGRAPHS}) x WHERE len(ts) > 0) y")
 def _(spark, d):
     return p.main_text(p.sections(_blocks(spark, d)))
 
 
-@query("art_images")
+@query("art_images", f"SELECT page_id, CAST(k - 1 AS INT) AS pos, ts[k] AS text FROM (SELECT page_id, ts, unnest(generate_series(1, len(ts))) AS k FROM ({_PARAGRAPHS}) x) y")
 def _(spark, d):
     blocks = _parsed(spark, d)
     return p.substitute_markers(p.sections(blocks).select("page_id", F.posexplode("blocks").alias("pos", "text")), p.number_images(p.images(blocks)))
 
 
-@query("art_section_material")
+@query("art_section_material", f"SELECT page_id, left(concat('[Section 1 | h0] {p.DEFAULT_TITLE}', chr(10), array_to_string(ts, chr(10))), 60000) AS material FROM ({_PARAGRAPHS}) x WHERE len(ts) > 0")
 def _(spark, d):
     return p.section_material(p.sections(_blocks(spark, d)))
 
 
-_LINKS = "SELECT page_id, n, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h[n]) AS href, t[n] AS text FROM (SELECT page_id, url, h, t, unnest(generate_series(1, len(h))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"(/[^\"]*)\">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href=\"/[^\"]*\">([^<]*)</a>', 1) AS t FROM pages) x) y"
-
-
 @query("art_anchors", f"SELECT page_id, CAST(n AS INT) AS n, href, trim(text) AS text FROM ({_LINKS}) z")
 def _(spark, d):
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
@@ -176,25 +180,32 @@ def _(spark, d):
     return load(spark, d, "v_messages").filter(~F.col("content").contains("{")).select("message_id", F.explode(r.urls(F.col("content"))).alias("url"))
 
 
-@query("repo_drop_bibliography", "SELECT doc_id, concat('% FILE: a.tex', chr(10), 'x ', lang, chr(10), '% FILE: c.tex', chr(10), 'end') AS text FROM documents")
+#: Texts in their own lines, none of which begins as a file's mark does.
+_OWN_LINES = "SELECT doc_id, lang, replace(coalesce(text, ''), '% FILE:', '') AS t FROM documents"
+
+
+@query("repo_drop_bibliography", f"SELECT doc_id, concat('% FILE: a.tex', chr(10), t, chr(10), '% FILE: c.tex', chr(10), t) AS text FROM ({_OWN_LINES}) x")
 def _(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit("% FILE: a.tex\nx "), "lang", F.lit("\n% FILE: b.bib\n@a\n@b\n% FILE: c.tex\nend")).alias("text"))
+    docs = sql(spark, d, _OWN_LINES).select("doc_id", F.concat(F.lit("% FILE: a.tex\n"), "t", F.lit("\n% FILE: b.bib\n"), "t", F.lit("\n% FILE: c.tex\n"), "t").alias("text"))
     return r.drop_bibliography(docs)
 
 
-@query("repo_strip_comments", "SELECT doc_id, concat('50', chr(92), '% of ', lang, chr(10), 'y', chr(92), chr(92)) AS text FROM documents")
+@query("repo_strip_comments", r"""SELECT doc_id, concat(t, chr(10), '50', chr(92), '% of ', chr(10), t, chr(10), 'y', chr(92), chr(92), chr(10), t) AS text
+FROM (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_extract(x, '^((?:[^%\\]|\\.|\\$)*)', 1)), chr(10)) AS t FROM documents) x""")
 def _(spark, d):
-    return load(spark, d, "documents").select("doc_id", r.strip_comments(F.concat(F.lit("50\\% of "), "lang", F.lit("% note\ny\\\\% z"))).alias("text"))
+    t = F.coalesce("text", F.lit(""))
+    said = F.concat(t, F.lit("\n50\\% of % note z\n"), t, F.lit("\ny\\\\% z\n"), t)
+    return load(spark, d, "documents").select("doc_id", r.strip_comments(said).alias("text"))
 
 
-@query("repo_cut_references", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN rtrim(replace(left(text, 400), chr(10), ' ')) ELSE concat('x', chr(10), 'References', chr(10), repeat('y', 400)) END AS text FROM documents WHERE length(text) >= 400")
+@query("repo_cut_references", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(t, chr(10)) ELSE concat('x', chr(10), 'References', chr(10), repeat('y', 400), t) END AS text FROM (SELECT doc_id, regexp_replace(concat('a ', coalesce(text, ''), '.'), '(?i)references|bibliography', '', 'g') AS t FROM documents) x")
 def _(spark, d):
-    head = F.replace(F.substring("text", 1, 400), F.lit("\n"), F.lit(" "))
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.rtrim(head), F.lit("\n## References\n[1] a"))).otherwise(F.concat(F.lit("x\nReferences\n"), F.repeat(F.lit("y"), 400)))
-    return load(spark, d, "documents").filter("length(text) >= 400").select("doc_id", F.rtrim(r.cut_references(t), F.lit("\n ")).alias("text"))
+    own = F.regexp_replace(F.concat(F.lit("a "), F.coalesce("text", F.lit("")), F.lit(".")), "(?i)references|bibliography", "")
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(own, F.lit("\n## References\n[1] a"))).otherwise(F.concat(F.lit("x\nReferences\n"), F.repeat(F.lit("y"), 400), own))
+    return load(spark, d, "documents").select("doc_id", r.cut_references(t).alias("text"))
 
 
-_CODE_DOCS = "SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN concat('Our code is available at https://github.com/o/r', CAST(doc_id AS VARCHAR(9)), '.') WHEN 1 THEN 'from the template https://github.com/t/template code is available' WHEN 2 THEN concat('% codebase: https://github.com/c/d', CAST(doc_id AS VARCHAR(9))) WHEN 3 THEN concat('see https://p', CAST(doc_id AS VARCHAR(9)), '.github.io/x') ELSE 'just https://github.com/e/f' END, chr(10), 'end') AS text FROM documents"
+_CODE_DOCS = "SELECT doc_id, concat(replace(replace(coalesce(text, ''), '://', ''), '%', ''), chr(10), CASE doc_id % 5 WHEN 0 THEN concat('Our code is available at https://github.com/o/r', CAST(doc_id AS VARCHAR(9)), '.') WHEN 1 THEN 'from the template https://github.com/t/template code is available' WHEN 2 THEN concat('% codebase: https://github.com/c/d', CAST(doc_id AS VARCHAR(9))) WHEN 3 THEN concat('see https://p', CAST(doc_id AS VARCHAR(9)), '.github.io/x') ELSE 'just https://github.com/e/f' END, chr(10), replace(coalesce(text, ''), '://', '')) AS text FROM documents"
 
 
 @query("repo_in_text", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('https://github.com/o/r', CAST(doc_id AS VARCHAR)) ELSE concat('https://github.com/c/d', CAST(doc_id AS VARCHAR)) END AS repo, CASE doc_id % 5 WHEN 0 THEN 200 ELSE 20 END AS score FROM ({_CODE_DOCS}) x WHERE doc_id % 5 IN (0, 2)")
@@ -234,8 +245,8 @@ _HELD = "CASE WHEN page_id % 6 = 0 THEN concat('https://github.com/p/', CAST(pag
 
 @query("repo_from_pages", f"""WITH n AS ({_NAMING}), u AS (SELECT url, max(page_id) AS page_id FROM (SELECT page_id, regexp_replace(url, '[).,;:!?]+$', '') AS url FROM pages) x GROUP BY url),
 p AS (SELECT q.page_id, u.url, {_HELD.replace('page_id', 'u.page_id')} AS repo FROM pages q JOIN u ON u.url = regexp_replace(q.url, '[).,;:!?]+$', ''))
-SELECT doc_id, repo FROM (SELECT n.doc_id, CASE kind WHEN 4 THEN concat('https://github.com/own/r', CAST(n.doc_id AS VARCHAR)) WHEN 0 THEN pa.repo WHEN 1 THEN coalesce(pa.repo, pb.repo) WHEN 2 THEN coalesce(pa.repo, pb.repo) END AS repo
- FROM n LEFT JOIN p pa ON pa.page_id = n.a LEFT JOIN p pb ON pb.page_id = n.b) z WHERE repo IS NOT NULL""")
+SELECT doc_id, repo FROM (SELECT n.doc_id, CASE kind WHEN 4 THEN concat('https://github.com/own/r', CAST(n.doc_id AS VARCHAR)) WHEN 0 THEN pa.repo WHEN 1 THEN coalesce(pa.repo, pb.repo) WHEN 2 THEN coalesce(pa.repo, pb.repo, CASE WHEN n.a IS NULL AND n.b IS NULL THEN pc.repo END) END AS repo
+ FROM n LEFT JOIN p pa ON pa.page_id = n.a LEFT JOIN p pb ON pb.page_id = n.b LEFT JOIN p pc ON pc.page_id = n.c) z WHERE repo IS NOT NULL""")
 def _(spark, d):
     pages = load(spark, d, "pages")
     link = F.when(F.col("page_id") % 6 == 0, F.concat(F.lit('<nav><a href="https://github.com/topics/y">x</a><a href="'), F.expr(_HELD), F.lit('/tree/main">Code</a></nav>'))).otherwise(F.concat(F.lit("<script>u='"), F.expr(_HELD), F.lit("'</script>")))

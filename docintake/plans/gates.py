@@ -124,8 +124,8 @@ def _(spark, d):
 @query("qg_structure_warnings", "SELECT doc_id, concat('quality:structure:markdown:high:missing-section-', CAST(k AS VARCHAR)) AS warning, concat('section ', CAST(k AS VARCHAR), ' is missing') AS said FROM v_md, range(3, 8) t(k)", "v_md")
 def _(spark, d):
     codes = F.filter(g.completeness_errors(F.col("md"), F.array().cast("array<string>")), lambda c: c.rlike("section-[3-7]"))
-    rows = load(spark, d, "v_md").select("doc_id", F.explode(F.arrays_zip(g.structure_warnings(codes).alias("w"), codes.alias("c"))).alias("x"))
-    return rows.select("doc_id", F.col("x.w").alias("warning"), g.error_text(F.col("x.c")).alias("said"))
+    rows = load(spark, d, "v_md").select("doc_id", F.explode_outer(codes).alias("c")).filter("c is not null")
+    return rows.select("doc_id", F.get(g.structure_warnings(F.array("c")), 0).alias("warning"), g.error_text(F.col("c")).alias("said"))
 
 
 _CONTENT = "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN '<title>T</title><p>term</p><latex>a</latex>' WHEN 2 THEN '<title></title>[XFigure:1:a]<table></table>' ELSE '<title>T</title>term<latex>a</latex><latex>b</latex><table >' END AS c FROM events"
@@ -236,9 +236,10 @@ e AS (SELECT doc_id, coalesce(min(CASE WHEN reason <> 'open' THEN round END), ma
 z AS (SELECT k.doc_id, e.last AS round, max(CASE WHEN k.round = e.last THEN reason END) AS reason, max(CASE WHEN k.round = e.last THEN CASE WHEN error IS NULL AND (k.doc_id + k.round) % 7 = 0 THEN candidate ELSE markdown END END) AS markdown,
   flatten(list(blocking ORDER BY k.round) FILTER (k.round = e.last)) AS b, coalesce(flatten(list(said ORDER BY k.round) FILTER (reason IN ('open', 'no-change'))), []) AS w, coalesce(flatten(list(list_concat(blocking, said) ORDER BY k.round) FILTER (reason IN ('open', 'no-change'))), []) AS f
   FROM k JOIN e ON e.doc_id = k.doc_id AND k.round <= e.last GROUP BY k.doc_id, e.last)
-SELECT doc_id, round, reason, markdown, list_filter(b, lambda x, i: list_position(b, x) = i) AS blocking, list_filter(w, lambda x, i: list_position(w, x) = i) AS repair_warnings, list_filter(f, lambda x, i: list_position(f, x) = i) AS feedback FROM z""")
+SELECT doc_id, round, reason, markdown, array_to_string(list_filter(b, lambda x, i: list_position(b, x) = i), '|') AS blocking, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '|') AS repair_warnings, array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), '|') AS feedback FROM z""")
 def _(spark, d):
-    return g.repair_outcome(sql(spark, d, _ROUNDS), 3)
+    got = g.repair_outcome(sql(spark, d, _ROUNDS), 3)
+    return got.withColumns({c: F.array_join(c, "|") for c in ("blocking", "repair_warnings", "feedback")})
 
 
 # ---------------------------------------------------------------- normalisation

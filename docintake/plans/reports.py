@@ -165,9 +165,9 @@ l AS (SELECT user_id, 1 AS p, event_id, concat('01-paper-attempt-', {_NAME}, ':
  UNION ALL SELECT user_id, 3, 0, concat('last-job: failed at ', CAST(max(event_id) AS VARCHAR)) FROM events GROUP BY user_id),
 f AS (SELECT user_id, list(line ORDER BY p, event_id) AS x FROM l GROUP BY user_id),
 m AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND user_id % 4 = 0 THEN event_id END) AS r, max(CASE WHEN event_type = 'click' AND k <= 12 AND event_id % 3 <> 0 THEN event_id END) AS a FROM e GROUP BY user_id)
-SELECT f.user_id AS job_id, x[-16:] AS feedback, concat(CASE WHEN r IS NOT NULL THEN concat('round ', CAST(r AS VARCHAR), chr(10)) WHEN a IS NOT NULL THEN concat('draft ', CAST(a AS VARCHAR), chr(10)) ELSE '' END) AS markdown FROM f JOIN m ON m.user_id = f.user_id""")
+SELECT f.user_id AS job_id, array_to_string(x[-16:], '|') AS feedback, concat(CASE WHEN r IS NOT NULL THEN concat('round ', CAST(r AS VARCHAR), chr(10)) WHEN a IS NOT NULL THEN concat('draft ', CAST(a AS VARCHAR), chr(10)) ELSE '' END) AS markdown FROM f JOIN m ON m.user_id = f.user_id""")
 def _(spark, d):
-    return r.retry_context(sql(spark, d, _ARTIFACTS))
+    return r.retry_context(sql(spark, d, _ARTIFACTS)).withColumn("feedback", F.array_join("feedback", "|"))
 
 
 #: Requests, the listing of them as lines of JSON, written down and read back.

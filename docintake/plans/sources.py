@@ -193,12 +193,12 @@ def _(spark, d):
 _PAPERS = "SELECT doc_id AS paper_id, concat('T', CAST(doc_id AS VARCHAR(12))) AS title, text AS source, CASE WHEN doc_id % 2 = 0 THEN lang END AS pdf_text, doc_id % 4 = 0 AS warned FROM documents"
 
 
-@query("tex_paper_summary", f"""SELECT p.paper_id, title, length(coalesce(source, '')) AS source_chars, length(coalesce(pdf_text, '')) AS pdf_chars, coalesce(f.n, 0) AS figures, coalesce(g.n, 0) AS tables, CASE WHEN warned THEN ['no figures', 'late'] ELSE []::VARCHAR[] END AS parse_warnings
+@query("tex_paper_summary", f"""SELECT p.paper_id, title, length(coalesce(source, '')) AS source_chars, length(coalesce(pdf_text, '')) AS pdf_chars, coalesce(f.n, 0) AS figures, coalesce(g.n, 0) AS tables, CASE WHEN warned THEN 'no figures|late' ELSE '' END AS parse_warnings
 FROM ({_PAPERS}) p LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) f ON f.user_id = p.paper_id LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) g ON g.user_id = p.paper_id""")
 def _(spark, d):
     papers = sql(spark, d, _PAPERS).withColumn("warnings", F.when(F.col("warned"), F.lit(["no figures", "late"]))).drop("warned")
     events = load(spark, d, "events").select(F.col("user_id").alias("paper_id"), "event_type")
-    return t.paper_summary(papers, events.filter("event_type = 'click'"), events.filter("event_type = 'view'"))
+    return t.paper_summary(papers, events.filter("event_type = 'click'"), events.filter("event_type = 'view'")).withColumn("parse_warnings", F.array_join("parse_warnings", "|"))
 
 
 _LINES_OF = "SELECT doc_id AS page_id, CAST(k AS BIGINT) AS pos, CASE k WHEN 1 THEN concat('[ArticleImage:', CAST(doc_id % 5 AS VARCHAR(4)), ']  Caption ', lang) ELSE coalesce(text, '') END AS text FROM documents, (VALUES (0), (1), (2)) v(k)"
@@ -243,7 +243,7 @@ def _(spark, d):
 _CLEAN = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\u009f]', ' ', 'g'), '[\\s  -     　]+', ' ', 'g'))"
 
 
-@query("src_feed", f"SELECT CAST(doc_id AS VARCHAR) AS id, concat('About ', coalesce(lang, '')) AS title, {_CLEAN} AS summary, ['Ann', 'Bob'] AS authors, ['cs.LG'] AS categories FROM documents")
+@query("src_feed", f"SELECT CAST(doc_id AS VARCHAR) AS id, concat('About ', coalesce(lang, '')) AS title, {_CLEAN} AS summary, 'Ann|Bob' AS authors, 'cs.LG' AS categories FROM documents")
 def _(spark, d):
     docs = load(spark, d, "documents")
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", " ")
@@ -252,4 +252,4 @@ def _(spark, d):
     entries = docs.select(F.col("doc_id").cast("string").alias("id"), title.alias("title"), body.alias("summary"), people.alias("author"), F.array(F.struct(F.lit("cs.LG").alias("_term"))).alias("category"))
     path = scratch_path(spark, "feed")
     entries.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
-    return p.feed_entries(spark, path)
+    return p.feed_entries(spark, path).withColumns({c: F.array_join(c, "|") for c in ("authors", "categories")})
