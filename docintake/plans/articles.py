@@ -198,7 +198,7 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", r.strip_comments(said).alias("text"))
 
 
-@query("repo_cut_references", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(t, chr(10)) ELSE concat('x', chr(10), 'References', chr(10), repeat('y', 400), t) END AS text FROM (SELECT doc_id, regexp_replace(concat('a ', coalesce(text, ''), '.'), '(?i)references|bibliography', '', 'g') AS t FROM documents) x")
+@query("repo_cut_references", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(t, chr(10), CASE WHEN length(t) + 1 < floor(0.35 * (length(t) + 20)) THEN concat('## References', chr(10), '[1] a') ELSE '' END) ELSE concat('x', chr(10), 'References', chr(10), repeat('y', 400), t) END AS text FROM (SELECT doc_id, regexp_replace(concat('a ', coalesce(text, ''), '.'), '(?i)references|bibliography', '', 'g') AS t FROM documents) x")
 def _(spark, d):
     own = F.regexp_replace(F.concat(F.lit("a "), F.coalesce("text", F.lit("")), F.lit(".")), "(?i)references|bibliography", "")
     t = F.when(F.col("doc_id") % 2 == 0, F.concat(own, F.lit("\n## References\n[1] a"))).otherwise(F.concat(F.lit("x\nReferences\n"), F.repeat(F.lit("y"), 400), own))

@@ -331,9 +331,18 @@ def _(spark, d):
     return _text(spark, d, _TICKS).select("doc_id", n.backticks_to_tags(F.col("text")).alias("s"))
 
 
-@query("norm_blocks")
+_MIXED = "concat(chr(10), '# t', chr(10), 'p', chr(10), '- a', chr(10), '- b', chr(10), '| x | y |', chr(10), '|---|---|', chr(10), '1. one', chr(10), '<latex>a', chr(10), chr(10), 'b</latex>', chr(10))"
+
+
+@query("norm_blocks", f"""WITH l AS (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(concat(a, fault, b), chr(10)) AS w FROM ({_spliced(_MIXED)}) z) y),
+d AS (SELECT *, coalesce(sum(len(regexp_extract_all(lower(line), '<latex')) - len(regexp_extract_all(lower(line), '</latex'))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth, trim(line, ' ') AS t FROM l),
+k AS (SELECT *, CASE WHEN depth > 0 THEN 'formula' WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^#{{1,6}}\\s+[^\\s]') THEN 'heading' WHEN starts_with(t, '|') AND ends_with(t, '|') AND length(t) > 1 OR length(t) - length(replace(t, '|', '')) >= 2 THEN 'table'
+  WHEN regexp_matches(t, '^[-*+]\\s+') THEN 'unordered-list' WHEN regexp_matches(t, '^[0-9]+[.)]\\s+') THEN 'ordered-list' ELSE 'paragraph' END AS kind FROM d),
+p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM k),
+n AS (SELECT *, sum(CASE WHEN kind = 'blank' OR kind <> 'formula' AND (prev IS NULL OR kind = 'heading' OR prev IN ('heading', 'blank') OR prev <> 'formula' AND prev <> kind) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INT) AS block, arg_min(kind, i) AS kind, string_agg(rtrim(line, ' '), chr(10) ORDER BY i) AS text FROM n WHERE kind <> 'blank' GROUP BY doc_id, n.block""")
 def _(spark, d):
-    return n.markdown_blocks(_text(spark, d, "concat(chr(10), '# t', chr(10), 'p', chr(10), '- a', chr(10), '- b', chr(10), '| x | y |', chr(10), '|---|---|', chr(10))").select("doc_id", "text"))
+    return n.markdown_blocks(_text(spark, d, _MIXED).select("doc_id", "text"))
 
 
 _GAPS = "concat(chr(10), chr(10), chr(10), chr(10), ' ', chr(9), ' x')"
