@@ -128,10 +128,10 @@ def _(spark, d):
     return rows.select("doc_id", F.get(g.structure_warnings(F.array("c")), 0).alias("warning"), g.error_text(F.col("c")).alias("said"))
 
 
-_CONTENT = "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN '<title>T</title><p>term</p><latex>a</latex>' WHEN 2 THEN '<title></title>[XFigure:1:a]<table></table>' ELSE '<title>T</title>term<latex>a</latex><latex>b</latex><table >' END AS c FROM events"
+_CONTENT = "SELECT doc_id AS id, coalesce(text, '') AS t, CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN concat('<title>T</title><p>term</p>', coalesce(text, ''), '<latex>a</latex>') WHEN 2 THEN concat('<title> </title>[XFigure:1:a]', coalesce(text, ''), '<table></table>') ELSE concat('<title>T</title>term', coalesce(text, ''), '<latex>a</latex><latex>b</latex><table >') END AS c FROM documents"
 
 
-@query("qg_published", f"SELECT id, CASE id % 4 WHEN 0 THEN 'fetch-empty' WHEN 1 THEN 'missing-latex:1/2;missing-tables:0/1' WHEN 2 THEN 'missing-title;missing-term:term;marker-left-after-publish;missing-latex:0/2' ELSE '' END AS found FROM ({_CONTENT}) c")
+@query("qg_published", f"SELECT id, CASE id % 4 WHEN 0 THEN 'fetch-empty' WHEN 1 THEN 'missing-latex:1/2;missing-tables:0/1' WHEN 2 THEN concat('missing-title;', CASE WHEN contains(t, 'term') THEN '' ELSE 'missing-term:term;' END, 'marker-left-after-publish;missing-latex:0/2') ELSE '' END AS found FROM ({_CONTENT}) c")
 def _(spark, d):
     found = g.published_errors(F.col("c"), F.lit("Title"), F.lit(["term", " "]), F.lit(2), F.lit(1))
     return sql(spark, d, _CONTENT).select("id", F.array_join(found, ";").alias("found"))
@@ -142,12 +142,14 @@ def _(spark, d):
     return load(spark, d, "events").select("event_id", F.explode(g.post_publish(F.array("event_type", "event_type"))).alias("w"))
 
 
-_REVIEWS = """SELECT event_id AS doc_id, CASE event_id % 4 WHEN 0 THEN 'plain words' WHEN 1 THEN '[1, 2]' WHEN 2 THEN concat('```json', chr(10), '{"markdown":"x","issues":[{"category":"Tex Macro","severity":"","detail":" 仍有 "},{"category":"math","severity":"HIGH","detail":"已修正"}]}', chr(10), '```') ELSE '{"markdown":"y"}' END AS text FROM events"""
-
-
-@query("qg_review_issues", f"SELECT doc_id, 0 AS pos, CASE doc_id % 4 WHEN 2 THEN 'tex_macro' ELSE 'other' END AS category, CASE doc_id % 4 WHEN 1 THEN 'medium' ELSE 'low' END AS severity, CASE doc_id % 4 WHEN 0 THEN 'review returned non-json markdown' WHEN 1 THEN 'review returned non-object json' ELSE '仍有' END AS detail FROM ({_REVIEWS}) r WHERE doc_id % 4 < 3")
+@query("qg_review_issues", """SELECT doc_id, 0 AS pos, CASE doc_id % 4 WHEN 2 THEN 'tex_macro' ELSE 'other' END AS category, CASE doc_id % 4 WHEN 1 THEN 'medium' ELSE 'low' END AS severity,
+ CASE doc_id % 4 WHEN 0 THEN 'review returned non-json markdown' WHEN 1 THEN 'review returned non-object json' ELSE left(trim(concat('仍有 ', text), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160))), 1000) END AS detail FROM documents WHERE doc_id % 4 < 3""")
 def _(spark, d):
-    return g.review_issues(sql(spark, d, _REVIEWS))
+    t, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    issue = lambda category, severity, detail: F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), detail.alias("detail"))
+    body = F.to_json(F.struct(t.alias("markdown"), F.array(issue("Tex Macro", "", F.concat(F.lit(" 仍有 "), t)), issue("math", "HIGH", F.lit("已修正"))).alias("issues")))
+    said = F.when(kind == 0, F.concat(F.lit("plain words "), t)).when(kind == 1, F.to_json(F.array(t, t))).when(kind == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.to_json(F.struct(t.alias("markdown"))))
+    return g.review_issues(load(spark, d, "documents").select("doc_id", said.alias("text")))
 
 
 @query("qg_unresolved", "SELECT id FROM v_issues WHERE detail <> '' AND (detail LIKE '%仍有%' OR detail NOT LIKE '%已修正%')", "v_issues")
