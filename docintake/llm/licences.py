@@ -121,6 +121,8 @@ UNKNOWN = "unknown"
 NEGATIVES, NEGATIVE_TEXTS = 2000, 500
 CONFIDENT, CONFIRM = 0.5, 0.6
 GRAM = 3
+#: Lines of a paragraph whose windows one row makes.
+CHUNK_LINES = 128
 #: What is between paragraphs.
 BLANK = r"\n\s*\n"
 #: Words of most texts: n-grams of these alone are no features.
@@ -249,10 +251,19 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.col(text).cast("string"), BLANK)).alias("paragraph", "paragraph_text")).filter(F.col("paragraph_text").rlike("[a-zA-Z0-9]"))
 
 
-def windows_column(paragraph: Column, model: Model) -> Column:
-    """(first line, last line, words) of each window that holds a telling word: lines between the first and the last
-    have less than SPAN words. Lines without letters and digits are left out; words outside the vocabulary are gaps
-    (null). Arrays are bound to lambda variables once."""
+def chunks_column(paragraph: Column) -> Column:
+    """(start, lines) of a paragraph's chunks: ``CHUNK_LINES`` of its lines that have letters or digits, and the ones that
+    follow as far as windows reach, so a long paragraph is many rows of a bounded number of lines."""
+    lines = F.filter(F.split(paragraph, "\n"), lambda x: F.lower(x).rlike("[a-z0-9]"))
+    starts = lambda x: F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1, F.lit(CHUNK_LINES)))
+    cut = lambda x: F.transform(starts(x), lambda i: F.struct(i.alias("start"), F.slice(x, i + 1, CHUNK_LINES + SPAN + 1).alias("lines")))
+    return F.get(F.transform(F.array(lines), cut), 0)
+
+
+def windows_column(chunk: Column, model: Model) -> Column:
+    """(first line, last line, words) of each window of a chunk's first ``CHUNK_LINES`` lines that holds a telling word:
+    lines between the first and the last have less than SPAN words. Words outside the vocabulary are gaps (null). Arrays
+    are bound to lambda variables once."""
 
     def windows(lines: Column) -> Column:
         def more(i: Column, at: Column) -> Column:  # at: (windows that begin with line i, words of the last, words in between)
@@ -265,14 +276,14 @@ def windows_column(paragraph: Column, model: Model) -> Column:
             none = F.struct(F.array().cast("array<struct<first:int,last:int,tells:boolean,words:array<string>>>").alias("found"), F.array().cast("array<string>").alias("words"), F.lit(False).alias("tells"), (-F.size(at["words"])).alias("inner"))
             return F.aggregate(F.slice(lines, i + 1, SPAN + 1), none, longer, lambda acc: F.filter(acc["found"], lambda x: x["tells"]))
 
-        every = F.flatten(F.transform(lines, lambda line, i: more(i, line)))
+        every = F.flatten(F.transform(F.slice(lines, 1, CHUNK_LINES), lambda line, i: more(i, line)))
         return F.when(F.exists(lines, lambda line: line["tells"]), every)
 
     def read(line: Column) -> Column:
         words = F.transform(words_column(line), lambda w: F.when(w.isin(*sorted(model.words)), w))
         return F.get(F.transform(F.array(words), lambda x: F.struct(x.alias("words"), F.exists(x, lambda w: F.coalesce(w.isin(*sorted(model.telling)), F.lit(False))).alias("tells"))), 0)
 
-    lines = F.filter(F.transform(F.split(paragraph, "\n"), read), lambda x: F.size(x["words"]) > 0)
+    lines = F.transform(chunk["lines"], read)
     return F.get(F.transform(F.array(lines), windows), 0)
 
 
@@ -296,8 +307,9 @@ def tight(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per confirmed finding (paragraph and family): key, paragraph, family, probability, unknown_probability, containment."""
     unit = ["id", "paragraph", "first", "last"]
-    rows = paragraphs(docs, key, text).select("id", "paragraph", F.explode(windows_column(F.col("paragraph_text"), model)).alias("w"))
-    rows = rows.select("id", "paragraph", "w.first", "w.last", grams_column(F.col("w.words")).alias("grams"))
+    rows = paragraphs(docs, key, text).select("id", "paragraph", F.explode(chunks_column(F.col("paragraph_text"))).alias("c"))
+    rows = rows.select("id", "paragraph", "c.start", F.explode(windows_column(F.col("c"), model)).alias("w"))
+    rows = rows.select("id", "paragraph", (F.col("start") + F.col("w.first")).alias("first"), (F.col("start") + F.col("w.last")).alias("last"), grams_column(F.col("w.words")).alias("grams"))
     raw = model.regression.transform(model.vocabulary.transform(rows)).select(*unit, "grams", vector_to_array("rawPrediction").alias("raw"))
 
     def shares(z: Column) -> Column:  # softmax; arrays are bound to lambda variables, so each is computed once

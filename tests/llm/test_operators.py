@@ -672,6 +672,20 @@ def test_scores_are_those_of_brute_force(spark, licence_model, sf_dir):
     assert {(i, p) for i, p, _ in got} == {(i, p) for i, p, _ in want}
 
 
+def test_long_paragraphs_are_cut_into_chunks(spark, licence_model, monkeypatch):
+    r = random.Random(4)
+    line = lambda: " ".join(r.choice(["of", "the", "license", "stone", "water", "version", "under"]) for _ in range(6))
+    notes = [t for ts in licences.TEMPLATES.values() for t in ts]
+    texts = ["\n".join(x for _ in range(12) for x in (line(), *textwrap.wrap(r.choice(notes), r.choice([20, 60])), "--")) for _ in range(12)]
+    texts.append("\n".join([line() for _ in range(6000)] + textwrap.wrap(notes[2], 30) + [line() for _ in range(6000)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    scan = lambda: sorted((x["doc_id"], x["paragraph"], x["family"], round(x["probability"], 9), round(x["containment"], 9)) for x in licences.scan(df, licence_model).collect())
+    want = scan()
+    assert {x[2] for x in want if x[0] == 12} == {"MIT"} and len(want) > 30
+    monkeypatch.setattr(licences, "CHUNK_LINES", 3)
+    assert scan() == want
+
+
 def test_the_scan_runs_no_python_on_executors(spark, corpus, licence_model):
     plan = licences.scan_documents(spark.read.parquet(f"{corpus}/documents.parquet"), licence_model)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
