@@ -19,6 +19,15 @@ METHOD = ("overview", "workflow", "framework", "architecture", "mechanism", "att
 TITLES = (("architecture", "方法架构图"), ("overview", "整体设计图"), ("attention", "注意力对比图"), ("ablation", "消融实验图"), ("speed", "速度与性能对比图"), ("memory", "显存与性能对比图"), ("perplexity", "困惑度结果图"), ("comparison", "对比结果图"), ("qualitative", "定性对比图"))
 FORMATS = ("png", "jpg", "jpeg", "pdf", "eps", "ps")
 APPENDIX_PENALTY = 70
+# Ranks of figures: (words of the label, words of the path, rank), the first that fits; then ranks by place.
+RANKS = (
+    (("workflow",), ("workflow", "blade"), 0),
+    (("mask_generation",), ("asav3",), 1),
+    (("model-arch", "architecture"), ("overview", "architecture"), 4),
+    (("mask_visualization",), (), 12),
+    (("ssim_compare",), (), 35),
+)
+RANK_APPENDIX, RANK_GALLERY, RANK_IN_SOURCE, RANK_OTHER, RANK_FIRST, RANK_PLACES = 75, 80, 10, 60, 6, 20
 
 
 def any_of(c: Column, words) -> Column:
@@ -61,18 +70,11 @@ def figure_rank(path: Column, label: Column, tex_file: Column, caption: Column,
     """The least of what the rules give; smaller is better."""
     p, l, c = F.lower(F.concat_ws(" ", F.replace(path, F.lit("/"), F.lit(" ")), stem(path))), F.lower(label), F.lower(caption)
     appendix = in_appendix(path, label, tex_file)
-    base = (
-        F.when(appendix, 75)
-        .when(in_gallery(path, label), 80)
-        .when(l.contains("workflow") | any_of(p, ("workflow", "blade")), 0)
-        .when(l.contains("mask_generation") | p.contains("asav3"), 1)
-        .when(any_of(l, ("model-arch", "architecture")) | any_of(p, ("overview", "architecture")), 4)
-        .when(l.contains("mask_visualization"), 12)
-        .when(l.contains("ssim_compare"), 35)
-        .when(tex_file != "", 10)
-        .otherwise(60)
-    )
-    placed = F.when(~appendix & figure_index.isNotNull(), 6 + F.least(F.greatest(figure_index, F.lit(0)), F.lit(20)))
+    base = F.when(appendix, RANK_APPENDIX).when(in_gallery(path, label), RANK_GALLERY)
+    for in_label, in_path, rank in RANKS:
+        base = base.when(any_of(l, in_label) | any_of(p, in_path), rank)
+    base = base.when(tex_file != "", RANK_IN_SOURCE).otherwise(RANK_OTHER)
+    placed = F.when(~appendix & figure_index.isNotNull(), RANK_FIRST + F.least(F.greatest(figure_index, F.lit(0)), F.lit(RANK_PLACES)))
     names = F.lit(list(PREFERRED))
     hits = F.array_compact(F.transform(names, lambda n, i: F.when(p.contains(n) | l.contains(n) | c.contains(n), i + 2)))
     named = F.array_min(hits) + F.when(appendix, APPENDIX_PENALTY).otherwise(0)

@@ -41,6 +41,10 @@ FORMULA_RULES = (
 )
 FORMATTING_COMMANDS = r"\\(?:textnormal|operatorname|textbf|textit|textsc|textrm|emph|mathcal|mathbb|mathsf|mathit|mathrm|mathbf|mathtt)"
 DANGLING = ("comput", "eval", "gener", "gen", "informat", "meas", "measu", "oper", "pred", "represent", "rep", "verbal")
+# Formulas by their forms, amounts of money, sentences and their last words.
+TAGGED, DISPLAYED, INLINE = r"(?s)<latex>(.*?)</latex>", r"(?s)\$\$(?!\$)([^$\n].{0,1200}?)\$\$(?!\$)", r"(?<!\$)\$([^$\n]{1,240}?)\$(?!\$)"
+MONEY = r"(?iU)(?<!\\)\$(?=\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:USD|CNY|RMB|美元|元))?(?=\s*(?:[^\d\w]|$)))"
+SENTENCE_END, CHINESE, LAST_WORD = r"[\n。！？；.!?;]", r"[\x{4e00}-\x{9fff}]", r"(?U)\b([A-Za-z]{3,12})\s*$"
 # Patterns of the agents.
 DOWNGRADED_FORMULA = r"<code>[^<]*(?:\\[A-Za-z]+|[_^]\{|\\frac|\\sum|\\mathbb)"
 RAW_PARAGRAPH, ESCAPED_PARAGRAPH = r"(?i)</?p(?:\s[^>]*)?>", r"(?i)&lt;/?p(?:\s[^&]*)&gt;"
@@ -90,10 +94,8 @@ def _compact(*parts: Column) -> Column:
 
 def formula_bodies(text: Column) -> Column:
     """Formulas: tagged spans, then raw display and inline spans of what is left, amounts of money guarded."""
-    raw = F.regexp_replace(text, r"(?s)<latex>.*?</latex>", " ")
-    raw = F.regexp_replace(raw, r"(?iU)(?<!\\)\$(?=\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:USD|CNY|RMB|美元|元))?(?=\s*(?:[^\d\w]|$)))", "")
-    found = [(text, r"(?s)<latex>(.*?)</latex>"), (raw, r"(?s)\$\$(?!\$)([^$\n].{0,1200}?)\$\$(?!\$)"), (raw, r"(?<!\$)\$([^$\n]{1,240}?)\$(?!\$)")]
-    return F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for c, p in found))
+    raw = F.regexp_replace(F.regexp_replace(text, TAGGED, " "), MONEY, "")
+    return F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for c, p in ((text, TAGGED), (raw, DISPLAYED), (raw, INLINE))))
 
 
 def body_labels(body: Column) -> Column:
@@ -156,8 +158,8 @@ def figure_agent(markdown: Column, xml: Column) -> Column:
 def has_dangling_tail(text: Column) -> Column:
     """A sentence with Chinese characters that ends in the stem of an English word."""
     clean = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", "\n"), r"[*_`#>\-]+", " ")
-    lines = F.filter(F.split(clean, r"[\n。！？；.!?;]"), lambda x: x.rlike(r"[\x{4e00}-\x{9fff}]"))
-    return F.exists(lines, lambda x: F.lower(F.regexp_extract(strip(x), r"(?U)\b([A-Za-z]{3,12})\s*$", 1)).isin(*DANGLING))
+    lines = F.filter(F.split(clean, SENTENCE_END), lambda x: x.rlike(CHINESE))
+    return F.exists(lines, lambda x: F.lower(F.regexp_extract(strip(x), LAST_WORD, 1)).isin(*DANGLING))
 
 
 def text_agent(markdown: Column, xml: Column) -> Column:

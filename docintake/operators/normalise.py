@@ -15,6 +15,7 @@ SYMBOLS = {
     "κ": r"\kappa", "λ": r"\lambda", "μ": r"\mu", "ν": r"\nu", "ξ": r"\xi", "π": r"\pi", "ρ": r"\rho", "σ": r"\sigma", "τ": r"\tau", "φ": r"\phi", "ϕ": r"\varphi", "χ": r"\chi", "ψ": r"\psi",
     "ω": r"\omega", "Δ": r"\Delta", "Σ": r"\Sigma", "Π": r"\Pi", "Λ": r"\Lambda", "ℓ": r"\ell", "≤": r"\le ", "≥": r"\ge ", "×": r"\times ",
 }
+# Commands of presentation, of papers, of citations and of accents, names that aren't written out, Greek names.
 VISIBLE = ("textnormal", "operatorname", "textbf", "textit", "textsc", "textrm", "emph", "mathrm", "mathbf", "mathtt")
 PAPER_COMMANDS, CITATIONS = ("xspace", "NB", "DX", "lpk", "wx", "qz"), ("cite", "citep", "ref", "label", "url", "href")
 ACCENTS = "overline|underline|hat|widehat|tilde|widetilde|bar|vec|dot|ddot|check|breve|acute|grave"
@@ -51,7 +52,7 @@ COMMANDS = (
 MATH_WORDS = ("alpha", "beta", "chi", "delta", "eta", "gamma", "kappa", "lambda", "mu", "nu", "omega", "phi", "psi", "rho", "sigma", "tau", "theta")
 MATH_FUNCTIONS = ("argmax", "argmin", "cos", "det", "exp", "f", "g", "h", "log", "max", "mean", "min", "p", "q", "relu", "sigmoid", "sin", "softmax", "sqrt", "sum", "tanh", "var")
 
-#: A number with its errors above and below, as raw TeX.
+# A number with its errors above and below, as raw TeX.
 _NUMBER = r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)"
 RAW_UNCERTAINTY = rf"(?<![\w.]){_NUMBER}\s*(?:\^\s*\{{\s*{_NUMBER}\s*\}}\s*_\s*\{{\s*{_NUMBER}\s*\}}|_\s*\{{\s*{_NUMBER}\s*\}}\s*\^\s*\{{\s*{_NUMBER}\s*\}})(?![\w.])"
 
