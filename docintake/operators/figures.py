@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import WHITE, filled, squeeze, strip
+from docintake.functions.text import WHITE, filled, once, squeeze, strip
 from docintake.operators.normalise import map_parts, strip_visible_macros
 
 # Names that make a figure likely to matter, best first, and other word lists.
@@ -246,11 +246,11 @@ def ensure_priority_markers(docs: DataFrame, inserts: DataFrame, most: int = 2)
     head, or the eighth line, each with its caption."""
     rows = _missing(docs, inserts, most)
     head, any_head = _first(F.col("lines"), PRIORITY_HEADS), _first(F.col("lines"), ("## ",))
-    at = F.when(head > 0, head).when(any_head > 0, any_head).otherwise(F.least(F.size("lines"), F.lit(8)))
+    at = once(head, lambda head: F.when(head > 0, head).otherwise(once(any_head, lambda x: F.when(x > 0, x).otherwise(F.least(F.size("lines"), F.lit(8))))))
     caption = lambda m: F.when(m["caption"] != "", F.array(F.concat(F.lit("**图："), short_caption(m["caption"]), F.lit("**")))).otherwise(F.array().cast("array<string>"))
     one = lambda m, i: F.concat(F.when(i > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), F.array(F.lit(PRIORITY_LEAD), m["marker"]), caption(m))
     block = F.concat(F.array(F.lit("")), F.flatten(F.transform("lack", one)), F.array(F.lit("")))
-    return rows.select("doc_id", F.when(F.col("lack").isNull(), F.col("text")).otherwise(_put(at, block)).alias("text"))
+    return rows.select("doc_id", F.when(F.col("lack").isNull(), F.col("text")).otherwise(once(at, lambda at: _put(at, block))).alias("text"))
 
 
 def ensure_referenced_markers(docs: DataFrame, inserts: DataFrame, most: int = 1, enough: int = 3) -> DataFrame:
@@ -258,12 +258,14 @@ def ensure_referenced_markers(docs: DataFrame, inserts: DataFrame, most: int = 1
     end of the method's section; a document without one stays as it is."""
     rows = _missing(docs, inserts, most)
     held = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\[\w*Figure:[^\]]+\])"), F.lit(1))))
-    head = _first(F.col("lines"), METHOD_HEADS)
-    after = F.array_position(F.transform("lines", lambda x, i: (i >= head) & strip(x).rlike(r"^##\s+")), True).cast("int")
-    at = F.when(after > 0, after - 1).otherwise(F.size("lines"))
+    # a head is looked for once a text, not once a line
+    behind = lambda head: F.array_position(F.transform("lines", lambda x, i: (i >= head) & strip(x).rlike(r"^##\s+")), True).cast("int")
+    place = lambda head: once(behind(head), lambda after: F.when(after > 0, after - 1).otherwise(F.size("lines")))
+    at = once(_first(F.col("lines"), METHOD_HEADS), lambda head: F.when(head > 0, place(head)).otherwise(0))
     one = lambda m: F.array(F.lit(""), F.lit(METHOD_LEAD), m["marker"], F.concat(F.lit("**图："), short_caption(F.coalesce(filled(m["caption"]), m["name"])), F.lit("**")), F.lit(""))
-    go = F.col("lack").isNotNull() & (held < enough) & (head > 0)
-    return rows.select("doc_id", F.when(go, _put(at, F.flatten(F.transform("lack", one)))).otherwise(F.col("text")).alias("text"))
+    go = F.col("lack").isNotNull() & (held < enough)
+    put = once(at, lambda at: F.when(at > 0, _put(at, F.flatten(F.transform("lack", one)))))
+    return rows.select("doc_id", F.coalesce(F.when(go, put), F.col("text")).alias("text"))
 
 
 def insert_markers(docs: DataFrame, markers: DataFrame, most: int = 2) -> DataFrame:
