@@ -35,7 +35,11 @@ MESSAGE = "event_id string, message_id string, id string, chat_id string, chat_t
 
 
 def _names(pattern: str, names: tuple[str, ...]) -> str:
-    return pattern.replace("{names}", "".join("|" + re.escape(n) for n in names))
+    """A name in Latin letters is none within a longer word."""
+    edge = r"[\p{IsLatin}\p{Nd}_]"
+    latin = lambda x: x.isascii() and x.isalnum()
+    whole = lambda n: (f"(?<!{edge})" if latin(n[:1]) else "") + re.escape(n) + (f"(?!{edge})" if latin(n[-1:]) else "")
+    return pattern.replace("{names}", "".join("|" + whole(n) for n in names))
 
 
 # ---------------------------------------------------------------- events

@@ -34,3 +34,9 @@ def test_a_marker_goes_into_a_text_of_many_lines(spark):
 def test_unfinished_references(spark, tmp_path, name):
     pages = spark.createDataFrame([(1, "https://a.example/x", "<head><title>a&amp</title></head><p>b &am; &lt c &amp;lt; d &copy</p>")], "page_id bigint, url string, html string")
     assert agrees(spark, tmp_path, name, pages=pages) == ""
+
+
+def test_a_name_within_a_word_is_none(spark):
+    said = ["la esrabota", "Bot2 x", "robot", "你好bot在吗", "Bot!", "the bot"]
+    rows = spark.createDataFrame([(x,) for x in said], "c string").select(m.asks_help(F.col("c"))).collect()
+    assert [r[0] for r in rows] == [False, False, False, True, True, True]
