@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docintake.functions.text import WHITE, filled, once, squeeze, strip
 from docintake.operators.normalise import map_parts, strip_visible_macros
+from docintake.operators.substrings import held_by
 
 # Names that make a figure likely to matter, best first, and other word lists.
 PREFERRED = ("introfig", "fig1", "main", "framework", "overall", "teacher_training", "inference", "world_state", "sparse_attention", "blade", "workflow", "asav3", "mask_generation", "teaser", "attn_proportion", "proportion", "flops", "overview", "pipeline", "method", "architecture", "attention", "heatmap", "patterns", "ablation", "scaling", "warmup")
@@ -125,9 +126,12 @@ def caption_lookup(assets: DataFrame, figures: DataFrame) -> DataFrame:
     a = assets.select("doc_id", "asset", F.lower("asset").alias("path"), F.lower(stem(F.col("asset"))).alias("stem")).distinct()
     first = lambda by: f.groupBy("doc_id", by).agg(F.min_by("caption", "pos").alias(f"by_{by}"))
     got = a.join(first("path"), ["doc_id", "path"], "left").join(first("stem"), ["doc_id", "stem"], "left")
-    left = got.filter("by_path is null and by_stem is null").select("doc_id", "asset", "stem")
-    said = left.join(f.select("doc_id", "caption", "pos"), "doc_id").filter(F.lower("caption").contains(F.col("stem"))).groupBy("doc_id", "asset").agg(F.min_by("caption", "pos").alias("by_text"))
-    return got.join(said, ["doc_id", "asset"], "left").select("doc_id", "asset", F.coalesce("by_path", "by_stem", "by_text").alias("caption"))
+    left = got.filter("by_path is null and by_stem is null").select("doc_id", F.col("stem").alias("pattern")).distinct()
+    captions = f.filter("caption is not null").groupBy("doc_id", "caption").agg(F.min("pos").alias("pos"))
+    said = held_by(left, captions.withColumn("text", F.lower("caption")), ["doc_id"])
+    every = left.filter("pattern = ''").join(captions, "doc_id").select("doc_id", "pattern", "caption", "pos")
+    said = said.unionByName(every).groupBy("doc_id", F.col("pattern").alias("stem")).agg(F.min_by("caption", "pos").alias("by_text"))
+    return got.join(said, ["doc_id", "stem"], "left").select("doc_id", "asset", F.coalesce("by_path", "by_stem", "by_text").alias("caption"))
 
 
 def section_target(text: Column) -> Column:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import random
+import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from docintake.functions import text as text_
+from docintake.functions.batches import exploded
 from docintake.operators import figures as fig
 from docintake.operators import messages as m
+from docintake.operators import pages as pages_
+from docintake.operators import repos
 from tools.compare import compare, connect
 
 
@@ -46,3 +53,18 @@ def test_a_name_within_a_word_is_none(spark):
 def test_short_texts(spark, tmp_path, name, texts):
     docs = spark.createDataFrame([(6 + 12 * i, x, "en", "web") for i, x in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
     assert agrees(spark, tmp_path, name, documents=docs) == ""
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_captions_that_name_a_stem(spark):
+    """Against a plain loop; assets and captions of a document aren't compared each with each."""
+    asked = [(d, x) for d in (1, 2) for x in ("a/b.png", "Fig.png", "fig1.png", "schaltplan_a.png", "none.png", "ü.svg", "x" * 40 + ".png")]
+    said = [(1, "x/q.png", "See Schaltplan_A, fig1", 4), (1, "x/r.png", "the fig12", 3), (1, "x/s.png", None, 1), (1, "x/t.png", "Über b", 2), (2, "x/u.png", "x" * 41, 1), (2, "x/v.png", "", 0)]
+    got = fig.caption_lookup(spark.createDataFrame(asked, "doc_id bigint, asset string"), spark.createDataFrame(said, "doc_id bigint, asset string, caption string, pos bigint"))
+    stem = lambda a: a.lower().split("/")[-1].rsplit(".", 1)[0]
+    want = {(d, a): next((c for e, _, c, _ in sorted(said, key=lambda r: r[3]) if e == d and c is not None and stem(a) in c.lower()), None) for d, a in asked}
+    assert {(r.doc_id, r.asset): r.caption for r in got.collect()} == want
+    assert "Contains(" not in plan_of(got)
