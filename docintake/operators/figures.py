@@ -76,9 +76,8 @@ def figure_rank(path: Column, label: Column, tex_file: Column, caption: Column,
         base = base.when(any_of(l, in_label) | any_of(p, in_path), rank)
     base = base.when(tex_file != "", RANK_IN_SOURCE).otherwise(RANK_OTHER)
     placed = F.when(~appendix & figure_index.isNotNull(), RANK_FIRST + F.least(F.greatest(figure_index, F.lit(0)), F.lit(RANK_PLACES)))
-    names = F.lit(list(PREFERRED))
-    hits = F.array_compact(F.transform(names, lambda n, i: F.when(p.contains(n) | l.contains(n) | c.contains(n), i + 2)))
-    named = F.array_min(hits) + F.when(appendix, APPENDIX_PENALTY).otherwise(0)
+    said = F.concat_ws("\n", p, l, c)  # lower-cased once a figure, not once a name; no name holds a line end
+    named = once(said, lambda x: F.coalesce(*(F.when(x.contains(n), i + 2) for i, n in enumerate(PREFERRED)))) + F.when(appendix, APPENDIX_PENALTY).otherwise(0)
     return F.least(base, placed, F.when(is_priority(path, caption), 3), named).cast("int")
 
 

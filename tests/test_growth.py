@@ -68,3 +68,12 @@ def test_captions_that_name_a_stem(spark):
     want = {(d, a): next((c for e, _, c, _ in sorted(said, key=lambda r: r[3]) if e == d and c is not None and stem(a) in c.lower()), None) for d, a in asked}
     assert {(r.doc_id, r.asset): r.caption for r in got.collect()} == want
     assert "Contains(" not in plan_of(got)
+
+
+def test_names_are_looked_for_in_one_text(spark):
+    """Path, label and caption were lower-cased anew for each name."""
+    rows = spark.createDataFrame([("a/Teaser.png", "l", "c"), ("a/x.png", "Fig:WARMUP", "introfig"), ("a/z.png", "l", "")], "p string, l string, c string")
+    rank = fig.figure_rank(F.col("p"), F.col("l"), F.lit(""), F.col("c"), F.lit(None).cast("int"))
+    got = rows.select(rank.alias("r"))
+    assert [r.r for r in got.collect()] == [3, 2, 60]
+    assert plan_of(got).count("x_") < 60
