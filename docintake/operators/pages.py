@@ -11,10 +11,10 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docintake.functions.batches import exploded
 from docintake.functions.text import filled
 
 TEXT_TAGS = frozenset(("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"))
@@ -176,17 +176,14 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     """Rows (BLOCK) of pages (page_id, url, html), in document order. Kinds: title, meta (key, tab, value), heading
     (value: level), text, image (value: number), toc_image, image_url, code, table, math, anchor (href, tab, text)."""
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-                parser = _Blocks(url or "")
-                parser.feed(html or "")
-                parser.close()
-                out += [(page_id, i, k, v, t) for i, (k, v, t) in enumerate(parser.rows)]
-            yield pd.DataFrame(out, columns=["page_id", "pos", "kind", "value", "text"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, BLOCK)
+    def rows(page_id: int, url: str | None, html: str | None):
+        parser = _Blocks(url or "")
+        parser.feed(html or "")
+        parser.close()
+        for i, (kind, value, text) in enumerate(parser.rows):
+            yield page_id, i, kind, value, text
+
+    return pages.select("page_id", "url", "html").mapInArrow(exploded(rows, BLOCK), BLOCK)
 
 
 # ---------------------------------------------------------------- relational steps

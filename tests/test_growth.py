@@ -70,6 +70,22 @@ def test_captions_that_name_a_stem(spark):
     assert "Contains(" not in plan_of(got)
 
 
+def test_a_suffix_is_cut_once(spark, sf_dir):
+    """Each rule of completeness cut the suffix anew."""
+    plan = plan_of(entry.queries()["qg_last_complete"](spark, sf_dir))
+    assert plan.count("split(") == 1
+
+
+def test_python_holds_pieces_only():
+    """A batch of many rows was one list, and what it gave one frame."""
+    batch = pa.RecordBatch.from_pydict({"k": list(range(3000)), "t": ["ab" * 500] * 2999 + ["c" * 900_000]})
+    out = list(exploded(lambda k, t: ((k, t), (k, None)), "k bigint, t string", 1 << 16)(iter([batch])))
+    assert [r for b in out for r in b.column(0).to_pylist()] == [k for k in range(3000) for _ in (0, 1)]
+    assert [b.column(1)[0].as_py() for b in out[:1]] == ["ab" * 500]
+    assert max(b.nbytes for b in out[:-2]) < 1 << 17
+    assert list(exploded(lambda k, t: (), "k bigint, t string")(iter([batch]))) == []
+
+
 def test_names_are_looked_for_in_one_text(spark):
     """Path, label and caption were lower-cased anew for each name."""
     rows = spark.createDataFrame([("a/Teaser.png", "l", "c"), ("a/x.png", "Fig:WARMUP", "introfig"), ("a/z.png", "l", "")], "p string, l string, c string")
@@ -77,3 +93,19 @@ def test_names_are_looked_for_in_one_text(spark):
     got = rows.select(rank.alias("r"))
     assert [r.r for r in got.collect()] == [3, 2, 60]
     assert plan_of(got).count("x_") < 60
+
+
+def test_braces_of_a_long_text_are_counted_fast(spark):
+    """Each character without a brace was a match of its own."""
+    start = time.time()
+    docs = spark.range(400).select(F.concat(F.repeat(F.concat(F.lit("plain words "), F.col("id").cast("string")), 9000), F.lit(r" \a{b{c}}")).alias("t"))
+    assert docs.select(F.max(text_.brace_height(F.col("t")))).first()[0] == 2
+    assert time.time() - start < 20
+
+
+def test_documents_texts_are_not_shuffled_for_their_pages(spark):
+    docs = spark.createDataFrame([(1, "project page: https://a.github.io/x")], "doc_id bigint, text string")
+    pages = spark.createDataFrame([(1, "https://a.github.io/x", "<a href='https://github.com/a/b'>Code</a>")], "page_id bigint, url string, html string")
+    got = repos.repositories(docs, pages)
+    assert [tuple(r) for r in got.collect()] == [(1, "https://github.com/a/b")]
+    assert not re.search(r"Join LeftAnti.*\n[^\n]*Project \[doc_id#\d+L?, text", plan_of(got))
