@@ -7,12 +7,13 @@ extend; ``inspect`` runs them in order and keeps the first of equal issues.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.functions.text import braces_balanced, clip, filled, ordered_distinct, squeeze, strip
+from docintake.functions.text import braces_balanced, clip, filled, once, ordered_distinct, squeeze, strip
 from docintake.operators.normalise import RAW_UNCERTAINTY, markup_diagnostics
 
 ISSUE = "array<struct<agent:string,stage:string,severity:string,detail:string>>"
@@ -226,9 +227,8 @@ def completeness_errors(text: Column, markers: Column) -> Column:
     present = F.size(F.filter(markers, lambda m: text.contains(m)))
     needed = F.least(F.lit(3), F.size(markers))
     sections = F.regexp_extract_all(text, F.lit(r"(?m)^##\s+([1-7])(?:[.、]|\s)"), F.lit(1))
-    lower, leak = F.lower(text), F.lit(False)
-    for words in PROMPT_LEAKS:
-        leak = leak | lower.contains(words)
+    missing = once(sections, lambda x: F.array(*(F.when(~F.array_contains(x, str(n)), f"missing-section-{n}") for n in range(1, 8))))
+    leak = once(F.lower(text), lambda x: x.rlike("|".join(map(re.escape, PROMPT_LEAKS))))
     codes = [
         F.when(F.length(strip(text)) < 1800, "document-too-short"),
         F.when(~line.rlike(r"^#\s+\S"), "missing-h1"),
@@ -236,10 +236,9 @@ def completeness_errors(text: Column, markers: Column) -> Column:
         F.when(leak, "prompt-leak"),
         F.when((titles > 1) | (named > 1), "duplicate-h1"),
         F.when(~text.contains("TL;DR"), "missing-tldr"),
-        *(F.when(~F.array_contains(sections, str(n)), f"missing-section-{n}") for n in range(1, 8)),
-        F.when(present < needed, F.concat(F.lit("too-few-figures:"), present.cast("string"), F.lit("/"), needed.cast("string"))),
     ]
-    return F.array_compact(F.array(*codes))
+    few = F.when(present < needed, F.concat(F.lit("too-few-figures:"), present.cast("string"), F.lit("/"), needed.cast("string")))
+    return F.array_compact(F.concat(F.array(*codes), missing, F.array(few)))
 
 
 def structure_warnings(errors: Column) -> Column:
@@ -426,10 +425,9 @@ def last_complete_suffix(docs: DataFrame, markers: Column, identifier: Column |
     else:
         exact = F.concat(F.lit("\\Q"), F.replace(identifier, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
         title = F.concat(F.lit(r"(?U)#\s+\["), F.when(identifier == "", r"[^\]\n]+").otherwise(exact), F.lit(r"\]"))
-    rows = docs.select("doc_id", text.alias("text"), title.alias("title"))
-    found = F.try_element_at(F.regexp_extract_all("text", "title", F.lit(0)), F.lit(-1))
-    suffix = F.concat(found, F.element_at(F.split("text", F.col("title")), -1))
-    if identifier is not None:
-        suffix = F.concat(strip(suffix), F.lit("\n"))
-    rows = rows.select("doc_id", suffix.alias("markdown")).filter("markdown is not null")
-    return rows.filter(F.size(completeness_errors(F.col("markdown"), markers)) == 0)
+    found = lambda t: F.try_element_at(F.regexp_extract_all(t, title, F.lit(0)), F.lit(-1))
+    suffix = lambda t: F.concat(found(t), F.element_at(F.split(t, title), -1))
+    whole = suffix if identifier is None else lambda t: F.concat(strip(suffix(t)), F.lit("\n"))
+    complete = lambda x: x.isNotNull() & (F.size(completeness_errors(x, markers)) == 0)
+    # a filter on a projected suffix would cut it anew for each rule; a generator's argument is computed once
+    return docs.select("doc_id", F.explode(once(text, lambda t: F.filter(F.array(whole(t)), complete))).alias("markdown"))
