@@ -162,8 +162,8 @@ def repositories(docs: DataFrame, pages: DataFrame, most: int = 4) -> DataFrame:
     up to ``most`` project pages that has one. Documents and pages meet by the address as it stands; one that very many
     documents name has one row on the pages' side, so that a join can split it. Small jobs send the pages' side instead."""
     own = repos_in_text(docs).select("doc_id", F.col("repo").alias("own"))
-    rest = docs.select("doc_id", "text").join(own, "doc_id", "left_anti")
-    named = named_pages(rest, most)
+    # addresses leave the texts before the join, which shuffles none
+    named = named_pages(docs, most).join(own, "doc_id", "left_anti")
     by_page = named.join(page_repositories(named, pages), "url").groupBy("doc_id").agg(F.min_by("repo", "pos").alias("repo"))
     return own.withColumnRenamed("own", "repo").unionByName(by_page)
 
