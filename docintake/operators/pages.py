@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from docintake.functions.batches import exploded
 from docintake.functions.text import filled
+from docintake.operators.substrings import held_by
+from docintake.sources.sinks import scratch_path
 
 TEXT_TAGS = frozenset(("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"))
 SKIPPED_TAGS = frozenset(("script", "style", "nav", "footer", "header", "aside", "noscript"))
@@ -328,19 +330,61 @@ def overview_sections(snapshots: DataFrame) -> DataFrame:
     return got.select("page_id", F.lit(-1).cast("bigint").alias("section"), F.lit(OVERVIEW_TITLE).alias("title"), F.lit(1).cast("bigint").alias("level"), F.transform("x", lambda x: x["t"]).alias("blocks"))
 
 
+#: Words of more blocks of a section are frequent.
+RARE = 64
+
+
 def anchor_snapshots(snapshots: DataFrame, block_rows: DataFrame, least: int = 24, overlap: float = 0.72) -> DataFrame:
     """Similarity join: each snapshot (page_id, section, snap, needle) with the block (page_id, section, pos, text)
-    of its section that contains its text, else that shares at least ``overlap`` of the smaller word set; the
-    first of the best. Only blocks of the same section are compared."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"), F.lit(0)))
+    of its section that contains its text (or, from ``least`` characters on, is contained), else that shares at least
+    ``overlap`` (above 0) of the smaller word set; the first of the best."""
+    keys = ["page_id", "section"]
+    words = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"), F.lit(0))))
     squeezed = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-    q = snapshots.withColumn("needle", squeezed(F.col("needle"))).filter(F.length("needle") >= least).withColumn("a", words(F.col("needle")))
-    b = block_rows.select("page_id", "section", "pos", squeezed(F.col("text")).alias("text")).withColumn("b", words(F.col("text")))
-    rows = q.join(b, ["page_id", "section"])
-    share = F.size(F.array_intersect("a", "b")) / F.greatest(F.least(F.size("a"), F.size("b")), F.lit(1))
-    held = F.col("text").contains(F.col("needle")) | ((F.length("text") >= least) & F.col("needle").contains(F.col("text")))
-    score = F.when(held, F.lit(2.0)).when(share >= overlap, share)
-    return rows.withColumn("score", score).filter("score is not null").groupBy("page_id", "section", "snap").agg(F.max_by(F.struct("pos", "score"), F.struct("score", -F.col("pos"))).alias("m")).select("page_id", "section", "snap", "m.*")
+    q = snapshots.select(*keys, "snap", squeezed(F.col("needle")).alias("needle")).filter(F.length("needle") >= least)
+    b = block_rows.select(*keys, "pos", squeezed(F.col("text")).alias("text")).filter("text is not null")
+    needles, blocks = _written(q.select(*keys, "needle").distinct(), "needles"), _written(b.groupBy(*keys, "text").agg(F.min("pos").alias("pos")), "texts")
+    inside = held_by(needles.withColumnRenamed("needle", "pattern"), blocks, keys).withColumnRenamed("pattern", "needle")
+    around = held_by(blocks.filter(F.length("text") >= least).withColumnRenamed("text", "pattern"), needles.select("*", F.col("needle").alias("text")), keys).drop("pattern")
+    held = _written(inside.unionByName(around).groupBy(*keys, "needle").agg(F.min("pos").alias("pos")), "held")
+    left = _written(needles.join(held, [*keys, "needle"], "left_anti").select(*keys, "needle", words(F.col("needle")).alias("a")), "words")
+    sets = blocks.groupBy(*keys, words(F.col("text")).alias("b")).agg(F.min("pos").alias("pos"))
+    near = left.join(_nearest(left.select(*keys, "a").distinct(), sets, keys, overlap), [*keys, "a"]).select(*keys, "needle", "pos", "score")
+    best = held.withColumn("score", F.lit(2.0)).unionByName(near)
+    return q.join(best, [*keys, "needle"]).groupBy(*keys, "snap").agg(F.max_by(F.struct("pos", "score"), F.struct("score", -F.col("pos"))).alias("m")).select(*keys, "snap", "m.*")
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _nearest(left: DataFrame, right: DataFrame, keys: list[str], overlap: float) -> DataFrame:
+    """keys, a, pos, score: for each word set a the row of ``right`` (keys, b, pos) that shares the largest part of the
+    smaller set, if at least ``overlap``, then the smallest pos.
+
+    Pairs that share a rare word (of at most RARE sets of the keys in ``right``) are compared as they are. All pairs are
+    compared by their frequent words alone, as classes of sets with the same ones and the same size: this never gives a
+    pair more than it has, and its due where it shares no rare word, so the better of both is exact. Only the classes
+    are compared each with each: they are as many as there are different sets of frequent words."""
+    score = lambda both, m, n: F.size(both) / F.greatest(F.least(m, n), F.lit(1))
+    best = lambda rows, by: rows.groupBy(*by).agg(F.max_by(F.struct("pos", "score"), F.struct("score", -F.col("pos"))).alias("top")).select(*by, "top.*")
+    a = _written(left.withColumn("aid", F.monotonically_increasing_id()), "left")
+    b = _written(right.withColumn("bid", F.monotonically_increasing_id()), "right")
+    aw, bw = a.select(*keys, "aid", F.explode("a").alias("word")), b.select(*keys, "bid", F.explode("b").alias("word"))
+    shared = bw.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df")).join(aw.select(*keys, "word").distinct(), [*keys, "word"], "left_semi")
+    shared = _written(shared, "shared")
+    rare, frequent = shared.filter(F.col("df") <= RARE).select(*keys, "word"), shared.filter(F.col("df") > RARE).select(*keys, "word")
+    pairs = aw.join(bw.join(rare, [*keys, "word"]), [*keys, "word"]).select("aid", "bid").distinct()
+    pairs = pairs.join(a, "aid").join(b.drop(*keys), "bid").withColumn("score", score(F.array_intersect("a", "b"), F.size("a"), F.size("b")))
+    pairs = pairs.filter(F.col("score") >= overlap).select(*keys, "a", "pos", "score")
+    often = lambda rows, i: rows.join(frequent, [*keys, "word"]).groupBy(*keys, i).agg(F.array_sort(F.collect_list("word")).alias("f"))
+    ca = _written(a.join(often(aw, "aid"), [*keys, "aid"]).select(*keys, "a", "f", F.size("a").alias("m")), "often")
+    cb = b.join(often(bw, "bid"), [*keys, "bid"]).groupBy(*keys, F.col("f").alias("g"), F.size("b").alias("n")).agg(F.min("pos").alias("pos"))
+    classes = ca.select(*keys, "f", "m").distinct().join(cb, keys).withColumn("score", score(F.array_intersect("f", "g"), F.col("m"), F.col("n")))
+    classes = best(classes.filter(F.col("score") >= overlap), [*keys, "f", "m"])
+    return best(pairs.unionByName(ca.join(classes, [*keys, "f", "m"]).select(*keys, "a", "pos", "score")), [*keys, "a"])
 
 
 def interleave(block_rows: DataFrame, placed: DataFrame, loose: DataFrame, image: str = r"^\[\w*Image:") -> DataFrame:

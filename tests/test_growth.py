@@ -70,6 +70,29 @@ def test_captions_that_name_a_stem(spark):
     assert "Contains(" not in plan_of(got)
 
 
+def test_snapshots_find_the_best_block(spark):
+    """Against a plain loop over all pairs, with words of few and of many blocks; none are compared as texts."""
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"], k=6) + rng.choices([f"w{i}" for i in range(60)], k=rng.randint(0, 3)))
+    blocks = [(1, s, i, text() if i % 9 else "alpha beta gamma delta eps") for s in (0, 1) for i in range(300)]
+    snaps = [(1, s, i, text() if i % 5 else blocks[i][3][1:-1] + "") for s in (0, 1) for i in range(120)]
+    got = pages_.anchor_snapshots(spark.createDataFrame(snaps, "page_id bigint, section bigint, snap bigint, needle string"), spark.createDataFrame(blocks, "page_id bigint, section bigint, pos bigint, text string"))
+    want = {}
+    for _, s, n, needle in snaps:
+        a, best = set(needle.split()), None
+        for _, t, pos, x in blocks:
+            b = set(x.split())
+            held = needle in x or len(x) >= 24 and x in needle
+            score = 2.0 if held else len(a & b) / min(len(a), len(b))
+            if s == t and len(needle) >= 24 and score >= 0.72 and (best is None or (score, -pos) > (best[0], -best[1])):
+                best = (score, pos)
+        if best:
+            want[s, n] = best
+    assert {(r.section, r.snap): (r.score, r.pos) for r in got.collect()} == want
+    assert len({x for x, _ in want.values()}) > 2
+    assert "Contains(" not in plan_of(got)
+
+
 def test_a_suffix_is_cut_once(spark, sf_dir):
     """Each rule of completeness cut the suffix anew."""
     plan = plan_of(entry.queries()["qg_last_complete"](spark, sf_dir))
