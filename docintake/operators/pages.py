@@ -276,10 +276,10 @@ def visually_dense(url: Column, html: Column, hosts: tuple[str, ...] = (), tags:
     return host.isin(*hosts) | html.rlike(r"(?i)<d-(?:article|front-matter)\b") | (count >= most)
 
 
-def number_images(image_rows: DataFrame, most: int = 32) -> DataFrame:
-    """Placeholders of a page's images in order."""
+def number_images(image_rows: DataFrame) -> DataFrame:
+    """Placeholders of all of a page's images in order; who publishes fewer filters by ``place``."""
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("n"))
-    return image_rows.withColumn("place", n).filter(F.col("place") <= most).select("page_id", "n", "place", F.concat(F.lit("[Figure:"), F.col("place").cast("string"), F.lit(":image-"), F.col("n").cast("string"), F.lit("]")).alias("marker"))
+    return image_rows.withColumn("place", n).select("page_id", "n", "place", F.concat(F.lit("[Figure:"), F.col("place").cast("string"), F.lit(":image-"), F.col("n").cast("string"), F.lit("]")).alias("marker"))
 
 
 def substitute_markers(lines: DataFrame, numbered: DataFrame) -> DataFrame:
